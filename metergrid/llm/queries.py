@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metergrid.llm import decontaminate, langid, quality, secrets
+from metergrid.llm import decontaminate, langid, neardup, quality, secrets
 from metergrid.llm.common import held_out, read
 
 SHA_EMPTY = F.sha2(F.lit("").cast("binary"), 256)
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, words=3, percent=85, shallow=4)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit_languages(docs.where(~held_out()))
@@ -54,4 +59,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language, op6_quality, op9_decontaminate, op10_secrets)}
+    return {f.__name__: f for f in (op1_neardup, op3_language, op6_quality, op9_decontaminate, op10_secrets)}

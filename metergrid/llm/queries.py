@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metergrid.llm import decontaminate, langid, neardup, quality, secrets
+from metergrid.llm import decontaminate, langid, neardup, quality, secrets, suffix_dedup
 from metergrid.llm.common import held_out, read
 
 SHA_EMPTY = F.sha2(F.lit("").cast("binary"), 256)
@@ -33,6 +33,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "size_difference")
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.expr("aggregate(removed, 0L, (n, x) -> n + x.last - x.first)").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"), carry=["doc_id"])
@@ -59,4 +70,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op3_language, op6_quality, op9_decontaminate, op10_secrets)}
+    return {f.__name__: f for f in (op1_neardup, op3_language, op6_quality, op8_suffix, op9_decontaminate, op10_secrets)}

@@ -43,5 +43,42 @@ SELECT doc_id, {counts}, sha256({write(base)}) AS base_sha256, {write("spans")}
 FROM (SELECT doc_id, {every} AS spans FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"""
 
 
+def _op7(entropy_share: float = 0.95, most_epochs: float = 4.0, block_tokens: int = 1_000_000, seed: str = "mix") -> str:
+    # the exponent by the same bisection, one recursive query for each of the two conditions
+    def measure(name: str, a: str) -> str:
+        raw = f"exp({a} * ln(p))"
+        return f"(SELECT {{'entropy': ln(sum({raw})) - sum({raw} * ln({raw})) / sum({raw}), 'most': max({raw} / p) / sum({raw})}} FROM share)"
+
+    def bisect(name: str, a: str, holds: str) -> str:
+        return f"""
+{name}(step, low, high) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, CASE WHEN {holds} THEN (low + high) / 2 ELSE low END, CASE WHEN {holds} THEN high ELSE (low + high) / 2 END
+  FROM (SELECT *, {measure(name, a)} AS m FROM {name} WHERE step < 50))"""
+
+    return f"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, min(coalesce(source, '')) AS source, CAST(sum(greatest(1, CAST(ceil(coalesce(strlen(text), 0) / 4) AS BIGINT))) AS BIGINT) AS n_tokens
+  FROM documents GROUP BY doc_id),
+total AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM base GROUP BY source),
+share AS (SELECT source, tokens, tokens / (SELECT sum(tokens) FROM total) AS p FROM total),
+{bisect("e", "(low + high) / 2", f"m.entropy >= {entropy_share} * ln((SELECT count(*) FROM share))")},
+{bisect("r", "(1 - (low + high) / 2)", f"m.most <= {most_epochs}")},
+full_share AS (SELECT {measure("full", "1.0")} AS m),
+pick AS (SELECT CASE WHEN (SELECT count(*) FROM share) < 2 OR (SELECT m.entropy FROM full_share) >= {entropy_share} * ln((SELECT count(*) FROM share)) THEN 1.0
+  ELSE (SELECT low FROM e WHERE step = 50) END AS a),
+exponent AS (SELECT CASE WHEN {measure("p", "(SELECT a FROM pick)")}.most <= {most_epochs} THEN (SELECT a FROM pick)
+  ELSE 1 - (SELECT low FROM r WHERE step = 50) END AS a),
+plan AS (SELECT source, tokens,
+  CAST(floor((SELECT sum(tokens) FROM total) * pow(tokens, (SELECT a FROM exponent)) / (SELECT sum(pow(tokens, (SELECT a FROM exponent))) FROM total) + 1e-6) AS BIGINT) AS drawn FROM total),
+draws AS (SELECT doc_id, source, n_tokens, tokens, drawn, CAST(unnest(generate_series(0, (drawn - 1) // tokens)) AS INTEGER) AS epoch
+  FROM base JOIN plan USING (source) WHERE drawn > 0),
+placed AS (SELECT *, epoch * tokens + sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY md5('{seed}/' || epoch || '/' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM draws)
+SELECT doc_id, source, n_tokens, epoch,
+  CAST((upto - n_tokens) * greatest(1, CAST(round((SELECT sum(tokens) FROM total) / {block_tokens}) AS BIGINT)) // drawn AS BIGINT) AS block
+FROM placed WHERE upto <= drawn"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": _op9(), "op10_secrets": _op10()}
+    return {"op7_mixing": _op7(), "op9_decontaminate": _op9(), "op10_secrets": _op10()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metergrid.llm import decontaminate, langid, neardup, quality, secrets, suffix_dedup
+from metergrid.llm import decontaminate, langid, mixing, neardup, quality, secrets, suffix_dedup
 from metergrid.llm.common import held_out, read
 
 SHA_EMPTY = F.sha2(F.lit("").cast("binary"), 256)
@@ -33,6 +33,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "size_difference")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -70,4 +74,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op3_language, op6_quality, op8_suffix, op9_decontaminate, op10_secrets)}
+    return {f.__name__: f for f in (op1_neardup, op3_language, op6_quality, op7_mixing, op8_suffix, op9_decontaminate, op10_secrets)}

@@ -43,6 +43,25 @@ SELECT doc_id, {counts}, sha256({write(base)}) AS base_sha256, {write("spans")}
 FROM (SELECT doc_id, {every} AS spans FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"""
 
 
+#: Prefixes are compared as whole texts here.
+OP4 = """
+WITH row_ AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turn_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM row_),
+upto AS (SELECT conv_id, place, count(*) OVER (PARTITION BY conv_id) AS n, list(role || chr(31) || text) OVER (PARTITION BY conv_id ORDER BY place) AS prefix FROM turn_),
+whole AS (SELECT * FROM upto WHERE place = n),
+kept AS (SELECT min(conv_id) AS conv_id FROM whole WHERE prefix NOT IN (SELECT prefix FROM upto WHERE place < n) GROUP BY prefix)
+SELECT conv_id, count(*) AS n_turns, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY place) AS chat
+FROM turn_ SEMI JOIN kept USING (conv_id) GROUP BY conv_id"""
+
+
+#: Exact search; at this size the query finds all but a few of these rows, so it isn't the query's oracle.
+OP5_EXACT = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
+SELECT * FROM (SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, c.e) DESC, c.vec_id) AS INTEGER) AS rank,
+  c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 5"""
+
+
 def _op7(entropy_share: float = 0.95, most_epochs: float = 4.0, block_tokens: int = 1_000_000, seed: str = "mix") -> str:
     # the exponent by the same bisection, one recursive query for each of the two conditions
     def measure(name: str, a: str) -> str:
@@ -81,4 +100,4 @@ FROM placed WHERE upto <= drawn"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": _op7(), "op9_decontaminate": _op9(), "op10_secrets": _op10()}
+    return {"op4_chat": OP4, "op7_mixing": _op7(), "op9_decontaminate": _op9(), "op10_secrets": _op10()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metergrid.llm import decontaminate, langid, mixing, neardup, quality, secrets, suffix_dedup
+from metergrid.llm import chat, decontaminate, hamming, langid, mixing, neardup, quality, secrets, suffix_dedup
 from metergrid.llm.common import held_out, read
 
 SHA_EMPTY = F.sha2(F.lit("").cast("binary"), 256)
@@ -25,6 +25,16 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.render(chat.maximal(read(spark, sf_dir, "conversations")))
+    return found.select(F.col("conv").alias("conv_id"), "n_turns", "chat")
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming.nearest(rows, "vec_id", "embedding", lambda i: i % 50 == 0)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out())
@@ -74,4 +84,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op3_language, op6_quality, op7_mixing, op8_suffix, op9_decontaminate, op10_secrets)}
+    return {f.__name__: f for f in (op1_neardup, op3_language, op4_chat, op5_neighbours, op6_quality, op7_mixing, op8_suffix, op9_decontaminate, op10_secrets)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 #: Odd multipliers and finalisers of the hashes below (fixed values of well-known integer mixers).
@@ -17,20 +19,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i modulo 2**64 for i < n."""
+#: A random number for each byte value.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(R), -1, 1 << 64))
     up, down = np.full(n, R), np.full(n, inverse)
     up[:1] = down[:1] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range [start, end): the same for equal bytes wherever they stand."""
-    up, down = powers(len(data) + 1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """R**i and R**-i modulo 2**64 for i < n. Tables of up to 2**21 entries are kept."""
+    size = 1 << max(10, (n - 1).bit_length())
+    up, down = _powers(size) if size <= 1 << 21 else _powers.__wrapped__(n)
+    return up[:n], down[:n]
+
+
+def running_hash(data: np.ndarray) -> np.ndarray:
+    """The n + 1 sums from which range_hash() takes the hash of any byte range."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mixed(data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(BYTES[data] * powers(len(data) + 1)[0][:-1], out=sums[1:])
+    return sums
+
+
+def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range [start, end): the same for equal bytes wherever they stand."""
+    return mixed((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return range_hash(running_hash(data), starts, ends)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metergrid.llm.common import flat_bytes
-from metergrid.llm.shingles import R, mixed, powers
+from metergrid.llm.shingles import R, mixed, range_hash, running_hash
 
 #: Bytes of an anchor.
 K = 16
@@ -41,7 +41,7 @@ GROUP_BYTES = 4 << 20
 #: Text bytes for each bucket of step 1; a bucket of step 2 sorts the suffixes of about a fraction of it.
 BUCKET_BYTES = 12 << 20
 #: Texts are hashed together up to this many bytes, longer ones alone.
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 BLOB = "bucket long, g long, body binary"
 
@@ -168,11 +168,7 @@ def anchors_repeated(sent: DataFrame) -> DataFrame:
 
 
 def _stretch_digests(s: Stretches, length: int) -> np.ndarray:
-    up, down = powers(len(s.data) + 1)
-    sums = np.zeros(len(s.data) + 1, np.uint64)
-    np.cumsum(mixed(s.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    ends = s.start + s.count + length - 1
-    return mixed((sums[ends] - sums[s.start]) * down[s.start] + s.count.astype(np.uint64))
+    return range_hash(running_hash(s.data), s.start, s.start + s.count + length - 1)
 
 
 STRETCH = np.dtype([("hash", "<u8"), ("digest", "<u8"), ("id", "<i8"), ("count", "<u2")])
@@ -186,10 +182,10 @@ def stretches_sent(docs: DataFrame, repeated: DataFrame, buckets: int, length: i
         if not table.num_rows or not hashes.num_rows:
             return none
         known = np.unique(np.concatenate([np.frombuffer(b, np.uint32).astype(np.uint64) * np.uint64(buckets) + np.uint64(k) for k, b in zip(hashes.column("bucket").to_pylist(), hashes.column("body").to_pylist(), strict=True)]))
-        table = table.combine_chunks()
+        table = table.filter(table.column("id").is_valid()).combine_chunks()
         ids = table.column("id").to_numpy()
         heads, texts = [], []
-        for at, data, offsets in pieces(table.column("text").chunk(0), length):
+        for at, data, offsets in pieces(table.column("text").chunk(0), length) if len(ids) else ():
             s = Stretches(data, offsets, length)
             short = ((s.hash // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) + s.hash % np.uint64(buckets)
             place = np.minimum(np.searchsorted(known, short), len(known) - 1)
@@ -434,5 +430,6 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("g", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(groups)))
     named = rows.where("id IS NOT NULL AND octet_length(text) >= " + str(length))
     repeated = anchors_repeated(anchors_sent(named, groups, buckets, length))
-    held = suffixes_sorted(stretches_sent(named, repeated, buckets, length), length)
+    # the same rows as below, so that both steps read one shuffle of the texts
+    held = suffixes_sorted(stretches_sent(rows, repeated, buckets, length), length)
     return cut_out(rows, held, length).withColumnRenamed("id", id_col)

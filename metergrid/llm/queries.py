@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metergrid.llm import chat, decontaminate, hamming, langid, mixing, neardup, quality, secrets, suffix_dedup
+from metergrid.llm import chat, decontaminate, hamming, langid, mixing, neardup, pages, quality, secrets, suffix_dedup
 from metergrid.llm.common import held_out, read
 
 SHA_EMPTY = F.sha2(F.lit("").cast("binary"), 256)
@@ -18,6 +18,11 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, words=3, percent=85, shallow=4)
 
 
+def op2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit_languages(docs.where(~held_out()))
@@ -84,4 +89,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op3_language, op4_chat, op5_neighbours, op6_quality, op7_mixing, op8_suffix, op9_decontaminate, op10_secrets)}
+    return {f.__name__: f for f in (op1_neardup, op2_pages, op3_language, op4_chat, op5_neighbours, op6_quality, op7_mixing, op8_suffix, op9_decontaminate, op10_secrets)}

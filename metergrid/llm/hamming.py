@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Codes: vectors are centred, rotated by learned rotations (iterative quantisation: the rotation that brings the signs
-closest to the rotated vectors, from several starts) and reduced to signs, CODE_BITS bits in all. Each code is split
-into substrings of 8 bits, and each substring has an index: the rows by value.
+Codes: vectors are rotated by learned rotations (iterative quantisation: the rotation that brings the signs closest
+to the rotated vectors, from several starts) and reduced to signs, CODE_BITS bits in all. They aren't centred, so that
+the angle between two vectors is the expected share of the bits in which they differ. Each code is split into
+substrings of 8 bits, and each substring has an index: the rows by value.
 
 Search: two codes within Hamming distance r differ in some substring by r // substrings bits at most (pigeonhole).
 For each substring the buckets within that distance of the query's are probed; the codes retrieved are compared in
 full, and those within r are reranked by the cosine of the vectors themselves. The radius starts at START_RADIUS
-and grows, for the queries that need it, until at least `k` codes are within it in each shard or all are.
+and grows, for the queries that need it, until `k` codes are within it and a row as near as the k-th of them would
+have its code within it too, but for a deviation of SPREAD standard deviations, or all codes are.
 
 Rows are dealt to shards, each with its own indexes. Queries are sent to every shard; a shard takes them in blocks
 and returns its best k for each, and the best k of these are the result.
@@ -24,8 +26,9 @@ from metergrid.llm.common import bounded_sample
 
 CODE_BITS = 256
 SUBSTRINGS = CODE_BITS // 8
-#: About 0.41 of the bits: vectors with a cosine of 0.4 differ in 0.37 of them on average, unrelated ones in half.
-START_RADIUS, RADIUS_STEP = 104, 8
+START_RADIUS, RADIUS_STEP = 48, 8
+#: Standard deviations (of the bits in which two codes differ, given their angle) that the radius leaves room for.
+SPREAD = 2.0
 #: Rows that the rotations are learnt from at most.
 TRAIN_ROWS = 10_000
 SHARD_ROWS, QUERY_BLOCK = 8_192, 256
@@ -47,14 +50,13 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return good.where(F.size("vec") == (size["n"] if size else -1))
 
 
-def learn_codes(good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The mean and the (dimensions x CODE_BITS) rotations, from TRAIN_ROWS rows at most."""
+def learn_codes(good: DataFrame) -> np.ndarray:
+    """The (dimensions x CODE_BITS) rotations, from TRAIN_ROWS rows at most."""
     held = bounded_sample(good, "id", TRAIN_ROWS).collect()
     held.sort(key=lambda r: r["id"])
     x = np.array([r["vec"] for r in held])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    mean = x.mean(axis=0)
-    x, dims = x - mean, x.shape[1]
+    dims = x.shape[1]
     rng, parts = np.random.default_rng(SEED), []
     for _ in range(-(-CODE_BITS // dims)):
         turn = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
@@ -62,12 +64,18 @@ def learn_codes(good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             u, _, v = np.linalg.svd(x.T @ np.where(x @ turn >= 0, 1.0, -1.0))
             turn = u @ v
         parts.append(turn)
-    return mean, np.concatenate(parts, axis=1)[:, :CODE_BITS]
+    return np.concatenate(parts, axis=1)[:, :CODE_BITS]
 
 
-def codes(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
+def codes(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
     """(rows x SUBSTRINGS) bytes."""
-    return np.packbits((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ turn >= 0, axis=1)
+    return np.packbits(x / np.linalg.norm(x, axis=1, keepdims=True) @ turn >= 0, axis=1)
+
+
+def radius_for(cosine: float) -> float:
+    """The Hamming distance within which the codes of two vectors with this cosine are, with SPREAD deviations."""
+    share = np.arccos(np.clip(cosine, -1, 1)) / np.pi
+    return CODE_BITS * share + SPREAD * np.sqrt(CODE_BITS * share * (1 - share))
 
 
 def _signs(code: np.ndarray) -> np.ndarray:
@@ -128,24 +136,28 @@ def nearest(rows: DataFrame, id_col: str, vec_col: str, is_query, k: int = 5) ->
         none = pa.table({"query_id": pa.array([], pa.int64()), id_col: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not table.num_rows or not queries.num_rows:
             return none
-        mean, turn = model.value
+        turn = model.value
         table = table.sort_by("id")
         ids, x = table.column("id").to_numpy(), _vectors(table.column("vec"))
         qids, q = queries.column("id").to_numpy(), _vectors(queries.column("vec"))
-        shard, qcode = Shard(codes(x, mean, turn)), codes(q, mean, turn)
+        shard, qcode = Shard(codes(x, turn)), codes(q, turn)
         xn, qn = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         out = []
         for at in range(0, len(q), QUERY_BLOCK):
             todo, radius = np.arange(at, min(at + QUERY_BLOCK, len(q))), START_RADIUS
             while len(todo):
                 near = shard.within(qcode[todo], radius) & (qids[todo, None] != ids[None, :])
-                enough = (near.sum(axis=1) >= k) | (radius >= CODE_BITS)
-                for i, found in zip(todo[enough], near[enough], strict=True):
+                more = []
+                for i, found in zip(todo, near, strict=True):
                     j = np.flatnonzero(found)
-                    score = (x[j] * q[i]).sum(axis=1) / (xn[j] * qn[i])
-                    best = np.lexsort((ids[j], -score))[:k]
-                    out.append((np.full(len(best), qids[i]), ids[j][best], score[best]))
-                todo, radius = todo[~enough], radius + RADIUS_STEP
+                    if len(j) >= k or radius >= CODE_BITS:
+                        score = (x[j] * q[i]).sum(axis=1) / (xn[j] * qn[i])
+                        best = np.lexsort((ids[j], -score))[:k]
+                        if radius >= CODE_BITS or radius_for(score[best[-1]]) <= radius:
+                            out.append((np.full(len(best), qids[i]), ids[j][best], score[best]))
+                            continue
+                    more.append(i)
+                todo, radius = np.array(more, np.int64), radius + RADIUS_STEP
         if not out:
             return none
         a, b, c = (np.concatenate(p) for p in zip(*out, strict=True))

@@ -4,13 +4,14 @@
    sidebar, form, advert, notice and comment parts, by tag, role or the words of class and id, are chrome. Blocks
    inside article or main are body. All others are open.
 2. Within a host, pages are ordered by URL path; a page's partner is the neighbour whose path shares more leading
-   segments with its own (the earlier one, where both share as many).
+   segments with its own (the earlier one, where both share as many). Pages of a host with the same lines are one
+   page here, at the first of their paths, and have one partner.
 3. The lines of a page are aligned with those of its partner by a longest common subsequence. Open lines in it are
    the site's template and are deleted.
 
 Differencing alone can't give the article of every page: a host may have one page, and two pages of a host may
 hold the same article. So it decides about open lines only, body lines stay, and a page whose lines all are its
-partner's (a copy) loses none.
+partner's loses none.
 """
 
 from __future__ import annotations
@@ -234,10 +235,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.col(html_col))
     parsed = written(arrow_map(rows, html_col, outputs, make, ["key", "url"]), "lines")
-    known = parsed.select("key", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)).alias("host"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), F.exists("lines", lambda x: x["zone"] == OPEN).alias("open"))
-    once = known.where("key IS NOT NULL AND host <> ''").groupBy("key").agg(F.count("*").alias("n"), F.min("host").alias("host"), F.min("path").alias("path"), F.max("open").alias("open")).where("n = 1")
+    known = parsed.select("key", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)).alias("host"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), F.exists("lines", lambda x: x["zone"] == OPEN).alias("open"), F.sha2(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), 256).alias("same"))
+    once = known.where("key IS NOT NULL AND host <> ''").groupBy("key").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("host", "path", "open", "same")]).where("n = 1")
+    first = once.groupBy("host", "same").agg(F.min(F.struct("path", "key")).alias("first")).select("host", "same", F.col("first.path").alias("path"), F.col("first.key").alias("key"))
     # only pages with open lines need their partner's lines
-    pairs = partners(once).join(once.where("open").select("key"), "key", "left_semi")
+    of_first = partners(first.select("key", "host", "path")).join(first.select("key", "host", "same"), "key").select("host", "same", "partner")
+    pairs = once.where("open").select("key", "host", "same").join(of_first, ["host", "same"]).select("key", "partner")
     of_partner = pairs.join(parsed.select(F.col("key").alias("partner"), F.transform("lines", lambda x: x["text"]).alias("other")), "partner").select(F.col("key").alias("_key"), "other")
     both = parsed.join(of_partner, parsed["key"].eqNullSafe(of_partner["_key"]), "left").select("key", "url", "lines", "other")
     result = T.StructType([both.schema["key"], both.schema["url"], T.StructField("text", T.StringType())])

@@ -1,8 +1,8 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built, one from texts labelled good and one from texts labelled bad. A text is
-compressed with each, in blocks of BLOCK bytes so that a long text stays comparable with the dictionaries rather
-than with itself. The feature is the normalised difference (size with bad - size with good) / length of the
+Two zstandard dictionaries are built, one from texts labelled good and one from texts labelled bad: raw content,
+snippets of as many texts as fit. A text is compressed with each, in blocks of BLOCK bytes so that a long text stays
+comparable with the dictionaries rather than with itself. The feature is the normalised difference (size with bad - size with good) / length of the
 text in bytes; a logistic curve, fitted on labelled texts that the dictionaries have not seen, turns it into the
 probability of label 1.
 """
@@ -21,9 +21,10 @@ from metergrid.llm.common import arrow_map, bounded_sample, text_bytes
 
 #: Labelled rows that a model is learnt from at most, and bytes of each that the dictionaries see.
 TRAIN_ROWS, TRAIN_BYTES = 6_000, 8_192
-BLOCK = 4_096
-DICT_BYTES = 32_768
-LEVEL = 3
+#: Bytes of a snippet, and of what is compressed at once.
+BLOCK = 512
+DICT_BYTES = 112_640
+LEVEL = 6
 THRESHOLD = 0.7
 
 
@@ -36,15 +37,15 @@ class Model:
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or where there is too little text to train one, the text itself as raw content."""
-    texts = [x[i : i + 1024] for t in texts for x in [t[:TRAIN_BYTES]] for i in range(0, len(x), 1024)]
-    if sum(map(len, texts)) >= 20 * DICT_BYTES and len(texts) >= 100:
-        return zstandard.train_dictionary(DICT_BYTES, texts, level=LEVEL).as_bytes()
-    return b"\n".join(texts)[-DICT_BYTES:]
+    """The first snippets of all texts, then their second ones, and so on, until the dictionary is full."""
+    snippets = [(at, k, t[at : at + BLOCK]) for k, t in enumerate(texts) for at in range(0, min(len(t), TRAIN_BYTES), BLOCK)]
+    return b"\n".join(x for _, _, x in sorted(snippets))[:DICT_BYTES]
 
 
 def compressor(data: bytes) -> zstandard.ZstdCompressor:
-    held = zstandard.ZstdCompressionDict(data) if data else None
+    held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(data) >= 8 else None
+    if held:
+        held.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
@@ -83,8 +84,8 @@ def fit_quality(rows: DataFrame, text_col: str = "text", label_col: str = "quali
     )
     held = []
     for label in (0, 1):
-        held += bounded_sample(rows.where(F.col("label") == label), "id", max_rows // 2).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2))).collect()
-    held.sort(key=lambda r: (r["id"] or "", r["text"]))
+        held += bounded_sample(rows.where(F.col("label") == label), "id", max_rows // 2).withColumn("order", F.xxhash64(F.lit("half"), "id")).withColumn("half", F.pmod("order", F.lit(2))).collect()
+    held.sort(key=lambda r: (r["order"], r["text"]))
     texts = {(label, half): [r["text"].encode() for r in held if r["label"] == label and r["half"] == half] for label in (0, 1) for half in (0, 1)}
     good, bad = dictionary(texts[1, 0]), dictionary(texts[0, 0])
     a, b = compressor(good), compressor(bad)

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from metergrid.llm import chat, decontaminate, hamming, langid, mixing, neardup, pages, quality, secrets, suffix_dedup
 from metergrid.llm.common import held_out, read
 
-SHA_EMPTY = F.sha2(F.lit("").cast("binary"), 256)
-
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

@@ -6,8 +6,10 @@
    common prefix of `shallow` values are a region. A region of more than REGION classes is deepened value by value,
    as far as it needs; what is still larger at full depth is cut along its order into runs of REGION classes.
 3. Candidates, first pass: in each region, a star around the class whose signature agrees most with the region's
-   commonest values, and the neighbours in the order (the longest common prefixes). Pairs whose signatures make the
-   wanted similarity implausible (over five standard deviations away) are left out.
+   commonest values (in a region cut into runs, the best of the runs' best), and the neighbours in the order (the
+   longest common prefixes) unless the star holds both. Pairs whose signatures make the wanted similarity implausible
+   (over five standard deviations away) are left out. The forest's rows carry keys; signatures join them only where a
+   region has others.
 4. Candidates are confirmed on the full sets; the links give components.
 5. Second pass, so that no link is lost: regions (the shallow ones, however large) whose classes lie in several
    components compare every class outside the region's largest component with all classes of other components.
@@ -52,33 +54,27 @@ def text_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 
 
 def forest(classes: DataFrame, shallow: int) -> DataFrame:
-    """(tree, key, rep, sig) of the classes whose region has others in it, with `shallow_region`, its size, and the
-    adaptive `region` (prefix) and `run`."""
-    key = F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
+    """(tree, top, key, rep, n) of the classes whose shallow region `top` has others in it; n is its size."""
     rows = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "rep", "sig")
-    prefix = F.expr(f"substring(key, 1, {2 * shallow})")
-    rows = rows.withColumn("top", prefix)
+    rows = rows.select("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "rep")
+    rows = rows.withColumn("top", F.expr(f"substring(key, 1, {2 * shallow})"))
     sizes = rows.groupBy("tree", "top").agg(F.count("*").alias("n")).where("n > 1")
     return rows.join(sizes, ["tree", "top"])
 
 
 def adapted(rows: DataFrame, shallow: int) -> DataFrame:
-    """Adds region and run: the shortest prefix whose region has REGION classes at most, or the whole key with runs."""
-    small = rows.where(F.col("n") <= REGION).select("*", F.col("top").alias("region"), F.lit(0).alias("run"))
+    """(tree, region, run, runs, key, rep): the shortest prefix whose region has REGION classes at most, or the whole
+    key with runs. Sizes are counted over different keys, which near copies share."""
+    small = rows.where(F.col("n") <= REGION).select("tree", F.col("top").alias("region"), F.lit(0).alias("run"), F.lit(1).alias("runs"), "key", "rep")
     large = rows.where(F.col("n") > REGION)
     prefixes = F.array(*[F.expr(f"substring(key, 1, {2 * d})") for d in range(shallow + 1, DEPTH + 1)])
-    deep = large.select("tree", F.explode(prefixes).alias("region")).groupBy("tree", "region").agg(F.count("*").alias("size"))
-    fits = deep.select("tree", "region", "size")
-    tried = large.select("*", F.explode(prefixes).alias("region")).join(fits, ["tree", "region"])
-    good = tried.where((F.col("size") <= REGION) | (F.length("region") == 2 * DEPTH))
-    best = good.groupBy("tree", "rep").agg(F.min_by(F.struct("region", "size", "top", "n", "key", "sig"), F.length("region")).alias("b"))
-    runs = F.ceil(F.col("b.size") / REGION).cast("int")
-    large = best.select(
-        "tree", F.col("b.top").alias("top"), F.col("b.key").alias("key"), "rep", F.col("b.sig").alias("sig"), F.col("b.n").alias("n"), F.col("b.region").alias("region"),
-        F.pmod(F.xxhash64("rep"), runs).cast("int").alias("run"),
-    )
-    return small.select(*large.columns).union(large)
+    keys = large.groupBy("tree", "key").agg(F.count("*").alias("c")).select("tree", "key", "c", F.explode(prefixes).alias("region"))
+    sizes = keys.groupBy("tree", "region").agg(F.sum("c").alias("size"))
+    fits = keys.join(sizes, ["tree", "region"]).where((F.col("size") <= REGION) | (F.length("region") == 2 * DEPTH))
+    best = fits.groupBy("tree", "key").agg(F.min_by(F.struct("region", "size"), F.length("region")).alias("b"))
+    runs = F.greatest(F.lit(1), F.ceil(F.col("b.size") / REGION)).cast("int")
+    large = large.join(best, ["tree", "key"]).select("tree", F.col("b.region").alias("region"), F.pmod(F.xxhash64("rep"), runs).cast("int").alias("run"), runs.alias("runs"), "key", "rep")
+    return small.union(large)
 
 
 PAIRS = "a long, b long"
@@ -116,8 +112,39 @@ def _least_agreement(share: float) -> float:
     return k * share - 5 * np.sqrt(k * share * (1 - share))
 
 
-def first_pass(rows: DataFrame, share: float) -> DataFrame:
+def _centre(sig: np.ndarray, rep: np.ndarray) -> tuple[int, int]:
+    """The class that agrees most with the commonest values (of several the one with the smallest id), and in how many."""
+    common = np.array([np.bincount(c, minlength=1).argmax() for c in sig.T])
+    agree = (sig == common).sum(axis=1)
+    best = int(np.lexsort((rep, -agree))[0])
+    return best, int(agree[best])
+
+
+def hubs(long: DataFrame) -> DataFrame:
+    """(tree, region, rep): the centre of each region that is cut into runs."""
+
+    def run(batches):
+        for group in _groups(batches, ["tree", "region", "run"]):
+            rep = group.column("rep").to_numpy()
+            best, agree = _centre(_matrix(group.column("sig")), rep)
+            head = group.slice(0, 1).select(["tree", "region"]).append_column("rep", pa.array([rep[best]], pa.int64())).append_column("agree", pa.array([agree], pa.int32()))
+            yield from head.to_batches()
+
+    ordered = long.select("tree", "region", "run", "rep", "sig").repartition("tree", "region", "run").sortWithinPartitions("tree", "region", "run")
+    centres = ordered.mapInArrow(run, "tree int, region binary, rep long, agree int")
+    return centres.groupBy("tree", "region").agg(F.max_by("rep", F.struct("agree", -F.col("rep"))).alias("rep"))
+
+
+def first_pass(rows: DataFrame, classes: DataFrame, share: float) -> DataFrame:
+    """Plausible pairs (a, b) of the regions of adapted()."""
     least = _least_agreement(share)
+    sigs = classes.select("rep", "sig")
+    rows = written(rows.join(sigs, "rep"), "regions")
+    long = rows.where("runs > 1")
+    # the hub joins every run of its region
+    each = long.select("tree", "region", "run").distinct().join(hubs(long), ["tree", "region"]).join(sigs, "rep")
+    members = rows.select("tree", "region", "run", F.lit(0).alias("hub"), "key", "rep", "sig")
+    rows = members.union(each.select("tree", "region", "run", F.lit(1).alias("hub"), F.lit(b"").alias("key"), "rep", "sig"))
 
     def run(batches):
         for group in _groups(batches, ["tree", "region", "run"]):
@@ -125,30 +152,28 @@ def first_pass(rows: DataFrame, share: float) -> DataFrame:
             if n < 2:
                 continue
             rep, sig = group.column("rep").to_numpy(), _matrix(group.column("sig"))
-            if n == 2:
-                centre = 0
-            else:
-                common = np.array([np.bincount(c, minlength=1).argmax() for c in sig.T])
-                centre = int((sig == common).sum(axis=1).argmax())
-            a = np.concatenate([np.full(n, centre), np.arange(n - 1)])
-            b = np.concatenate([np.arange(n), np.arange(1, n)])
-            near = ((sig[a] == sig[b]).sum(axis=1) >= least) & (a != b)
-            if near.any():
-                x, y = rep[a[near]], rep[b[near]]
-                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            hub = np.flatnonzero(group.column("hub").to_numpy())
+            centre = int(hub[0]) if len(hub) else _centre(sig, rep)[0] if n > 2 else 0
+            held = (sig == sig[centre]).sum(axis=1) >= least
+            star = np.flatnonzero(held)
+            a, b = np.arange(n - 1), np.arange(1, n)
+            loose = ~(held[a] & held[b]) & ((sig[a] == sig[b]).sum(axis=1) >= least)
+            x, y = rep[np.concatenate([np.full(len(star), centre), a[loose]])], rep[np.concatenate([star, b[loose]])]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
+            if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    ordered = rows.select("tree", "region", "run", "key", "rep", "sig").repartition("tree", "region", "run").sortWithinPartitions("tree", "region", "run", "key", "rep")
+    ordered = rows.repartition("tree", "region", "run").sortWithinPartitions("tree", "region", "run", "key", "rep")
     return ordered.mapInArrow(run, PAIRS).distinct()
 
 
-def second_pass(rows: DataFrame, component: DataFrame, share: float) -> DataFrame:
+def second_pass(rows: DataFrame, classes: DataFrame, component: DataFrame, share: float) -> DataFrame:
     """Plausible pairs of different components within shallow regions; component(rep, component) covers linked reps."""
     least = _least_agreement(share)
-    rows = rows.select("tree", "top", "n", "rep", "sig").join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = rows.select("tree", "top", "n", "rep").join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = rows.groupBy("tree", "top", "component").agg(F.count("*").alias("c"))
     mixed = parts.groupBy("tree", "top").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count("*").alias("components")).where("components > 1")
-    rows = rows.join(mixed.drop("components"), ["tree", "top"])
+    rows = written(rows.join(mixed.drop("components"), ["tree", "top"]).join(classes.select("rep", "sig"), "rep"), "mixed")
     runs = F.greatest(F.lit(1), F.ceil(F.col("n") / (4 * REGION)).cast("int"))
     outside = F.col("component") != F.col("main")
     target = rows.select("tree", "top", F.pmod(F.xxhash64("rep"), runs).cast("int").alias("run"), "rep", "sig", "component", F.lit(0).alias("asks"))
@@ -218,9 +243,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(named.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
     share = percent / 100
     shallow_rows = written(forest(classes, shallow), "forest")
-    links = confirmed(first_pass(adapted(shallow_rows, shallow), share), docs, id_col, text_col, words, percent)
+    links = confirmed(first_pass(adapted(shallow_rows, shallow), classes, share), docs, id_col, text_col, words, percent)
     component = connected_components(links).withColumnRenamed("id", "rep")
-    more = confirmed(second_pass(shallow_rows, component, share), docs, id_col, text_col, words, percent)
+    more = confirmed(second_pass(shallow_rows, classes, component, share), docs, id_col, text_col, words, percent)
     component = connected_components(links.union(more)).withColumnRenamed("id", "rep")
     of_class = classes.select("d1", "d2", "rep").join(component, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     joined = found.drop("sig").join(of_class, ["d1", "d2"], "left")

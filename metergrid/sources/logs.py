@@ -20,7 +20,7 @@ TYPES = {"line": "long", "ms": "long", "sidechain": "boolean", "reported_cost_us
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of every *.jsonl below path. `line` orders a file's lines: files are read whole by one
     task each, as a log's state runs through it from the first line."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(path)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     lines = rows.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"), F.size(F.split("value", "\n")).alias("n"))
     # what follows the last line feed isn't complete yet: it isn't read, nor malformed
     return lines.where("line < n - 1 AND trim(value) <> ''").select("file", (F.col("line") + 1).cast("long").alias("line"), "value")

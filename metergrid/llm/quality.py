@@ -1,7 +1,7 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built, one from texts labelled good and one from texts labelled bad: raw content,
-snippets of as many texts as fit. A text is compressed with each, in blocks of BLOCK bytes so that a long text stays
+blocks chosen by a hash from the whole length of the texts, as many as fit. A text is compressed with each, in blocks of BLOCK bytes so that a long text stays
 comparable with the dictionaries rather than with itself. The feature is the normalised difference (size with bad - size with good) / length of the
 text in bytes; a logistic curve, fitted on labelled texts that the dictionaries have not seen, turns it into the
 probability of label 1.
@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metergrid.llm.common import arrow_map, bounded_sample, text_bytes
+from metergrid.llm.common import arrow_map, bounded_sample, text_bytes, written
 
-#: Labelled rows that a model is learnt from at most, and bytes of each that the dictionaries see.
-TRAIN_ROWS, TRAIN_BYTES = 6_000, 8_192
-#: Bytes of a snippet, and of what is compressed at once.
+#: Labelled rows that a model is learnt from at most; each is used in whole.
+TRAIN_ROWS = 6_000
+#: Bytes of a block of a dictionary, and of what is compressed at once.
 BLOCK = 512
 DICT_BYTES = 112_640
 LEVEL = 6
@@ -36,10 +36,15 @@ class Model:
     offset: float
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """The first snippets of all texts, then their second ones, and so on, until the dictionary is full."""
-    snippets = [(at, k, t[at : at + BLOCK]) for k, t in enumerate(texts) for at in range(0, min(len(t), TRAIN_BYTES), BLOCK)]
-    return b"\n".join(x for _, _, x in sorted(snippets))[:DICT_BYTES]
+def dictionary(rows: DataFrame) -> bytes:
+    """One block of every row's text, then a second one, and so on, until the dictionary is full; a hash of id and place
+    orders the blocks of a text, and the texts. A block and its line break have two bytes at least, so the driver gets
+    as many blocks as could be needed."""
+    raw = rows.select("id", F.encode("text", "UTF-8").alias("raw")).where(F.octet_length("raw") > 0)
+    cut = f"transform(sequence(0, octet_length(raw) - 1, {BLOCK}), i -> struct(xxhash64('block', id, i) AS order, substring(raw, i + 1, {BLOCK}) AS block))"
+    blocks = raw.select(F.posexplode(F.array_sort(F.expr(cut))).alias("turn", "b")).select("turn", "b.order", "b.block")
+    chosen = blocks.orderBy("turn", "order", "block").limit(DICT_BYTES // 2)
+    return b"\n".join(bytes(r["block"]) for r in chosen.collect())[:DICT_BYTES]
 
 
 def compressor(data: bytes) -> zstandard.ZstdCompressor:
@@ -77,20 +82,22 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit_quality(rows: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", max_rows: int = TRAIN_ROWS) -> Model:
     """Learns from rows with a text and label 0 or 1; max_rows / 2 of each label at most, chosen by a hash of the
-    id. Half of them, by another hash, make the dictionaries; the others fit the curve. Without rows of both labels
-    the score is a constant."""
+    id. Half of them, by another hash, make the dictionaries; the others fit the curve, on whole texts like those that
+    are scored. Texts stay on the executors. Without rows of both labels the score is a constant."""
     rows = rows.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).cast("string").alias("id"), F.substring(text_col, 1, TRAIN_BYTES).alias("text"), F.col(label_col).cast("int").alias("label")
+        F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")
     )
-    held = []
-    for label in (0, 1):
-        held += bounded_sample(rows.where(F.col("label") == label), "id", max_rows // 2).withColumn("order", F.xxhash64(F.lit("half"), "id")).withColumn("half", F.pmod("order", F.lit(2))).collect()
-    held.sort(key=lambda r: (r["order"], r["text"]))
-    texts = {(label, half): [r["text"].encode() for r in held if r["label"] == label and r["half"] == half] for label in (0, 1) for half in (0, 1)}
-    good, bad = dictionary(texts[1, 0]), dictionary(texts[0, 0])
-    a, b = compressor(good), compressor(bad)
-    x = np.array([feature(t, a, b) for label in (0, 1) for t in texts[label, 1]])
-    y = np.array([float(label) for label in (0, 1) for _ in texts[label, 1]])
+    bad_rows, good_rows = (bounded_sample(rows.where(F.col("label") == label), "id", max_rows // 2) for label in (0, 1))
+    held = written(bad_rows.union(good_rows).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2))), "labelled")
+    good, bad = (dictionary(held.where((F.col("label") == label) & (F.col("half") == 0))) for label in (1, 0))
+    outputs = T.StructType([T.StructField("x", T.DoubleType())])
+
+    def make():
+        a, b = compressor(good), compressor(bad)
+        return lambda part: [[feature(t, a, b) for t in text_bytes(part.column("text"))]]
+
+    points = sorted((r["label"], r["x"]) for r in arrow_map(held.where("half = 1"), "text", outputs, make, ["label"]).collect())
+    x, y = (np.array([p[k] for p in points], float) for k in (1, 0))
     return Model(good, bad, *calibrate(x, y))
 
 

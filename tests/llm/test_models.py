@@ -65,3 +65,17 @@ def test_quality_edges(spark):
     constant = quality.fit_quality(spark.createDataFrame([(1, "only good", 1)], "doc_id long, text string, quality int"))
     assert len({r["score"] for r in quality.score_quality(df, constant).collect()}) == 1
     assert quality.score_quality(df.limit(0), model).collect() == []
+
+
+def test_quality_learns_from_all_of_a_text(spark):
+    """Texts that differ only after their first 12,000 bytes, in all but the opening of each."""
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    tails = ["a calm and careful sentence about the archive of the town. ", "BUY NOW click here for free $$$ and win a prize today! "]
+    learn = [(i, words(1_800) + " " + tails[i % 2] * 200, 1 - i % 2) for i in range(120)]
+    model = quality.fit_quality(spark.createDataFrame(learn, "doc_id long, text string, quality int"))
+    assert tails[0].encode() in model.good and tails[1].encode() in model.bad
+    assert tails[0].encode() not in model.bad and tails[1].encode() not in model.good
+    got = quality.score_quality(spark.createDataFrame([(1, tails[0] * 9), (2, tails[1] * 9)], "doc_id long, text string"), model)
+    score = {r["doc_id"]: r["score"] for r in got.collect()}
+    assert score[1] > 0.9 and score[2] < 0.1

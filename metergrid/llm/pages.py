@@ -6,11 +6,13 @@
 2. Within a host, pages are ordered by URL path; a page's partner is the neighbour whose path shares more leading
    segments with its own (the earlier one, where both share as many). Pages of a host with the same lines are one
    page here, at the first of their paths, and have one partner.
-3. The lines of a page are aligned with those of its partner by a longest common subsequence. Open lines in it are
-   the site's template and are deleted.
+3. The lines of a page, body lines too, are aligned with those of its partner by a longest common subsequence. Open
+   lines in it are the site's template and are deleted. Body lines in it are deleted if the site repeats them: if they
+   are aligned in REPEATED pages at least of the same host and folder, and in half of these pages.
 
-Differencing alone can't give the article of every page: a host may have one page, and two pages of a host may
-hold the same article. So it decides about open lines only, body lines stay, and a page whose lines all are its
+Differencing alone can't give the article of every page: a host may have one page, two pages of a host may hold the
+same article, and a line that two articles quote isn't the site's. So structure has a veto: a page that shares half of
+its body with its partner is a near copy, whose body lines stay and don't count, and a page whose lines all are its
 partner's loses none.
 """
 
@@ -190,6 +192,9 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
     return [True] * head + mid + [True] * tail
 
 
+#: Pages of a folder that repeat a body line at least before it is the site's.
+REPEATED = 3
+
 LINES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("zone", T.IntegerType())]))
 
 
@@ -219,6 +224,20 @@ def partners(parsed: DataFrame) -> DataFrame:
     return near.select("key", picked.alias("partner")).where("partner IS NOT NULL")
 
 
+def _marked(batches):
+    """(host, folder, same, marks) of pages with their partner's lines: the lines that may go, which are the aligned
+    ones, without body lines of near copies; none if all lines are aligned."""
+    for batch in batches:
+        marks = []
+        for own, other in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist(), strict=True):
+            gone = common_lines([x["hash"] for x in own], other)
+            shared = sum(x["size"] for x, g in zip(own, gone, strict=True) if g and x["body"])
+            near = 2 * shared >= sum(x["size"] for x in own if x["body"])
+            marks.append([] if all(gone) else [{"at": k, "hash": x["hash"], "body": x["body"]} for k, (x, g) in enumerate(zip(own, gone, strict=True)) if g and not (near and x["body"])])
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64()), ("body", pa.bool_())]))
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("host", "folder", "same")] + [pa.array(marks, kind)], names=["host", "folder", "same", "marks"])
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text) of each page: its main blocks, joined by empty lines; '' if there are none.
 
@@ -235,25 +254,35 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.col(html_col))
     parsed = written(arrow_map(rows, html_col, outputs, make, ["key", "url"]), "lines")
-    known = parsed.select("key", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)).alias("host"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), F.exists("lines", lambda x: x["zone"] == OPEN).alias("open"), F.sha2(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), 256).alias("same"))
-    once = known.where("key IS NOT NULL AND host <> ''").groupBy("key").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("host", "path", "open", "same")]).where("n = 1")
+    known = parsed.select(
+        "key", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)).alias("host"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"),
+        F.sha2(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), 256).alias("same"),
+    )
+    once = known.where("key IS NOT NULL AND host <> ''").groupBy("key").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("host", "path", "same")]).where("n = 1")
     first = once.groupBy("host", "same").agg(F.min(F.struct("path", "key")).alias("first")).select("host", "same", F.col("first.path").alias("path"), F.col("first.key").alias("key"))
-    # only pages with open lines need their partner's lines
-    of_first = partners(first.select("key", "host", "path")).join(first.select("key", "host", "same"), "key").select("host", "same", "partner")
-    pairs = once.where("open").select("key", "host", "same").join(of_first, ["host", "same"]).select("key", "partner")
-    of_partner = pairs.join(parsed.select(F.col("key").alias("partner"), F.transform("lines", lambda x: x["text"]).alias("other")), "partner").select(F.col("key").alias("_key"), "other")
-    both = parsed.join(of_partner, parsed["key"].eqNullSafe(of_partner["_key"]), "left").select("key", "url", "lines", "other")
+    first = written(first.withColumn("folder", F.regexp_replace("path", "[^/]*$", "")), "pages")
+    # lines travel as hashes of 8 bytes
+    brief = parsed.select("key", F.transform("lines", lambda x: F.struct(F.xxhash64(x["text"]).alias("hash"), F.char_length(x["text"]).alias("size"), (x["zone"] == BODY).alias("body"))).alias("own"))
+    other = brief.select(F.col("key").alias("partner"), F.col("own.hash").alias("other"))
+    pairs = first.join(partners(first.select("key", "host", "path")), "key").join(brief, "key").join(other, "partner").select("host", "folder", "same", "own", "other")
+    marks = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("body", T.BooleanType())]))
+    aligned = written(pairs.mapInArrow(_marked, T.StructType([pairs.schema[c] for c in ("host", "folder", "same")] + [T.StructField("marks", marks)])), "aligned")
+    mark = aligned.select("host", "folder", "same", F.explode("marks").alias("m")).select("host", "folder", "same", "m.*")
+    line = ["host", "folder", "hash"]
+    counted = mark.where("body").select(*line, "same").distinct().groupBy(*line).agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED)
+    site = counted.join(first.groupBy("host", "folder").agg(F.count("*").alias("pages")), ["host", "folder"]).where("2 * n >= pages").select(*line)
+    lost = mark.where("NOT body").select("host", "same", "at").unionByName(mark.where("body").join(site, line, "left_semi").select("host", "same", "at"))
+    lost = lost.groupBy("host", "same").agg(F.collect_list("at").alias("lost"))
+    of_page = once.join(lost, ["host", "same"]).select(F.col("key").alias("_key"), "lost")
+    both = parsed.join(of_page, parsed["key"].eqNullSafe(of_page["_key"]), "left").select("key", "url", "lines", "lost")
     result = T.StructType([both.schema["key"], both.schema["url"], T.StructField("text", T.StringType())])
 
     def run(batches):
         for batch in batches:
             texts = []
-            for lines, other in zip(batch.column("lines").to_pylist(), batch.column("other").to_pylist(), strict=True):
-                own = [x["text"] for x in lines]
-                gone = common_lines(own, other) if other else [False] * len(own)
-                if all(gone):
-                    gone = [False] * len(own)
-                texts.append("\n\n".join(t["text"] for t, g in zip(lines, gone, strict=True) if t["zone"] == BODY or not g))
+            for lines, lost in zip(batch.column("lines").to_pylist(), batch.column("lost").to_pylist(), strict=True):
+                gone = set(lost or ())
+                texts.append("\n\n".join(x["text"] for k, x in enumerate(lines) if k not in gone))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(texts, pa.string())], names=["key", "url", "text"])
 
     return both.mapInArrow(run, result).withColumnsRenamed({"key": id_col, "url": url_col})

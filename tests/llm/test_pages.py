@@ -70,3 +70,16 @@ def test_broken_html_and_long_pages():
 def test_query_covers_every_page(spark, sf_dir):
     got = op2_pages(spark, sf_dir).collect()
     assert len(got) == spark.read.parquet(f"{sf_dir}/pages.parquet").count() and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_lines_that_a_site_repeats_inside_articles_go(spark):
+    page = lambda *lines: "<html><body><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article></body></html>"
+    body = lambda i: [f"article {i} begins here", f"and {i} goes on with words of its own"]
+    rows = [(i, f"https://a.example/news/{i}", page("Read it in our app", *body(i), *(["quoted by two"] if i in (1, 2) else []))) for i in range(1, 9)]
+    rows += [(10 + i, f"https://a.example/copies/{i}", page("a long article in three versions", "with most of its lines", f"but version {i}")) for i in range(3)]
+    rows += [(20, "https://b.example/news/1", page("Read it in our app", *body(20)))]
+    got = {i: text.split("\n\n") for (i, _), text in _texts(spark, rows).items()}
+    for i in range(1, 9):
+        assert got[i] == body(i) + (["quoted by two"] if i in (1, 2) else [])
+    assert all(got[10 + i] == ["a long article in three versions", "with most of its lines", f"but version {i}"] for i in range(3))
+    assert got[20] == ["Read it in our app", *body(20)]

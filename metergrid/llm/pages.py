@@ -2,7 +2,8 @@
 
 1. Each page's html is cut into blocks (lines of text). Blocks inside script, style, navigation, header, footer,
    sidebar, form, advert, notice and comment parts, by tag, role or the words of class and id, are chrome. Blocks
-   inside article or main are body. All others are open.
+   inside article or main are body, also where only words close a part around them, except in lists such as comments.
+   All others are open, and those inside a body whose words may mark chrome as well as a part of the text.
 2. Within a host, pages are ordered by URL path; a page's partner is the neighbour whose path shares more leading
    segments with its own (the earlier one, where both share as many). Pages of a host with the same lines are one
    page here, at the first of their paths, and have one partner.
@@ -41,13 +42,20 @@ CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 #: Elements that a start tag of their own kind closes.
 ALONE = {"p", "li", "dd", "dt", "td", "th", "tr", "option"}
-#: Words of class and id that mark chrome, and that mark the body.
+#: Words of class and id that mark chrome.
 MARKS = {
     "ad", "ads", "adbox", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "topbar", "toolbar", "breadcrumb", "breadcrumbs",
     "header", "masthead", "footer", "sidebar", "side", "aside", "widget", "related", "recommended", "share", "sharing", "social", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "newsletter",
     "subscribe", "signup", "login", "search", "form", "comment", "comments", "disqus", "replies", "reply", "respond", "discussion", "pagination", "pager", "copyright", "legal", "skip",
 }
+#: Those of them that an article's own parts have, too: its heading, a notice, a section on law.
+UNSURE = {"header", "masthead", "banner", "footer", "notice", "notices", "legal", "copyright", "form", "search", "side", "aside", "discussion", "skip", "menu", "overlay", "modal"}
+#: Words that mark a part of the body, where no sure mark stands beside them.
 BODY_MARKS = {"article", "post", "entry", "story", "content"}
+#: Lists that have article elements of their own, which are no main text.
+LISTS = {"comment", "comments", "disqus", "replies", "reply", "respond", "related", "recommended", "widget", "ad", "ads", "sponsor", "sponsored", "promo"}
+#: A mark after one of these in the same name tells of the layout around it, as in with-sidebar.
+MODIFIERS = {"has", "with", "no", "without"}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
 ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -55,7 +63,19 @@ WORD = re.compile(r"[a-z]+", re.I)
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
-OPEN, BODY, OUT = 0, 1, 2
+#: SOFT is out by the words of class and id only: an article or main inside is body again.
+OPEN, BODY, OUT, SOFT = 0, 1, 2, 3
+
+
+def _marks(value: str) -> set[str]:
+    """The words of a class or id, without those that a modifier precedes in their name."""
+    found = set()
+    for name in value.split():
+        for word in WORD.findall(CAMEL.sub(" ", name)):
+            if word.lower() in MODIFIERS:
+                break
+            found.add(word.lower())
+    return found
 
 
 def _zone(tag: str, attributes: str, inside: int) -> int:
@@ -75,9 +95,16 @@ def _zone(tag: str, attributes: str, inside: int) -> int:
                 continue
             if tag in ("html", "body", "article", "main"):
                 continue  # page-wide or explicit: their names describe the layout, not the content
-            words = {w.lower() for w in WORD.findall(CAMEL.sub(" ", value))}
-            if words & MARKS and not (tag == "header" and inside == BODY):
+            words = _marks(value)
+            closed = words & MARKS
+            if not closed or tag == "header" and inside == BODY:
+                continue
+            if closed & LISTS:
                 return OUT
+            if closed - UNSURE or not words & BODY_MARKS and inside != BODY:
+                inside = SOFT
+            elif not words & BODY_MARKS:
+                inside = OPEN  # the partner's lines decide
     return BODY if tag in ("article", "main") else inside
 
 
@@ -96,7 +123,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     while at < end:
         m = TAG.search(page, at)
         stop = m.start() if m else end
-        if stop > at and zone != OUT:
+        if stop > at and zone < OUT:
             held.append(page[at:stop])
         if not m:
             break
@@ -105,7 +132,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if tag:
             tag = tag.lower()
             if tag == "br" or tag == "hr":
-                if zone != OUT:
+                if zone < OUT:
                     held.append(" ") if tag == "br" else flush()
                 continue
             if tag in VOID or m[3].endswith("/") and tag not in BLOCK:

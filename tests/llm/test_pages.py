@@ -83,3 +83,14 @@ def test_lines_that_a_site_repeats_inside_articles_go(spark):
         assert got[i] == body(i) + (["quoted by two"] if i in (1, 2) else [])
     assert all(got[10 + i] == ["a long article in three versions", "with most of its lines", f"but version {i}"] for i in range(3))
     assert got[20] == ["Read it in our app", *body(20)]
+
+
+def test_words_of_class_and_id_do_not_lose_an_article():
+    kept = lambda page: [text for text, _ in page_lines(page)]
+    assert kept("<div class='layout with-sidebar'><article>a</article></div>") == ["a"]
+    assert kept("<div class='sidebar-left'><div>x</div><main>a</main><nav>y</nav></div>") == ["a"]
+    assert kept("<div class='hasSidebar no-comments'>a</div>") == ["a"]
+    assert kept("<article><div class='entry-header'><h1>t</h1></div><p class='notice'>n</p><section id='legal'>l</section><p>a</p></article>") == ["t", "n", "l", "a"]
+    assert kept("<article><p>a</p><div class='ad'>x</div><div class='share'>x</div><div class='post-comments'>x</div></article>") == ["a"]
+    assert kept("<div class='header'>x</div><div id='comments'><article>x</article></div><nav><article>x</article></nav><p>a</p>") == ["a"]
+    assert page_lines("<article><div class='post-header'>t</div><p class='notice'>n</p></article>") == [("t", 1), ("n", 0)]

@@ -35,12 +35,24 @@ class Rule:
     least: int = 1
 
 
+def _pem() -> str:
+    """A private key from its first line to its last one. Where that is missing, to the end of its base64: lines
+    without anything else, then 124 pieces of 32 characters at least, as long as a key of 60,000 bits, behind blanks,
+    quotes or signs of comments. The first word after them may go with the key.
+
+    Java repeats a group by recursion and RE2 at most 1,000 times, hence bounds on groups; sets have none."""
+    label, base = "[A-Z ]*PRIVATE KEY-----", "[A-Za-z0-9+/=]"
+    whole = rf"[^-]*(?:--?-?-?[^-]+){{0,400}}------*END {label}"
+    piece = rf"""(?:[\s"'>#*+,;\\-]+{base}{{32,}}){{0,31}}"""
+    return rf"""-----BEGIN {label}(?:{whole}|[\\\r\nA-Za-z0-9+/=]*{piece * 4}(?:[ \t"'>#*+,;\\]*[\r\n]+[ \t"'>#*]*{base}+)?)"""
+
+
 # The three base kinds, then public formats of keys and tokens.
 RULES = (
     Rule("assign", "(" + "|".join(_either(x) for x in ("password", "passwd", "secret", "token")) + f"|{_either('api')}_?{_either('key')})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", "AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", "[0-9a-f]{32,}", 0, 32),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", _pem()),
     Rule("forge", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),

@@ -169,26 +169,46 @@ def grok(ledgers: DataFrame) -> DataFrame:
     return _finish(out, "grok")
 
 
-MUSE_DEPTH = 6
+def _muse_records(lines: DataFrame) -> DataFrame:
+    """(file, line, value, place, ordinal): records that frames nest as JSON text, unfolded until a level is empty; place
+    orders a line's records. Each level is checkpointed, so that none is unfolded twice."""
+    spark = lines.sparkSession
+    keep = (lambda x: x.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda x: x.localCheckpoint())
+    level = lines.select("file", "line", "value", F.array().cast("array<int>").alias("place"), F.lit("").alias("ordinal"))
+    every = None
+    while True:
+        frame = F.coalesce(F.get_json_object("value", "$.children").startswith("["), F.lit(False))
+        every = level.where(~frame) if every is None else every.union(level.where(~frame))
+        inner = level.where(frame).select("file", "line", "place", "ordinal", F.posexplode(F.from_json(_get("children"), "array<struct<record_json:string,child_index:long>>")).alias("at", "c")).where("c.record_json <> ''")
+        level = keep(inner.select("file", "line", F.col("c.record_json").alias("value"), F.concat("place", F.array("at")).alias("place"), F.concat_ws(":", F.nullif("ordinal", F.lit("")), F.coalesce("c.child_index", "at").cast("string")).alias("ordinal")))
+        if level.isEmpty():
+            return every
 
 
 def muse(lines: DataFrame) -> DataFrame:
-    """model_completed events; records nest further ones as JSON text, which are unfolded level by level."""
-    level, every = lines.select("file", "line", "value"), None
-    for _ in range(MUSE_DEPTH):
-        every = level if every is None else every.union(level)
-        inner = F.from_json(_get("children"), "array<struct<record_json:string>>")
-        level = level.select("file", "line", F.explode(inner).alias("c")).select("file", "line", F.col("c.record_json").alias("value"))
+    """model_completed events of session streams; session, workspace and model of earlier records carry forward."""
+    kind, kept = _get("stream.kind"), ("runtime.session.metadata", "session.workspace_branch.observed", "run.model.configured")
+    told = lambda n: F.when(_get("payload_type").isin(*kept), F.nullif(_get(f"payload.record.{n}"), F.lit("")))
+    parts = F.split("file", r"[\\/]")
+    name = F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "")
+    of_path = F.when(name == "session", F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("unknown"))).otherwise(name)
+    rows = _muse_records(lines).where(F.coalesce(kind, F.lit("")).isin("", "session"))
+    rows = rows.withColumns({"stream": F.when(kind == "session", F.nullif(_get("stream.id"), F.lit(""))), "project": told("workspace_root"), "model": told("model_id")})
+    rows = rows.withColumns({c: carried(c, ["file"], ["line", "place"]) for c in ("stream", "project", "model")})
     e = "payload.event"
-    rows = every.where(_get(f"{e}.kind") == "model_completed")
+    calls = rows.where((_get(f"{e}.kind") == "model_completed") & _get(f"{e}.usage").isNotNull() & ~F.coalesce(_get("payload_type").isin(*kept), F.lit(False)))
     u = lambda n: counter(_get(f"{e}.usage.{n}"))
     at = _get("recorded_at").try_cast("double")
-    ms = F.when(at > 1e17, at / 1e6).when(at > 1e14, at / 1e3).when(at > 1e11, at).otherwise(at * 1000).cast("long")
-    out = rows.select(
-        "file", "line", ms.alias("ms"), F.coalesce(_get("session_id"), F.lit("")).alias("session_id"), _get(f"{e}.model").alias("raw_model"), F.concat_ws(":", F.lit("muse"), _get("session_id"), F.coalesce(_get(f"{e}.id"), F.col("line").cast("string"))).alias("id"),
-        *_split_cache(u("input_tokens"), u("cached_input_tokens"), u("cache_write_tokens"), u("output_tokens"), u("reasoning_tokens")),
+    ms = F.when(at.isNull(), log_millis(_get("recorded_at"))).when(at > 1e17, at / 1e6).when(at > 1e14, at / 1e3).when(at > 1e11, at).otherwise(at * 1000).cast("long")
+    calls = calls.withColumns({"ms": ms, "session_id": F.coalesce("stream", _get("session_id"), of_path)})
+    native = F.coalesce(F.nullif(_get("payload.source_run_record_id"), F.lit("")), F.nullif(_get("id"), F.lit("")))
+    ordinal = F.coalesce(_get("sequence"), F.when(F.col("ordinal") != "", F.concat_ws(":", F.col("line").cast("string"), "ordinal")))
+    out = calls.select(
+        "file", "line", "ms", "session_id", "project", F.coalesce(F.nullif(_get(f"{e}.model"), F.lit("")), "model", F.lit("unknown")).alias("raw_model"),
+        F.coalesce(F.concat(F.lit("muse:record:"), native), F.concat(F.lit("muse:"), "session_id", F.lit(":"), _get(f"{e}.id")), fallback_id("muse", F.col("session_id"), F.col("ms"), ordinal, F.col("line"))).alias("id"),
+        *_split_cache(u("input_tokens"), F.greatest(u("cache_read_tokens"), u("cached_tokens"), u("cached_input_tokens")), u("cache_write_tokens"), u("output_tokens"), u("reasoning_tokens")),
     )
-    return _finish(out, "muse")
+    return _finish(out, "muse").where("input_tokens + output_tokens + cache_read_tokens + cache_write_tokens > 0")
 
 
 def as_events(candidates: DataFrame, device_id: str) -> DataFrame:

@@ -124,3 +124,16 @@ def test_stream_merges_corrections_moves_and_retractions(spark, tmp_path):
         assert got == [("a", 2 * day, 30, None), ("b", 2000, 11, "T"), ("n", 3000, 10, None)]
     with pytest.raises(ValueError):
         merge.checked(rows(_event("", 1)))
+
+
+def test_muse_records_of_any_depth_with_what_came_before(spark):
+    call = lambda i, **more: {"id": i, "recorded_at": 1767225600000000, "payload": {"event": {"kind": "model_completed", "usage": {"input_tokens": 9, "cached_tokens": 4, "cache_read_tokens": 3, "output_tokens": 2}}}} | more
+    deep = call("deep")
+    for _ in range(9):
+        deep = {"children": [{"record_json": json.dumps(deep)}]}
+    told = {"stream": {"kind": "session", "id": "s"}, "payload_type": "run.model.configured", "payload": {"record": {"model_id": "m", "workspace_root": "/w"}}}
+    judge = call("judge", stream={"kind": "approval-review", "id": "j"})
+    rows = logs.muse(_lines(spark, [call("early"), told, judge, deep])).collect()
+    got = {r["id"]: (r["raw_model"], r["project"], r["input_tokens"], r["cache_read_tokens"]) for r in rows}
+    assert got == {"muse:record:early": ("unknown", None, 5, 4), "muse:record:deep": ("m", "/w", 5, 4)}
+    assert {r["session_id"] for r in rows if r["id"] == "muse:record:deep"} == {"s"}

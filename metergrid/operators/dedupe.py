@@ -41,16 +41,23 @@ def without_replays(candidates: DataFrame) -> DataFrame:
 
 
 def ancestors(files: DataFrame, depth: int = 32) -> DataFrame:
-    """(session_id, ancestor, distance) along parents, cycles cut: joins of doubling reach, so log2(depth) of them."""
+    """(session_id, ancestor, distance) along parents, cycles cut: joins of doubling reach. The first log2(depth) of them
+    are one plan; longer chains get further ones, each checkpointed, until one adds no row."""
+    spark = files.sparkSession
+    keep = (lambda x: x.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda x: x.localCheckpoint())
     step = files.where("parent_id IS NOT NULL AND parent_id <> session_id").select("session_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance")).distinct()
-    reach, found = 1, step
-    while reach < depth:
+    reach, found, rows = 1, step, -1
+    while True:
+        if reach >= depth:
+            found = keep(found)
+            before, rows = rows, found.count()
+            if rows == before:
+                return found
         further = found.alias("a").join(found.alias("b"), F.col("a.ancestor") == F.col("b.session_id")).select(
             F.col("a.session_id").alias("session_id"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance")
         )
         found = found.union(further.where("ancestor <> session_id")).groupBy("session_id", "ancestor").agg(F.min("distance").alias("distance"))
         reach *= 2
-    return found
 
 
 def inherited_project(files: DataFrame, depth: int = 32) -> DataFrame:

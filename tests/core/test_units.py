@@ -137,3 +137,12 @@ def test_muse_records_of_any_depth_with_what_came_before(spark):
     got = {r["id"]: (r["raw_model"], r["project"], r["input_tokens"], r["cache_read_tokens"]) for r in rows}
     assert got == {"muse:record:early": ("unknown", None, 5, 4), "muse:record:deep": ("m", "/w", 5, 4)}
     assert {r["session_id"] for r in rows if r["id"] == "muse:record:deep"} == {"s"}
+
+
+def test_ancestors_of_any_depth(spark):
+    from metergrid.operators.dedupe import ancestors
+
+    rows = [(f"s{i}", f"s{i - 1}" if i else None) for i in range(41)] + [("x", "y"), ("y", "x")]
+    got = ancestors(spark.createDataFrame(rows, "session_id string, parent_id string"), depth=4).collect()
+    want = {(f"s{i}", f"s{j}", i - j) for i in range(41) for j in range(i)} | {("x", "y", 1), ("y", "x", 1)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want

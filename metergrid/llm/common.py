@@ -10,6 +10,7 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,12 +31,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or in a session without one
-    (tests, notebooks) a temporary folder that is set once and kept for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.metergrid.scratch", None)
+    """The folder all executors share: the session's spark.checkpoint.dir. A session on one machine (tests, notebooks)
+    that has none gets a temporary folder, set once and kept for the session; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.metergrid.scratch", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="metergrid-")
         spark.conf.set("spark.metergrid.scratch", found)
     return found
@@ -43,11 +44,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _stored(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", partition_by)
+
+
+def _stored(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one run in the shared folder. drop() deletes one after its last use, the end of the run all of them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, shared_dir(spark), {}
+
+    def written(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        out = _stored(df, path, partition_by)
+        self.paths[out] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(table))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*self.paths)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -82,6 +108,26 @@ def sliced(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> It
         yield batch.slice(start)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows, which come sorted by the long column `key`, cut only between its values."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy()
+        ends = np.flatnonzero(k[1:] != k[:-1]) + 1
+        if held and held[-1].column(key)[-1].as_py() != k[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(ends):
+            yield pa.Table.from_batches([*held, batch.slice(0, ends[-1])])
+            held = [batch.slice(ends[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def arrow_map(
     df: DataFrame,
     text_col: str,

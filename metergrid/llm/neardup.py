@@ -2,26 +2,25 @@
 
 1. Each text becomes a set of word shingles (64-bit hashes), a digest of the set and a signature of TREES x DEPTH
    MinHash values. Texts with equal sets are one class from here on, so a group of copies is one entry.
-2. The forest: for each tree the classes are put in the order of that tree's part of the signature. Classes with a
-   common prefix of `shallow` values are a region. A region of more than REGION classes is deepened value by value,
-   as far as it needs; what is still larger at full depth is cut along its order into runs of REGION classes.
-3. Candidates, first pass: in each region, a star around the class whose signature agrees most with the region's
-   commonest values (in a region cut into runs, the best of the runs' best), and the neighbours in the order (the
-   longest common prefixes) unless the star holds both. Pairs whose signatures make the wanted similarity implausible
-   (over five standard deviations away) are left out. The forest's rows carry keys; signatures join them only where a
-   region has others.
-4. Candidates are confirmed on the full sets; the links give components.
-5. Second pass, so that no link is lost: regions (the shallow ones, however large) whose classes lie in several
-   components compare every class outside the region's largest component with all classes of other components.
-   Large regions do so run by run: the outside classes are sent to each run. Confirmed links are added, and the
-   components are computed again.
-
-Links within one component can't change the result, so they need not all be found.
+2. The forest: each tree puts the classes in the order of its part of the signature. Classes with a common prefix of
+   `shallow` values are a region. In a region, the neighbours in the order (the longest common prefixes) are compared by
+   their whole signatures, then those that the chain of neighbours leaves apart, and plausible pairs (not over five
+   standard deviations below the wanted similarity) are joined. A region of more than RUN classes is joined in whole.
+   What hangs together over all trees is a block: no link leaves it.
+3. Texts travel once, to their block. A task compares the full sets of a block through the postings of their shingles,
+   asks for no pair that is already joined, and returns the links that join its components: fewer than classes.
+4. A block of more than RUN classes is deepened: it is cut along the sorted signatures into runs, within which
+   neighbours have longer prefixes in common. A run is compared as a block is. Then each run sends a member of its
+   largest component to a smaller block of such hubs, and so on, until one run is left.
+5. So that no link is lost between runs: classes outside their block's largest component are sent to each run with
+   which they share a region, where that holds a class of another component, and compared on full sets there.
+
+Links within one component can't change the result, so they need not all be found. Tables are deleted after use.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metergrid.llm.common import arrow_map, flat_bytes, sliced, written
+from metergrid.llm.common import SLICE_BYTES, Scratch, arrow_map, flat_bytes, whole_groups, written
 from metergrid.llm.components import connected_components
 from metergrid.llm.shingles import set_digests, shingle_sets, signatures
 
 TREES, DEPTH = 16, 8
-REGION = 256
+#: Classes and shingles that a task compares at once; one text may have more shingles.
+RUN, RUN_SHINGLES = 512, 1 << 21
 
 
 def text_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -53,178 +53,192 @@ def text_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col)), text_col, outputs, make, ["id"])
 
 
-def forest(classes: DataFrame, shallow: int) -> DataFrame:
-    """(tree, top, key, rep, n) of the classes whose shallow region `top` has others in it; n is its size."""
-    rows = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "rep")
-    rows = rows.withColumn("top", F.expr(f"substring(key, 1, {2 * shallow})"))
-    sizes = rows.groupBy("tree", "top").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(sizes, ["tree", "top"])
-
-
-def adapted(rows: DataFrame, shallow: int) -> DataFrame:
-    """(tree, region, run, runs, key, rep): the shortest prefix whose region has REGION classes at most, or the whole
-    key with runs. Sizes are counted over different keys, which near copies share."""
-    small = rows.where(F.col("n") <= REGION).select("tree", F.col("top").alias("region"), F.lit(0).alias("run"), F.lit(1).alias("runs"), "key", "rep")
-    large = rows.where(F.col("n") > REGION)
-    prefixes = F.array(*[F.expr(f"substring(key, 1, {2 * d})") for d in range(shallow + 1, DEPTH + 1)])
-    keys = large.groupBy("tree", "key").agg(F.count("*").alias("c")).select("tree", "key", "c", F.explode(prefixes).alias("region"))
-    sizes = keys.groupBy("tree", "region").agg(F.sum("c").alias("size"))
-    fits = keys.join(sizes, ["tree", "region"]).where((F.col("size") <= REGION) | (F.length("region") == 2 * DEPTH))
-    best = fits.groupBy("tree", "key").agg(F.min_by(F.struct("region", "size"), F.length("region")).alias("b"))
-    runs = F.greatest(F.lit(1), F.ceil(F.col("b.size") / REGION)).cast("int")
-    large = large.join(best, ["tree", "key"]).select("tree", F.col("b.region").alias("region"), F.pmod(F.xxhash64("rep"), runs).cast("int").alias("run"), runs.alias("runs"), "key", "rep")
-    return small.union(large)
+def regions(classes: DataFrame, shallow: int) -> DataFrame:
+    """(r, tree, c, n, low) of the classes c whose region r has others in it: n of them, low the smallest."""
+    prefixes = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {2 * DEPTH} + 1, {2 * shallow})))")
+    rows = classes.select("c", F.posexplode(prefixes).alias("tree", "r")).select("r", F.col("tree").cast("byte").alias("tree"), "c")
+    sizes = rows.groupBy("r").agg(F.count("*").alias("n"), F.min("c").alias("low")).where("n > 1")
+    return rows.join(sizes, "r")
+
+
+def spanning_links(near: Callable[[int], np.ndarray], label: np.ndarray, asks: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links (i, j) that join the components of a graph, and the labels after them. near(i) gives the neighbours of i;
+    only members that `asks` marks are asked for them, and those of the largest component only if it may have others
+    outside that weren't asked. label: numbers from 0, equal for members that are joined already."""
+    links, label, asked = [], label.copy(), np.zeros(len(label), bool)
+    while True:
+        outside = label != np.bincount(label).argmax()
+        todo = np.flatnonzero(asks & ~asked & outside)
+        if not len(todo) and (outside & ~asked).any():
+            todo = np.flatnonzero(asks & ~asked)
+        if not len(todo):
+            return links, label
+        i = int(todo[0])
+        asked[i] = True
+        other = np.flatnonzero(near(i) & (label != label[i]))
+        found, at = np.unique(label[other], return_index=True)
+        links += [(i, int(j)) for j in other[at]]
+        label[np.isin(label, found)] = label[i]
 
 
 PAIRS = "a long, b long"
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys of rows that come sorted by them, whole even where they span batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_pylist() for k in keys]
-        rows = list(zip(*columns, strict=True))
-        start = 0
-        for i, row in enumerate(rows):
-            if row != last:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, start, last = [], i, row
-        if start < batch.num_rows:
-            held.append(batch.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
-
-
-def _least_agreement(share: float) -> float:
-    k = TREES * DEPTH
-    return k * share - 5 * np.sqrt(k * share * (1 - share))
-
-
-def _centre(sig: np.ndarray, rep: np.ndarray) -> tuple[int, int]:
-    """The class that agrees most with the commonest values (of several the one with the smallest id), and in how many."""
-    common = np.array([np.bincount(c, minlength=1).argmax() for c in sig.T])
-    agree = (sig == common).sum(axis=1)
-    best = int(np.lexsort((rep, -agree))[0])
-    return best, int(agree[best])
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], names=["a", "b"])
 
 
-def hubs(long: DataFrame) -> DataFrame:
-    """(tree, region, rep): the centre of each region that is cut into runs."""
-
-    def run(batches):
-        for group in _groups(batches, ["tree", "region", "run"]):
-            rep = group.column("rep").to_numpy()
-            best, agree = _centre(_matrix(group.column("sig")), rep)
-            head = group.slice(0, 1).select(["tree", "region"]).append_column("rep", pa.array([rep[best]], pa.int64())).append_column("agree", pa.array([agree], pa.int32()))
-            yield from head.to_batches()
-
-    ordered = long.select("tree", "region", "run", "rep", "sig").repartition("tree", "region", "run").sortWithinPartitions("tree", "region", "run")
-    centres = ordered.mapInArrow(run, "tree int, region binary, rep long, agree int")
-    return centres.groupBy("tree", "region").agg(F.max_by("rep", F.struct("agree", -F.col("rep"))).alias("rep"))
-
-
-def first_pass(rows: DataFrame, classes: DataFrame, share: float) -> DataFrame:
-    """Plausible pairs (a, b) of the regions of adapted()."""
-    least = _least_agreement(share)
-    sigs = classes.select("rep", "sig")
-    rows = written(rows.join(sigs, "rep"), "regions")
-    long = rows.where("runs > 1")
-    # the hub joins every run of its region
-    each = long.select("tree", "region", "run").distinct().join(hubs(long), ["tree", "region"]).join(sigs, "rep")
-    members = rows.select("tree", "region", "run", F.lit(0).alias("hub"), "key", "rep", "sig")
-    rows = members.union(each.select("tree", "region", "run", F.lit(1).alias("hub"), F.lit(b"").alias("key"), "rep", "sig"))
+def plausible(rows: DataFrame, classes: DataFrame, share: float) -> DataFrame:
+    """Pairs that join the plausible components of regions of RUN classes at most."""
+    k = TREES * DEPTH
+    least = k * share - 5 * np.sqrt(k * share * (1 - share))
+    near = rows.join(classes.select("c", "sig"), "c")
+    ordered = near.select("r", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "c", "sig").repartition("r").sortWithinPartitions("r", "key", "c").select("r", "c", "sig")
 
     def run(batches):
-        for group in _groups(batches, ["tree", "region", "run"]):
-            n = group.num_rows
-            if n < 2:
-                continue
-            rep, sig = group.column("rep").to_numpy(), _matrix(group.column("sig"))
-            hub = np.flatnonzero(group.column("hub").to_numpy())
-            centre = int(hub[0]) if len(hub) else _centre(sig, rep)[0] if n > 2 else 0
-            held = (sig == sig[centre]).sum(axis=1) >= least
-            star = np.flatnonzero(held)
-            a, b = np.arange(n - 1), np.arange(1, n)
-            loose = ~(held[a] & held[b]) & ((sig[a] == sig[b]).sum(axis=1) >= least)
-            x, y = rep[np.concatenate([np.full(len(star), centre), a[loose]])], rep[np.concatenate([star, b[loose]])]
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    ordered = rows.repartition("tree", "region", "run").sortWithinPartitions("tree", "region", "run", "key", "rep")
-    return ordered.mapInArrow(run, PAIRS).distinct()
-
+        for table in whole_groups(batches, "r"):
+            r, c = table.column("r").to_numpy(), table.column("c").to_numpy()
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, k)
+            same = r[1:] == r[:-1]
+            held = same & ((sig[1:] == sig[:-1]).sum(axis=1) >= least)
+            a, b = [c[1:][held]], [c[:-1][held]]
+            for start in np.unique(np.searchsorted(r, r[1:][same & ~held])):
+                end = np.searchsorted(r, r[start], "right")
+                part = sig[start:end]
+                chain = np.concatenate([[0], np.cumsum(~held[start : end - 1])])
+                found, _ = spanning_links(lambda i, part=part: (part == part[i]).sum(axis=1) >= least, chain, np.ones(end - start, bool))
+                if found:
+                    x, y = np.array(found).T
+                    a.append(c[start + x])
+                    b.append(c[start + y])
+            yield _pairs(np.concatenate(a), np.concatenate(b))
 
-def second_pass(rows: DataFrame, classes: DataFrame, component: DataFrame, share: float) -> DataFrame:
-    """Plausible pairs of different components within shallow regions; component(rep, component) covers linked reps."""
-    least = _least_agreement(share)
-    rows = rows.select("tree", "top", "n", "rep").join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    parts = rows.groupBy("tree", "top", "component").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("tree", "top").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count("*").alias("components")).where("components > 1")
-    rows = written(rows.join(mixed.drop("components"), ["tree", "top"]).join(classes.select("rep", "sig"), "rep"), "mixed")
-    runs = F.greatest(F.lit(1), F.ceil(F.col("n") / (4 * REGION)).cast("int"))
-    outside = F.col("component") != F.col("main")
-    target = rows.select("tree", "top", F.pmod(F.xxhash64("rep"), runs).cast("int").alias("run"), "rep", "sig", "component", F.lit(0).alias("asks"))
-    asking = rows.where(outside).select("tree", "top", F.explode(F.sequence(F.lit(0), runs - 1)).alias("run"), "rep", "sig", "component", F.lit(1).alias("asks"))
-
-    def run(batches):
-        for group in _groups(batches, ["tree", "top", "run"]):
-            rep, sig, comp, asks = group.column("rep").to_numpy(), _matrix(group.column("sig")), group.column("component").to_numpy(), group.column("asks").to_numpy()
-            there = np.flatnonzero(asks == 0)
-            for i in np.flatnonzero(asks == 1):
-                j = there[comp[there] != comp[i]]
-                j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[j], rep[i])), pa.array(np.maximum(rep[j], rep[i]))], names=["a", "b"])
-
-    ordered = target.union(asking).repartition("tree", "top", "run").sortWithinPartitions("tree", "top", "run")
     return ordered.mapInArrow(run, PAIRS).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of their full sets. Each text that occurs in a pair is
-    hashed once more; its set travels to its pairs."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col)).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    outputs = T.StructType([T.StructField("set", T.BinaryType())])
-
-    def make():
-        def step(part: pa.RecordBatch):
-            values, offsets = shingle_sets(*flat_bytes(part.column(text_col)), words)
-            return [[values[offsets[i] : offsets[i + 1]].tobytes() for i in range(part.num_rows)]]
-
-        return step
-
-    sets = written(arrow_map(texts, text_col, outputs, make, ["id"]), "sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, block, g, large): rows in the order of a block's signatures get the run they are in, named by its first class."""
+    block = first = None
+    count = shingles = 0
+    for batch in batches:
+        blocks, cs, ns = (batch.column(x).to_pylist() for x in ("block", "c", "n"))
+        runs = []
+        for b, c, n in zip(blocks, cs, ns, strict=True):
+            if b != block or count == RUN or shingles + n > RUN_SHINGLES:
+                block, first, count, shingles = b, c, 0, 0
+            count, shingles = count + 1, shingles + n
+            runs.append(first)
+        arrays = [batch.column("c"), batch.column("block"), pa.array(runs, pa.int64()), pa.array([True] * len(runs))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["c", "block", "g", "large"])
+
+
+def runs_of(members: DataFrame, classes: DataFrame, tmp: Scratch) -> DataFrame:
+    """(c, block, g, large) of members (c, block): the group g in which a class is compared, the block itself or a run."""
+    members = tmp.written(members.join(classes.select("c", "n_shingles", "sig"), "c").select("c", "block", F.col("n_shingles").alias("n"), F.expr(f"substring(sig, 1, {2 * DEPTH})").alias("key")), "members")
+    sizes = members.groupBy("block").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
+    sized = members.join(sizes, "block").withColumn("large", (F.col("m") > RUN) | (F.col("s") > RUN_SHINGLES))
+    large = tmp.written(sized.where("large").select("block", "key", "c", "n"), "large")
+    parts = max(1, large.count() // (8 * RUN))
+    cut = large.repartitionByRange(parts, "block", "key", "c").sortWithinPartitions("block", "key", "c").mapInArrow(_cut, "c long, block long, g long, large boolean")
+    out = tmp.written(cut.union(sized.where("NOT large").select("c", "block", F.col("block").alias("g"), "large")), "runs")
+    tmp.drop(members, large)
+    return out
+
+
+def class_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """wanted (id, c, g, large) with the text of each class c; ids may repeat, so the set's digest is compared."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
 
     def run(batches):
         for batch in batches:
-            for part in sliced(batch, "sa"):
-                keep = []
-                for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                kept = part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            start = 0
+            sizes = np.asarray([len(x or "") for x in batch.column("text").to_pylist()]) if batch.num_rows else np.zeros(0, int)
+            while start < batch.num_rows:
+                stop = max(start + 1, start + int(np.searchsorted(np.cumsum(sizes[start:]), SLICE_BYTES)))
+                part = batch.slice(start, stop - start)
+                start = stop
+                digests = set_digests(*shingle_sets(*flat_bytes(part.column("text")), words))[:, 0]
+                kept = part.filter(pa.array(digests == part.column("c").to_numpy()))
                 if kept.num_rows:
-                    yield kept
+                    yield kept.select(["c", "g", "large", "text"])
+
+    return rows.select("id", "c", "g", "large", "text").mapInArrow(run, "c long, g long, large boolean, text string")
+
+
+def _near(values: np.ndarray, offsets: np.ndarray, percent: int) -> Callable[[int], np.ndarray]:
+    """near(i): which of the sets have 100 * intersection >= percent * union with set i."""
+    size = np.diff(offsets)
+    item = np.unique(values, return_inverse=True)[1]
+    order = np.argsort(item, kind="stable")
+    holder = (np.searchsorted(offsets, order, "right") - 1).astype(np.int32)
+    starts = np.searchsorted(item[order], np.arange(item.max() + 2 if len(item) else 1))
+
+    def near(i: int) -> np.ndarray:
+        own = item[offsets[i] : offsets[i + 1]]
+        many = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        both = np.bincount(holder[at], minlength=len(size))
+        return 100 * both >= percent * (size[i] + size - both)
+
+    return near
+
+
+def confirmed(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that join the classes of each group on their full sets: (a, b, hub) with hub 0, and for each group a row
+    (member of its largest component, g, 1). texts (g, c, label, asks, text): classes with one label are joined
+    already; those with asks are compared with all others of their group."""
+    ordered = texts.select("g", "c", "label", "asks", "text").repartition("g").sortWithinPartitions("g", "c")
+
+    def links(part: pa.Table) -> tuple[list, list, int]:
+        c, at = np.unique(part.column("c").to_numpy(), return_index=True)
+        values, offsets = shingle_sets(*flat_bytes(part.column("text").combine_chunks()), words)
+        if len(at) < part.num_rows:  # repeated rows
+            values = np.concatenate([values[offsets[i] : offsets[i + 1]] for i in at])
+            offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[at])])
+        label = np.unique(part.column("label").to_numpy()[at], return_inverse=True)[1]
+        asks = part.column("asks").to_numpy()[at]
+        if len(c) == 2:
+            both = len(np.intersect1d(values[: offsets[1]], values[offsets[1] :], assume_unique=True))
+            found, label = ([(0, 1)], label * 0) if label[0] != label[1] and 100 * both >= percent * (offsets[2] - both) else ([], label)
+        else:
+            found, label = spanning_links(_near(values, offsets, percent), label, asks)
+        return [c[i] for i, _ in found], [c[j] for _, j in found], c[np.flatnonzero(label == np.bincount(label).argmax())[0]]
 
-    return written(both.mapInArrow(run, PAIRS), "links")
+    def run(batches):
+        for table in whole_groups(batches, "g"):
+            g = table.column("g").to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1), len(g)]
+            a, b, hubs = [], [], []
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if end - start > 1:
+                    x, y, hub = links(table.slice(start, end - start))
+                    a, b = a + x, b + y
+                    hubs.append((hub, g[start]))
+                else:
+                    hubs.append((table.column("c")[start].as_py(), g[start]))
+            rows = [(x, y, 0) for x, y in zip(a, b, strict=True)] + [(x, y, 1) for x, y in hubs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))], names=["a", "b", "hub"])
+
+    return ordered.mapInArrow(run, "a long, b long, hub int")
+
+
+def across_runs(live: DataFrame, runs: DataFrame, component: DataFrame, texts: DataFrame, words: int, percent: int, tmp: Scratch) -> DataFrame:
+    """Links (a, b) between runs of one block that the runs and their hubs haven't joined."""
+    members = tmp.written(runs.select("c", "block", "g").join(component.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")), "placed")
+    counts = members.groupBy("block", "component").agg(F.count("*").alias("m"))
+    main = counts.groupBy("block").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    mixed = members.join(main, "block")
+    there = live.select("r", "c").join(mixed.select("c", "g", "component"), "c").groupBy("r", "g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    outside = live.select("r", "c").join(mixed.where("component <> main").select("c", F.col("g").alias("own"), "component"), "c")
+    asking = tmp.written(outside.join(there, "r").where("g <> own AND (low <> component OR high <> component)").select("c", "component", "g").distinct(), "asking")
+    # a run takes RUN askers at once
+    many = asking.groupBy("g").agg(F.ceil(F.count("*") / RUN).cast("int").alias("turns"))
+    asked = members.select("c", "component", "g").join(many, "g").select("c", "component", "g", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"))
+    asking_ = asking.join(many, "g").select("c", "component", "g", F.pmod(F.xxhash64("c"), "turns").cast("int").alias("turn"), F.lit(True).alias("asks"))
+    sent = asked.union(asking_).select("c", F.col("component").alias("label"), F.xxhash64("g", "turn").alias("g"), "asks")
+    out = tmp.written(confirmed(texts.select("c", "text").join(sent, "c"), words, percent).where("hub = 0").select("a", "b"), "across")
+    tmp.drop(members, asking)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, shallow: int = 3) -> DataFrame:
@@ -233,22 +247,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts are linked if 100 * intersection >= percent * union of their sets of distinct `words`-word shingles. A
     text of fewer words has the whole sequence as its one shingle; null texts and texts without words have an empty
     set and no links. component_id is the smallest id that can be reached; kept marks the rows whose id it is (all
-    rows, where an id repeats). Rows without an id take no part: their component_id is null and they are kept.
+    rows, where an id repeats). Rows without an id take no part: their component_id is null and they are kept. Rows
+    that share an id are documents of their own, linked by their texts only.
 
     The forest finds a pair with a probability of 1 - (1 - s**shallow)**16 at similarity s, for the pair itself; a
     group is found through any of its pairs.
     """
-    found = written(text_sets(docs, id_col, text_col, words), "sets")
-    named = found.where("id IS NOT NULL AND n_shingles > 0")
-    classes = written(named.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    share = percent / 100
-    shallow_rows = written(forest(classes, shallow), "forest")
-    links = confirmed(first_pass(adapted(shallow_rows, shallow), classes, share), docs, id_col, text_col, words, percent)
-    component = connected_components(links).withColumnRenamed("id", "rep")
-    more = confirmed(second_pass(shallow_rows, classes, component, share), docs, id_col, text_col, words, percent)
-    component = connected_components(links.union(more)).withColumnRenamed("id", "rep")
-    of_class = classes.select("d1", "d2", "rep").join(component, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    joined = found.drop("sig").join(of_class, ["d1", "d2"], "left")
-    own = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.coalesce("component", "id"))
-    out = joined.select(F.col("id"), "n_shingles", own.alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    with Scratch(docs.sparkSession) as tmp:
+        found = tmp.written(text_sets(docs, id_col, text_col, words), "sets")
+        named = found.where("id IS NOT NULL AND n_shingles > 0")
+        classes = named.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        classes = tmp.written(classes.withColumnRenamed("d1", "c"), "classes")
+        live = tmp.written(regions(classes, shallow), "regions")
+        joined = plausible(live.where(F.col("n") <= RUN), classes, percent / 100).union(live.where((F.col("n") > RUN) & (F.col("c") != F.col("low"))).select(F.col("c").alias("a"), F.col("low").alias("b")))
+        blocks = connected_components(joined, tmp)
+        runs = runs_of(blocks.select(F.col("id").alias("c"), F.col("component").alias("block")), classes, tmp)
+        wanted = runs.join(classes.select("c", F.col("rep").alias("id")), "c").select("id", "c", "g", "large")
+        texts = tmp.written(class_texts(docs, wanted, id_col, text_col, words), "texts", "large")
+        whole = texts.withColumns({"label": F.col("c"), "asks": F.lit(True)})
+        first = tmp.written(confirmed(whole, words, percent), "links")
+        links, large = first.where("hub = 0").select("a", "b"), texts.where("large")
+        cut = runs.where("large")
+        hubs = first.where("hub = 1").select(F.col("a").alias("c"), F.col("b").alias("g")).join(cut.select("g", "block").distinct(), "g").select("c", "block")
+        while hubs.groupBy("block").count().where("count > 1").limit(1).count():
+            level = runs_of(hubs, classes, tmp)
+            sent = large.select("c", "text").join(level.select("c", "g"), "c").withColumns({"label": F.col("c"), "asks": F.lit(True)})
+            more = tmp.written(confirmed(sent, words, percent), "hubs")
+            links = links.union(more.where("hub = 0").select("a", "b"))
+            again = level.where("large").select("g", "block").distinct()
+            hubs = more.where("hub = 1").select(F.col("a").alias("c"), F.col("b").alias("g")).join(again, "g").select("c", "block")
+        component = connected_components(links, tmp)
+        if cut.limit(1).count():
+            more = across_runs(live, cut, component, large, words, percent, tmp)
+            tmp.drop(texts)
+            component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), tmp)
+        linked = classes.select("c", "d2", "rep").join(component.withColumnRenamed("id", "c"), "c")
+        least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+        of_class = linked.join(least, "component").select(F.col("c").alias("d1"), "d2", "least")
+        alone = classes.select(F.col("c").alias("d1"), "d2", "rep")
+        of_class = alone.join(of_class, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "rep").alias("least"))
+        # copies of one text may be many: only the classes' rows are aggregated
+        out = found.select("id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
+        own = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.coalesce("least", "id"))
+        out = out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"))
+        result = out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+        return written(result, "neardup")  # outlives the tables of the run

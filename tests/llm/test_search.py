@@ -3,8 +3,9 @@ import os
 
 import duckdb
 import numpy as np
+import pytest
 
-from metergrid.llm.hamming import Shard, codes, nearest
+from metergrid.llm.hamming import BITS, CODE_BITS, SUBSTRINGS, Index, Model, nearest, substrings
 from metergrid.llm.oracle import OP5_EXACT
 from metergrid.llm.queries import op5_neighbours
 
@@ -16,7 +17,9 @@ def _duck(sf_dir):
     return con
 
 
-def test_recall_against_exact_search(spark, sf_dir):
+@pytest.mark.parametrize("of", ["sf_dir", "larger_dir"])
+def test_recall_against_exact_search(spark, request, of):
+    sf_dir = request.getfixturevalue(of)
     exact = {(a, d): s for a, _, d, s in _duck(sf_dir).execute(OP5_EXACT).fetchall()}
     got = op5_neighbours(spark, sf_dir).collect()
     found = {(r["query_id"], r["vec_id"]): r["score"] for r in got}
@@ -49,12 +52,40 @@ def test_fewer_candidates_than_asked_and_none(spark):
     assert nearest(few.where("vec_id = 0"), "vec_id", "embedding", lambda i: i % 50 == 0).collect() == []
 
 
-def test_probing_finds_every_code_within_the_radius():
+def test_the_index_retrieves_every_code_within_the_radius_of_the_pigeonhole_and_not_all_rows():
     rng = np.random.default_rng(8)
-    code = rng.integers(0, 256, size=(300, 32), dtype=np.uint8)
-    code[1:40] = code[0] ^ np.packbits(rng.random((39, 256)) < 0.2, axis=1)
-    shard = Shard(code)
-    for radius in (20, 48, 104, 130):
-        want = np.array([[bin(int.from_bytes((a ^ b).tobytes())).count("1") <= radius for b in code] for a in code[:5]])
-        assert np.array_equal(shard.within(code[:5], radius), want)
-    assert codes(rng.normal(size=(3, 4)), np.eye(4)).shape == (3, 1)
+    code = rng.integers(0, 256, size=(3000, CODE_BITS // 8), dtype=np.uint8)
+    code[1:40] = code[0] ^ np.packbits(rng.random((39, CODE_BITS)) < 0.12, axis=1)
+    parts, reach = substrings(code), 2
+    share = []
+    for q in range(5):
+        retrieved = set()
+        for j in range(SUBSTRINGS):
+            index = Index(parts[:, j], code)
+            mine = set(index.order[index.retrieve(parts[q, j], reach)].tolist())
+            assert mine == {i for i in range(3000) if bin(int(parts[i, j] ^ parts[q, j])).count("1") <= reach}
+            retrieved |= mine
+        share.append(len(retrieved) / 3000)
+        head = SUBSTRINGS * BITS // 8
+        away = np.unpackbits(code[:, :head] ^ code[q, :head], axis=1).sum(axis=1)
+        assert set(np.flatnonzero(away < SUBSTRINGS * (reach + 1)).tolist()) <= retrieved
+    assert max(share) < 0.1
+
+
+def test_radius_keeps_the_nearest_codes():
+    rng = np.random.default_rng(9)
+    code = rng.integers(0, 256, size=(500, CODE_BITS // 8), dtype=np.uint8)
+    index = Index(substrings(code)[:, 0], code)
+    found, many = index.within(int(substrings(code)[3, 0]), code[3], Model(np.eye(2), reach=BITS, radius=10, behind=4), 5)
+    away = np.unpackbits(code ^ code[3], axis=1).sum(axis=1)
+    assert many == 500 and set(found.tolist()) == set(np.flatnonzero(away <= np.sort(away)[4]).tolist())
+
+
+def test_repeated_and_large_vectors(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(100, 400)] + [(50, [1e200, 2e200]), (7, [1e-200, 3e-200]), (50, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, "vec_id", "embedding", lambda i: i == 50).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 50), (2, 100), (3, 101), (4, 102), (5, 103)]
+    assert len(got) == 5 and all(np.isfinite(r["score"]) for r in got)
+    hundred = nearest(df, "vec_id", "embedding", lambda i: i % 50 == 0).where("query_id = 100").orderBy("rank").collect()
+    assert [r["vec_id"] for r in hundred] == [50, 101, 102, 103, 104]

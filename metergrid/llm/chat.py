@@ -5,8 +5,9 @@ the turns up to it. A conversation whose last hash is the hash of an earlier tur
 goes (an anti-join of hashes); of equal conversations the one with the smallest id stays. What stays is rendered.
 
 All of it is DataFrame functions. The rolling hash is a running sum over the turns of one conversation, so a turn's
-hash needs no more than its predecessors' sum: sum(turn hash * BASE ** position) modulo 2**61 - 1, kept as two
-independent sums. Hashes travel instead of texts; equal prefixes are found by equal hashes and lengths.
+hash needs no more than its predecessors' sum: each turn is hashed with its place, and two independent sums of such
+hashes are kept. Hashes travel instead of texts; equal prefixes are found by equal hashes and lengths. Copies are
+grouped before the anti-join, so a conversation that many logs hold is one row there.
 """
 
 from __future__ import annotations
@@ -51,8 +52,8 @@ def maximal(conversations: DataFrame, **columns: str) -> DataFrame:
     numbered = turns(conversations, **columns)
     hashes = prefix_hashes(numbered)
     inner = hashes.where("NOT last").select("h").distinct()
-    whole = hashes.where("last").join(inner, "h", "left_anti")
-    kept = whole.groupBy("h").agg(F.min("conv").alias("conv")).select("conv")
+    whole = hashes.where("last").groupBy("h").agg(F.min("conv").alias("conv"))
+    kept = whole.join(inner, "h", "left_anti").select("conv")
     return numbered.join(kept, "conv", "left_semi")
 
 

@@ -7,8 +7,9 @@ budget * weight / tokens. Every whole epoch draws all of the source's documents
 those that fit, each epoch in a permutation of its own. The draws of a source are spread evenly over the blocks of
 the training stream, so that each block holds the mixture.
 
-Positions in a permutation are running sums of tokens in the order of a hash. They are computed in two steps,
-slots of about SLOT_ROWS documents and then within slots, so that no source is sorted in one task.
+Positions in a permutation are running sums of tokens in the order of a hash. They are computed over slots of about
+SLOT_ROWS documents, over spans of SLOT_ROWS slots, and then within slots. The plan of a few sources is broadcast, so
+rows are dealt by (source, epoch, slot) and no source is sorted in one task.
 """
 
 from __future__ import annotations
@@ -91,13 +92,18 @@ def mix(
     # drawn: tokens of the source in the stream; a part of a token doesn't count
     drawn = F.floor(F.lit(budget) * F.pow(F.col("tokens") / F.lit(1.0), F.lit(exponent)) / F.lit(scale) + F.lit(1e-6)) if budget else F.lit(0)
     plan = totals.select("source", "tokens", drawn.cast("long").alias("drawn"), F.ceil(F.col("docs") / SLOT_ROWS).cast("long").alias("slots"))
+    if totals.limit(DRIVER_SOURCES + 1).count() <= DRIVER_SOURCES:
+        plan = F.broadcast(plan)  # a row for each source
     draws = base.join(plan, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("drawn") - 1) / F.col("tokens")).cast("int"))))
     draws = draws.where("drawn > 0").withColumn("key", F.md5(F.concat_ws("/", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")))
     draws = draws.withColumn("slot", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("slots") / F.lit(1 << 32)).cast("long"))
-    where = ["source", "epoch", "slot"]
-    sums = draws.groupBy(*where).agg(F.sum("n_tokens").alias("held"))
-    over = Window.partitionBy("source", "epoch").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*where, F.coalesce(F.sum("held").over(over), F.lit(0)).alias("ahead"))
+    draws = draws.withColumn("span", F.floor(F.col("slot") / SLOT_ROWS).cast("long"))
+    part, where = ["source", "epoch", "span"], ["source", "epoch", "span", "slot"]
+    slots = draws.groupBy(*where).agg(F.sum("n_tokens").alias("held"))
+    ahead = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    spans = slots.groupBy(*part).agg(F.sum("held").alias("held"))
+    spans = spans.select(*part, F.coalesce(F.sum("held").over(ahead(*part)), F.lit(0)).alias("before"))
+    sums = slots.join(spans, part).select(*where, (F.col("before") + F.coalesce(F.sum("held").over(ahead(*where)), F.lit(0))).alias("ahead"))
     inside = Window.partitionBy(*where).orderBy("key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = draws.join(sums, where).withColumn("upto", F.col("epoch") * F.col("tokens") + F.col("ahead") + F.sum("n_tokens").over(inside))
     kept = placed.where("upto <= drawn")

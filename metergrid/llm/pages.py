@@ -19,16 +19,18 @@ partner's loses none.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metergrid.llm.common import arrow_map, text_bytes, written
+from metergrid.llm.common import Scratch, arrow_map, text_bytes, written
 
 # Fixed values of html: elements whose content is never text, that start a block, that have no content.
 HIDDEN = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title", "select", "option", "datalist", "button", "textarea"}
@@ -57,7 +59,8 @@ LISTS = {"comment", "comments", "disqus", "replies", "reply", "respond", "relate
 #: A mark after one of these in the same name tells of the layout around it, as in with-sidebar.
 MODIFIERS = {"has", "with", "no", "without"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[\"'>]")
 ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+", re.I)
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -108,11 +111,98 @@ def _zone(tag: str, attributes: str, inside: int) -> int:
     return BODY if tag in ("article", "main") else inside
 
 
+#: Elements that a paragraph's end reaches through.
+INLINE = {"b", "i", "em", "strong", "a", "span", "u", "font", "small"}
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
+class Scanner:
+    """The tags of a page, in one pass: a quote without an end is a plain character, and so are all quotes once a tag
+    would have no end for them."""
+
+    def __init__(self, page: str):
+        self.page, self.open_quotes, self.plain = page, set(), False
+
+    def end(self, at: int) -> int:
+        """The place behind the `>` of the tag whose attributes begin at `at`; -1 if there is none."""
+        start = at
+        while not self.plain:
+            m = STOP.search(self.page, at)
+            if not m:
+                self.plain = True
+            elif m[0] == ">":
+                return m.end()
+            elif m[0] in self.open_quotes:
+                at = m.end()
+            else:
+                closed = self.page.find(m[0], m.end())
+                if closed < 0:
+                    self.open_quotes.add(m[0])
+                at = max(closed + 1, m.end())
+        return self.page.find(">", start) + 1 or -1
+
+    def tags(self):
+        """(start, end, closing, name, attributes) of tags; markup without a name has ''. The consumer may send the
+        place from which to go on."""
+        page, at = self.page, 0
+        while True:
+            start = page.find("<", at)
+            if start < 0 or start + 1 >= len(page):
+                return
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                at = stop + 3 if stop >= 0 else len(page)
+                yield start, at, False, "", ""
+                continue
+            if page[start + 1] in "!?":
+                stop = page.find(">", start)
+                if stop < 0:
+                    return
+                at = stop + 1
+                yield start, at, False, "", ""
+                continue
+            closing = page[start + 1] == "/"
+            m = NAME.match(page, start + 1 + closing)
+            if not m:
+                at = start + 1
+                continue
+            stop = page.find(">", m.end()) + 1 or -1 if closing else self.end(m.end())
+            if stop < 0:
+                return
+            at = (yield start, stop, closing, m[0].lower(), page[m.end() : stop - 1]) or stop
+
+
+class Stack:
+    """Open elements with the zones around them."""
+
+    def __init__(self):
+        self.held, self.count, self.solid = [], {}, []
+
+    def push(self, tag: str, zone: int) -> None:
+        if tag not in INLINE:
+            self.solid.append(len(self.held))
+        self.held.append((tag, zone))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def close(self, tag: str) -> int:
+        """Closes the innermost element of this name and all in it; the zone around it."""
+        while True:
+            name, zone = self.held.pop()
+            self.count[name] -= 1
+            if self.solid and self.solid[-1] == len(self.held):
+                self.solid.pop()
+            if name == tag:
+                return zone
+
+    def innermost(self) -> str:
+        """The innermost element that isn't inline."""
+        return self.held[self.solid[-1]][0] if self.solid else ""
+
+
 def page_lines(page: str) -> list[tuple[str, int]]:
-    """(text, zone) of the blocks of a page, in order, without chrome."""
+    """(text, zone) of the blocks of a page, in order, without chrome; in time proportional to the page."""
     lines: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []
-    zone, held, at, end = OPEN, [], 0, len(page)
+    stack, zone, held, at = Stack(), OPEN, [], 0
 
     def flush():
         text = SPACE.sub(" ", html.unescape("".join(held))).strip()
@@ -120,45 +210,40 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if text:
             lines.append((text, zone))
 
-    while at < end:
-        m = TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and zone < OUT:
-            held.append(page[at:stop])
-        if not m:
+    tags, jump = Scanner(page).tags(), None
+    while True:
+        try:
+            start, end, closing, tag, attributes = tags.send(jump)
+        except StopIteration:
             break
-        at = m.end()
-        close, tag = m[1], m[2]
-        if tag:
-            tag = tag.lower()
-            if tag == "br" or tag == "hr":
-                if zone < OUT:
-                    held.append(" ") if tag == "br" else flush()
-                continue
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
-                continue
+        jump = None
+        if start > at and zone < OUT:
+            held.append(page[at:start])
+        at = end
+        if closing:
+            if tag in BLOCK:
+                flush()
+            if stack.count.get(tag):
+                zone = stack.close(tag)
+        elif tag in ("br", "hr"):
+            if zone < OUT:
+                held.append(" ") if tag == "br" else flush()
+        elif tag and tag not in VOID and (tag in BLOCK or not attributes.endswith("/")):
             if tag in BLOCK:
                 flush()
                 # an open paragraph ends where a block begins
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in ("b", "i", "em", "strong", "a", "span", "u", "font", "small")), -1)
-                if depth >= 0 and (stack[depth][0] == "p" or stack[depth][0] == tag and tag in ALONE):
-                    zone = stack[depth][1]
-                    del stack[depth:]
-            inner = _zone(tag, m[3], zone)
+                inner = stack.innermost()
+                if inner and (inner == "p" or inner == tag and tag in ALONE):
+                    zone = stack.close(inner)
+            inner = _zone(tag, attributes, zone)
             if tag in RAW:
-                found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = found.end() if found else end
+                found = RAW_END[tag].search(page, at)
+                at = jump = found.end() if found else len(page)
                 continue
-            stack.append((tag, zone))
+            stack.push(tag, zone)
             zone = inner
-        elif close:
-            close = close.lower()
-            if close in BLOCK:
-                flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == close), -1)
-            if depth >= 0:
-                zone = stack[depth][1]
-                del stack[depth:]
+    if zone < OUT:
+        held.append(page[at:])
     flush()
     return lines
 
@@ -222,16 +307,37 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
 #: Pages of a folder that repeat a body line at least before it is the site's.
 REPEATED = 3
 
-LINES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("zone", T.IntegerType())]))
+#: What a page's lines are kept as: one compressed text, and for each line a hash, its length and whether it is body.
+PARSED = T.StructType([
+    T.StructField("packed", T.BinaryType()), T.StructField("same", T.StringType()), T.StructField("hash", T.ArrayType(T.LongType())), T.StructField("size", T.ArrayType(T.IntegerType())), T.StructField("body", T.ArrayType(T.BooleanType())),
+])
+
+
+def _parsed(text_col: str):
+    def make():
+        pack = zstandard.ZstdCompressor(level=3)
+
+        def step(part: pa.RecordBatch):
+            out = []
+            for raw in text_bytes(part.column(text_col)):
+                lines = page_lines(raw.decode("utf-8", "replace"))
+                whole = "\n".join(t for t, _ in lines).encode("utf-8", "surrogatepass")
+                hashes = [int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t, _ in lines]
+                out.append((pack.compress(whole), hashlib.sha256(whole).hexdigest(), hashes, [len(t) for t, _ in lines], [z == BODY for _, z in lines]))
+            return [list(x) for x in zip(*out, strict=True)]
+
+        return step
 
+    return make
 
-def partners(parsed: DataFrame) -> DataFrame:
+
+def partners(parsed: DataFrame, tmp: Scratch) -> DataFrame:
     """(key, partner): for each page the neighbour on its host in the order of paths that shares more of the path.
 
     Hosts are of any size, so the order is made by ranges of (host, path) rather than by host: neighbours are taken
     within a range, and across its edges from the first and last rows of the adjoining ranges."""
     order = ["host", "path", "key"]
-    ranged = written(parsed.select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "urls")
+    ranged = tmp.written(parsed.select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "urls")
     row = F.struct(*order)
     inside = Window.partitionBy("part").orderBy(*order)
     edges = ranged.groupBy("part").agg(F.min(row).alias("low"), F.max(row).alias("high"))
@@ -256,60 +362,56 @@ def _marked(batches):
     ones, without body lines of near copies; none if all lines are aligned."""
     for batch in batches:
         marks = []
-        for own, other in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist(), strict=True):
-            gone = common_lines([x["hash"] for x in own], other)
-            shared = sum(x["size"] for x, g in zip(own, gone, strict=True) if g and x["body"])
-            near = 2 * shared >= sum(x["size"] for x in own if x["body"])
-            marks.append([] if all(gone) else [{"at": k, "hash": x["hash"], "body": x["body"]} for k, (x, g) in enumerate(zip(own, gone, strict=True)) if g and not (near and x["body"])])
+        for own, size, body, other in zip(*(batch.column(c).to_pylist() for c in ("hash", "size", "body", "other")), strict=True):
+            gone = common_lines(own, other)
+            shared = sum(n for n, b, g in zip(size, body, gone, strict=True) if g and b)
+            near = 2 * shared >= sum(n for n, b in zip(size, body, strict=True) if b)
+            marks.append([] if all(gone) else [{"at": k, "hash": h, "body": b} for k, (h, b, g) in enumerate(zip(own, body, gone, strict=True)) if g and not (near and b)])
         kind = pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64()), ("body", pa.bool_())]))
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("host", "folder", "same")] + [pa.array(marks, kind)], names=["host", "folder", "same", "marks"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id_col, url_col, text) of each page: its main blocks, joined by empty lines; '' if there are none.
+    """(id_col, url_col, text, n_lost) of each page: its main blocks, joined by empty lines; '' if there are none. n_lost
+    counts the lines that differencing deleted.
 
     Null or empty html has no text. Pages without an URL, or with an id that is null or that another page has, have no
     partner and keep their open lines. Equal URLs are neighbours, in the order of ids.
     """
-    outputs = T.StructType([T.StructField("lines", LINES)])
-
-    def make():
-        def step(part: pa.RecordBatch):
-            return [[[{"text": t, "zone": z} for t, z in page_lines(x.decode("utf-8", "replace"))] for x in text_bytes(part.column(html_col))]]
-
-        return step
-
-    rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.col(html_col))
-    parsed = written(arrow_map(rows, html_col, outputs, make, ["key", "url"]), "lines")
-    known = parsed.select(
-        "key", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)).alias("host"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"),
-        F.sha2(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), 256).alias("same"),
-    )
-    once = known.where("key IS NOT NULL AND host <> ''").groupBy("key").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("host", "path", "same")]).where("n = 1")
-    first = once.groupBy("host", "same").agg(F.min(F.struct("path", "key")).alias("first")).select("host", "same", F.col("first.path").alias("path"), F.col("first.key").alias("key"))
-    first = written(first.withColumn("folder", F.regexp_replace("path", "[^/]*$", "")), "pages")
-    # lines travel as hashes of 8 bytes
-    brief = parsed.select("key", F.transform("lines", lambda x: F.struct(F.xxhash64(x["text"]).alias("hash"), F.char_length(x["text"]).alias("size"), (x["zone"] == BODY).alias("body"))).alias("own"))
-    other = brief.select(F.col("key").alias("partner"), F.col("own.hash").alias("other"))
-    pairs = first.join(partners(first.select("key", "host", "path")), "key").join(brief, "key").join(other, "partner").select("host", "folder", "same", "own", "other")
-    marks = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("body", T.BooleanType())]))
-    aligned = written(pairs.mapInArrow(_marked, T.StructType([pairs.schema[c] for c in ("host", "folder", "same")] + [T.StructField("marks", marks)])), "aligned")
-    mark = aligned.select("host", "folder", "same", F.explode("marks").alias("m")).select("host", "folder", "same", "m.*")
-    line = ["host", "folder", "hash"]
-    counted = mark.where("body").select(*line, "same").distinct().groupBy(*line).agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED)
-    site = counted.join(first.groupBy("host", "folder").agg(F.count("*").alias("pages")), ["host", "folder"]).where("2 * n >= pages").select(*line)
-    lost = mark.where("NOT body").select("host", "same", "at").unionByName(mark.where("body").join(site, line, "left_semi").select("host", "same", "at"))
-    lost = lost.groupBy("host", "same").agg(F.collect_list("at").alias("lost"))
-    of_page = once.join(lost, ["host", "same"]).select(F.col("key").alias("_key"), "lost")
-    both = parsed.join(of_page, parsed["key"].eqNullSafe(of_page["_key"]), "left").select("key", "url", "lines", "lost")
-    result = T.StructType([both.schema["key"], both.schema["url"], T.StructField("text", T.StringType())])
-
-    def run(batches):
-        for batch in batches:
-            texts = []
-            for lines, lost in zip(batch.column("lines").to_pylist(), batch.column("lost").to_pylist(), strict=True):
-                gone = set(lost or ())
-                texts.append("\n\n".join(x["text"] for k, x in enumerate(lines) if k not in gone))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(texts, pa.string())], names=["key", "url", "text"])
-
-    return both.mapInArrow(run, result).withColumnsRenamed({"key": id_col, "url": url_col})
+    with Scratch(pages.sparkSession) as tmp:
+        rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.col(html_col))
+        parsed = tmp.written(arrow_map(rows, html_col, PARSED, _parsed(html_col), ["key", "url"]), "lines")
+        known = parsed.select(
+            "key", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)).alias("host"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), "same",
+        )
+        once = known.where("key IS NOT NULL AND host <> ''").groupBy("key").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("host", "path", "same")]).where("n = 1")
+        first = once.groupBy("host", "same").agg(F.min(F.struct("path", "key")).alias("first")).select("host", "same", F.col("first.path").alias("path"), F.col("first.key").alias("key"))
+        first = tmp.written(first.withColumn("folder", F.regexp_replace("path", "[^/]*$", "")), "pages")
+        # lines travel as hashes of 8 bytes
+        other = parsed.select(F.col("key").alias("partner"), F.col("hash").alias("other"))
+        paired = first.join(partners(first.select("key", "host", "path"), tmp), "key").join(parsed.select("key", "hash", "size", "body"), "key")
+        pairs = paired.join(other, "partner").select("host", "folder", "same", "hash", "size", "body", "other")
+        marks = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("body", T.BooleanType())]))
+        aligned = tmp.written(pairs.mapInArrow(_marked, T.StructType([pairs.schema[c] for c in ("host", "folder", "same")] + [T.StructField("marks", marks)])), "aligned")
+        mark = aligned.select("host", "folder", "same", F.explode("marks").alias("m")).select("host", "folder", "same", "m.*")
+        line = ["host", "folder", "hash"]
+        counted = mark.where("body").select(*line, "same").distinct().groupBy(*line).agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED)
+        site = counted.join(first.groupBy("host", "folder").agg(F.count("*").alias("pages")), ["host", "folder"]).where("2 * n >= pages").select(*line)
+        lost = mark.where("NOT body").select("host", "same", "at").unionByName(mark.where("body").join(site, line, "left_semi").select("host", "same", "at"))
+        lost = lost.groupBy("host", "same").agg(F.collect_list("at").alias("lost"))
+        of_page = once.join(lost, ["host", "same"]).select(F.col("key").alias("_key"), "lost")
+        both = parsed.join(of_page, parsed["key"].eqNullSafe(of_page["_key"]), "left").select("key", "url", "packed", "lost")
+        result = T.StructType([both.schema["key"], both.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_lost", T.IntegerType())])
+
+        def run(batches):
+            unpack = zstandard.ZstdDecompressor()
+            for batch in batches:
+                texts, counts = [], []
+                for packed, lost in zip(batch.column("packed").to_pylist(), batch.column("lost").to_pylist(), strict=True):
+                    gone = set(lost or ())
+                    whole = unpack.decompress(packed).decode("utf-8", "surrogatepass")
+                    texts.append("\n\n".join(t for k, t in enumerate(whole.split("\n")) if k not in gone).encode("utf-8", "replace").decode())
+                    counts.append(len(gone))
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["key", "url", "text", "n_lost"])
+
+        return written(both.mapInArrow(run, result).withColumnsRenamed({"key": id_col, "url": url_col}), "texts")

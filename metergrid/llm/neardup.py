@@ -227,9 +227,10 @@ def across_runs(live: DataFrame, runs: DataFrame, component: DataFrame, texts: D
     members = tmp.written(runs.select("c", "block", "g").join(component.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")), "placed")
     counts = members.groupBy("block", "component").agg(F.count("*").alias("m"))
     main = counts.groupBy("block").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    mixed = members.join(main, "block")
-    there = live.select("r", "c").join(mixed.select("c", "g", "component"), "c").groupBy("r", "g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    outside = live.select("r", "c").join(mixed.where("component <> main").select("c", F.col("g").alias("own"), "component"), "c")
+    mixed = members.join(main, "block").select("c", "g", "component", "main")
+    placed = tmp.written(live.select("r", "c").join(mixed, "c"), "mixed")
+    there = placed.groupBy("r", "g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    outside = placed.where("component <> main").select("r", "c", F.col("g").alias("own"), "component")
     asking = tmp.written(outside.join(there, "r").where("g <> own AND (low <> component OR high <> component)").select("c", "component", "g").distinct(), "asking")
     # a run takes RUN askers at once
     many = asking.groupBy("g").agg(F.ceil(F.count("*") / RUN).cast("int").alias("turns"))
@@ -237,7 +238,7 @@ def across_runs(live: DataFrame, runs: DataFrame, component: DataFrame, texts: D
     asking_ = asking.join(many, "g").select("c", "component", "g", F.pmod(F.xxhash64("c"), "turns").cast("int").alias("turn"), F.lit(True).alias("asks"))
     sent = asked.union(asking_).select("c", F.col("component").alias("label"), F.xxhash64("g", "turn").alias("g"), "asks")
     out = tmp.written(confirmed(texts.select("c", "text").join(sent, "c"), words, percent).where("hub = 0").select("a", "b"), "across")
-    tmp.drop(members, asking)
+    tmp.drop(members, placed, asking)
     return out
 
 

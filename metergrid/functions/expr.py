@@ -48,13 +48,19 @@ FAMILIES = [
 ]
 
 
-def provider(model: Column) -> Column:
-    name = F.lower(F.trim(model))
-    known = F.create_map(*[F.lit(x) for pair in NAMESPACES.items() for x in pair])
-    family = F.when(name.isin("o1", "o3", "o4"), "openai")
-    for who, starts in FAMILIES:
-        family = family.when(reduce(lambda a, b: a | b, [name.startswith(s) for s in starts]), who)
-    return F.when(name.contains("/"), F.coalesce(F.try_element_at(known, F.substring_index(name, "/", 1)), F.lit("unknown"))).otherwise(family.otherwise("unknown"))
+_SPACES: dict[str, list[str]] = {}
+for _space, _who in NAMESPACES.items():
+    _SPACES.setdefault(_who, []).append(_space)
+#: The rule as text, which is parsed at once.
+_PROVIDER = (
+    "CASE WHEN contains({0}, '/') THEN CASE " + " ".join(f"WHEN substring_index({{0}}, '/', 1) IN ({', '.join(map(repr, s))}) THEN '{w}'" for w, s in _SPACES.items()) + " ELSE 'unknown' END WHEN {0} IN ('o1', 'o3', 'o4') THEN 'openai' "
+    + " ".join(f"WHEN {' OR '.join(f'startswith({{0}}, {s!r})' for s in starts)} THEN '{w}'" for w, starts in FAMILIES) + " ELSE 'unknown' END"
+)
+
+
+def provider(column: str) -> Column:
+    """The provider of the model that the column names."""
+    return F.expr(_PROVIDER.format(f"lower(trim({column}))"))
 
 
 def round_cost(cost: Column) -> Column:

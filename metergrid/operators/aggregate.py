@@ -14,7 +14,7 @@ SUMS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_token
 
 def with_keys(priced: DataFrame) -> DataFrame:
     return priced.withColumns(
-        {"tokens": token_total(), "project_key": project_key(), "device": device(), "session_key": session_key(), "request_count": request_count(), "provider": provider(F.col("model"))}
+        {"tokens": token_total(), "project_key": project_key(), "device": device(), "session_key": session_key(), "request_count": request_count(), "provider": provider("model")}
     )
 
 

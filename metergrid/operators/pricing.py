@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Field names of the catalog, name prefixes in the order they are tried, service tiers and flags.
@@ -14,6 +15,11 @@ FIELDS = (INPUT, OUTPUT, READ, WRITE, WRITE_1H)
 PREFIXES = ("openai/", "anthropic/", "xai/", "meta/")
 TIERS = {"": "", "default": "", "standard": "", "priority": "_priority", "fast": "_priority", "ultrafast": "_ultrafast", "flex": "_flex", "batch": "_batches", "batches": "_batches"}
 CONTEXTS = ((272_000, "_above_272k_tokens"), (200_000, "_above_200k_tokens"))
+#: The suffixes of known tiers, and what stands for any other tier.
+OTHER_TIER = "?"
+KNOWN_TIERS = (*dict.fromkeys(TIERS.values()), OTHER_TIER)
+#: Names with a release date.
+DATED = "^claude-.*-[0-9]{8}$"
 GAP = {"price": 1, "reported": 2, "metadata": 4, "tier": 8, "input": 16, "output": 32, "read": 64, "write": 128, "write_1h": 256}
 RULE_RATES = {"input": INPUT, "output": OUTPUT, "cache_read": READ, "cache_write": WRITE, "cache_write_1h": WRITE_1H}
 
@@ -76,84 +82,120 @@ def resolve_models(models: DataFrame, catalog: DataFrame, rules: list[dict]) ->
     )
 
 
-def _valid(rate: Column) -> Column:
-    return F.when((rate >= 0) & (rate < float("inf")) & ~F.isnan(rate), rate)
+#: Rates of a catalog that the driver resolves; a larger one is refused.
+MOST_RATES = 1_000_000
 
 
-def _coalesce_if(test: Column, first: Column, *more: Column) -> Column:
-    return F.when(test, F.coalesce(first, *more)).otherwise(first)
+@dataclass(frozen=True)
+class Prices:
+    """Two small tables that every executor gets: names (raw_model, entry, model, kind, ruled) of all names that a rule
+    or the catalog knows, and rates (entry, tier_key, band, rated, tiered, r0 .. r4) of each entry for each service tier
+    and prompt size, with the fallbacks worked out."""
 
+    names: DataFrame
+    rates: DataFrame
 
-#: Stands for an unreported tier in join keys; null differs from ''.
-NO_TIER = "\x00"
 
+def _usable(rate: float | None) -> float | None:
+    return rate if rate is not None and 0 <= rate < float("inf") else None
 
-def with_shape(events: DataFrame) -> DataFrame:
-    """Adds what a row's rates depend on besides its model: the service tier as a key, and the size of the prompt."""
-    prompt = F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_write_tokens")
-    band = reduce(lambda acc, x: acc.when(prompt > x[1][0], len(CONTEXTS) - x[0]), enumerate(CONTEXTS), F.when(F.lit(False), 0)).otherwise(0)
-    return events.withColumns({"tier_key": F.coalesce("service_tier", F.lit(NO_TIER)), "band": band})
 
+def _first(*rates: float | None) -> float | None:
+    return next((r for r in rates if r is not None), None)
 
-def price_shapes(events: DataFrame, catalog: DataFrame, rules: list[dict]) -> DataFrame:
-    """The rates r0 .. r4 (input, output, read, write, one-hour write; null where missing) of every combination of
-    raw_model, tier and prompt size in events: few rows, for which the fallbacks are worked out once."""
-    shapes = with_shape(events).select("raw_model", "tier_key", "band").distinct()
-    df = shapes.join(resolve_models(shapes, catalog, rules), "raw_model")
-    col = F.col
-    custom, aliased = col("kind") == "custom", col("kind") == "alias"
-    context = F.lit("")
-    for i, (_, suffix) in enumerate(reversed(CONTEXTS)):
-        context = F.when((col("band") > i) & col("rates")[INPUT + suffix].isNotNull(), suffix).otherwise(context)
-    known = F.create_map(*[F.lit(x) for pair in TIERS.items() for x in pair])[F.lower(F.trim(F.when(col("tier_key") == NO_TIER, "").otherwise(col("tier_key"))))]
-    df = df.withColumns({"context": context, "tier": F.when(custom, "").otherwise(F.coalesce(known, F.when(aliased, "")))})
 
-    def rate(field: str, suffix: Column) -> Column:
-        return _valid(F.coalesce(col("rates")[F.concat(F.lit(field), "context", suffix)], F.when(col("context") != "", col("rates")[F.concat(F.lit(field), suffix)])))
+def _rate_rows(entry: str, kind: str, rates: dict[str, float]) -> list[tuple]:
+    out = []
+    aliased, falls = kind == "alias", kind in ("alias", "custom")
+    for tier_key in KNOWN_TIERS:
+        tier = "" if kind == "custom" or aliased and tier_key == OTHER_TIER else None if tier_key == OTHER_TIER else tier_key
+        for band in range(len(CONTEXTS) + 1):
+            context = next((s for i, (_, s) in enumerate(CONTEXTS) if band >= len(CONTEXTS) - i and rates.get(INPUT + s) is not None), "")
+            of = lambda field, suffix: _usable(_first(rates.get(field + context + suffix), rates.get(field + suffix) if context else None))  # noqa: E731, B023
+            own = [of(f, tier) if tier is not None else None for f in FIELDS]
+            plain = [of(f, "") if falls else None for f in FIELDS]
+            r0 = _first(own[0], plain[0])
+            same = r0 if aliased else None
+            r = [r0, _first(own[1], plain[1]), _first(own[2], plain[2], same), _first(own[3], plain[3], same)]
+            r.append(_first(own[4], own[3], plain[4], plain[3], same) if falls else own[4])
+            out.append((entry, tier_key, band, tier is not None, tier not in (None, ""), *r))
+    return out
 
-    df = df.withColumns({f"own{i}": rate(f, col("tier")) for i, f in enumerate(FIELDS)} | {f"plain{i}": rate(f, F.lit("")) for i, f in enumerate(FIELDS)})
-    falls = custom | aliased
-    r0 = _coalesce_if(falls, col("own0"), col("plain0"))
-    as_input = F.when(aliased, r0)
-    return df.select(
-        "raw_model", "tier_key", "band", "model", "kind", "ruled", (col("rates").isNotNull() & col("tier").isNotNull()).alias("rated"), (col("tier") != "").alias("tiered"),
-        r0.alias("r0"),
-        _coalesce_if(falls, col("own1"), col("plain1")).alias("r1"),
-        _coalesce_if(falls, col("own2"), col("plain2"), as_input).alias("r2"),
-        _coalesce_if(falls, col("own3"), col("plain3"), as_input).alias("r3"),
-        _coalesce_if(falls, col("own4"), col("own3"), col("plain4"), col("plain3"), as_input).alias("r4"),
-    )
 
+def price_tables(catalog: DataFrame, rules: list[dict]) -> Prices:
+    """The catalog's and the rules' prices. A catalog is a configuration: it comes to the driver, up to MOST_RATES rates."""
+    held = catalog.limit(MOST_RATES + 1).collect()
+    if len(held) > MOST_RATES:
+        raise ValueError(f"the catalog has more than {MOST_RATES} rates")
+    entries: dict[str, dict[str, float]] = {}
+    for row in held:
+        entries.setdefault(row["model"], {})[row["field"]] = row["rate"]
+
+    def found(name: str) -> str | None:
+        tries = [name]
+        for p in PREFIXES:
+            tries += [p + name, name[len(p) :] if name.startswith(p) else None]
+        return next((t for t in [*tries, name[:-9] if re.match(DATED, name) else None] if t in entries), None)
+
+    known = set(entries)
+    for p in PREFIXES:
+        known |= {p + e for e in entries} | {e[len(p) :] for e in entries if e.startswith(p)}
+    names = {n: (n, "catalog|" + e, e, "catalog", False) for n in known if (e := found(n))}
+    rates = [x for e, r in entries.items() for x in _rate_rows("catalog|" + e, "catalog", r)]
+    for model, terminal, kind, display, own in resolved_rules(rules):
+        entry = None if kind in ("free", "custom") else found(terminal)
+        kind = kind if kind in ("free", "custom") else "alias" if entry and kind == "alias" else "catalog" if entry else "none"
+        names[model] = (model, f"{kind}|{entry or model}", display or entry or model, kind, True)
+        if kind == "custom":
+            rates += _rate_rows(f"custom|{model}", kind, own)
+        elif kind == "alias":
+            rates += _rate_rows(f"alias|{entry}", kind, entries[entry])
+    rates = list({r[:3]: r for r in rates}.values())
+    spark = catalog.sparkSession
+    return Prices(
+        spark.createDataFrame(list(names.values()), "raw_model string, entry string, model string, kind string, ruled boolean"),
+        spark.createDataFrame(rates, "entry string, tier_key string, band int, rated boolean, tiered boolean, r0 double, r1 double, r2 double, r3 double, r4 double"),
+    )
 
-def priced(events: DataFrame, shapes: DataFrame) -> DataFrame:
+
+_TIER_KEY = "CASE " + " ".join(f"WHEN lower(trim(coalesce(service_tier, ''))) IN ({', '.join(repr(k) for k, v in TIERS.items() if v == t)}) THEN '{t}'" for t in KNOWN_TIERS[:-1]) + f" ELSE '{OTHER_TIER}' END"
+_PROMPT = "(input_tokens + cache_read_tokens + cache_write_tokens)"
+_BAND = "CASE " + " ".join(f"WHEN {_PROMPT} > {n} THEN {len(CONTEXTS) - i}" for i, (n, _) in enumerate(CONTEXTS)) + " ELSE 0 END"
+_HOUR = "least(greatest(coalesce(cache_write_1h_tokens, 0), 0), cache_write_tokens)"
+#: Cost of each kind of token; null as soon as there are tokens without a rate.
+_AMOUNTS = {f"a{i}": f"CASE WHEN {n} > 0 THEN {n} * r{i} ELSE 0D END" for i, n in enumerate(("input_tokens", "output_tokens", "cache_read_tokens", f"(cache_write_tokens - {_HOUR})", _HOUR))}
+_META = "(kind = 'custom' OR service_tier IS NOT NULL) AND (cache_write_tokens = 0 OR cache_write_1h_tokens IS NOT NULL)"
+_MISSING = " | ".join(f"CASE WHEN a{i} IS NULL THEN {GAP[n]} ELSE 0 END" for i, n in enumerate(("input", "output", "read", "write", "write_1h")))
+
+
+def priced(events: DataFrame, prices: Prices) -> DataFrame:
     """events with model, cost_usd, cost_known, parts (cost of input, output, read and write; null where the cost
     can't be explained by rates) and gaps (bits of what a price lacks, for rows without a known cost)."""
-    df = with_shape(events.drop("model")).join(shapes, ["raw_model", "tier_key", "band"], "left")
-    col, zero = F.col, F.lit(0.0)
-    custom, aliased, free, none = (col("kind") == k for k in ("custom", "alias", "free", "none"))
-    hour = F.least(F.greatest(F.coalesce("cache_write_1h_tokens", F.lit(0)), F.lit(0)), "cache_write_tokens")
-    df = df.withColumns({"n4": hour, "n3": col("cache_write_tokens") - hour})
-    counts = [col("input_tokens"), col("output_tokens"), col("cache_read_tokens"), col("n3"), col("n4")]
-    # null as soon as a bucket with tokens has no rate
-    df = df.withColumns({f"a{i}": F.when(n > 0, n * col(f"r{i}")).otherwise(zero) for i, n in enumerate(counts)})
-    df = df.withColumn("total", F.when(col("rated"), reduce(lambda a, b: a + b, [col(f"a{i}") for i in range(5)])))
-    meta = (custom | col("service_tier").isNotNull()) & ((col("cache_write_tokens") == 0) | col("cache_write_1h_tokens").isNotNull())
-    native = (col("harness") == "grok") & ~F.coalesce("ruled", F.lit(False))
-    df = df.withColumns({"meta": meta, "native": native, "estimable": free | meta | ((custom | aliased) & ~col("cost_known"))})
-    estimate = F.when(free, zero).when(col("total") < float("inf"), col("total"))
-    cost = F.when(col("native"), F.when(col("reported_cost_usd") > 0, col("reported_cost_usd"))).when(col("estimable"), estimate).otherwise(F.when(col("cost_known"), col("cost_usd")))
-    df = df.withColumn("cost", cost)
-    near = F.abs(col("total") - col("cost")) <= F.lit(2.220446049250313e-16 * 8) * F.greatest(F.abs(col("total")), F.abs(col("cost")))
-    explained = ~col("native") & F.when(free, col("cost") == 0).otherwise(~none & (custom | aliased | col("meta")) & near)
-    parts = F.struct(*[F.when(free, zero).otherwise(x).alias(n) for n, x in zip(("input", "output", "read", "write"), [col("a0"), col("a1"), col("a2"), col("a3") + col("a4")], strict=True)])
-    names = ("input", "output", "read", "write", "write_1h")
-    df = df.withColumn("bits", reduce(lambda a, b: a.bitwiseOR(b), [F.when(col(f"a{i}").isNull(), GAP[n]).otherwise(0) for i, n in enumerate(names)]))
-    bits = F.when((col("kind") == "catalog") & col("tiered") & (col("bits") > 0), col("bits").bitwiseOR(F.lit(GAP["tier"]))).otherwise(col("bits"))
-    gaps = F.when(col("native"), GAP["reported"]).when(none, GAP["price"]).when(free, 0).when(~col("estimable"), GAP["metadata"]).when(~col("rated"), GAP["tier"]).otherwise(bits)
+    dated, plain = f"raw_model RLIKE '{DATED}'", "substring(raw_model, 1, length(raw_model) - 9)"
     kept = [c for c in events.columns if c not in ("cost_usd", "cost_known", "model")]
-    return df.select(
-        *kept, "model", F.coalesce("cost", zero).alias("cost_usd"), col("cost").isNotNull().alias("cost_known"),
-        F.when(explained, parts).alias("parts"), F.when(col("cost").isNull(), gaps).otherwise(0).alias("gaps"),
+    names = prices.names.withColumnsRenamed({"entry": "_entry", "model": "_model", "kind": "_kind"})
+    df = events.drop("model").join(F.broadcast(names), "raw_model", "left").selectExpr(
+        "*", f"coalesce(_entry, CASE WHEN {dated} THEN concat('catalog|', {plain}) END) AS entry", f"{_TIER_KEY} AS tier_key", f"{_BAND} AS band"
+    )
+    df = df.join(F.broadcast(prices.rates), ["entry", "tier_key", "band"], "left").selectExpr(
+        "*", f"coalesce(_model, CASE WHEN rated IS NOT NULL THEN {plain} END, raw_model) AS model", "coalesce(_kind, CASE WHEN rated IS NOT NULL THEN 'catalog' END, 'none') AS kind",
+        "harness = 'grok' AND NOT coalesce(ruled, false) AS native", *[f"{x} AS {n}" for n, x in _AMOUNTS.items()],
+    )
+    df = df.selectExpr("*", "CASE WHEN rated THEN a0 + a1 + a2 + a3 + a4 END AS total", f"{_META} AS meta", f"kind = 'free' OR ({_META}) OR (kind IN ('custom', 'alias') AND NOT cost_known) AS estimable")
+    df = df.selectExpr(
+        "*",
+        """CASE WHEN native THEN CASE WHEN reported_cost_usd > 0 THEN reported_cost_usd END
+        WHEN estimable THEN CASE WHEN kind = 'free' THEN 0D WHEN total < double('infinity') THEN total END WHEN cost_known THEN cost_usd END AS cost""",
+    )
+    near = "abs(total - cost) <= 1.7763568394002505e-15 * greatest(abs(total), abs(cost))"  # eight times the precision of a double
+    explained = f"NOT native AND CASE WHEN kind = 'free' THEN cost = 0 ELSE kind <> 'none' AND (kind IN ('custom', 'alias') OR meta) AND {near} END"
+    part = lambda x: f"CASE WHEN kind = 'free' THEN 0D ELSE {x} END"
+    gaps = f"""CASE WHEN native THEN {GAP["reported"]} WHEN kind = 'none' THEN {GAP["price"]} WHEN kind = 'free' THEN 0 WHEN NOT estimable THEN {GAP["metadata"]} WHEN NOT coalesce(rated, false) THEN {GAP["tier"]}
+        ELSE ({_MISSING}) | CASE WHEN kind = 'catalog' AND tiered AND ({_MISSING}) > 0 THEN {GAP["tier"]} ELSE 0 END END"""
+    return df.selectExpr(
+        *kept, "model", "coalesce(cost, 0D) AS cost_usd", "cost IS NOT NULL AS cost_known",
+        f"CASE WHEN {explained} THEN struct({part('a0')} AS input, {part('a1')} AS output, {part('a2')} AS read, {part('a3 + a4')} AS write) END AS parts",
+        f"CASE WHEN cost IS NULL THEN {gaps} ELSE 0 END AS gaps",
     )
 
 

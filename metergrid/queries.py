@@ -21,12 +21,14 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CATALOG, "model string, field string, rate double")
 
 
+def prices(spark: SparkSession) -> pricing.Prices:
+    return pricing.price_tables(catalog(spark), RULES)
+
+
 def priced_events(spark: SparkSession, sf_dir: str, query: UsageQuery = UsageQuery()) -> DataFrame:
     """Device filter, one row a call, price, keys: what every dashboard query starts from."""
     events = usage_events(spark, sf_dir).where(device_filter(query))
-    # shapes of all copies: cheaper to count than those of the rows that stay, and a superset of them
-    shapes = pricing.price_shapes(events, catalog(spark), RULES)
-    return aggregate.with_keys(pricing.priced(dedupe.owner_dedup(events, LOCAL_DEVICE), shapes))
+    return aggregate.with_keys(pricing.priced(dedupe.owner_dedup(events, LOCAL_DEVICE), prices(spark)))
 
 
 def frame_of(spark: SparkSession, sf_dir: str, query: UsageQuery) -> Timeframe:
@@ -111,7 +113,7 @@ def project_insights(spark, sf_dir):
 def facets(devices: tuple[str, ...] | None) -> QueryFn:
     def run(spark, sf_dir):
         events = usage_events(spark, sf_dir)
-        return aggregate.facets(aggregate.with_keys(pricing.priced(events, pricing.price_shapes(events, catalog(spark), RULES))), devices)
+        return aggregate.facets(aggregate.with_keys(pricing.priced(events, prices(spark))), devices)
 
     return run
 

@@ -12,8 +12,8 @@ NOW = "2024-01-25T15:30:00+00:00"
 LOCAL_DEVICE = "dev-0"
 
 DIALECT = {
-    "spark": {"k": "CAST(get_json_object(props, '$.k') AS BIGINT)", "ms": "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})", "string": "STRING"},
-    "duckdb": {"k": "CAST(json_extract_string(props, '$.k') AS BIGINT)", "ms": "(epoch_us({}) // 1000)", "string": "VARCHAR"},
+    "spark": {"k": "CAST(get_json_object(props, '$.k') AS BIGINT)", "ms": "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})", "string": "STRING", "each": "explode({})", "list": ("array(", ")")},
+    "duckdb": {"k": "CAST(json_extract_string(props, '$.k') AS BIGINT)", "ms": "(epoch_us({}) // 1000)", "string": "VARCHAR", "each": "unnest({})", "list": ("[", "]")},
 }
 
 
@@ -44,13 +44,13 @@ orig AS (
     CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN value / 100 END AS reported_cost_usd,
     CAST(CASE WHEN event_type = 'purchase' THEN 1 + event_id % 4 WHEN event_type = 'error' THEN 0 END AS INT) AS requests
   FROM base),
-copies AS (
-  SELECT event_id, id, CASE WHEN event_id % 60 = 0 THEN ts + INTERVAL '2' DAY ELSE ts END AS ts, harness, 'dev-copy' AS device_id, raw_model, project, repository,
-    session_id, session_title, project_name, thread_id, thread_url, input_tokens + event_id % 3 - 1 AS input_tokens, output_tokens, cache_read_tokens, cache_write_tokens,
+every AS (SELECT *, {d["each"].format("CASE WHEN event_id % 20 = 0 AND input_tokens > 0 THEN {0}0, 1{1} ELSE {0}0{1} END".format(*d["list"]))} AS copy FROM orig),
+moved AS (
+  SELECT event_id, id, CASE WHEN copy = 1 AND event_id % 60 = 0 THEN ts + INTERVAL '2' DAY ELSE ts END AS ts, harness, CASE WHEN copy = 1 THEN 'dev-copy' ELSE device_id END AS device_id, raw_model, project, repository,
+    session_id, session_title, project_name, thread_id, thread_url, CASE WHEN copy = 1 THEN input_tokens + event_id % 3 - 1 ELSE input_tokens END AS input_tokens, output_tokens, cache_read_tokens, cache_write_tokens,
     reasoning_tokens, cache_write_1h_tokens, service_tier, reported_cost_usd, requests
-  FROM orig WHERE event_id % 20 = 0 AND input_tokens > 0),
-every AS (SELECT * FROM orig UNION ALL SELECT * FROM copies)
-SELECT *, {d["ms"].format("ts")} AS ms, CAST(0 AS DOUBLE) AS cost_usd, false AS cost_known FROM every"""
+  FROM every)
+SELECT *, {d["ms"].format("ts")} AS ms, CAST(0 AS DOUBLE) AS cost_usd, false AS cost_known FROM moved"""
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,26 +307,29 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
 #: Pages of a folder that repeat a body line at least before it is the site's.
 REPEATED = 3
 
-#: What a page's lines are kept as: one compressed text, and for each line a hash, its length and whether it is body.
-PARSED = T.StructType([
-    T.StructField("packed", T.BinaryType()), T.StructField("same", T.StringType()), T.StructField("hash", T.ArrayType(T.LongType())), T.StructField("size", T.ArrayType(T.IntegerType())), T.StructField("body", T.ArrayType(T.BooleanType())),
-])
+#: What is kept of a page's lines to align them: for each a hash, its length and whether it is body.
+BRIEF = T.StructType([T.StructField("same", T.StringType()), T.StructField("hash", T.ArrayType(T.LongType())), T.StructField("size", T.ArrayType(T.IntegerType())), T.StructField("body", T.ArrayType(T.BooleanType()))])
+#: The lines themselves as one compressed text, which travels once, to the lines that it loses.
+PACKED = T.StructType([T.StructField("packed", T.BinaryType())])
 
 
-def _parsed(text_col: str):
-    def make():
-        pack = zstandard.ZstdCompressor(level=3)
+def _brief(column: str):
+    def step(part: pa.RecordBatch):
+        out = []
+        for raw in text_bytes(part.column(column)):
+            lines = [(t.encode("utf-8", "surrogatepass"), z) for t, z in page_lines(raw.decode("utf-8", "replace"))]
+            hashes = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t, _ in lines]
+            out.append((hashlib.sha256(b"\n".join(t for t, _ in lines)).hexdigest(), hashes, [len(t) for t, _ in lines], [z == BODY for _, z in lines]))
+        return [list(x) for x in zip(*out, strict=True)]
+
+    return lambda: step
 
-        def step(part: pa.RecordBatch):
-            out = []
-            for raw in text_bytes(part.column(text_col)):
-                lines = page_lines(raw.decode("utf-8", "replace"))
-                whole = "\n".join(t for t, _ in lines).encode("utf-8", "surrogatepass")
-                hashes = [int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t, _ in lines]
-                out.append((pack.compress(whole), hashlib.sha256(whole).hexdigest(), hashes, [len(t) for t, _ in lines], [z == BODY for _, z in lines]))
-            return [list(x) for x in zip(*out, strict=True)]
 
-        return step
+def _packed(column: str):
+    def make():
+        pack = zstandard.ZstdCompressor(level=3)
+        whole = lambda raw: "\n".join(t for t, _ in page_lines(raw.decode("utf-8", "replace"))).encode("utf-8", "surrogatepass")
+        return lambda part: [[pack.compress(whole(raw)) for raw in text_bytes(part.column(column))]]
 
     return make
 
@@ -380,7 +383,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     with Scratch(pages.sparkSession) as tmp:
         rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.col(html_col))
-        parsed = tmp.written(arrow_map(rows, html_col, PARSED, _parsed(html_col), ["key", "url"]), "lines")
+        # pages are parsed twice, since storing their lines in between takes more disk than parsing takes time
+        parsed = tmp.written(arrow_map(rows, html_col, BRIEF, _brief(html_col), ["key", "url"]), "lines")
         known = parsed.select(
             "key", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)).alias("host"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), "same",
         )
@@ -399,8 +403,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         site = counted.join(first.groupBy("host", "folder").agg(F.count("*").alias("pages")), ["host", "folder"]).where("2 * n >= pages").select(*line)
         lost = mark.where("NOT body").select("host", "same", "at").unionByName(mark.where("body").join(site, line, "left_semi").select("host", "same", "at"))
         lost = lost.groupBy("host", "same").agg(F.collect_list("at").alias("lost"))
-        of_page = once.join(lost, ["host", "same"]).select(F.col("key").alias("_key"), "lost")
-        both = parsed.join(of_page, parsed["key"].eqNullSafe(of_page["_key"]), "left").select("key", "url", "packed", "lost")
+        of_page = written(once.join(lost, ["host", "same"]).select(F.col("key").alias("_key"), "lost"), "lost")
+        packed = arrow_map(rows, html_col, PACKED, _packed(html_col), ["key", "url"])
+        both = packed.join(of_page, packed["key"].eqNullSafe(of_page["_key"]), "left").select("key", "url", "packed", "lost")
         result = T.StructType([both.schema["key"], both.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_lost", T.IntegerType())])
 
         def run(batches):
@@ -414,4 +419,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     counts.append(len(gone))
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["key", "url", "text", "n_lost"])
 
-        return written(both.mapInArrow(run, result).withColumnsRenamed({"key": id_col, "url": url_col}), "texts")
+        return both.mapInArrow(run, result).withColumnsRenamed({"key": id_col, "url": url_col})

@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,32 +116,39 @@ def plausible(rows: DataFrame, classes: DataFrame, share: float) -> DataFrame:
     return ordered.mapInArrow(run, PAIRS).distinct()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c, block, g, large): rows in the order of a block's signatures get the run they are in, named by its first class."""
-    block = first = None
-    count = shingles = 0
+#: A class counts as so many shingles at least, so that a run has RUN classes at most.
+LEAST_WEIGHT = RUN_SHINGLES // RUN
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, c, block, w, upto): the weights of a sorted partition's classes, summed up to each."""
+    from pyspark import TaskContext
+
+    part, upto = TaskContext.get().partitionId(), 0
     for batch in batches:
-        blocks, cs, ns = (batch.column(x).to_pylist() for x in ("block", "c", "n"))
-        runs = []
-        for b, c, n in zip(blocks, cs, ns, strict=True):
-            if b != block or count == RUN or shingles + n > RUN_SHINGLES:
-                block, first, count, shingles = b, c, 0, 0
-            count, shingles = count + 1, shingles + n
-            runs.append(first)
-        arrays = [batch.column("c"), batch.column("block"), pa.array(runs, pa.int64()), pa.array([True] * len(runs))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["c", "block", "g", "large"])
+        w = np.maximum(batch.column("n").to_numpy(), LEAST_WEIGHT)
+        sums = upto + np.cumsum(w)
+        upto = int(sums[-1]) if len(sums) else upto
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), part, np.int32)), batch.column("c"), batch.column("block"), pa.array(w), pa.array(sums)], names=["part", "c", "block", "w", "upto"])
 
 
 def runs_of(members: DataFrame, classes: DataFrame, tmp: Scratch) -> DataFrame:
-    """(c, block, g, large) of members (c, block): the group g in which a class is compared, the block itself or a run."""
+    """(c, block, g, large) of members (c, block): the group g in which a class is compared, the block itself or a run.
+    Runs are cut from the order of all large blocks' classes by running sums of weights, over partitions and within
+    them, so they don't depend on how many partitions there are."""
     members = tmp.written(members.join(classes.select("c", "n_shingles", "sig"), "c").select("c", "block", F.col("n_shingles").alias("n"), F.expr(f"substring(sig, 1, {2 * DEPTH})").alias("key")), "members")
     sizes = members.groupBy("block").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
     sized = members.join(sizes, "block").withColumn("large", (F.col("m") > RUN) | (F.col("s") > RUN_SHINGLES))
     large = tmp.written(sized.where("large").select("block", "key", "c", "n"), "large")
     parts = max(1, large.count() // (8 * RUN))
-    cut = large.repartitionByRange(parts, "block", "key", "c").sortWithinPartitions("block", "key", "c").mapInArrow(_cut, "c long, block long, g long, large boolean")
+    ordered = large.repartitionByRange(parts, "block", "key", "c").sortWithinPartitions("block", "key", "c")
+    placed = tmp.written(ordered.mapInArrow(_placed, "part int, c long, block long, w long, upto long"), "placed")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = placed.groupBy("part").agg(F.sum("w").alias("held")).select("part", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("start"))
+    run = F.floor((F.col("start") + F.col("upto") - 1) / RUN_SHINGLES)
+    cut = placed.join(F.broadcast(starts), "part").select("c", "block", F.xxhash64("block", run).alias("g"), F.lit(True).alias("large"))
     out = tmp.written(cut.union(sized.where("NOT large").select("c", "block", F.col("block").alias("g"), "large")), "runs")
-    tmp.drop(members, large)
+    tmp.drop(members, large, placed)
     return out
 
 

@@ -108,8 +108,12 @@ def log_millis(value: Column) -> Column:
 
 
 def model_label(model: Column) -> Column:
-    """A display name: the part after the last slash without a trailing date."""
-    return F.regexp_replace(F.substring_index(model, "/", -1), r"-\d{8}$", "")
+    """A display name; grouping, filters and exports keep the reported one."""
+    known = r"^claude-(opus|sonnet|haiku|fable)-([0-9]+)(?:-([0-9]+))?(?:-(low|medium|high|max))?$"
+    part = lambda n: F.regexp_extract(model, known, n)
+    minor, effort = F.when(part(3) != "", F.concat(F.lit("."), part(3))).otherwise(""), F.when(part(4) != "", F.concat(F.lit(" ("), part(4), F.lit(")"))).otherwise("")
+    named = F.concat(F.lit("Claude "), F.initcap(part(1)), F.lit(" "), part(2), minor, effort)
+    return F.when(model == "cursor/unknown", "Unreported model").when(model.rlike(known), named).otherwise(F.regexp_replace(model, r"^cursor-grok-(?=[0-9])", "Grok "))
 
 
 def csv_cell(value: Column) -> Column:
@@ -119,10 +123,13 @@ def csv_cell(value: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def period_delta(now: Column, before: Column) -> Column:
-    """Change against the previous period as text: 'new', '0%' or a signed whole percentage."""
-    change = F.round((now - before) / before * 100).cast("long")
-    return F.when(before.isNull(), F.lit(None)).when((before == 0) & (now == 0), "0%").when(before == 0, "new").otherwise(F.concat(F.when(change > 0, "+").otherwise(""), change.cast("string"), F.lit("%")))
+def period_delta(now: Column, before: Column) -> tuple[Column, Column]:
+    """Change against the previous period: its size as text ('new', '0%' or a whole percentage) and its direction; null
+    where there is no previous period."""
+    change = F.floor(100 * F.abs(now - before) / before + 0.5).cast("long").cast("string")
+    size = F.when(before > 0, F.concat(change, F.lit("%"))).when(now > 0, "new").otherwise("0%")
+    direction = F.when(now > before, "up").when(now < before, "down").otherwise("flat")
+    return F.when(before.isNotNull(), size), F.when(before.isNotNull(), direction)
 
 
 def share_text(value: Column, total: Column) -> Column:
@@ -131,9 +138,58 @@ def share_text(value: Column, total: Column) -> Column:
 
 
 def numeric_sort_key(text: Column) -> Column:
-    """Lower-cased text whose runs of digits sort by value: each is padded to 20 places."""
+    """Text without case and accents, whose runs of digits sort by value: each is padded to 20 places."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    padded = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    return F.collate(padded, "UNICODE_CI_AI")
+
+
+def safe_web_url(url: Column) -> Column:
+    """An http or https address without credentials; null for anything else."""
+    text = F.trim(url)
+    host = F.try_parse_url(text, F.lit("HOST"))
+    good = F.lower(F.coalesce(F.try_parse_url(text, F.lit("PROTOCOL")), F.lit(""))).isin("http", "https") & host.isNotNull() & F.try_parse_url(text, F.lit("USERINFO")).isNull()
+    path = F.coalesce(F.try_parse_url(text, F.lit("PATH")), F.lit(""))
+    return F.when(good, F.when((path == "") & ~text.rlike(r"[?#]"), F.concat(text, F.lit("/"))).otherwise(text))
+
+
+def native_thread_url(thread_id: Column, thread_url: Column, scheme: str) -> Column:
+    """scheme://threads/<environment>/<thread> of a web route that ends in the environment and this very thread."""
+    url = safe_web_url(thread_url)
+    parts = F.split(F.try_parse_url(url, F.lit("PATH")), "/")
+    at = lambda n: F.try_url_decode(F.try_element_at(parts, F.lit(n)))
+    plain = lambda c: c.rlike("^[a-zA-Z0-9:_-]{1,512}$")
+    good = F.try_parse_url(url, F.lit("QUERY")).isNull() & F.try_parse_url(url, F.lit("REF")).isNull() & plain(at(-2)) & plain(at(-1)) & (at(-1) == thread_id)
+    return F.when(good, F.concat(F.lit(f"{scheme}://threads/"), at(-2), F.lit("/"), at(-1)))
+
+
+def agent_url(harness: Column, session: Column) -> Column:
+    return F.when((harness == "cursor") & session.rlike("^[a-zA-Z0-9_-]{1,256}$"), F.concat(F.lit("https://cursor.com/agents/"), session))
+
+
+def repository_url(repository: Column) -> Column:
+    url = safe_web_url(F.concat(F.lit("https://"), repository))
+    path = F.try_parse_url(url, F.lit("PATH"))
+    good = (repository != "") & ~repository.startswith("local:") & (path != "/") & F.try_parse_url(url, F.lit("QUERY")).isNull() & F.try_parse_url(url, F.lit("REF")).isNull()
+    return F.when(good, url)
+
+
+def session_name(title: Column, name: Column, key: Column) -> Column:
+    """What a session is called: its title, its project's name, or the project's label."""
+    return F.coalesce(F.nullif(F.trim(title), F.lit("")), F.nullif(F.trim(name), F.lit("")), project_label(key))
+
+
+def collector_version(release: Column, build: Column) -> Column:
+    """release+build, where the build is a plain identifier; 64 characters at most."""
+    tag = F.trim(build)
+    return F.substring(F.when(tag.rlike("^[0-9A-Za-z.-]{1,40}$"), F.concat(release, F.lit("+"), tag)).otherwise(release), 1, 64)
+
+
+def nice_peak(value: Column) -> Column:
+    """The top of an axis with four steps of a round size."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(value / 4)))
+    steps = F.filter(F.array(*[F.lit(x) for x in (1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.5, 10.0)]), lambda x: x >= value / (4 * unit))
+    return F.when(value <= 0, F.lit(1.0)).otherwise(4 * unit * F.coalesce(F.try_element_at(steps, F.lit(1)), F.lit(10.0)))
 
 
 def utc_iso(ms: Column) -> Column:

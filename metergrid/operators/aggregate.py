@@ -71,7 +71,9 @@ def with_day(rows: DataFrame, frame: Timeframe) -> DataFrame:
 
 
 def daily(rows: DataFrame, frame: Timeframe, dimension: str) -> DataFrame:
-    return with_day(rows, frame).groupBy("day", F.col(DIMENSIONS[dimension]).alias("name")).agg(*measures())
+    """Cells by local day; those of harnesses with all totals."""
+    cells = with_day(rows, frame).groupBy("day", F.col(DIMENSIONS[dimension]).alias("name"))
+    return cells.agg(*(totals() if dimension == "harness" else measures()))
 
 
 def daily_totals(rows: DataFrame, frame: Timeframe) -> DataFrame:
@@ -81,14 +83,23 @@ def daily_totals(rows: DataFrame, frame: Timeframe) -> DataFrame:
     return day_calendar(rows, frame).join(found, "day", "left").select("day", *[F.coalesce(c, z).alias(c) for c, z in zero.items()])
 
 
+def _hour(rows: DataFrame, frame: Timeframe) -> DataFrame:
+    """Elapsed hours of the local day: by instant, so that changed clocks and half-hour zones come right."""
+    return rows.withColumn("hour", F.floor((F.col("ms") - frame.today) / 3_600_000).cast("int"))
+
+
 def hourly(rows: DataFrame, frame: Timeframe) -> DataFrame:
-    """A row for every elapsed hour of the local day: by instant, so that changed clocks and half-hour zones come right."""
+    """A row for every hour of the local day."""
     hours = rows.sparkSession.createDataFrame(frame.hours, "hour int, first_ms long")
-    mine = rows.withColumn("hour", F.floor((F.col("ms") - frame.today) / 3_600_000).cast("int"))
-    found = mine.groupBy("hour").agg(*measures())
+    found = _hour(rows, frame).groupBy("hour").agg(*measures())
     return hours.join(found, "hour", "left").select("hour", "first_ms", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), F.coalesce("unpriced_tokens", F.lit(0)).alias("unpriced_tokens"))
 
 
+def hourly_by(rows: DataFrame, frame: Timeframe, dimension: str) -> DataFrame:
+    """Cells by hour of the local day; those of harnesses with all totals."""
+    return _hour(rows, frame).groupBy("hour", F.col(DIMENSIONS[dimension]).alias("name")).agg(*(totals() if dimension == "harness" else measures()))
+
+
 def weekly(days: DataFrame) -> DataFrame:
     """Days in Monday weeks; a week is named by its first day of the period, and `last` is null for a single day."""
     week = days.groupBy(F.date_trunc("week", "day").cast("date").alias("week"))
@@ -150,6 +161,12 @@ def facets(rows: DataFrame, devices: tuple[str, ...] | None = None) -> DataFrame
     return combos.select(F.explode(values).alias("f")).where("f.kept AND f.value IS NOT NULL").select("f.facet", "f.value").distinct()
 
 
+def model_providers(rows: DataFrame, devices: tuple[str, ...] | None = None) -> DataFrame:
+    """(model, provider) of all models in the facets."""
+    kept = rows if devices is None else rows.where(F.col("device").isin(*devices)) if devices else rows.limit(0)
+    return kept.select("model", "provider").distinct()
+
+
 def dimension_counts(events: DataFrame) -> DataFrame:
     """Distinct tuples with their number of stored rows, from which facets can be kept up to date."""
     return events.groupBy(device().alias("device"), "harness", F.col("raw_model").alias("model"), project_key().alias("project")).agg(F.count("*").alias("records"))

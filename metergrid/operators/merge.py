@@ -9,27 +9,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = ["device_id", "id"]
-OPTIONAL = ("session_title", "project_name", "service_tier", "cache_write_1h_tokens", "requests", "raw_model", "reported_cost_usd")
+#: Fields that a new row keeps where it leaves them out; all others are the new row's.
+OPTIONAL = ("session_title", "project_name")
+#: Rows of a file of the store.
+FILE_ROWS = 1_000_000
+#: Rows of an upload with its withdrawn ids.
+MOST_ROWS = 10_000
 CONTENT = (
     "ts", "ms", "harness", "raw_model", "project", "repository", "session_id", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "cost_usd", "cost_known",
     "reported_cost_usd", "service_tier", "cache_write_1h_tokens", "requests", "session_title", "project_name", "thread_id", "thread_url",
 )
 
 
-def violations(batch: DataFrame) -> Column:
-    """True for a row that no upload may hold."""
-    counters = [F.coalesce(F.col(c) < 0, F.lit(True)) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens")]
-    bad = F.coalesce(F.col("id"), F.lit("")) == ""
-    bad = bad | F.col("ts").isNull() | F.isnan("cost_usd") | (F.col("cost_usd") < 0) | F.coalesce(F.col("requests") < 0, F.lit(False))
-    for c in counters:
-        bad = bad | c
-    return bad
+def violations() -> Column:
+    """True for a row that no upload may hold: it needs an id and a time, and amounts that are finite and not negative."""
+    bad = (F.coalesce(F.col("id"), F.lit("")) == "") | F.col("ts").isNull() | F.coalesce(F.col("requests") < 0, F.lit(False))
+    for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens"):
+        bad = bad | F.coalesce(F.col(c) < 0, F.lit(True))
+    wrong = lambda c: F.isnan(c) | (F.col(c) < 0) | (F.col(c) == float("inf"))
+    return bad | F.coalesce(wrong("cost_usd"), F.lit(True)) | F.coalesce(wrong("reported_cost_usd"), F.lit(False))
 
 
-def checked(batch: DataFrame) -> DataFrame:
-    """The batch, or an error: it is taken whole or not at all."""
-    if n := batch.where(violations(batch)).count():
-        raise ValueError(f"the batch holds {n} invalid rows")
+def checked(batch: DataFrame, deleted: DataFrame | None = None, most: int | None = MOST_ROWS) -> DataFrame:
+    """The batch, or an error: it is taken whole or not at all. `most` bounds one upload; None is for bulk loads."""
+    n, wrong = batch.agg(F.count("*"), F.count_if(violations())).first()
+    if wrong:
+        raise ValueError(f"the batch holds {wrong} invalid rows")
+    if most is not None and n + (deleted.count() if deleted is not None else 0) > most:
+        raise ValueError(f"the batch holds more than {most} rows")
     return batch
 
 
@@ -43,28 +50,32 @@ def latest(batch: DataFrame, order: str = "seq") -> DataFrame:
     return batch.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
 
 
-def merged(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def merged(stored: DataFrame, batch: DataFrame, snapshot: str = "") -> DataFrame:
     """One row for each key of the batch as it is to be stored, with `action` (insert, update or skip) and old_ms.
 
-    Optional fields that the new row leaves out are kept. A thread's id and url are kept together, where the new row has
-    neither or the same id. A known remote repository isn't lost to a local fallback of the same call. A cost that
-    isn't known is 0."""
-    old = stored.select(*[F.col(c).alias(c if c in KEY else f"o_{c}") for c in dict.fromkeys((*KEY, *CONTENT))], F.lit(True).alias("there"))
+    Titles and project names that the new row leaves out are kept. A thread's id and url are kept together, where the new
+    row has neither or the same id. A known remote repository of a row with a thread isn't lost to a local fallback of
+    the same call without one. A cost that isn't known is 0. `snapshot` names the prices that the batch was made with: a
+    row with the same content but other prices is an update, where the store has a column pricing_snapshot."""
+    priced = "pricing_snapshot" in stored.columns
+    content = (*CONTENT, "pricing_snapshot") if priced else CONTENT
+    batch = batch.withColumn("pricing_snapshot", F.lit(snapshot)) if priced else batch
+    old = stored.select(*[F.col(c).alias(c if c in KEY else f"o_{c}") for c in dict.fromkeys((*KEY, *content))], F.lit(True).alias("there"))
     both = batch.join(old, KEY, "left")
     col = F.col
     kept = {c: F.coalesce(col(c), col(f"o_{c}")) for c in OPTIONAL}
-    same_thread = col("thread_id").isNull() | (col("thread_id") == col("o_thread_id"))
-    kept["thread_id"] = F.when(same_thread & (col("thread_url").isNull() | (col("thread_url") == col("o_thread_url"))), F.coalesce("thread_id", "o_thread_id")).otherwise(col("thread_id"))
-    kept["thread_url"] = F.when(same_thread & col("thread_url").isNull(), col("o_thread_url")).otherwise(col("thread_url"))
-    local = col("repository").isNull() | col("repository").startswith("local:")
-    remote = col("o_repository").isNotNull() & ~col("o_repository").startswith("local:")
-    unchanged = (col("harness") == col("o_harness")) & col("session_id").eqNullSafe(col("o_session_id")) & col("project").eqNullSafe(col("o_project")) & (col("ms") == col("o_ms"))
-    kept["repository"] = F.when(local & remote & unchanged, col("o_repository")).otherwise(col("repository"))
+    for mine, other in (("thread_id", "thread_url"), ("thread_url", "thread_id")):
+        kept[mine] = F.coalesce(col(mine), F.when(col(other).isNull() | (col(other) == col(f"o_{other}")), col(f"o_{mine}")))
+    text = lambda c: F.coalesce(c, F.lit("")) != ""
+    local = ~text(col("repository")) | col("repository").startswith("local:")
+    remote = text(col("o_thread_id")) & text(col("o_repository")) & ~col("o_repository").startswith("local:")
+    same = (col("harness") == col("o_harness")) & col("session_id").eqNullSafe(col("o_session_id")) & col("project").eqNullSafe(col("o_project"))
+    kept["repository"] = F.when(local & remote & same & col("thread_id").isNull() & col("thread_url").isNull(), col("o_repository")).otherwise(col("repository"))
     kept["cost_usd"] = F.when(col("cost_known"), col("cost_usd")).otherwise(0.0)
     out = both.withColumns(kept)
-    was = F.sha2(F.to_json(F.struct(*[F.col(f"o_{c}").alias(c) for c in CONTENT]), {"ignoreNullFields": "false"}), 256)
-    action = F.when(col("there").isNull(), "insert").when(digest() == was, "skip").otherwise("update")
-    return out.withColumn("action", action).withColumn("old_ms", col("o_ms")).drop("there", *[f"o_{c}" for c in CONTENT])
+    was = F.sha2(F.to_json(F.struct(*[F.col(f"o_{c}").alias(c) for c in content]), {"ignoreNullFields": "false"}), 256)
+    action = F.when(col("there").isNull(), "insert").when(digest(content) == was, "skip").otherwise("update")
+    return out.withColumn("action", action).withColumn("old_ms", col("o_ms")).drop("there", *[f"o_{c}" for c in content])
 
 
 def only_missing(stored: DataFrame, batch: DataFrame) -> DataFrame:
@@ -120,7 +131,9 @@ def write_days(spark: SparkSession, path: str, batch: DataFrame, schema, scratch
         result = rest.unionByName(new.select(*columns)).withColumn("utc_day", utc_day())
         result.write.mode("overwrite").parquet(f"{scratch}/result")
         whole = spark.read.schema(result.schema).parquet(f"{scratch}/result")
-        whole.repartition("utc_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("utc_day").parquet(path)
+        # about FILE_ROWS rows a task and file: a day with many rows isn't one task
+        parts = max(1, -(-whole.count() // FILE_ROWS))
+        whole.repartition(parts, "utc_day", F.pmod(F.xxhash64("id"), F.lit(parts))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("utc_day").parquet(path)
         # a day whose last row went has no partition in the result to overwrite it
         empty = set(touched) - {r[0] for r in whole.select("utc_day").distinct().collect()}
         for day in empty:

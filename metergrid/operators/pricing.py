@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,71 @@ def check_rules(rules: list[dict]) -> None:
             raise ValueError(f"alias cycle at {row[0]}")
 
 
+def check_targets(catalog: DataFrame, rules: list[dict]) -> None:
+    """Every alias ends in a price."""
+    check_rules(rules)
+    found = resolve_models(catalog.sparkSession.createDataFrame([(r["model"],) for r in rules], "raw_model string"), catalog, rules)
+    if bad := [r["raw_model"] for r in found.where("kind = 'none'").collect()]:
+        raise ValueError(f"no price for the target of {', '.join(sorted(bad))}")
+
+
+def with_rule(catalog: DataFrame, rules: list[dict], rule: dict) -> list[dict]:
+    """The rules with this one in place of the model's old one, sorted by model."""
+    out = sorted([*(r for r in rules if r["model"] != rule["model"]), rule], key=lambda r: r["model"])
+    check_targets(catalog, out)
+    return out
+
+
+def without_rule(catalog: DataFrame, rules: list[dict], model: str) -> list[dict]:
+    out = [r for r in rules if r["model"] != model]
+    check_targets(catalog, out)
+    return out
+
+
+def revision(catalog: DataFrame, rules: list[dict]) -> str:
+    """A hash of the policy's content, whatever the order of its rates."""
+    rates = catalog.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", F.concat_ws("/", "model", "field"), F.col("rate").cast("string")))), ","), 256)).first()[0]
+    return hashlib.sha256(f"[{rates},{json.dumps(rules, sort_keys=True)}]".encode()).hexdigest()
+
+
+def adopted(current: tuple[DataFrame, list[dict]], received: tuple[DataFrame, list[dict]], claimed: str, expected: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """The received policy, if its hash is the claimed one and the current policy is still the expected one."""
+    check_targets(*received)
+    if revision(*received) != claimed:
+        raise ValueError("the policy isn't the one that was announced")
+    now = revision(*current)
+    if now == claimed:
+        return current
+    if expected is not None and now != expected:
+        raise ValueError("the policy changed meanwhile")
+    return received
+
+
+def merged_catalogs(*catalogs: DataFrame) -> DataFrame:
+    """Catalogs (model, field, rate) in one; of a model that several have, the last one's rates alone."""
+    every = reduce(DataFrame.union, [c.select("model", "field", "rate", F.lit(i).alias("turn")) for i, c in enumerate(catalogs)])
+    last = every.groupBy("model").agg(F.max("turn").alias("turn"))
+    return every.join(last, ["model", "turn"]).select("model", "field", "rate")
+
+
+# Fixed value: fields that are rates.
+RATE_FIELD = "^(input_cost_per_token|output_cost_per_token|cache_read_input_token_cost|cache_creation_input_token_cost)(_|$)"
+
+
+def decoded_catalog(raw: DataFrame, least: int = 100) -> DataFrame:
+    """(model, field, rate) of an upstream catalog (model, value: JSON): models with both base rates. A rate that isn't a
+    finite number of at least 0, or fewer models than `least`, refuse all of it."""
+    fields = raw.where(F.ltrim("value").startswith("{")).select("model", F.explode(F.from_json("value", "map<string,string>")).alias("field", "text"))
+    rates = fields.where(F.col("field").rlike(RATE_FIELD) & F.col("text").isNotNull()).withColumn("rate", F.col("text").try_cast("double"))
+    good = F.coalesce((F.col("rate") >= 0) & (F.col("rate") < float("inf")), F.lit(False))
+    if bad := rates.where(~good).count():
+        raise ValueError(f"{bad} rates are invalid")
+    whole = rates.groupBy("model").agg(F.count_if(F.col("field").isin(INPUT, OUTPUT)).alias("base")).where("base = 2").select("model")
+    if whole.count() < least:
+        raise ValueError("the catalog is incomplete")
+    return rates.join(whole, "model", "left_semi").select("model", "field", "rate")
+
+
 def resolved_rules(rules: list[dict]) -> list[tuple]:
     """(model, terminal, kind, display, rates) for each ruled model; kind is free, custom, alias or cycle."""
     by_model: dict[str, dict] = {}

@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from metergrid.functions.expr import FAMILIES, NAMESPACES
-from metergrid.operators.aggregate import DIMENSIONS, SUMS
-from metergrid.operators.pricing import CONTEXTS, PREFIXES, TIERS
 from metergrid.workload import CATALOG, LOCAL_DEVICE, NOW, events_sql
 
+# Fixed values, written out here so that those of the code are checked: dimensions, sums, name prefixes, tiers, prompt sizes,
+# providers of namespaces and of families.
+DIMENSIONS = {"harness": "harness", "model": "model", "provider": "provider", "project": "project_key", "device": "device"}
+SUMS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens")
+PREFIXES = ("openai/", "anthropic/", "xai/", "meta/")
+TIERS = {"": "", "default": "", "standard": "", "priority": "_priority", "fast": "_priority", "ultrafast": "_ultrafast", "flex": "_flex", "batch": "_batches", "batches": "_batches"}
+CONTEXTS = ((272_000, "_above_272k_tokens"), (200_000, "_above_200k_tokens"))
+NAMESPACES = {
+    "openai": "openai", "anthropic": "anthropic", "xai": "xai", "x-ai": "xai", "google": "google", "gemini": "google", "google_genai": "google", "vertex_ai": "google", "vertex-ai": "google", "deepseek": "deepseek",
+    "meta": "meta", "meta-llama": "meta", "openrouter": "openrouter", "azure": "azure",
+}
+FAMILIES = [
+    ("openai", ("gpt-", "chatgpt-", "o1-", "o3-", "o4-", "codex-mini-")), ("anthropic", ("claude-",)), ("google", ("gemini-", "gemma-")), ("xai", ("grok-",)), ("deepseek", ("deepseek-",)), ("alibaba", ("qwen",)),
+    ("meta", ("llama-", "llama2-", "llama3-", "llama4-", "muse-")), ("moonshot", ("kimi-", "moonshot-")), ("zai", ("glm-",)),
+]
 NOW_MS = int(datetime.fromisoformat(NOW).timestamp() * 1000)
 TOTAL = "(input_tokens + output_tokens + cache_read_tokens + cache_write_tokens)"
 DEV = "coalesce(device_id, 'local')"
@@ -180,7 +192,7 @@ def oracle_sql() -> dict[str, str]:
     found["totals_7d_kathmandu"] = f"{chosen('7d', 'Asia/Kathmandu')} SELECT {TOTALS} FROM s"
     found["totals_previous_7d"] = f"{chosen('7d', previous=True)} SELECT {TOTALS} FROM s"
     found |= {f"by_{d}": _by(c) for d, c in DIMENSIONS.items()}
-    found |= {f"daily_by_{d}": f"{chosen()} SELECT {_day('UTC')} AS day, {c} AS name, {MEASURES} FROM s GROUP BY 1, 2" for d, c in DIMENSIONS.items()}
+    found |= {f"daily_by_{d}": f"{chosen()} SELECT {_day('UTC')} AS day, {c} AS name, {TOTALS if d == 'harness' else MEASURES} FROM s GROUP BY 1, 2" for d, c in DIMENSIONS.items()}
     found["daily_zero_filled"] = _daily("UTC") + " SELECT * FROM days"
     found["daily_zero_filled_new_york"] = _daily("America/New_York") + " SELECT * FROM days"
     found |= {"hourly_today_utc": _hourly("UTC"), "hourly_today_kathmandu": _hourly("Asia/Kathmandu")}
@@ -224,7 +236,8 @@ SELECT name, tokens, round(x, 6) AS share, CASE WHEN x > 0 AND x < 0.01 THEN '<1
     start, end, before, _ = window("7d")
     found["period_delta"] = f"""WITH {priced()}, g AS (SELECT model AS name, CAST(coalesce(sum(tokens) FILTER (ms >= {start}), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(tokens) FILTER (ms < {start}), 0) AS BIGINT) AS previous
   FROM p WHERE ms >= {before} AND ms < {end} AND ms <= {NOW_MS} GROUP BY 1), c AS (SELECT *, CAST(round((tokens - previous) / nullif(previous, 0) * 100) AS BIGINT) AS x FROM g)
-SELECT name, tokens, previous, CASE WHEN previous = 0 AND tokens = 0 THEN '0%' WHEN previous = 0 THEN 'new' ELSE CASE WHEN x > 0 THEN '+' ELSE '' END || CAST(x AS VARCHAR) || '%' END AS delta FROM c"""
+SELECT name, tokens, previous, CASE WHEN previous = 0 AND tokens = 0 THEN '0%' WHEN previous = 0 THEN 'new' ELSE CAST(abs(x) AS VARCHAR) || '%' END AS delta,
+  CASE WHEN tokens > previous THEN 'up' WHEN tokens < previous THEN 'down' ELSE 'flat' END AS direction FROM c"""
     found["counter_delta_reset"] = """WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
 c AS (SELECT l_orderkey, l_linenumber, CAST(sum(q) OVER w AS BIGINT) AS input, CAST(sum(2 * q) OVER w AS BIGINT) AS output, CAST(sum(3 * q) OVER w AS BIGINT) AS total FROM l WINDOW w AS (PARTITION BY l_orderkey, (l_linenumber - 1) // 4 ORDER BY l_linenumber)),
 b AS (SELECT *, lag(input) OVER w AS pi, lag(output) OVER w AS po, lag(total) OVER w AS pt FROM c WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)), r AS (SELECT *, pi IS NULL OR input < pi OR output < po OR total < pt AS reset FROM b)
@@ -236,15 +249,20 @@ h AS (SELECT up.session_id, native_id, arg_max(ancestor, distance) AS first FROM
 SELECT session_id, native_id, CASE WHEN first IS NOT NULL AND (forked_ms IS NULL OR ms <= forked_ms) THEN first ELSE session_id END AS owner, count(*) AS n FROM r LEFT JOIN h USING (session_id, native_id) LEFT JOIN f USING (session_id) GROUP BY 1, 2, 3"""
     found["claude_sidechain_filter"] = """WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS id, CASE WHEN l_linenumber % 5 <> 4 THEN l_orderkey END AS native, l_linenumber % 3 <> 1 AS sidechain, CAST(l_quantity AS BIGINT) % 4 AS input_tokens FROM lineitem),
 o AS (SELECT native FROM r WHERE NOT sidechain AND native IS NOT NULL GROUP BY native HAVING count(DISTINCT id) = 1 AND max(input_tokens) > 0) SELECT id, sidechain, input_tokens FROM r WHERE NOT sidechain OR native IS NULL OR native NOT IN (SELECT native FROM o)"""
-    found["merge_preserve_metadata"] = f"""WITH {EV}, {INCOMING}, j AS (SELECT i.*, e.event_id IS NOT NULL AS there, e.ms AS old_ms, e.input_tokens AS e_in, e.session_title AS e_title, e.service_tier AS e_tier, e.repository AS e_repo FROM inc i LEFT JOIN ev e USING (device_id, id))
-SELECT device_id, id, CASE WHEN NOT there THEN 'insert' WHEN input_tokens = e_in THEN 'skip' ELSE 'update' END AS action, old_ms, input_tokens, coalesce(session_title, e_title) AS session_title, coalesce(service_tier, e_tier) AS service_tier,
-  coalesce(repository, e_repo) AS repository, CAST(0 AS DOUBLE) AS cost_usd FROM j"""
+    found["merge_preserve_metadata"] = f"""WITH {EV}, {INCOMING}, j AS (SELECT i.*, e.event_id IS NOT NULL AS there, e.ms AS old_ms, e.input_tokens AS e_in, e.session_title AS e_title, e.service_tier AS e_tier, e.repository AS e_repo FROM inc i LEFT JOIN ev e USING (device_id, id)),
+k AS (SELECT * REPLACE (coalesce(session_title, e_title) AS session_title) FROM j)
+SELECT device_id, id, CASE WHEN NOT there THEN 'insert' WHEN (input_tokens, session_title, service_tier, repository) IS NOT DISTINCT FROM (e_in, e_title, e_tier, e_repo) THEN 'skip' ELSE 'update' END AS action,
+  old_ms, input_tokens, session_title, service_tier, repository, CAST(0 AS DOUBLE) AS cost_usd FROM k"""
     found["changed_records"] = f"""WITH {EV}, {INCOMING}, j AS (SELECT i.*, e.event_id IS NOT NULL AS there, e.input_tokens AS a, e.session_title AS b, e.service_tier AS c, e.repository AS d FROM inc i LEFT JOIN (SELECT * FROM ev WHERE device_id <> 'dev-copy') e USING (id))
 SELECT id, device_id, input_tokens, session_title FROM j WHERE NOT there OR (input_tokens, session_title, service_tier, repository) IS DISTINCT FROM (a, b, c, d)"""
     found["retractions"] = f"WITH {EV} SELECT DISTINCT id FROM ev WHERE event_id % 40 = 0 AND id NOT IN (SELECT id FROM ev WHERE device_id = 'dev-copy' AND event_id % 3 = 0)"
     found["import_missing"] = f"WITH {EV}, {INCOMING} SELECT device_id, id, input_tokens FROM inc ANTI JOIN ev USING (device_id, id)"
-    found["batch_assign"] = f"""WITH {EV}, s AS (SELECT device_id, ms, id, length(id) + 300 AS size FROM ev), a AS (SELECT *, coalesce(sum(size) OVER w, 0) AS ahead, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY device_id ORDER BY ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT device_id, CAST(greatest(ahead // 262144, n // 500) AS BIGINT) AS batch, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM a GROUP BY 1, 2"""
+    over = "n >= 20 OR held + r.size + 1 > 5000"
+    found["batch_assign"] = f"""WITH RECURSIVE {EV}, r AS (SELECT device_id, ms // 86400000 AS day, length(id) + 300 AS size, row_number() OVER (PARTITION BY device_id, ms // 86400000 ORDER BY ms, id) AS i FROM ev),
+g(device_id, day, i, size, batch, n, held) AS (SELECT device_id, day, i, size, CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(size + 1 AS BIGINT) FROM r WHERE i = 1
+  UNION ALL SELECT r.device_id, r.day, r.i, r.size, CASE WHEN {over} THEN batch + 1 ELSE batch END, CASE WHEN {over} THEN 1 ELSE n + 1 END, CASE WHEN {over} THEN r.size + 1 ELSE held + r.size + 1 END
+  FROM g JOIN r ON r.device_id = g.device_id AND r.day = g.day AND r.i = g.i + 1)
+SELECT device_id, day, batch, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM g GROUP BY 1, 2, 3"""
     found["billing_residual"] = """WITH r AS (SELECT l_orderkey AS agent, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS of_runs FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS agent, o_orderkey % 97 + 150 AS tokens, coalesce(of_runs, 0) AS of_runs, greatest(0, o_orderkey % 97 + 150 - coalesce(of_runs, 0)) AS residual FROM orders LEFT JOIN r ON agent = o_orderkey"""
     found["project_labels"] = f"""WITH {EV}, k AS (SELECT DISTINCT coalesce(CASE WHEN event_id % 3 = 0 THEN '/home/u' || project END, repository, project) AS key FROM ev),

@@ -169,7 +169,8 @@ def period_delta(spark, sf_dir):
     both = rows.groupBy(F.col("model").alias("name")).agg(
         F.coalesce(F.sum(F.when(F.col("ms") >= frame.start, F.col("tokens"))), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.col("ms") < frame.start, F.col("tokens"))), F.lit(0)).alias("previous")
     )
-    return both.select("*", expr.period_delta(F.col("tokens"), F.col("previous")).alias("delta"))
+    size, direction = expr.period_delta(F.col("tokens"), F.col("previous"))
+    return both.select("*", size.alias("delta"), direction.alias("direction"))
 
 
 def counter_delta_reset(spark, sf_dir):
@@ -256,9 +257,10 @@ def import_missing(spark, sf_dir):
 
 
 def batch_assign(spark, sf_dir):
-    events = usage_events(spark, sf_dir)
-    found = view.batches(events.withColumn("size", F.char_length("id") + F.lit(300)), "device_id", ["ms", "id"], F.col("size"))
-    return found.groupBy("device_id", "batch").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    """Upload batches of each device and day."""
+    events = usage_events(spark, sf_dir).select("device_id", F.floor(F.col("ms") / 86_400_000).alias("day"), "ms", "id", (F.char_length("id") + F.lit(300)).alias("size"))
+    found = view.batches(events, ["device_id", "day"], ["ms", "id"], "size", most_rows=20, most_bytes=5_000)
+    return found.groupBy("device_id", "day", "batch").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 def billing_residual(spark, sf_dir):
@@ -311,7 +313,7 @@ def queries() -> dict[str, QueryFn]:
     found |= {"hourly_today_utc": hourly("UTC"), "hourly_today_kathmandu": hourly("Asia/Kathmandu")}
     found |= {n: totals(q) for n, q in FILTERS.items()}
     found |= {"owner_dedup": owner_dedup(UsageQuery()), "owner_dedup_device_filter": owner_dedup(UsageQuery(devices=("dev-1", "dev-copy")))}
-    found |= {"sessions_page2": sessions_page("last_active_ms", 2), "sessions_by_cost": sessions_page("cost_usd", 1), "facets": facets(None), "facets_of_device": facets(("dev-1",))}
+    found |= {"sessions_page2": sessions_page("active", 2), "sessions_by_cost": sessions_page("cost", 1), "facets": facets(None), "facets_of_device": facets(("dev-1",))}
     for f in (
         marginals, weekly_90d, cross_window_owner, sessions, project_insights, dimension_counts, model_resolution, reprice, cost_parts, unresolved_pricing, top10_union, series_arrays, bucket_other, share_of_total,
         period_delta, counter_delta_reset, carry_forward_model, parent_project_inherit, fork_owner, claude_sidechain_filter, merge_preserve_metadata, changed_records, retractions, import_missing, batch_assign,

@@ -1,20 +1,27 @@
 """Agent logs to candidate rows. Only accounting fields are read; message texts never leave the scan.
 
-Each reader takes lines (file, line, value): one JSON record each, as read_lines() makes them, and returns candidates:
-the fact columns and file, line, sidechain, native_id and parent_id. Records that aren't JSON are counted by malformed()."""
+Each reader takes lines (file, line, value): one JSON record each, as read_lines() makes them, parses a record once, and
+returns candidates: the fact columns and file, line, sidechain, native_id, parent_id and legacy_id. files() has what is
+known of a file as a whole. State that runs through a log (context, counters) is a window over the file's lines."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metergrid.functions.expr import counter, log_millis, utc_iso
+from metergrid.functions.expr import log_millis, utc_iso
+from metergrid.tables import written
 
-CANDIDATE = (
-    "id", "ms", "harness", "raw_model", "project", "session_id", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "cache_write_1h_tokens",
-    "service_tier", "reported_cost_usd", "sidechain", "native_id", "parent_id", "file", "line",
-)
-TYPES = {"line": "long", "ms": "long", "sidechain": "boolean", "reported_cost_usd": "double"} | {c: "long" for c in CANDIDATE if c.endswith("_tokens")}
+CANDIDATE = {
+    "id": "string", "ms": "long", "harness": "string", "raw_model": "string", "project": "string", "session_id": "string", "input_tokens": "long", "output_tokens": "long", "cache_read_tokens": "long", "cache_write_tokens": "long",
+    "reasoning_tokens": "long", "cache_write_1h_tokens": "long", "service_tier": "string", "reported_cost_usd": "double", "requests": "int", "sidechain": "boolean", "native_id": "string", "parent_id": "string",
+    "legacy_id": "string", "file": "string", "line": "long",
+}
+#: Characters of the longest record that is read.
+MOST_CHARS = 32 << 20
+UNKNOWN_PROJECT = "Unknown project"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -22,12 +29,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     task each, as a log's state runs through it from the first line."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     lines = rows.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"), F.size(F.split("value", "\n")).alias("n"))
-    # what follows the last line feed isn't complete yet: it isn't read, nor malformed
-    return lines.where("line < n - 1 AND trim(value) <> ''").select("file", (F.col("line") + 1).cast("long").alias("line"), "value")
+    # a last line without line feed may still be written: it counts if it is whole JSON, and isn't malformed otherwise
+    return lines.where("trim(value) <> '' AND (line < n - 1 OR try_parse_json(value) IS NOT NULL)").select("file", (F.col("line") + 1).cast("long").alias("line"), "value")
 
 
 def malformed(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(F.try_parse_json("value").isNull()).alias("malformed"))
+    """(file, lines, malformed): lines that are too long, no JSON or no object."""
+    bad = (F.char_length("value") > MOST_CHARS) | F.try_parse_json("value").isNull() | ~F.ltrim("value").startswith("{")
+    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(bad).alias("malformed"))
 
 
 def carried(column: str, keys: list[str], order: list[str]) -> Column:
@@ -35,185 +44,406 @@ def carried(column: str, keys: list[str], order: list[str]) -> Column:
     return F.last(column, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def counter_deltas(rows: DataFrame, keys: list[str], order: list[str], counters: list[str]) -> DataFrame:
+def _fell(now, before, counters: list[str], total: str | None) -> Column:
+    """No counter before, or one that fell; a total counts only where both are above 0."""
+    reset = before(counters[0]).isNull()
+    for c in counters:
+        reset = reset | ((now(c) < before(c)) & (F.lit(True) if c != total else (now(c) > 0) & (before(c) > 0)))
+    return reset
+
+
+def counter_deltas(rows: DataFrame, keys: list[str], order: list[str], counters: list[str], total: str | None = None) -> DataFrame:
     """Running counters to what each row adds: the difference to the row before, or the counter itself after a reset
-    (there is no row before, or one of the counters fell). Rows that add nothing have all differences 0."""
+    (there is no row before, or one of the counters fell; a `total` of 0 is a missing one). Rows that add nothing have
+    all differences 0."""
     over = Window.partitionBy(*keys).orderBy(*order)
     before = rows.withColumns({f"_{c}": F.lag(c).over(over) for c in counters})
-    reset = F.col(f"_{counters[0]}").isNull()
-    for c in counters:
-        reset = reset | (F.col(c) < F.col(f"_{c}"))
+    reset = _fell(F.col, lambda c: F.col(f"_{c}"), counters, total)
     return before.select(*rows.columns, *[F.when(reset, F.col(c)).otherwise(F.greatest(F.lit(0), F.col(c) - F.col(f"_{c}"))).alias(f"{c}_delta") for c in counters])
 
 
-def _get(path: str, value: str = "value") -> Column:
-    return F.get_json_object(value, f"$.{path}")
+def text(name: str) -> Column:
+    """A trimmed text, null where there is none."""
+    return F.nullif(F.trim(name), F.lit(""))
+
+
+def number(name: str | Column) -> Column:
+    """A counter of a log: whole and not negative; what is no number is 0."""
+    return F.coalesce(F.greatest(F.lit(0), F.col(name) if isinstance(name, str) else name).cast("long"), F.lit(0).cast("long"))
+
+
+def model_name(name: Column) -> Column:
+    return F.when(name.isNull() | (name == "<synthetic>"), "unknown").otherwise(name)
+
+
+def project_name(name: Column) -> Column:
+    return F.coalesce(name, F.lit(UNKNOWN_PROJECT))
+
+
+def file_session(file: str = "file") -> Column:
+    name = F.element_at(F.split(file, r"[\\/]"), -1)
+    return F.coalesce(F.nullif(F.regexp_replace(name, r"(?i)\.jsonl$", ""), F.lit("")), F.lit("unknown"))
+
+
+def json_list(*values: Column) -> Column:
+    """The values as compact JSON; texts are quoted."""
+    return F.concat(F.lit("["), F.concat_ws(",", *values), F.lit("]"))
+
+
+def quoted(value: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+
+
+def fallback_id(harness: str, session: Column, ms: Column, ordinal: Column, line: Column) -> Column:
+    """An id for records without one. ordinal: JSON text of the record's own ordinal, null if it has none."""
+    return F.concat(F.lit(f"{harness}:metadata:"), F.sha2(json_list(quoted(session), quoted(utc_iso(ms)), F.coalesce(ordinal, line.cast("string"))), 256))
+
+
+def ordinal_text(value: str, path: str = "$.ordinal") -> Column:
+    """JSON text of a number or of a text that isn't empty, else null."""
+    found = F.try_variant_get(F.try_parse_json(value), path, "variant")
+    kind = F.schema_of_variant(found)
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.to_json(found)).when((kind == "STRING") & (F.to_json(found) != '""'), F.to_json(found))
+
+
+def parsed(lines: DataFrame, schema: str) -> DataFrame:
+    """(file, line, value, r): records as structs of the fields that are read; lines that are no objects are left out."""
+    short = lines.where((F.char_length("value") <= MOST_CHARS) & F.ltrim("value").startswith("{"))
+    return short.select("file", "line", "value", F.from_json("value", schema).alias("r")).where("r IS NOT NULL")
+
+
+TOTAL = "input_tokens + output_tokens + cache_read_tokens + cache_write_tokens > 0"
 
 
 def _finish(rows: DataFrame, harness: str) -> DataFrame:
     have = set(rows.columns)
-    kinds = {c: TYPES.get(c, "string") for c in CANDIDATE}
     fixed = {"harness": F.lit(harness), "sidechain": F.coalesce("sidechain", F.lit(False)) if "sidechain" in have else F.lit(False)}
-    return rows.select(*[fixed[c].alias(c) if c in fixed else (F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in CANDIDATE]).where("ms IS NOT NULL AND id IS NOT NULL")
+    return rows.select(*[fixed[c].alias(c) if c in fixed else (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in CANDIDATE.items()]).where("ms IS NOT NULL AND id IS NOT NULL")
 
 
-def fallback_id(harness: str, *parts: Column) -> Column:
-    return F.concat(F.lit(f"{harness}:metadata:"), F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256))
+def _split_cache(total_in: Column, cached: Column, into: Column, out: Column, reasoning: Column) -> list[Column]:
+    """Input logs that count cache tokens within input: read, write and fresh input, reasoning within output."""
+    read = F.least(cached, total_in)
+    write = F.least(into, total_in - read)
+    return [(total_in - read - write).alias("input_tokens"), read.alias("cache_read_tokens"), write.alias("cache_write_tokens"), out.alias("output_tokens"), F.least(reasoning, out).alias("reasoning_tokens")]
+
+
+_INNER = """input_tokens: DOUBLE, output_tokens: DOUBLE, cache_read_input_tokens: DOUBLE, cache_creation_input_tokens: DOUBLE, speed: STRING, service_tier: STRING,
+cache_creation: STRUCT<ephemeral_1h_input_tokens: DOUBLE, ephemeral_5m_input_tokens: DOUBLE>, output_tokens_details: STRUCT<thinking_tokens: DOUBLE, reasoning_tokens: DOUBLE>"""
+CLAUDE = f"""type STRING, timestamp STRING, sessionId STRING, uuid STRING, requestId STRING, cwd STRING, isSidechain BOOLEAN,
+message STRUCT<id: STRING, model: STRING, usage: STRUCT<{_INNER}, iterations: ARRAY<STRUCT<type: STRING, model: STRING, {_INNER}>>>>"""
+
+
+def _claude_records(lines: DataFrame) -> DataFrame:
+    """Assistant records with usage, their ids and calls: the record's own and those of advisors within it."""
+    rows = parsed(lines, CLAUDE).where("r.type = 'assistant' AND r.message.usage IS NOT NULL AND NOT coalesce(r.message.model = '<synthetic>', false)")
+    u = "r.message.usage"
+    rows = rows.select(
+        "file", "line", "r", log_millis(F.col("r.timestamp")).alias("ms"), F.coalesce(text("r.sessionId"), file_session()).alias("session_id"), text("r.message.id").alias("native_id"), (F.coalesce("r.isSidechain", F.lit(False))).alias("sidechain"),
+        ordinal_text("value").alias("ordinal"), F.when(F.col(f"{u}.speed") == "fast", "priority").otherwise(F.coalesce(text(f"{u}.service_tier"), F.lit(""))).alias("tier"),
+    ).where("ms IS NOT NULL")
+    whole = F.concat(F.lit("claude:message:"), "native_id", F.lit(":"), F.coalesce(text("r.requestId"), F.lit("")))
+    record = F.coalesce(whole, F.concat(F.lit("claude:uuid:"), text("r.uuid")), fallback_id("claude", F.col("session_id"), F.col("ms"), F.col("ordinal"), F.col("line")))
+    rows = rows.withColumn("record_id", record)
+    fields = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "speed", "service_tier", "cache_creation", "output_tokens_details")
+    own = F.array(F.struct(F.lit(None).cast("string").alias("type"), F.col("r.message.model").alias("model"), *[F.col(f"{u}.{f}").alias(f) for f in fields], F.lit(-1).alias("at"), F.lit(-1).alias("advisor")))
+    # an advisor's number counts advisors only; its place counts all calls
+    numbered = F.transform(F.coalesce(F.col(f"{u}.iterations"), F.array()), lambda x, i: F.struct(*[x[f].alias(f) for f in ("type", "model", *fields)], i.alias("at")))
+    advisors = F.transform(F.filter(numbered, lambda x: x["type"] == "advisor_message"), lambda x, i: F.struct(*[x[f].alias(f) for f in ("type", "model", *fields, "at")], i.alias("advisor")))
+    named = F.filter(advisors, lambda x: (F.trim(F.coalesce(x["model"], F.lit(""))) != "") & (F.trim(x["model"]) != "<synthetic>"))
+    return rows.withColumn("calls", F.concat(own, named))
 
 
 def claude(lines: DataFrame) -> DataFrame:
-    """Assistant records with usage. Extra advisor calls inside a record are rows of their own."""
-    u = "message.usage"
-    base = lines.where(_get("type") == "assistant").where(_get(u).isNotNull() & (F.coalesce(_get("message.model"), F.lit("")) != "<synthetic>"))
-    hour, five = counter(_get(f"{u}.cache_creation.ephemeral_1h_input_tokens")), counter(_get(f"{u}.cache_creation.ephemeral_5m_input_tokens"))
-    native = _get("message.id")
-    ms = log_millis(_get("timestamp"))
-    rows = base.select(
-        "file", "line", "value", ms.alias("ms"), native.alias("native_id"), _get("message.model").alias("raw_model"), _get("cwd").alias("project"), F.coalesce(_get("sessionId"), F.lit("")).alias("session_id"),
-        (_get("isSidechain") == "true").alias("sidechain"), counter(_get(f"{u}.input_tokens")).alias("input_tokens"), counter(_get(f"{u}.output_tokens")).alias("output_tokens"),
-        counter(_get(f"{u}.cache_read_input_tokens")).alias("cache_read_tokens"), F.greatest(counter(_get(f"{u}.cache_creation_input_tokens")), hour + five).alias("cache_write_tokens"),
-        F.when(_get(f"{u}.cache_creation").isNotNull(), hour).alias("cache_write_1h_tokens"), counter(_get(f"{u}.output_tokens_details.thinking_tokens")).alias("reasoning_tokens"),
-        F.when(_get(f"{u}.speed") == "fast", "priority").otherwise(F.coalesce(_get(f"{u}.service_tier"), F.lit(""))).alias("service_tier"),
-        F.coalesce(F.concat_ws(":", F.lit("claude"), native, _get("requestId")), F.lit("")).alias("whole"), F.from_json(_get(f"{u}.iterations"), "array<string>").alias("iterations"),
+    """Assistant records with usage. Advisor calls inside a record are rows of their own, owned by the record."""
+    rows = _claude_records(lines).select("file", "line", "ms", "session_id", "native_id", "sidechain", "tier", "record_id", F.col("r.cwd").alias("cwd"), F.explode("calls").alias("c"))
+    hour, advisor = number("c.cache_creation.ephemeral_1h_input_tokens"), F.col("c.advisor") >= 0
+    write = F.greatest(number("c.cache_creation_input_tokens"), hour + number("c.cache_creation.ephemeral_5m_input_tokens"))
+    of = lambda n: F.concat(F.lit("claude:advisor:"), F.sha2(json_list(quoted(F.col("record_id")), F.col(n).cast("string")), 256))
+    out = rows.select(
+        "file", "line", "ms", "session_id", "native_id", "sidechain", F.when(advisor, of("c.advisor")).otherwise(F.col("record_id")).alias("id"), F.when(advisor, F.col("record_id")).alias("parent_id"),
+        F.when(advisor & (F.col("c.at") != F.col("c.advisor")), of("c.at")).alias("legacy_id"), model_name(text("c.model")).alias("raw_model"), project_name(text("cwd")).alias("project"),
+        number("c.input_tokens").alias("input_tokens"), number("c.output_tokens").alias("output_tokens"), number("c.cache_read_input_tokens").alias("cache_read_tokens"), write.alias("cache_write_tokens"),
+        F.least(write, hour).alias("cache_write_1h_tokens"), F.least(number("c.output_tokens"), F.greatest(number("c.output_tokens_details.thinking_tokens"), number("c.output_tokens_details.reasoning_tokens"))).alias("reasoning_tokens"),
+        F.when(F.col("c.speed") == "fast", "priority").otherwise(F.coalesce(text("c.service_tier"), "tier")).alias("service_tier"),
     )
-    rows = rows.withColumn("id", F.when(F.col("native_id").isNotNull(), F.col("whole")).otherwise(fallback_id("claude", F.col("session_id"), F.col("ms"), F.col("line"))))
-    extra = rows.select("*", F.posexplode("iterations").alias("ordinal", "call")).where(F.get_json_object("call", "$.type") == "advisor_message")
-    count = lambda name: counter(F.get_json_object("call", f"$.{name}"))
-    extra = extra.withColumns({
-        "parent_id": F.col("id"), "id": F.sha2(F.to_json(F.array("id", F.col("ordinal").cast("string"))), 256), "raw_model": F.coalesce(F.get_json_object("call", "$.model"), F.col("raw_model")),
-        "input_tokens": count("input_tokens"), "output_tokens": count("output_tokens"), "cache_read_tokens": count("cache_read_input_tokens"), "cache_write_tokens": count("cache_creation_input_tokens"),
-        "reasoning_tokens": F.lit(0).cast("long"), "cache_write_1h_tokens": F.lit(None).cast("long"),
-    })
-    return _finish(rows, "claude").union(_finish(extra, "claude")).where("input_tokens + output_tokens + cache_read_tokens + cache_write_tokens > 0")
+    return _finish(out, "claude").where(TOTAL)
 
 
-def _split_cache(total_in: Column, cached: Column, written: Column, out: Column, reasoning: Column) -> list[Column]:
-    """Input logs that count cache tokens within input: read, write and fresh input, reasoning within output."""
-    read = F.least(cached, total_in)
-    write = F.least(written, total_in - read)
-    return [(total_in - read - write).alias("input_tokens"), read.alias("cache_read_tokens"), write.alias("cache_write_tokens"), out.alias("output_tokens"), F.least(reasoning, out).alias("reasoning_tokens")]
+def claude_empty(lines: DataFrame) -> DataFrame:
+    """(native_id, session_id, id) of main requests of which no record of their file bills anything: they own their
+    replays, though they aren't billed."""
+    calls = claude(lines).select("file", F.coalesce("parent_id", "id").alias("record_id")).distinct()
+    main = _claude_records(lines).where("native_id IS NOT NULL AND NOT sidechain").select("file", "native_id", "session_id", "record_id").distinct()
+    return main.join(calls, ["file", "record_id"], "left_anti").select("native_id", "session_id", F.col("record_id").alias("id"))
+
 
+_COUNTS = "input_tokens: DOUBLE, cached_input_tokens: DOUBLE, cache_write_input_tokens: DOUBLE, cache_creation_input_tokens: DOUBLE, output_tokens: DOUBLE, reasoning_output_tokens: DOUBLE, total_tokens: DOUBLE"
+_NAMED = "model: STRING, model_name: STRING, metadata: STRUCT<model: STRING>"
+CODEX = f"""type STRING, timestamp STRING, ordinal DOUBLE, payload STRUCT<type: STRING, id: STRING, session_id: STRING, forked_from_id: STRING, parent_thread_id: STRING, timestamp: STRING, cwd: STRING, service_tier: STRING,
+turn_id: STRING, thread_id: STRING, response_id: STRING, compaction_response_id: STRING, started_at: STRING, subagent_history_start_ordinal: DOUBLE, {_NAMED},
+source: STRUCT<subagent: STRUCT<thread_spawn: STRUCT<parent_thread_id: STRING>>>, thread_settings: STRUCT<service_tier: STRING>, usage: STRUCT<{_COUNTS}>, thread_token_usage: STRUCT<{_COUNTS}>,
+info: STRUCT<total_token_usage: STRUCT<{_COUNTS}>, last_token_usage: STRUCT<{_COUNTS}>, {_NAMED}>>"""
+COUNTS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "cache_creation_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
+UUID7 = "^(?i)[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
-def codex(lines: DataFrame) -> DataFrame:
-    """Running totals of a session's turns to calls; records of single responses, where a file has them, are
-    authoritative from the first one on, and totals from then on are left out."""
-    kind = F.coalesce(_get("payload.type"), _get("type"))
-    rows = lines.select("file", "line", "value", _get("type").alias("type"), kind.alias("kind"), log_millis(_get("timestamp")).alias("ms"))
-    over = (["file"], ["line"])
+
+def _codex_model(of: str) -> Column:
+    return F.coalesce(text(f"{of}.model"), text(f"{of}.model_name"), text(f"{of}.metadata.model"))
+
+
+def _counts(of: str) -> Column:
+    return F.when(F.col(of).isNotNull(), F.struct(*[number(f"{of}.{c}").alias(c) for c in COUNTS]))
+
+
+def _codex_rows(lines: DataFrame) -> DataFrame:
+    """Records with the context that holds at each: model, directory and tier so far."""
+    rows = parsed(lines, CODEX).select("file", "line", "value", "r", F.col("r.payload").alias("p"), log_millis(F.col("r.timestamp")).alias("ms"))
+    kind = F.when(F.col("r.type") == "event_msg", F.col("p.type")).otherwise(F.col("r.type"))
+    rows = rows.withColumns({"kind": F.coalesce(kind, F.lit("")), "meta": F.when(F.col("r.type") == "session_meta", F.col("line"))})
+    rows = rows.withColumn("head", (F.col("r.type") == "session_meta") & (F.col("line") == F.min("meta").over(Window.partitionBy("file"))))
+    turn = F.col("r.type") == "turn_context"
+    settings = (F.col("r.type") == "event_msg") & (F.col("kind") == "thread_settings_applied")
     rows = rows.withColumns({
-        "session_id": F.when(F.col("type") == "session_meta", _get("payload.id")), "project": F.when(F.col("type").isin("session_meta", "turn_context"), _get("payload.cwd")),
-        "raw_model": F.when(F.col("type") == "turn_context", _get("payload.model")), "service_tier": F.when(F.col("type") == "turn_context", _get("payload.service_tier")),
+        "c_model": F.when(turn | F.col("head"), _codex_model("p")), "c_cwd": F.when(turn | F.col("head"), text("p.cwd")),
+        "c_tier": F.when(turn, F.trim("p.service_tier")).when(settings, F.trim("p.thread_settings.service_tier")),
     })
-    rows = rows.withColumns({c: carried(c, *over) for c in ("session_id", "project", "raw_model", "service_tier")})
-    single = rows.where(F.col("kind") == "token_usage_record")
-    starts = single.groupBy("file").agg(F.min("ms").alias("from_ms"))
-    u = "payload.usage"
-    single = single.select(
-        "file", "line", "ms", "session_id", "project", "raw_model", "service_tier", F.concat_ws(":", F.lit("codex"), _get("payload.thread_id"), _get("payload.response_id")).alias("id"),
-        *_split_cache(counter(_get(f"{u}.input_tokens")), counter(_get(f"{u}.cached_input_tokens")), counter(_get(f"{u}.cache_write_input_tokens")), counter(_get(f"{u}.output_tokens")), counter(_get(f"{u}.reasoning_output_tokens"))),
-    )
-    fields = {"input": "input_tokens", "cached": "cached_input_tokens", "written": "cache_write_input_tokens", "output": "output_tokens", "reasoning": "reasoning_output_tokens", "total": "total_tokens"}
-    t, last = "payload.info.total_token_usage", "payload.info.last_token_usage"
-    counts = rows.where((F.col("kind") == "token_count") & _get(t).isNotNull()).select(
-        "file", "line", "ms", "session_id", "project", "raw_model", "service_tier", *[counter(_get(f"{t}.{f}")).alias(n) for n, f in fields.items()],
-        _get(last).isNotNull().alias("has_last"), *[counter(_get(f"{last}.{f}")).alias(f"last_{n}") for n, f in fields.items()],
-    )
-    window = Window.partitionBy("file").orderBy("line")
-    names = list(fields)
-    counts = counts.withColumns({f"p_{n}": F.lag(n).over(window) for n in names})
-    fell = F.col("p_input").isNull() | (F.col("input") < F.col("p_input")) | (F.col("output") < F.col("p_output")) | (F.col("total") < F.col("p_total"))
-    same = F.lit(True)
-    for n in names:
-        same = same & F.col(n).eqNullSafe(F.col(f"p_{n}"))
-    delta = {n: F.when(F.col("has_last"), F.col(f"last_{n}")).when(fell, F.col(n)).otherwise(F.greatest(F.lit(0), F.col(n) - F.col(f"p_{n}"))) for n in names}
-    counts = counts.where(~same).withColumns({f"d_{n}": d for n, d in delta.items()})
-    totals = counts.select(
-        "file", "line", "ms", "session_id", "project", "raw_model", "service_tier", F.concat_ws(":", F.lit("codex:total"), "session_id", F.col("ms").cast("string"), *[F.col(n).cast("string") for n in names]).alias("id"),
-        *_split_cache(*[F.col(f"d_{n}") for n in ("input", "cached", "written", "output", "reasoning")]),
+    return rows.withColumns({c: carried(c, ["file"], ["line"]) for c in ("c_model", "c_cwd", "c_tier")})
+
+
+def codex_files(lines: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(file, session_id, parent_id, forked_ms, history_start, boundary) of each file. boundary: the line of the first
+    task of its own, where earlier lines are copies from its parent; beyond all lines, if there is none."""
+    rows = _codex_rows(lines) if rows is None else rows
+    heads = rows.where("head").select(
+        "file", F.coalesce(text("p.id"), text("p.session_id")).alias("own"), F.coalesce(text("p.forked_from_id"), text("p.parent_thread_id"), text("p.source.subagent.thread_spawn.parent_thread_id")).alias("parent_id"),
+        F.coalesce(log_millis(F.col("p.timestamp")), "ms").alias("forked_ms"), F.col("p.subagent_history_start_ordinal").alias("history_start"),
     )
-    totals = totals.join(starts, "file", "left").where("from_ms IS NULL OR ms < from_ms").drop("from_ms")
-    return _finish(totals.unionByName(single.select(*totals.columns)), "codex").where("input_tokens + output_tokens + cache_read_tokens + cache_write_tokens > 0")
+    known = rows.select("file").distinct().join(heads, "file", "left").withColumn("session_id", F.coalesce("own", file_session())).drop("own")
+    tasks = rows.where("kind = 'task_started'").join(known.where("parent_id IS NOT NULL AND forked_ms IS NOT NULL"), "file")
+    started, turn_id = log_millis(F.col("p.started_at")), F.trim("p.turn_id")
+    of_turn = F.when(turn_id.rlike(UUID7), F.conv(F.concat(F.substring(turn_id, 1, 8), F.substring(turn_id, 10, 4)), 16, 10).cast("long"))
+    by_turn = of_turn.isNotNull() & (started.isNull() | (F.floor(of_turn / 1000) == F.floor(started / 1000)))
+    whole = F.col("p.started_at").rlike("^[0-9]+$") & (F.col("p.started_at").try_cast("double") <= 1e11)
+    unit = F.when(by_turn, 1).when(whole, 1000).otherwise(1)
+    at = F.when(by_turn, of_turn).otherwise(started)
+    tasks = tasks.select("file", "line", (F.floor(at / unit) < F.floor(F.col("forked_ms") / unit)).alias("copied")).where("copied IS NOT NULL")
+    first = tasks.groupBy("file").agg(F.min(F.when(~F.col("copied"), F.col("line"))).alias("native"), F.min(F.when(F.col("copied"), F.col("line"))).alias("inherited"))
+    again = rows.where("r.type = 'session_meta' AND NOT head").select("file", text("p.id").alias("parent_id")).join(known.select("file", "parent_id"), ["file", "parent_id"]).select("file", F.lit(True).alias("ancestry")).distinct()
+    every = known.join(first, "file", "left").join(again, "file", "left")
+    inherited = F.col("inherited").isNotNull() & (F.col("native").isNull() | (F.col("inherited") < F.col("native")))
+    boundary = F.when(F.col("parent_id").isNotNull() & (F.coalesce("ancestry", F.lit(False)) | inherited), F.coalesce("native", F.when(inherited, F.lit((1 << 62)))))
+    return every.select("file", "session_id", "parent_id", "forked_ms", "history_start", boundary.alias("boundary"))
+
+
+def codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates, and the ids (id, file) that a collection withdraws: copied requests of a parent.
+
+    Running totals give what each adds. Records of single responses that name their thread are authoritative from the
+    first one on; others count only for compactions, unless a running total already holds them."""
+    rows = _codex_rows(lines)
+    files = codex_files(lines, rows)
+    u, info = "p.usage", "p.info"
+    rows = rows.where("kind IN ('token_count', 'token_usage_record', 'compacted', 'turn_context')").join(files, "file")
+    dated = rows.where("ms IS NOT NULL")
+    early = F.coalesce(F.col("r.ordinal") < F.col("history_start"), F.lit(False))
+    over = Window.partitionBy("file").orderBy("line")
+    totals = dated.where(f"kind = 'token_count' AND r.type = 'event_msg' AND {info} IS NOT NULL").withColumns({"total": _counts(f"{info}.total_token_usage"), "last": _counts(f"{info}.last_token_usage")})
+    totals = totals.withColumn("before", F.last(F.col("total"), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    fell = _fell(lambda c: F.col(f"total.{c}"), lambda c: F.col(f"before.{c}"), ["input_tokens", "output_tokens", "total_tokens"], "total_tokens")
+    delta = F.when(fell, F.col("total")).otherwise(F.struct(*[F.greatest(F.lit(0).cast("long"), F.col(f"total.{c}") - F.col(f"before.{c}")).alias(c) for c in COUNTS]))
+    added = F.when(F.col("total").isNull(), F.col("last")).when(~F.col("total").eqNullSafe(F.col("before")), F.coalesce("last", delta))
+    columns = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens")
+    split = lambda t: _split_cache(F.col(f"{t}.input_tokens"), F.col(f"{t}.cached_input_tokens"), F.greatest(f"{t}.cache_write_input_tokens", f"{t}.cache_creation_input_tokens"), F.col(f"{t}.output_tokens"), F.col(f"{t}.reasoning_output_tokens"))
+    snapshots = totals.withColumn("tokens", added).where(F.col("tokens").isNotNull() & ~early).select(
+        "file", "line", "ms", "session_id", "boundary", "tokens", "total", model_name(F.coalesce(_codex_model("p"), _codex_model(info), "c_model")).alias("raw_model"), project_name(F.col("c_cwd")).alias("project"), F.coalesce("c_tier", F.lit("")).alias("service_tier"), *split("tokens")
+    ).where(TOTAL)
+    snapshots = snapshots.withColumn("id", F.concat(F.lit("codex:total:"), F.sha2(json_list(quoted(F.col("session_id")), quoted(utc_iso(F.col("ms"))), *[F.col(c).cast("string") for c in columns]), 256)))
+    thread = text("p.thread_id")
+    single = dated.where(f"kind = 'token_usage_record' AND r.type = 'token_usage_record' AND {u} IS NOT NULL").where(~early & (thread.isNull() | (thread == F.col("session_id")))).withColumn("tokens", _counts(u))
+    single = single.select(
+        "file", "line", "ms", "session_id", "boundary", "tokens", _counts("p.thread_token_usage").alias("thread_total"), thread.alias("thread"), text("p.response_id").alias("response"), text("p.turn_id").alias("turn"), _codex_model("p").alias("named"),
+        F.col("c_model"), F.col("c_cwd"), F.coalesce(text("p.service_tier"), "c_tier", F.lit("")).alias("service_tier"), ordinal_text("value").alias("ordinal"), *split("tokens"),
+    ).where(TOTAL)
+    single = single.withColumn("id", F.coalesce(F.concat(F.lit("codex:response:"), "response"), fallback_id("codex", F.col("session_id"), F.col("ms"), F.col("ordinal"), F.col("line"))))
+    marks = rows.where("kind = 'compacted'").groupBy("file", text("p.compaction_response_id").alias("response")).agg(F.min("line").alias("mark")).where("response IS NOT NULL")
+    single = single.join(marks, ["file", "response"], "left")
+    first = single.where("thread IS NOT NULL AND mark IS NULL").groupBy("file").agg(F.min("ms").alias("first_ms"))
+    snapshots = snapshots.join(first, "file", "left").where("first_ms IS NULL OR ms < first_ms").drop("first_ms")
+    # a snapshot belongs to the last single record before it
+    both = snapshots.select("file", "line", F.lit(None).cast("long").alias("s")).union(single.select("file", "line", F.col("line").alias("s")))
+    owner = both.withColumn("after", F.last("s", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))).where("s IS NULL AND after IS NOT NULL").select("file", "line", "after")
+    held = snapshots.join(owner, ["file", "line"]).select("file", F.col("line").alias("at"), "after", F.col("tokens").alias("has"), F.col("total").alias("sum"))
+    waiting = single.where("mark IS NOT NULL AND NOT (thread IS NULL AND boundary IS NOT NULL AND line < boundary)").select("file", F.col("line").alias("after"), F.col("id").alias("native"), "mark", "tokens", "thread_total")
+    same = (F.col("has") == F.col("tokens")) | F.coalesce(F.col("sum") == F.col("thread_total"), F.lit(False))
+    covered = held.join(waiting, ["file", "after"]).where(same & (F.col("at") < F.col("mark"))).groupBy("file", "after").agg(F.min_by("native", "at").alias("native"), F.min("at").alias("line"))
+    copied = "boundary IS NOT NULL AND line < boundary"
+    kept = snapshots.where(f"NOT ({copied})").join(covered.select("file", "line", "native"), ["file", "line"], "left").withColumn("id", F.coalesce("native", "id"))
+    counted = single.where(f"(thread IS NOT NULL OR mark IS NOT NULL) AND NOT (thread IS NULL AND {copied})").join(covered.select("file", F.col("after").alias("line")), ["file", "line"], "left_anti")
+    turns = rows.where("kind = 'turn_context'").select("file", text("p.turn_id").alias("turn"), "line", "c_model", "c_cwd", "c_tier").where("turn IS NOT NULL").groupBy("file", "turn").agg(F.max_by(F.struct("c_model", "c_cwd", "c_tier"), "line").alias("t"))
+    counted = counted.join(turns, ["file", "turn"], "left")
+    of_turn = lambda c: F.when(F.col("t").isNotNull(), F.col(f"t.{c}")).otherwise(F.col(c))
+    counted = counted.withColumns({"raw_model": model_name(F.coalesce("named", of_turn("c_model"))), "project": project_name(of_turn("c_cwd")), "service_tier": F.coalesce(F.nullif("service_tier", F.lit("")), "t.c_tier", F.lit(""))})
+    withdrawn = snapshots.where(copied).select("id", "file").union(single.where(f"thread IS NULL AND mark IS NOT NULL AND {copied}").select("id", "file"))
+    return _finish(kept, "codex").union(_finish(counted, "codex")), withdrawn.distinct()
+
+
+PI = """type STRING, timestamp STRING, id STRING, cwd STRING, parentSession STRING, modelId STRING, message STRUCT<role: STRING, model: STRING,
+usage: STRUCT<input: DOUBLE, output: DOUBLE, cacheRead: DOUBLE, cacheWrite: DOUBLE, cacheWrite1h: DOUBLE, reasoning: DOUBLE>>"""
+
+
+def _pi_rows(lines: DataFrame) -> DataFrame:
+    rows = parsed(lines, PI).withColumn("ms", log_millis(F.col("r.timestamp")))
+    head = F.col("r.type") == "session"
+    used = (F.col("r.type") == "message") & (F.col("r.message.role") == "assistant") & F.col("r.message.usage").isNotNull() & F.col("ms").isNotNull()
+    rows = rows.withColumns({
+        "session": F.when(head, text("r.id")), "directory": F.when(head, F.coalesce(text("r.cwd"), F.lit(""))),
+        "parent": F.when(head, F.coalesce(F.element_at(F.split(F.regexp_replace(F.element_at(F.split(F.trim("r.parentSession"), r"[\\/]"), -1), r"(?i)\.jsonl$", ""), "_"), -1), F.lit(""))),
+        "forked": F.when(head, F.coalesce(F.when(text("r.parentSession").isNotNull(), F.col("ms")), F.lit(0))), "model": F.when(F.col("r.type") == "model_change", model_name(text("r.modelId"))).when(used, text("r.message.model")), "used": used,
+    })
+    return rows.withColumns({c: carried(c, ["file"], ["line"]) for c in ("session", "directory", "parent", "forked", "model")})
 
 
 def pi(lines: DataFrame) -> DataFrame:
-    """Assistant messages; model changes and the session's header carry forward."""
-    rows = lines.select(
-        "file", "line", "value", _get("type").alias("type"), log_millis(_get("timestamp")).alias("ms"), F.when(_get("type") == "session", _get("id")).alias("session_id"),
-        F.when(_get("type") == "session", _get("cwd")).alias("project"), F.coalesce(F.when(_get("type") == "model_change", _get("modelId")), _get("message.model")).alias("raw_model"), _get("id").alias("own"),
+    """Assistant messages; model changes and the session's header carry forward. native_id is the entry's own id."""
+    u = lambda n: number(f"r.message.usage.{n}")
+    out = _pi_rows(lines).where("used").select(
+        "file", "line", "ms", F.coalesce("session", file_session()).alias("session_id"), project_name(F.nullif("directory", F.lit(""))).alias("project"), model_name(F.col("model")).alias("raw_model"), u("input").alias("input_tokens"),
+        u("output").alias("output_tokens"), u("cacheRead").alias("cache_read_tokens"), u("cacheWrite").alias("cache_write_tokens"), F.least(u("reasoning"), u("output")).alias("reasoning_tokens"),
+        F.least(u("cacheWrite1h"), u("cacheWrite")).alias("cache_write_1h_tokens"), text("r.id").alias("native_id"), ordinal_text("value").alias("ordinal"), F.lit("").alias("service_tier"),
     )
-    rows = rows.withColumns({c: carried(c, ["file"], ["line"]) for c in ("session_id", "project", "raw_model")})
-    calls = rows.where((F.col("type") == "message") & (_get("message.role") == "assistant") & _get("message.usage").isNotNull())
-    u = lambda n: counter(_get(f"message.usage.{n}"))
-    out = calls.select(
-        "file", "line", "ms", F.coalesce("session_id", F.lit("")).alias("session_id"), "project", "raw_model", u("input").alias("input_tokens"), u("output").alias("output_tokens"), u("cacheRead").alias("cache_read_tokens"),
-        u("cacheWrite").alias("cache_write_tokens"), u("reasoning").alias("reasoning_tokens"), F.when(_get("message.usage.cacheWrite1h").isNotNull(), F.least(u("cacheWrite1h"), u("cacheWrite"))).alias("cache_write_1h_tokens"),
-        F.coalesce(F.concat(F.lit("pi:"), "session_id", F.lit(":"), "own"), fallback_id("pi", F.col("session_id"), F.col("ms"), F.col("line"))).alias("id"), F.col("own").alias("native_id"),
-    )
-    return _finish(out, "pi")
+    own = F.concat(F.lit("pi:"), "session_id", F.lit(":"), "native_id")
+    return _finish(out.withColumn("id", F.coalesce(own, fallback_id("pi", F.col("session_id"), F.col("ms"), F.col("ordinal"), F.col("line")))), "pi").where(TOTAL)
 
 
-def grok(ledgers: DataFrame) -> DataFrame:
-    """Ledgers (file, value): a row for each turn and model; ticks of 1e-10 dollars, where the cost is complete."""
-    turn = "turnNumber long, endedAt string, costComplete boolean, modelUsage map<string,struct<inputTokens:long,outputTokens:long,cachedReadTokens:long,cacheCreationTokens:long,reasoningTokens:long,modelCalls:int,costUsdTicks:long>>"
-    parsed = ledgers.select("file", _get("sessionId").alias("session_id"), F.explode(F.from_json(_get("turns"), f"array<struct<{turn.replace(' long', ':long').replace(' string', ':string').replace(' boolean', ':boolean').replace('modelUsage map', 'modelUsage:map')}>>")).alias("t"))
-    rows = parsed.select("file", "session_id", F.col("t.turnNumber").alias("line"), log_millis(F.col("t.endedAt")).alias("ms"), F.coalesce("t.costComplete", F.lit(True)).alias("complete"), F.explode("t.modelUsage").alias("raw_model", "u"))
-    counts = [F.col(f"u.{c}") for c in ("inputTokens", "cachedReadTokens", "cacheCreationTokens", "outputTokens", "reasoningTokens")]
-    valid = F.lit(True)
-    for c in counts:
-        valid = valid & (F.coalesce(c, F.lit(0)) >= 0)
-    zero = [F.coalesce(c, F.lit(0)).cast("long") for c in counts]
+def pi_files(lines: DataFrame) -> DataFrame:
+    """(session_id, parent_id, forked_ms) of each file's last header."""
+    rows = _pi_rows(lines).groupBy("file").agg(F.max_by(F.struct("session", "parent", "forked"), "line").alias("h"))
+    return rows.select(F.coalesce("h.session", file_session()).alias("session_id"), F.nullif("h.parent", F.lit("")).alias("parent_id"), F.nullif("h.forked", F.lit(0)).cast("long").alias("forked_ms"))
+
+
+_GROK_ROW = "inputTokens: DOUBLE, outputTokens: DOUBLE, cachedReadTokens: DOUBLE, cacheCreationTokens: DOUBLE, reasoningTokens: DOUBLE, modelCalls: DOUBLE, costUsdTicks: DOUBLE, costIsPartial: STRING, usageIsIncomplete: STRING"
+_GROK_USAGE = f"{_GROK_ROW}, primaryModelId: STRING, modelUsage: MAP<STRING, STRUCT<{_GROK_ROW}>>"
+#: The largest whole number that a double holds exactly.
+SAFE = (1 << 53) - 1
+
+
+def _encoded(value: Column) -> Column:
+    return F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))
+
+
+def _grok_calls(turns: DataFrame) -> DataFrame:
+    """turns (file, session_id, project, model, turn, ms, u) to candidates: a row for each model, or one for the turn."""
+    row = lambda name: F.struct(*[F.col(f"u.{f.split(':')[0]}").alias(f.split(":")[0]) for f in _GROK_ROW.split(", ")])
+    whole = F.array(F.struct(F.coalesce(text("u.primaryModelId"), F.nullif("model", F.lit("")), F.lit("unknown")).alias("key"), row("u").alias("value")))
+    rows = turns.withColumn("m", F.explode(F.when(F.size(F.coalesce(F.map_keys("u.modelUsage"), F.array())) > 0, F.map_entries("u.modelUsage")).otherwise(whole)))
+    count = lambda c: (F.col(f"m.value.{c}") >= 0) & (F.col(f"m.value.{c}") <= SAFE) & (F.floor(f"m.value.{c}") == F.col(f"m.value.{c}"))
+    valid = F.coalesce(count("inputTokens") & count("outputTokens"), F.lit(False))
+    for c in ("cachedReadTokens", "cacheCreationTokens", "reasoningTokens", "modelCalls"):
+        valid = valid & F.coalesce(count(c), F.lit(True))
+    said = lambda c: F.coalesce(F.col(c), F.lit("false")) != "false"
+    partial = said("m.value.costIsPartial") | said("m.value.usageIsIncomplete") | said("u.usageIsIncomplete")
+    model = F.coalesce(F.nullif("m.key", F.lit("")), F.lit("unknown"))
+    n = lambda c: number(f"m.value.{c}")
     out = rows.where(valid).select(
-        "file", "line", "ms", "session_id", "raw_model", F.concat_ws(":", F.lit("grok"), F.replace(F.url_encode("session_id"), F.lit("+"), F.lit("%20")), F.col("line").cast("string"), "raw_model").alias("id"), *_split_cache(*zero),
-        F.when(F.col("complete") & (F.col("u.costUsdTicks") > 0), F.col("u.costUsdTicks") / 1e10).alias("reported_cost_usd"),
+        "file", F.col("turn").alias("line"), "ms", "session_id", "project", model.alias("raw_model"), F.concat(F.lit("grok:turn:"), _encoded(F.col("session_id")), F.lit(":"), F.col("turn").cast("string"), F.lit(":"), _encoded(model)).alias("id"),
+        *_split_cache(n("inputTokens"), n("cachedReadTokens"), n("cacheCreationTokens"), n("outputTokens"), n("reasoningTokens")),
+        F.when(~partial & count("costUsdTicks") & (F.col("m.value.costUsdTicks") > 0), F.col("m.value.costUsdTicks") / 1e10).alias("reported_cost_usd"), F.col("m.value.modelCalls").cast("int").alias("requests"), F.lit("").alias("service_tier"),
     )
-    return _finish(out, "grok")
+    return _finish(out, "grok").where("input_tokens + cache_read_tokens + cache_write_tokens + output_tokens > 0")
+
+
+def grok(ledgers: DataFrame) -> DataFrame:
+    """Ledgers (file, session_id, project, model, value): a row for each turn and model. Positive complete costs are
+    kept, in ticks of 1e-10 dollars. A ledger of another session, or without turns, has no rows."""
+    schema = f"sessionId STRING, turns ARRAY<STRUCT<turnNumber: DOUBLE, endedAt: STRING, {_GROK_USAGE}>>"
+    rows = ledgers.withColumn("l", F.from_json("value", schema)).where(text("l.sessionId").isNull() | (text("l.sessionId") == F.col("session_id")))
+    turns = rows.select("file", "session_id", "project", "model", F.explode("l.turns").alias("u")).withColumns({"turn": number("u.turnNumber"), "ms": log_millis(F.col("u.endedAt"))})
+    return _grok_calls(turns.where("turn > 0 AND ms IS NOT NULL"))
+
+
+def grok_updates(lines: DataFrame) -> DataFrame:
+    """Update streams (file, session_id, project, model, line, value): the user's turns in order; the last completion of
+    one event replaces the turn, and the model that updates name carries forward."""
+    schema = f"""timestamp STRING, params STRUCT<_meta: STRUCT<eventId: STRING, agentTimestampMs: STRING>,
+    update: STRUCT<sessionUpdate: STRING, _meta: STRUCT<modelId: STRING>, usage: STRUCT<{_GROK_USAGE}>>>"""
+    rows = lines.withColumn("r", F.from_json("value", schema)).where("r IS NOT NULL").withColumn("named", text("r.params.update._meta.modelId"))
+    rows = rows.withColumn("model", F.coalesce(carried("named", ["file"], ["line"]), "model")).where("r.params.update.sessionUpdate = 'turn_completed'")
+    event = F.coalesce(text("r.params._meta.eventId"), F.concat(F.lit("\x00"), F.col("line").cast("string")))
+    rows = rows.withColumns({"event": event, "first": F.min("line").over(Window.partitionBy("file", event))})
+    rows = rows.withColumn("turn", F.dense_rank().over(Window.partitionBy("file").orderBy("first")).cast("long"))
+    ms = F.coalesce(log_millis(F.col("r.params._meta.agentTimestampMs")), log_millis(F.col("r.timestamp")))
+    rows = rows.select("file", "session_id", "project", "model", "turn", "line", ms.alias("ms"), F.col("r.params.update.usage").alias("u")).where("u IS NOT NULL AND ms IS NOT NULL")
+    last = Window.partitionBy("file", "turn").orderBy(F.desc("line"))
+    return _grok_calls(rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "line"))
+
+
+def grok_sessions(ledgers: DataFrame, updates: DataFrame) -> DataFrame:
+    """Candidates of sessions by their ledger, and by their updates where the ledger is missing or gives nothing."""
+    own = grok(ledgers)
+    return own.unionByName(grok_updates(updates).join(own.select("session_id").distinct(), "session_id", "left_anti"))
+
+
+MUSE = """id STRING, payload_type STRING, recorded_at STRING, sequence DOUBLE, stream STRUCT<kind: STRING, id: STRING>, payload STRUCT<source_run_record_id: STRING, record: STRUCT<workspace_root: STRING, model_id: STRING>,
+event: STRUCT<kind: STRING, model: STRING, usage: STRUCT<input_tokens: DOUBLE, cache_read_tokens: DOUBLE, cached_tokens: DOUBLE, cache_write_tokens: DOUBLE, output_tokens: DOUBLE, reasoning_tokens: DOUBLE>>>"""
 
 
 def _muse_records(lines: DataFrame) -> DataFrame:
     """(file, line, value, place, ordinal): records that frames nest as JSON text, unfolded until a level is empty; place
-    orders a line's records. Each level is checkpointed, so that none is unfolded twice."""
-    spark = lines.sparkSession
-    keep = (lambda x: x.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda x: x.localCheckpoint())
+    orders a line's records. Each level is a table, so that none is unfolded twice."""
     level = lines.select("file", "line", "value", F.array().cast("array<int>").alias("place"), F.lit("").alias("ordinal"))
     every = None
     while True:
         frame = F.coalesce(F.get_json_object("value", "$.children").startswith("["), F.lit(False))
         every = level.where(~frame) if every is None else every.union(level.where(~frame))
-        inner = level.where(frame).select("file", "line", "place", "ordinal", F.posexplode(F.from_json(_get("children"), "array<struct<record_json:string,child_index:long>>")).alias("at", "c")).where("c.record_json <> ''")
-        level = keep(inner.select("file", "line", F.col("c.record_json").alias("value"), F.concat("place", F.array("at")).alias("place"), F.concat_ws(":", F.nullif("ordinal", F.lit("")), F.coalesce("c.child_index", "at").cast("string")).alias("ordinal")))
+        children = F.from_json(F.get_json_object("value", "$.children"), "array<struct<record_json:string,child_index:long>>")
+        inner = level.where(frame).select("file", "line", "place", "ordinal", F.posexplode(children).alias("at", "c")).where("trim(c.record_json) <> ''")
+        level = written(inner.select("file", "line", F.col("c.record_json").alias("value"), F.concat("place", F.array("at")).alias("place"), F.concat_ws(":", F.nullif("ordinal", F.lit("")), F.coalesce("c.child_index", "at").cast("string")).alias("ordinal")), "muse")
         if level.isEmpty():
             return every
 
 
+def muse_path_ids(file: str = "file") -> tuple[Column, Column]:
+    """Session and parent of a path: .../<session>/session.jsonl, or .../<parent>/<group>/<session>/session.jsonl."""
+    parts = F.filter(F.split(file, r"[\\/]"), lambda x: x != "")
+    at = lambda n: F.try_element_at(parts, F.lit(n))
+    groups = ("subagent", "approval-review", "workflows")
+    session = F.when(file_session(file) == "session", F.coalesce(at(-2), F.lit("unknown"))).otherwise(file_session(file))
+    parent = F.when(at(-3).isin(*groups), at(-4)).when(at(-2).isin(*groups), at(-3))
+    return session, F.when(parent != session, parent)
+
+
 def muse(lines: DataFrame) -> DataFrame:
     """model_completed events of session streams; session, workspace and model of earlier records carry forward."""
-    kind, kept = _get("stream.kind"), ("runtime.session.metadata", "session.workspace_branch.observed", "run.model.configured")
-    told = lambda n: F.when(_get("payload_type").isin(*kept), F.nullif(_get(f"payload.record.{n}"), F.lit("")))
-    parts = F.split("file", r"[\\/]")
-    name = F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "")
-    of_path = F.when(name == "session", F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("unknown"))).otherwise(name)
-    rows = _muse_records(lines).where(F.coalesce(kind, F.lit("")).isin("", "session"))
-    rows = rows.withColumns({"stream": F.when(kind == "session", F.nullif(_get("stream.id"), F.lit(""))), "project": told("workspace_root"), "model": told("model_id")})
-    rows = rows.withColumns({c: carried(c, ["file"], ["line", "place"]) for c in ("stream", "project", "model")})
-    e = "payload.event"
-    calls = rows.where((_get(f"{e}.kind") == "model_completed") & _get(f"{e}.usage").isNotNull() & ~F.coalesce(_get("payload_type").isin(*kept), F.lit(False)))
-    u = lambda n: counter(_get(f"{e}.usage.{n}"))
-    at = _get("recorded_at").try_cast("double")
-    ms = F.when(at.isNull(), log_millis(_get("recorded_at"))).when(at > 1e17, at / 1e6).when(at > 1e14, at / 1e3).when(at > 1e11, at).otherwise(at * 1000).cast("long")
-    calls = calls.withColumns({"ms": ms, "session_id": F.coalesce("stream", _get("session_id"), of_path)})
-    native = F.coalesce(F.nullif(_get("payload.source_run_record_id"), F.lit("")), F.nullif(_get("id"), F.lit("")))
-    ordinal = F.coalesce(_get("sequence"), F.when(F.col("ordinal") != "", F.concat_ws(":", F.col("line").cast("string"), "ordinal")))
+    of_path, parent = muse_path_ids()
+    rows = parsed_records(_muse_records(lines), MUSE).where("coalesce(trim(r.stream.kind), '') IN ('', 'session')")
+    told = F.col("r.payload_type").isin("runtime.session.metadata", "session.workspace_branch.observed", "run.model.configured")
+    rows = rows.withColumns({"told": F.coalesce(told, F.lit(False)), "stream": F.when(F.col("r.stream.kind") == "session", text("r.stream.id"))})
+    rows = rows.withColumns({"directory": F.when(F.col("told"), text("r.payload.record.workspace_root")), "model": F.when(F.col("told"), text("r.payload.record.model_id"))})
+    rows = rows.withColumns({c: carried(c, ["file"], ["line", "place"]) for c in ("stream", "directory", "model")})
+    calls = rows.where("r.payload.event.kind = 'model_completed' AND r.payload.event.usage IS NOT NULL AND NOT told")
+    at = F.col("r.recorded_at").try_cast("double")
+    ms = F.when(at.isNull(), log_millis(F.col("r.recorded_at"))).when(at > 1e17, at / 1e6).when(at > 1e14, at / 1e3).when(at > 1e11, at).otherwise(at * 1000).cast("long")
+    calls = calls.withColumns({"ms": F.when(ms > 0, ms), "session_id": F.coalesce("stream", of_path)})
+    native = F.coalesce(text("r.payload.source_run_record_id"), text("r.id"))
+    ordinal = F.coalesce(ordinal_text("value", "$.sequence"), F.when(F.col("ordinal") != "", quoted(F.concat_ws(":", F.col("line").cast("string"), "ordinal"))))
+    u = lambda n: number(f"r.payload.event.usage.{n}")
     out = calls.select(
-        "file", "line", "ms", "session_id", "project", F.coalesce(F.nullif(_get(f"{e}.model"), F.lit("")), "model", F.lit("unknown")).alias("raw_model"),
-        F.coalesce(F.concat(F.lit("muse:record:"), native), F.concat(F.lit("muse:"), "session_id", F.lit(":"), _get(f"{e}.id")), fallback_id("muse", F.col("session_id"), F.col("ms"), ordinal, F.col("line"))).alias("id"),
-        *_split_cache(u("input_tokens"), F.greatest(u("cache_read_tokens"), u("cached_tokens"), u("cached_input_tokens")), u("cache_write_tokens"), u("output_tokens"), u("reasoning_tokens")),
+        "file", "line", "ms", "session_id", project_name(F.col("directory")).alias("project"), parent.alias("parent_id"), model_name(F.coalesce(text("r.payload.event.model"), "model")).alias("raw_model"), F.lit("").alias("service_tier"),
+        F.coalesce(F.concat(F.lit("muse:record:"), native), fallback_id("muse", F.col("session_id"), F.col("ms"), ordinal, F.col("line"))).alias("id"),
+        *_split_cache(u("input_tokens"), F.greatest(u("cache_read_tokens"), u("cached_tokens")), u("cache_write_tokens"), u("output_tokens"), u("reasoning_tokens")),
     )
-    return _finish(out, "muse").where("input_tokens + output_tokens + cache_read_tokens + cache_write_tokens > 0")
+    return _finish(out, "muse").where(TOTAL)
+
+
+def parsed_records(rows: DataFrame, schema: str) -> DataFrame:
+    return rows.withColumn("r", F.from_json("value", schema)).where("r IS NOT NULL")
 
 
 def as_events(candidates: DataFrame, device_id: str) -> DataFrame:
-    """Candidates of a collection as rows of the fact table."""
+    """Candidates of a collection as rows of the fact table. A cost that the log reports whole is known."""
+    known = F.col("reported_cost_usd").isNotNull()
     return candidates.select(
-        "*", F.lit(device_id).alias("device_id"), F.to_timestamp_ntz(F.regexp_replace(utc_iso(F.col("ms")), "Z$", "")).alias("ts"), F.lit(0.0).alias("cost_usd"), F.lit(False).alias("cost_known"),
-        F.lit(None).cast("int").alias("requests"), *[F.lit(None).cast("string").alias(c) for c in ("repository", "session_title", "project_name", "thread_id", "thread_url")],
-    ).drop("sidechain", "native_id", "parent_id", "file", "line")
+        "*", F.lit(device_id).alias("device_id"), F.to_timestamp_ntz(F.regexp_replace(utc_iso(F.col("ms")), "Z$", "")).alias("ts"), F.coalesce("reported_cost_usd", F.lit(0.0)).alias("cost_usd"), known.alias("cost_known"),
+        *[F.lit(None).cast("string").alias(c) for c in ("repository", "session_title", "project_name", "thread_id", "thread_url")],
+    ).drop("sidechain", "native_id", "parent_id", "legacy_id", "file", "line")

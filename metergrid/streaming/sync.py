@@ -18,7 +18,7 @@ def sync(spark: SparkSession, incoming: str, store: str, checkpoint: str, upload
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         rows = latest(batch)
-        upserts = checked(rows.where("change = 'upsert'")).drop("change", "seq")
+        upserts = checked(rows.where("change = 'upsert'"), most=None).drop("change", "seq")
         write_days(batch.sparkSession, store, upserts, stored, f"{checkpoint}/batch-{batch_id}", rows.where("change = 'delete'").select("device_id", "id"))
 
     stream = spark.readStream.schema(upload).parquet(incoming)

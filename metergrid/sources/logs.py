@@ -170,10 +170,10 @@ def claude(lines: DataFrame) -> DataFrame:
     return _finish(out, "claude").where(TOTAL)
 
 
-def claude_empty(lines: DataFrame) -> DataFrame:
+def claude_empty(lines: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(native_id, session_id, id) of main requests of which no record of their file bills anything: they own their
     replays, though they aren't billed."""
-    calls = claude(lines).select("file", F.coalesce("parent_id", "id").alias("record_id")).distinct()
+    calls = (claude(lines) if rows is None else rows).select("file", F.coalesce("parent_id", "id").alias("record_id")).distinct()
     main = _claude_records(lines).where("native_id IS NOT NULL AND NOT sidechain").select("file", "native_id", "session_id", "record_id").distinct()
     return main.join(calls, ["file", "record_id"], "left_anti").select("native_id", "session_id", F.col("record_id").alias("id"))
 
@@ -198,7 +198,7 @@ def _counts(of: str) -> Column:
 
 def _codex_rows(lines: DataFrame) -> DataFrame:
     """Records with the context that holds at each: model, directory and tier so far."""
-    rows = parsed(lines, CODEX).select("file", "line", "value", "r", F.col("r.payload").alias("p"), log_millis(F.col("r.timestamp")).alias("ms"))
+    rows = parsed(lines, CODEX).select("file", "line", ordinal_text("value").alias("ordinal"), "r", F.col("r.payload").alias("p"), log_millis(F.col("r.timestamp")).alias("ms"))
     kind = F.when(F.col("r.type") == "event_msg", F.col("p.type")).otherwise(F.col("r.type"))
     rows = rows.withColumns({"kind": F.coalesce(kind, F.lit("")), "meta": F.when(F.col("r.type") == "session_meta", F.col("line"))})
     rows = rows.withColumn("head", (F.col("r.type") == "session_meta") & (F.col("line") == F.min("meta").over(Window.partitionBy("file"))))
@@ -241,8 +241,8 @@ def codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Running totals give what each adds. Records of single responses that name their thread are authoritative from the
     first one on; others count only for compactions, unless a running total already holds them."""
-    rows = _codex_rows(lines)
-    files = codex_files(lines, rows)
+    rows = written(_codex_rows(lines), "codex")  # accounting fields only, read by each step below
+    files = written(codex_files(lines, rows), "codex-files")
     u, info = "p.usage", "p.info"
     rows = rows.where("kind IN ('token_count', 'token_usage_record', 'compacted', 'turn_context')").join(files, "file")
     dated = rows.where("ms IS NOT NULL")
@@ -263,13 +263,13 @@ def codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     single = dated.where(f"kind = 'token_usage_record' AND r.type = 'token_usage_record' AND {u} IS NOT NULL").where(~early & (thread.isNull() | (thread == F.col("session_id")))).withColumn("tokens", _counts(u))
     single = single.select(
         "file", "line", "ms", "session_id", "boundary", "tokens", _counts("p.thread_token_usage").alias("thread_total"), thread.alias("thread"), text("p.response_id").alias("response"), text("p.turn_id").alias("turn"), _codex_model("p").alias("named"),
-        F.col("c_model"), F.col("c_cwd"), F.coalesce(text("p.service_tier"), "c_tier", F.lit("")).alias("service_tier"), ordinal_text("value").alias("ordinal"), *split("tokens"),
+        F.col("c_model"), F.col("c_cwd"), F.coalesce(text("p.service_tier"), "c_tier", F.lit("")).alias("service_tier"), "ordinal", *split("tokens"),
     ).where(TOTAL)
     single = single.withColumn("id", F.coalesce(F.concat(F.lit("codex:response:"), "response"), fallback_id("codex", F.col("session_id"), F.col("ms"), F.col("ordinal"), F.col("line"))))
     marks = rows.where("kind = 'compacted'").groupBy("file", text("p.compaction_response_id").alias("response")).agg(F.min("line").alias("mark")).where("response IS NOT NULL")
-    single = single.join(marks, ["file", "response"], "left")
+    single = written(single.join(marks, ["file", "response"], "left"), "codex-single")
     first = single.where("thread IS NOT NULL AND mark IS NULL").groupBy("file").agg(F.min("ms").alias("first_ms"))
-    snapshots = snapshots.join(first, "file", "left").where("first_ms IS NULL OR ms < first_ms").drop("first_ms")
+    snapshots = written(snapshots.join(first, "file", "left").where("first_ms IS NULL OR ms < first_ms").drop("first_ms"), "codex-totals")
     # a snapshot belongs to the last single record before it
     both = snapshots.select("file", "line", F.lit(None).cast("long").alias("s")).union(single.select("file", "line", F.col("line").alias("s")))
     owner = both.withColumn("after", F.last("s", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))).where("s IS NULL AND after IS NOT NULL").select("file", "line", "after")

@@ -6,17 +6,17 @@ import os
 import duckdb
 import pytest
 
-from metergrid import oracle, page_oracle, page_queries
+from metergrid import log_oracle, log_queries, oracle, page_oracle, page_queries
 from metergrid import queries as core
 
 
 def queries():
-    return core.queries() | page_queries.queries()
+    return core.queries() | page_queries.queries() | log_queries.queries()
 
 
 def oracle_sql():
     found = oracle.oracle_sql()
-    return found | page_oracle.oracle_sql(found)
+    return found | page_oracle.oracle_sql(found) | log_oracle.oracle_sql()
 
 
 def _value(v):
@@ -37,7 +37,7 @@ def duck(sf_dir):
 
 
 CHECKED = ("totals_7d_kathmandu", "by_model", "marginals", "daily_zero_filled_new_york", "hourly_today_kathmandu", "weekly_90d", "owner_dedup_device_filter", "sessions", "facets_of_device", "reprice", "cost_parts",
-           "unresolved_pricing", "series_arrays", "bucket_other", "period_delta", "counter_delta_reset", "fork_owner", "parent_project_inherit", "merge_preserve_metadata", "changed_records", "project_labels", "canonical_repository", *page_queries.queries())
+           "unresolved_pricing", "series_arrays", "bucket_other", "period_delta", "counter_delta_reset", "fork_owner", "parent_project_inherit", "merge_preserve_metadata", "changed_records", "project_labels", "canonical_repository", *page_queries.queries(), *log_queries.queries())
 
 
 def test_every_query_has_sql():

@@ -10,9 +10,6 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metergrid.tables import Scratch, shared_dir, written
+
+__all__ = ["Scratch", "arrow_map", "bounded_sample", "flat_bytes", "held_out", "read", "shared_dir", "sliced", "text_bytes", "whole_groups", "written"]
+
 #: Bytes of text that one Python step holds besides the Arrow batch it came in.
 SLICE_BYTES = 4 << 20
 
@@ -30,52 +31,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir. A session on one machine (tests, notebooks)
-    that has none gets a temporary folder, set once and kept for the session; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.metergrid.scratch", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="metergrid-")
-        spark.conf.set("spark.metergrid.scratch", found)
-    return found
-
-
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    return _stored(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", partition_by)
-
-
-def _stored(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables of one run in the shared folder. drop() deletes one after its last use, the end of the run all of them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.paths = spark, shared_dir(spark), {}
-
-    def written(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        out = _stored(df, path, partition_by)
-        self.paths[out] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(table))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *error) -> None:
-        self.drop(*self.paths)
-
-
 def text_bytes(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

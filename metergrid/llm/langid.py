@@ -164,3 +164,33 @@ def predict_language(docs: DataFrame, model: dict[str, np.ndarray], text_col: st
         return step
 
     return arrow_map(docs, text_col, outputs, make, carry, limit=SLICE)
+
+
+#: Labelled rows of a length that give it a floor at least.
+FLOOR_ROWS = 20
+
+
+def length_class(text_col: str = "text"):
+    """The number of doublings in a text's characters; 0 for a null or empty one."""
+    return F.floor(F.log2(F.greatest(F.lit(1), F.coalesce(F.char_length(text_col), F.lit(0))))).cast("int")
+
+
+def score_floors(rows: DataFrame, model: dict[str, np.ndarray], share: float = 0.45, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = TRAIN_ROWS) -> dict[int, float]:
+    """For each length class of texts the score below which a text is in none of the model's languages: `share` of the
+    median of labelled texts of this length, since short texts score less; below 256 characters, where scores scatter,
+    a smaller share the shorter they are. Classes with fewer than FLOOR_ROWS take the median of the nearest class that
+    has them, in proportion where that is longer; without any there are no floors."""
+    rows = bounded_sample(rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, lang_col), id_col, max_rows)
+    scored = predict_language(rows, model, text_col).where("score > 0").groupBy(length_class(text_col).alias("size"))
+    found = scored.agg(F.count("*").alias("n"), F.percentile_approx("score", 0.5, 10_000).alias("middle")).where(F.col("n") >= FLOOR_ROWS)
+    middle = {r["size"]: r["middle"] for r in found.collect()}  # a row for each doubling
+    near = {size: min(middle, key=lambda k: (abs(k - size), k)) for size in range(1, 64)} if middle else {}
+    return {size: share * min(1.0, size / 8) * middle[k] * min(1.0, size / k) for size, k in near.items()}
+
+
+def below_floor(floors: dict[int, float], text_col: str = "text", score_col: str = "score"):
+    """True for rows of predict_language() that score less than their length's floor."""
+    if not floors:
+        return F.lit(False)
+    table = F.create_map(*[F.lit(x) for pair in sorted(floors.items()) for x in pair])
+    return F.col(score_col) < F.coalesce(F.try_element_at(table, length_class(text_col)), F.lit(0.0))

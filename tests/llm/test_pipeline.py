@@ -36,6 +36,22 @@ def test_language_keeps_clean_documents(kept):
     assert not [r for r in after.values() if not any(c.isalpha() for c in r["text"] or "")]
 
 
+FOREIGN = {
+    "italian": "la casa era molto grande e il giardino pieno di fiori che i bambini raccoglievano ogni mattina prima di andare a scuola insieme ai loro amici del quartiere vicino al fiume",
+    "dutch": "het huis stond aan de rand van het dorp en de kinderen speelden elke middag bij het water terwijl hun ouders op het land werkten tot de zon onderging achter de heuvels",
+    "polish": "dom stał na skraju wsi a dzieci bawiły się codziennie nad wodą podczas gdy ich rodzice pracowali w polu aż słońce zaszło za wzgórza i wszyscy wracali do domu na kolację",
+    "letters": "qzx vjk wqx zzkq xvvj kqwz jxqk vzzw qkxj wvqz xkjq zvwq kxzj qvwx jzkq xwvz qjkx zwvq kzxj vqwk",
+}
+
+
+def test_other_languages_go(spark, larger_dir):
+    docs = read(spark, larger_dir, "documents")
+    rows = [(-i, text * n, None, "s", 1) for i, text in enumerate(FOREIGN.values(), 1) for n in (4, 1)]
+    planted = spark.createDataFrame(rows, DOCS)
+    kept = corpus_pipeline.known_language(spark, docs.unionByName(planted), larger_dir)
+    assert not kept.where("doc_id < 0").count()
+
+
 def test_one_of_each_group_of_near_copies(kept):
     before, after = _rows(kept[1]), _rows(kept[2])
     assert kept[2].columns == kept[0].columns

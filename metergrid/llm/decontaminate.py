@@ -9,7 +9,8 @@ item where it is shorter. Patterns of one length form one searcher with three ta
 * the direct comparison of the words under the position with those patterns.
 
 The tables of at most BLOCK_WINDOWS windows are broadcast; a larger benchmark is searched in as many
-passes over the documents, one bounded block after the other, with the hits carried along in the rows.
+passes over the documents, one bounded block after the other, with the hits carried along in the rows. The rows are
+written between passes, so that a worker holds the tables of one block only.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metergrid.llm.common import arrow_map, text_bytes
+from metergrid.llm.common import Scratch, arrow_map, text_bytes
 
 #: Windows whose tables one broadcast may hold (about 0.5 KB each in a worker).
 BLOCK_WINDOWS = 100_000
@@ -112,7 +113,7 @@ def find_contamination(
     blocks = max(1, -(-total // (2 * block_windows)))
     known = known.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
     outputs = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", SPAN), T.StructField("items", T.ArrayType(T.StringType()))])
-    out = docs
+    out, tmp = docs, Scratch(spark)
     for block in range(blocks):
         rows = [(r["item"], r["text"]) for r in known.where(F.col("block") == block).select("item", "text").collect()]
         tables = spark.sparkContext.broadcast(searchers(rows, window))
@@ -144,6 +145,9 @@ def find_contamination(
         last = block == blocks - 1
         kept = carry if last or carry is None else list(dict.fromkeys([*carry, text_col]))
         out = arrow_map(out, text_col, outputs, make, kept, reads=() if first else ("hits", "items"))
+        if not last:
+            out = tmp.written(out, "contaminated")
+            tmp.drop(*[t for t in list(tmp.paths) if t is not out])
     return out
 
 

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from metergrid.llm.secrets import BASE, RULES
+# Fixed values, written out here so that the rules of the code are checked: kind, pattern, tested group, least length. The
+# first three are the base kinds. A private key goes to its last line, or to the end of its base64.
+_KEY, _B64 = "[A-Z ]*PRIVATE KEY-----", "[A-Za-z0-9+/=]"
+_PIECE = rf"""(?:[\s"'>#*+,;\\-]+{_B64}{{32,}}){{0,31}}"""
+RULES = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("pem", rf"""-----BEGIN {_KEY}(?:[^-]*(?:--?-?-?[^-]+){{0,400}}------*END {_KEY}|[\\\r\nA-Za-z0-9+/=]*{_PIECE}{_PIECE}{_PIECE}{_PIECE}(?:[ \t"'>#*+,;\\]*[\r\n]+[ \t"'>#*]*{_B64}+)?)""", 0, 1),
+    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+    ("mapkey", "AIza[A-Za-z0-9_-]{35}", 0, 1),
+    ("pay", "[rs]k_live_[A-Za-z0-9]{16,}", 0, 1),
+)
 
 
 def _op9(window: int = 10) -> str:
@@ -28,16 +42,16 @@ FROM d LEFT JOIN word USING (k) LEFT JOIN item USING (k)"""
 
 def _op10() -> str:
     parts = []
-    for order, r in enumerate(RULES):
-        p = r.pattern.replace("'", "''")
-        tested = f"regexp_extract_all(text, '{p}', {r.group})"
+    for order, (kind, pattern, group, least) in enumerate(RULES):
+        p = pattern.replace("'", "''")
+        tested = f"regexp_extract_all(text, '{p}', {group})"
         parts.append(f"""list_filter(list_transform(generate_series(1, len(regexp_extract_all(text, '{p}'))), lambda i: {{
   'first': list_sum(list_transform(regexp_split_to_array(text, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(text, '{p}')[1:i - 1], lambda x: length(x))), 0),
-  'place': {order}, 'size': length(regexp_extract_all(text, '{p}')[i]), 'tested': length({tested}[i]), 'kind': '{r.kind}'}}), lambda s: s.tested >= {r.least})""")
+  'place': {order}, 'size': length(regexp_extract_all(text, '{p}')[i]), 'tested': length({tested}[i]), 'kind': '{kind}'}}), lambda s: s.tested >= {least})""")
     every = "list_sort(" + " || ".join(parts) + ")"
     write = lambda s: f"array_to_string(list_transform({s}, lambda s: s.kind || ':' || CAST(s.first AS BIGINT) || ':' || CAST(s.first + s.size AS BIGINT)), ',')"
     base = "list_filter(spans, lambda s: s.place < 3)"
-    counts = ", ".join(f"CAST(len(list_filter(spans, lambda s: s.kind = '{k}')) AS BIGINT) AS n_{k}" for k in BASE)
+    counts = ", ".join(f"CAST(len(list_filter(spans, lambda s: s.kind = '{k}')) AS BIGINT) AS n_{k}" for k in ("assign", "access", "hex"))
     return f"""
 SELECT doc_id, {counts}, sha256({write(base)}) AS base_sha256, {write("spans")} AS spans
 FROM (SELECT doc_id, {every} AS spans FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"""

@@ -102,6 +102,11 @@ def utc_day() -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ms") / 86_400_000).cast("int"))
 
 
+def occupied_days(events: DataFrame) -> DataFrame:
+    """(utc_day): days that hold rows."""
+    return events.select(utc_day().alias("utc_day")).distinct()
+
+
 def read_store(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 

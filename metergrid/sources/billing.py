@@ -54,3 +54,12 @@ def residual(agents: DataFrame, runs: DataFrame) -> DataFrame:
     summed = runs.groupBy("agent").agg(F.sum("tokens").alias("of_runs"))
     joined = agents.join(summed, "agent", "left").withColumn("of_runs", F.coalesce("of_runs", F.lit(0)))
     return joined.select("agent", "tokens", "of_runs", F.greatest(F.lit(0), F.col("tokens") - F.col("of_runs")).alias("residual"))
+
+
+def refreshed(previous: DataFrame, fresh: DataFrame, agents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A snapshot of cloud usage after a refresh, and the ids to withdraw. Of agents (session_id) that were read again only
+    the fresh rows stay; rows of others are kept, since their absence proves nothing."""
+    again = agents.select("session_id").distinct()
+    events = fresh.unionByName(previous.join(again, "session_id", "left_anti").select(*fresh.columns))
+    gone = previous.join(again, "session_id", "left_semi").select("id").distinct()
+    return events, gone.join(events.select("id"), "id", "left_anti")

@@ -300,3 +300,28 @@ def test_ancestors_of_any_depth(spark):
     got = ancestors(spark.createDataFrame(rows, "session_id string, parent_id string"), depth=4).collect()
     want = {(f"s{i}", f"s{j}", i - j) for i in range(41) for j in range(i)} | {("x", "y", 1), ("y", "x", 1)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_source_roots(spark):
+    from metergrid.sources.roots import grok_project, source_roots
+
+    found = source_roots({"CODEX_HOME": "~/c, /d/sessions ,~/c", "XDG_DATA_HOME": "/x"}, "/h")
+    assert found == [("claude", "/h/.claude/projects"), ("codex", "/h/c/sessions"), ("codex", "/h/c/archived_sessions"), ("codex", "/d/sessions"), ("pi", "/h/.pi/agent/sessions"), ("grok", "/h/.grok/sessions"), ("muse", "/x/muse/sessions")]
+    rows = spark.createDataFrame([("/s/%2Fhome%2Fu%2Fp/s1/usage.json",), ("/s/short/s2/usage.json",), ("x",)], "file string")
+    assert [r[0] for r in rows.select(grok_project()).collect()] == ["/home/u/p", None, None]
+
+
+def test_refreshed_snapshots(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, session_id string, n int")
+    events, gone = billing.refreshed(rows(("a", "1", 1), ("b", "1", 1), ("c", "2", 1)), rows(("a", "1", 2)), rows(("x", "1", 0)))
+    assert sorted(tuple(r) for r in events.collect()) == [("a", "1", 2), ("c", "2", 1)] and [r["id"] for r in gone.collect()] == ["b"]
+
+
+def test_metadata_of_threads_and_repositories(spark):
+    from metergrid.operators.collect import with_metadata
+
+    events = spark.createDataFrame([("codex", "s", "/a"), ("codex", "t", "/b"), ("pi", "s", "/c")], "harness string, session_id string, project string")
+    threads = spark.createDataFrame([("codex", "s", "T2", None, "id2", None, "/z", 2), ("codex", "s", "T1", "P", "id1", "u", "/y", 1)], "harness string, session_id string, session_title string, project_name string, thread_id string, thread_url string, project string, priority int")
+    repos = spark.createDataFrame([("/a", "local:a"), ("/y", "github.com/o/y"), ("/b", "github.com/o/b")], "project string, repository string")
+    got = {(r["harness"], r["session_id"]): (r["session_title"], r["thread_id"], r["repository"]) for r in with_metadata(events, threads, repos).collect()}
+    assert got == {("codex", "s"): ("T1", "id1", "github.com/o/y"), ("codex", "t"): (None, None, "github.com/o/b"), ("pi", "s"): (None, None, None)}

@@ -58,7 +58,8 @@ def maximal(conversations: DataFrame, **columns: str) -> DataFrame:
 
 
 def render(kept: DataFrame) -> DataFrame:
-    """(conv, n_turns, chat): one text for each conversation, its turns in order."""
+    """(conv, n_turns, chat): one text for each conversation, its turns in order. Texts are kept as they are, also where
+    they hold the words that mark turns."""
     piece = F.concat(F.lit(TURN[0]), "role", F.lit(TURN[1]), "text", F.lit(TURN[2]))
     gathered = kept.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("place", piece.alias("piece")))).alias("pieces"))
     return gathered.select("conv", F.size("pieces").cast("long").alias("n_turns"), F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("chat"))

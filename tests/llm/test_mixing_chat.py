@@ -57,3 +57,23 @@ def test_snapshots_collapse(spark):
     assert set(got) == {"b", "d", "e", "g"}
     assert got["b"] == (3, "<|user|>\nhi\n<|end|>\n<|bot|>\nyo\n<|end|>\n<|user|>\nbye\n<|end|>\n") and got["e"] == (1, "<||>\n\n<|end|>\n")
     assert chat.maximal(df.limit(0)).collect() == []
+
+
+def test_long_turns_ties_and_markers(spark):
+    long = "word " * 100_000
+    rows = [("b", 1, "user", long), ("a", 1, "user", long), ("c", 1, "user", long), ("c", 1, "bot", "x"), ("d", None, "user", "first"), ("d", 1, "user", "<|end|>"), ("e", 1, "user", long + "!")]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    got = {r["conv"]: (r["n_turns"], r["chat"]) for r in chat.render(chat.maximal(df)).collect()}
+    assert set(got) == {"a", "c", "d", "e"}  # of equal ones the smallest id; c begins with the bot's turn
+    assert got["c"][1].startswith("<|bot|>\nx") and got["d"] == (2, "<|user|>\nfirst\n<|end|>\n<|user|>\n<|end|>\n<|end|>\n") and len(got["a"][1]) == len(long) + len("<|user|>\n\n<|end|>\n")
+
+
+def test_a_source_of_several_spans_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOT_ROWS", 4)
+    rows = [(i, "big", "x" * (4 + i % 7)) for i in range(400)] + [(1000, "small", "y" * 2_000_000), (1001, "small", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df, entropy_share=0.0).collect()
+    plan = {}
+    for r in got:
+        plan.setdefault((r["source"], r["epoch"]), []).append(r["doc_id"])
+    assert sorted(plan["big", 0]) == list(range(400)) and sorted(plan["small", 0]) == [1000, 1001]

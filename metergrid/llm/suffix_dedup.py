@@ -18,7 +18,10 @@ buckets by content, and only those that can repeat are sorted:
 3. Each group marks the strings that an earlier document holds and removes their bytes.
 
 Memory is bounded by the groups (GROUP_BYTES of text, or one longer text) and the buckets. A stretch that many
-documents hold is sent once by each group, so hot passages are aggregated before they are shuffled.
+documents hold is sent once by each group, so hot passages are aggregated before they are shuffled. An anchor with
+HOT_STRETCHES different stretches, as the first words of a passage that follows other text in each document, would put
+them all into one bucket: its strings are dealt one by one instead, each to the bucket of its own hash, and once for
+each group.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ SHIFT = np.array([[next(d for d in range(V) if (a + d) % V in COVER and (b + d)
 GROUP_BYTES = 4 << 20
 #: Text bytes for each bucket of step 1; a bucket of step 2 sorts the suffixes of about a fraction of it.
 BUCKET_BYTES = 12 << 20
+#: With this many different stretches an anchor is dealt by its strings.
+HOT_STRETCHES = 1 << 15
 #: Texts are hashed together up to this many bytes, longer ones alone.
 PIECE = 1 << 17
 
@@ -64,6 +69,8 @@ class Stretches:
         self.data = data
         empty = np.zeros(0, np.int64)
         self.hash, self.start, self.count, self.row = np.zeros(0, np.uint64), empty, empty, empty
+        self.ends = self.hash
+        self.length = length
         span = length - K + 1  # anchors that a string can have
         if len(data) < length:
             return
@@ -89,6 +96,29 @@ class Stretches:
         self.row = row[starts]
         last = np.minimum(stop, offsets[1:][self.row] - length + 1)
         self.start, self.count, self.hash = starts, last - starts, h[best[starts]]
+        # tells most of the different stretches of an anchor
+        self.ends = mixed(eight[starts] * R + eight[last + length - 9])
+
+    def short(self, buckets: int) -> np.ndarray:
+        """The hashes as the buckets of step 1 tell them."""
+        return ((self.hash // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) + self.hash % np.uint64(buckets)
+
+    def keep(self, index: np.ndarray) -> None:
+        self.hash, self.start, self.count, self.row = self.hash[index], self.start[index], self.count[index], self.row[index]
+
+    def deal_strings(self, hot: np.ndarray, buckets: int) -> None:
+        """Replaces the stretches of the anchors `hot` by their strings, under hashes of their own."""
+        split = np.isin(self.short(buckets), hot)
+        if not split.any():
+            return
+        count = self.count[split]
+        first = np.cumsum(count) - count
+        start = np.repeat(self.start[split] - first, count) + np.arange(count.sum())
+        row = np.repeat(self.row[split], count)
+        self.keep(np.flatnonzero(~split))
+        own = mixed(range_hash(running_hash(self.data), start, start + self.length))
+        self.hash, self.start = np.concatenate([self.hash, own]), np.concatenate([self.start, start])
+        self.count, self.row = np.concatenate([self.count, np.ones(len(start), np.int64)]), np.concatenate([self.row, row])
 
 
 def pieces(column: pa.Array, length: int):
@@ -112,18 +142,25 @@ def _cut(order_by: np.ndarray) -> np.ndarray:
 
 
 def anchors_sent(docs: DataFrame, groups: int, buckets: int, length: int) -> DataFrame:
-    """(bucket, g, body): the different anchor hashes of each group, with a mark where two documents of it share one."""
+    """(bucket, g, body): the different anchor hashes of each group, with a mark where two documents of it share one;
+    behind them, the place and number of stretches of the anchors that have more than one."""
 
     def run(batches):
         for batch in batches:
-            found_h, found_row = [], []
+            found_h, found_ends, found_row = [], [], []
             for at, data, offsets in pieces(batch.column("text"), length):
                 s = Stretches(data, offsets, length)
                 found_h.append(s.hash)
+                found_ends.append(s.ends)
                 found_row.append(s.row + at)
             if not found_h:
                 continue
-            h, row = np.concatenate(found_h), np.concatenate(found_row)
+            h, ends, row = np.concatenate(found_h), np.concatenate(found_ends), np.concatenate(found_row)
+            order = np.lexsort((ends, h))
+            of = _cut(h[order])
+            fresh = _cut_pairs(h[order], ends[order])[:-1]
+            different = np.diff(np.searchsorted(fresh, of))
+            many_h, many = h[order][of[:-1]][different > 1], different[different > 1]
             ids, g = batch.column("id").to_numpy()[row], batch.column("g").to_numpy()[row]
             order = np.lexsort((ids, h, g))
             h, ids, g = h[order], ids[order], g[order]
@@ -138,20 +175,40 @@ def anchors_sent(docs: DataFrame, groups: int, buckets: int, length: int) -> Dat
             h, g = h[starts], g[starts]
             bucket, rest = (h % np.uint64(buckets)).astype(np.int64), ((h // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             order = np.lexsort((g, bucket))
-            bucket, rest, g, several = bucket[order], rest[order], g[order], several[order]
+            bucket, rest, g, several, h = bucket[order], rest[order], g[order], several[order], h[order]
             cut = _cut(bucket)
-            bodies = [rest[a:b].tobytes() + ((g[a:b].astype(np.uint32) << np.uint32(1)) | several[a:b]).astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            mark = (g.astype(np.uint32) << np.uint32(1)) | several
+            by_hash = np.argsort(h, kind="stable")
+            place = by_hash[np.searchsorted(h[by_hash], many_h)]  # an entry of each anchor with several stretches
+            by_place = np.argsort(place)
+            place, many = place[by_place], many[by_place]
+            extra = np.searchsorted(place, cut)
+            bodies = []
+            for a, b, x, y in zip(cut[:-1], cut[1:], extra[:-1], extra[1:], strict=True):
+                counts = np.stack([place[x:y] - a, many[x:y]]).astype(np.uint32)
+                bodies.append(np.uint32(b - a).tobytes() + rest[a:b].tobytes() + mark[a:b].astype(np.uint32).tobytes() + counts.tobytes())
             yield from _table(bucket[cut[:-1]], np.full(len(bodies), -1), bodies).to_batches()
 
     return docs.mapInArrow(run, BLOB)
 
 
 def anchors_repeated(sent: DataFrame) -> DataFrame:
-    """(bucket, g, body): for each group the hashes that two documents hold, and that the group itself holds."""
+    """(bucket, g, body): for each group the hashes that two documents hold, and that the group itself holds; behind
+    them those with HOT_STRETCHES stretches."""
+    hot_stretches = HOT_STRETCHES
 
     def run(key, table):
-        parts = [np.frombuffer(x, np.uint32).reshape(2, -1) for x in table.column("body").to_pylist()]
+        parts, counted = [], []
+        for x in table.column("body").to_pylist():
+            values = np.frombuffer(x, np.uint32)
+            n = int(values[0])
+            part, (place, many) = values[1 : 1 + 2 * n].reshape(2, n), values[1 + 2 * n :].reshape(2, -1)
+            parts.append(part)
+            counted.append(np.stack([part[0][place], many]))
         rest, mark = np.concatenate(parts, axis=1)
+        name, many = np.concatenate(counted, axis=1)
+        name, where = np.unique(name, return_inverse=True)
+        hot = name[np.bincount(where, many, len(name)) >= hot_stretches]
         order = np.lexsort((mark, rest))
         rest, mark = rest[order], mark[order]
         cut = _cut(rest)
@@ -161,12 +218,26 @@ def anchors_repeated(sent: DataFrame) -> DataFrame:
         order = np.lexsort((rest, g))
         rest, g = rest[order], g[order]
         cut = _cut(g)
-        bodies = [np.unique(rest[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        bodies = []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            mine = np.unique(rest[a:b])
+            bodies.append(np.uint32(len(mine)).tobytes() + mine.tobytes() + mine[np.isin(mine, hot)].tobytes())
         return _table(np.full(len(bodies), key[0].as_py()), g[cut[:-1]].astype(np.int64), bodies)
 
     return sent.groupBy("bucket").applyInArrow(run, BLOB)
 
 
+def _names(bodies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The short hashes in rows of anchors_repeated(): all, and the hot ones."""
+    known, hot = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for bucket, body in zip(bodies.column("bucket").to_pylist(), bodies.column("body").to_pylist(), strict=True):
+        values = np.frombuffer(body, np.uint32)
+        whole = values[1:].astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+        known.append(whole[: values[0]])
+        hot.append(whole[values[0] :])
+    return np.unique(np.concatenate(known)), np.unique(np.concatenate(hot))
+
+
 def _stretch_digests(s: Stretches, length: int) -> np.ndarray:
     return range_hash(running_hash(s.data), s.start, s.start + s.count + length - 1)
 
@@ -175,24 +246,27 @@ STRETCH = np.dtype([("hash", "<u8"), ("digest", "<u8"), ("id", "<i8"), ("count",
 
 
 def stretches_sent(docs: DataFrame, repeated: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(bucket, g, body): the different stretches of each group around repeated anchors, with their smallest id."""
+    """(bucket, g, body): the different stretches of each group around repeated anchors, with their smallest id; a row
+    without stretches holds the hot anchors of the group."""
 
     def run(key, table, hashes):
         none = _table(np.zeros(0, np.int64), np.zeros(0, np.int64), [])
         if not table.num_rows or not hashes.num_rows:
             return none
-        known = np.unique(np.concatenate([np.frombuffer(b, np.uint32).astype(np.uint64) * np.uint64(buckets) + np.uint64(k) for k, b in zip(hashes.column("bucket").to_pylist(), hashes.column("body").to_pylist(), strict=True)]))
+        known, hot = _names(hashes, buckets)
         table = table.filter(table.column("id").is_valid()).combine_chunks()
         ids = table.column("id").to_numpy()
         heads, texts = [], []
         for at, data, offsets in pieces(table.column("text").chunk(0), length) if len(ids) else ():
             s = Stretches(data, offsets, length)
-            short = ((s.hash // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) + s.hash % np.uint64(buckets)
+            short = s.short(buckets)
             place = np.minimum(np.searchsorted(known, short), len(known) - 1)
             held = np.flatnonzero(known[place] == short)
             if not len(held):
                 continue
-            s.hash, s.start, s.count, s.row = s.hash[held], s.start[held], s.count[held], s.row[held]
+            s.keep(held)
+            s.deal_strings(hot, buckets)
+            held = s.hash
             head = np.empty(len(held), STRETCH)
             head["hash"], head["digest"], head["id"], head["count"] = s.hash, _stretch_digests(s, length), ids[s.row + at], s.count
             order = np.lexsort((head["id"], head["digest"]))
@@ -216,7 +290,11 @@ def stretches_sent(docs: DataFrame, repeated: DataFrame, buckets: int, length: i
             n = size[a:b]
             index = np.repeat(begin[a:b] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             bodies.append(np.uint32(b - a).tobytes() + head[a:b].tobytes() + text[index].tobytes())
-        return _table(bucket[cut[:-1]], np.full(len(bodies), key[0].as_py()), bodies)
+        to = bucket[cut[:-1]]
+        if len(hot):
+            bodies.append(np.uint32(0).tobytes() + hot.tobytes())
+            to = np.append(to, key[0].as_py() % buckets)
+        return _table(to, np.full(len(bodies), key[0].as_py()), bodies)
 
     return docs.groupBy("g").cogroup(repeated.groupBy("g")).applyInArrow(run, BLOB)
 
@@ -289,15 +367,24 @@ RUN = np.dtype([("digest", "<u8"), ("first", "<u2"), ("count", "<u2"), ("id", "<
 
 
 def suffixes_sorted(sent: DataFrame, length: int) -> DataFrame:
-    """(bucket, g, body): for the stretches of each group, runs of their strings that a smaller id holds elsewhere."""
+    """(bucket, g, body): for the stretches of each group, runs of their strings that a smaller id holds elsewhere.
+    Rows of hot anchors go on to their group under the bucket -1."""
 
     def run(key, table):
-        heads, texts, groups = [], [], []
+        heads, texts, groups = [np.zeros(0, STRETCH)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+        hot_groups, hot_bodies = [], []
         for g, body in zip(table.column("g").to_pylist(), table.column("body").to_pylist(), strict=True):
             n = int(np.frombuffer(body, np.uint32, 1)[0])
+            if not n:
+                hot_groups.append(g)
+                hot_bodies.append(body[4:])
+                continue
             heads.append(np.frombuffer(body, STRETCH, n, 4))
             texts.append(np.frombuffer(body, np.uint8, offset=4 + n * STRETCH.itemsize))
             groups.append(np.full(n, g))
+        passed = _table(np.full(len(hot_groups), -1), np.array(hot_groups, np.int64), hot_bodies)
+        if len(heads) == 1:
+            return passed
         head, text, group = np.concatenate(heads), np.concatenate(texts), np.concatenate(groups)
         size = head["count"].astype(np.int64) + length - 1
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -348,7 +435,8 @@ def suffixes_sorted(sent: DataFrame, length: int) -> DataFrame:
         out = np.empty(len(pick), RUN)
         out["digest"], out["first"], out["count"], out["id"] = head["digest"][stretch], run_first[pick], run_count[pick], run_id[pick]
         cut = _cut(group[stretch])
-        return _table(np.full(len(cut) - 1, key[0].as_py()), group[stretch][cut[:-1]], [out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])
+        found = _table(np.full(len(cut) - 1, key[0].as_py()), group[stretch][cut[:-1]], [out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])
+        return pa.concat_tables([found, passed])
 
     return sent.groupBy("bucket").applyInArrow(run, BLOB)
 
@@ -361,7 +449,7 @@ OUTPUT = T.StructType([
 ])
 
 
-def cut_out(docs: DataFrame, held: DataFrame, length: int) -> DataFrame:
+def cut_out(docs: DataFrame, held: DataFrame, buckets: int, length: int) -> DataFrame:
     """The output rows: what a smaller id of the same group holds, and what the buckets found."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -373,11 +461,14 @@ def cut_out(docs: DataFrame, held: DataFrame, length: int) -> DataFrame:
         table = table.combine_chunks()
         named = np.asarray(table.column("id").is_valid())
         ids = np.asarray(table.column("id").fill_null(0))
-        runs = np.concatenate([np.zeros(0, RUN), *[np.frombuffer(x, RUN) for x in found.column("body").to_pylist()]])
+        bodies = list(zip(found.column("bucket").to_pylist(), found.column("body").to_pylist(), strict=True))
+        runs = np.concatenate([np.zeros(0, RUN), *[np.frombuffer(x, RUN) for bucket, x in bodies if bucket >= 0]])
+        hot = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for bucket, x in bodies if bucket < 0]])
         runs = runs[np.argsort(runs["digest"], kind="stable")]
         parts = []
         for at, data, offsets in pieces(table.column("text").chunk(0), length):
             s = Stretches(data, offsets, length)
+            s.deal_strings(hot, buckets)
             parts.append((at, data, offsets, s, _stretch_digests(s, length) if len(s.start) else np.zeros(0, np.uint64)))
         digest = np.concatenate([x[4] for x in parts])
         of = np.concatenate([ids[x[3].row + x[0]] for x in parts])
@@ -432,4 +523,4 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = anchors_repeated(anchors_sent(named, groups, buckets, length))
     # the same rows as below, so that both steps read one shuffle of the texts
     held = suffixes_sorted(stretches_sent(rows, repeated, buckets, length), length)
-    return cut_out(rows, held, length).withColumnRenamed("id", id_col)
+    return cut_out(rows, held, buckets, length).withColumnRenamed("id", id_col)

@@ -45,6 +45,8 @@ GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 #: With this many different stretches an anchor is dealt by its strings.
 HOT_STRETCHES = 1 << 15
+#: Strings of a bucket that are sorted at a time, more only where one anchor has more.
+SORTED_STRINGS = 1 << 18
 #: Texts are hashed together up to this many bytes, longer ones alone.
 PIECE = 1 << 17
 
@@ -156,7 +158,10 @@ def anchors_sent(docs: DataFrame, groups: int, buckets: int, length: int) -> Dat
             if not found_h:
                 continue
             h, ends, row = np.concatenate(found_h), np.concatenate(found_ends), np.concatenate(found_row)
-            order = np.lexsort((ends, h))
+            order = np.argsort(h)
+            same = h[order][1:] == h[order][:-1]
+            order = order[np.append(False, same) | np.append(same, False)]
+            order = order[np.lexsort((ends[order], h[order]))]
             of = _cut(h[order])
             fresh = _cut_pairs(h[order], ends[order])[:-1]
             different = np.diff(np.searchsorted(fresh, of))
@@ -178,10 +183,13 @@ def anchors_sent(docs: DataFrame, groups: int, buckets: int, length: int) -> Dat
             bucket, rest, g, several, h = bucket[order], rest[order], g[order], several[order], h[order]
             cut = _cut(bucket)
             mark = (g.astype(np.uint32) << np.uint32(1)) | several
-            by_hash = np.argsort(h, kind="stable")
-            place = by_hash[np.searchsorted(h[by_hash], many_h)]  # an entry of each anchor with several stretches
-            by_place = np.argsort(place)
-            place, many = place[by_place], many[by_place]
+            # an entry of each anchor with several stretches
+            which = np.searchsorted(many_h, h)
+            place = np.flatnonzero(np.append(many_h, np.uint64(0))[which] == h)
+            place = place[which[place] < len(many_h)]
+            which, first = np.unique(which[place], return_index=True)
+            by_place = np.argsort(place[first])
+            place, many = place[first][by_place], many[which][by_place]
             extra = np.searchsorted(place, cut)
             bodies = []
             for a, b, x, y in zip(cut[:-1], cut[1:], extra[:-1], extra[1:], strict=True):
@@ -400,8 +408,13 @@ def suffixes_sorted(sent: DataFrame, length: int) -> DataFrame:
         counts = head["count"][one].astype(np.int64)
         base = np.concatenate([[0], np.cumsum(counts)])
         least = np.repeat(ids, counts)  # of each string of each class
-        picked = np.flatnonzero(several)
-        if len(picked):
+        # whole anchor blocks, about SORTED_STRINGS strings at a time
+        sorted_classes = np.flatnonzero(several)
+        per_hash = np.add.reduceat(counts, hash_cut[:-1]) * (np.diff(hash_cut) > 1)
+        step = np.repeat((np.cumsum(per_hash) - per_hash) // SORTED_STRINGS, np.diff(hash_cut))[sorted_classes]
+        edges = _cut(step)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            picked = sorted_classes[a:b]
             n = size[one[picked]]
             start = np.concatenate([[0], np.cumsum(n)[:-1]])
             body = text[np.repeat(begin[one[picked]] - start, n) + np.arange(n.sum())]

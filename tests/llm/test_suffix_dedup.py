@@ -42,6 +42,7 @@ def test_many_groups_and_buckets_equal_brute_force(spark, monkeypatch, hot):
     from metergrid.llm import suffix_dedup
 
     monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", hot)
+    monkeypatch.setattr(suffix_dedup, "SORTED_STRINGS", 50)
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 2_000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3_000)
     rng = random.Random(4)

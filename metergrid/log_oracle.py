@@ -64,6 +64,28 @@ BILLING = f"""{BASE} SELECT 'cursor:billing-item:item-' || e AS id, ms, CASE WHE
   CASE WHEN e % 2 = 1 THEN e % 70 ELSE 0 END AS cache_write_tokens, 0 AS reasoning_tokens, CAST(0 AS INTEGER) AS requests FROM b WHERE e % 5 <> 0 AND e % 7 <> 0"""
 
 
+THREADS = """c AS (SELECT c_custkey AS c, c_nationkey AS n, c_custkey % 2 AS db FROM customer), o AS (SELECT o_orderkey AS o, o_custkey AS c, o_custkey % 2 AS db, ['claude', 'codex', 'pi', NULL][o_orderkey % 4 + 1] AS harness, 'n' || o_orderkey % 900 AS native FROM orders),
+b AS (SELECT harness, native AS session_id, c, db * 3 AS place, o % 50 AS newest FROM o JOIN c USING (c, db) WHERE o % 3 = 0 AND o % 11 <> 0
+ UNION ALL SELECT harness, CASE WHEN o % 7 = 0 THEN 'z' ELSE native END, c, db * 3 + 1, NULL FROM o JOIN c USING (c, db) WHERE o % 3 = 1 AND c % 3 > 0
+ UNION ALL SELECT harness, CASE WHEN o % 7 <> 0 THEN native WHEN o % 2 <> 0 THEN 'y' END, c, db * 3 + 2, NULL FROM o JOIN c USING (c, db) WHERE o % 3 = 2 AND c % 3 > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY harness, session_id ORDER BY place, newest DESC NULLS LAST, 't ' || c) AS i FROM b WHERE harness IS NOT NULL AND session_id IS NOT NULL),
+gone AS (SELECT c, min(place) AS gone_at FROM (SELECT c, db * 3 AS place FROM c WHERE c % 13 = 0 UNION ALL SELECT c, place FROM b WHERE harness IS NOT NULL AND session_id IS NOT NULL AND CASE WHEN place % 3 = 0 THEN c % 13 = 0 ELSE c % 17 = 0 END) GROUP BY 1),
+f AS (SELECT k.*, c.n, place % 3 = 0 AS new, coalesce(gone_at <= place, false) AS dead, CASE WHEN n = 7 OR n % 3 = 0 THEN NULL ELSE '/w/' || n END AS root,
+  CASE WHEN place % 3 = 0 AND k.c % 4 <> 0 THEN '/w/' || n WHEN place % 3 > 0 AND k.c % 2 = 0 THEN '/old/' || k.c END AS tree, CASE WHEN n <> 7 AND n % 6 <> 0 THEN n_name END AS project_name FROM k JOIN c USING (c) LEFT JOIN gone USING (c) LEFT JOIN nation ON n_nationkey = n WHERE i = 1)
+SELECT harness, session_id, 't ' || c AS thread_id, CASE WHEN dead THEN NULL WHEN NOT new THEN 'Old ' || c WHEN c % 5 <> 0 THEN 'Title ' || c END AS session_title, CASE WHEN NOT dead THEN project_name END AS project_name,
+  CASE WHEN dead THEN '' ELSE 'https://host.example/base/env%201/t%20' || c END AS thread_url, CASE WHEN dead THEN '' WHEN tree = root THEN tree ELSE concat_ws(',', tree, root) END AS repository_paths, CASE WHEN NOT dead THEN coalesce(tree, root) END AS project FROM f"""
+
+GENERATIONS = """RECURSIVE r AS (SELECT 'g' || o_custkey AS id, o_orderkey AS seq, ['unknown', 'a', 'b'][o_orderkey % 3 + 1] AS model, ['', '', 'fast', 'slow'][o_orderkey % 4 + 1] AS tier, o_orderkey * 7 % 10 AS input_tokens, o_orderkey * 7 % 10 + o_orderkey % 2 AS t,
+ row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+s AS (SELECT * FROM r WHERE i = 1 UNION ALL SELECT r.id, CASE WHEN r.t > s.t THEN r.seq ELSE s.seq END, CASE WHEN r.t > s.t THEN CASE WHEN r.model <> 'unknown' THEN r.model ELSE s.model END WHEN s.model <> 'unknown' THEN s.model ELSE r.model END,
+ CASE WHEN r.t > s.t THEN CASE WHEN r.tier <> '' THEN r.tier ELSE s.tier END WHEN s.tier <> '' THEN s.tier ELSE r.tier END, CASE WHEN r.t > s.t THEN r.input_tokens ELSE s.input_tokens END, greatest(r.t, s.t), r.i FROM s JOIN r ON r.id = s.id AND r.i = s.i + 1)
+SELECT id, seq, model, tier, input_tokens FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1"""
+
+WORKSPACES = """SELECT c_custkey AS c, CASE c_custkey % 3 WHEN 0 THEN 'alpha-high' WHEN 2 THEN 'beta' ELSE ['gamma', 'delta-low', 'unknown', 'unknown'][c_custkey % 4 + 1] END AS model,
+ CASE WHEN c_custkey % 2 = 0 AND c_custkey % 7 <> 0 THEN '/git/' || c_nationkey WHEN c_custkey % 5 <> 0 THEN '/w/a ' || c_nationkey WHEN c_custkey % 3 = 0 THEN '/last+one' ELSE '' END AS project,
+ CASE WHEN c_custkey % 4 = 0 AND c_custkey % 7 <> 0 THEN 'host.example/Team/Repo' END AS repository FROM customer"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "reader_claude": f"WITH {CLAUDE} SELECT {READ}, cache_write_1h_tokens, service_tier, sidechain, native_id, parent_id, legacy_id, line FROM found",
@@ -77,6 +99,9 @@ SELECT *, CASE WHEN unreadable = files THEN 'error' WHEN unreadable + malformed
         "reader_pi": f"WITH {PI}",
         "reader_grok": f"WITH {GROK}",
         "reader_muse": f"WITH {MUSE}",
+        "thread_metadata": f"WITH {THREADS}",
+        "merged_generations": f"WITH {GENERATIONS}",
+        "generation_workspaces": WORKSPACES,
         "reader_billing": f"WITH {BILLING}",
         "parent_records": f"""WITH RECURSIVE {FILES}, o AS (SELECT CAST(o_custkey AS VARCHAR) AS session_id, CASE WHEN o_orderkey % 5 = 0 THEN 'codex:response:' ELSE 'codex:total:' END || o_orderkey AS id, o_orderkey % 400 AS ms, o_orderkey % 3 AS n FROM orders),
 w AS (SELECT o.*, f.parent_id IS NOT NULL AS forked FROM o LEFT JOIN f USING (session_id) WHERE f.parent_id IS NULL OR forked_ms % 30 <> 0 OR ms >= 50), k AS (SELECT DISTINCT session_id, ms, n FROM w),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metergrid.operators import collect, dedupe
 from metergrid.queries import QueryFn
-from metergrid.sources import billing, logs
+from metergrid.sources import billing, generations, logs, threads
 
 COLUMNS = ("id", "ms", "raw_model", "project", "session_id", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens")
 
@@ -115,6 +115,43 @@ def parent_records(spark, sf_dir):
     return dedupe.without_parent_records(rows, files, 16).select("session_id", "id", "ms")
 
 
+def thread_metadata(spark, sf_dir):
+    """Thread tables of two databases, in both layouts, made from customers, orders and nations."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS c", "c_nationkey AS n", "c_custkey % 2 AS db", "concat('t ', c_custkey) AS thread_id", "concat('p', c_nationkey) AS project_id")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS o", "o_custkey % 2 AS db", "concat('t ', o_custkey) AS thread_id", "element_at(array('claudeAgent', 'codex', 'pi', 'other'), CAST(o_orderkey % 4 + 1 AS INT)) AS provider_name", "concat('n', o_orderkey % 900) AS native")
+    both = spark.range(2).selectExpr("id AS db")
+    projects = spark.read.parquet(f"{sf_dir}/nation.parquet").join(both).selectExpr("db", "concat('p', n_nationkey) AS project_id", "if(n_nationkey % 6 = 0, 'No project', n_name) AS title", "if(n_nationkey % 3 = 0, NULL, concat('/w/', n_nationkey)) AS workspace_root").where("project_id <> 'p7'")
+    current = c.selectExpr("db", "thread_id", "project_id", "if(c % 5 = 0, '  ', concat(' Title ', c, ' ')) AS title", "if(c % 4 = 0, 'no json', to_json(named_struct('worktreePath', concat('/w/', n)))) AS payload_json", "if(c % 13 = 0, 'gone', NULL) AS deleted_at")
+    bound = o.where("o % 3 = 0").selectExpr("db", "thread_id", "if(o % 11 = 0, '{', to_json(named_struct('nativeThreadRef', named_struct('nativeId', native, 'driver', provider_name)))) AS payload_json", "o % 50 AS updated_at")
+    older = c.where("c % 3 > 0").selectExpr("db", "thread_id", "project_id", "concat('Old ', c) AS title", "if(c % 2 = 0, concat('/old/', c), NULL) AS worktree_path", "if(c % 17 = 0, 'gone', NULL) AS deleted_at")
+    runtime = o.where("o % 3 = 1").selectExpr("db", "thread_id", "provider_name", "to_json(named_struct('threadId', if(o % 7 = 0, NULL, native), 'sessionId', 'z')) AS resume_cursor_json")
+    sessions = o.where("o % 3 = 2").selectExpr("db", "thread_id", "provider_name", "if(o % 7 = 0, NULL, native) AS provider_thread_id", "if(o % 2 = 0, NULL, 'y') AS provider_session_id")
+    found = threads.current_bindings(bound, current, projects).unionByName(threads.older_bindings(runtime, sessions, older, projects))
+    out = threads.thread_metadata(found, current, "https://Host.example/base/", "env 1")
+    return out.withColumn("repository_paths", F.array_join("repository_paths", ",")).drop("priority")
+
+
+def merged_generations(spark, sf_dir):
+    """Calls recorded several times, made from orders."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "concat('g', o_custkey) AS id", "o_orderkey AS seq", "element_at(array('unknown', 'a', 'b'), CAST(o_orderkey % 3 + 1 AS INT)) AS model", "element_at(array('', '', 'fast', 'slow'), CAST(o_orderkey % 4 + 1 AS INT)) AS tier",
+        "o_orderkey * 7 % 10 AS input_tokens", "o_orderkey % 2 AS output_tokens", "0L AS cache_read_tokens", "0L AS cache_write_tokens",
+    )
+    return generations.merged_copies(rows, "seq").select("id", "seq", "model", "tier", "input_tokens")
+
+
+def generation_workspaces(spark, sf_dir):
+    """Models and workspaces of conversations, made from customers."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        "c_custkey AS c", "element_at(array(' models/alpha-high ', '', 'Publishers/x/models/beta'), CAST(c_custkey % 3 + 1 AS INT)) AS response", "element_at(array('models/gamma-XHIGH', 'delta-low-high', '', NULL), CAST(c_custkey % 4 + 1 AS INT)) AS planner",
+        """array(named_struct('folder', if(c_custkey % 5 = 0, 'http://x/y', concat('file:///w/a%20', c_nationkey, '/')), 'git_root', '', 'remote_url', '', 'branch', ''),
+          named_struct('folder', if(c_custkey % 7 = 0, '/u/.t3/userdata/attachments/1', ''), 'git_root', if(c_custkey % 2 = 0, concat('/git/', c_nationkey, '//'), ''), 'remote_url', if(c_custkey % 4 = 0, 'git@host.example:Team/Repo.git', ''), 'branch', '')) AS spaces""",
+        "array('relative', 'file:///u/.T3/userdata/attachments', if(c_custkey % 3 = 0, 'file://localhost/last+one', 'ftp://z')) AS uris",
+    )
+    project, repository = generations.chosen_workspace(F.col("spaces"), F.col("uris"))
+    return rows.select("c", generations.first_model(F.col("response"), F.col("planner")).alias("model"), project.alias("project"), repository.alias("repository"))
+
+
 def queries() -> dict[str, QueryFn]:
-    found = (reader_claude, claude_empty_requests, collected_claude, collected_retractions, source_status, reader_codex, reader_pi, reader_grok, reader_muse, reader_billing, parent_records)
+    found = (reader_claude, claude_empty_requests, collected_claude, collected_retractions, source_status, reader_codex, reader_pi, reader_grok, reader_muse, reader_billing, parent_records, thread_metadata, merged_generations, generation_workspaces)
     return {f.__name__: f for f in found}

@@ -328,8 +328,12 @@ _GROK_USAGE = f"{_GROK_ROW}, primaryModelId: STRING, modelUsage: MAP<STRING, STR
 SAFE = (1 << 53) - 1
 
 
-def _encoded(value: Column) -> Column:
-    return F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))
+def encoded(value: Column) -> Column:
+    """The text as a part of an address; letters, digits and -_.!~*'() stay."""
+    out = F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))
+    for sign, code in (("!", "%21"), ("~", "%7E"), ("'", "%27"), ("(", "%28"), (")", "%29")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
 
 
 def _grok_calls(turns: DataFrame) -> DataFrame:
@@ -346,7 +350,7 @@ def _grok_calls(turns: DataFrame) -> DataFrame:
     model = F.coalesce(F.nullif("m.key", F.lit("")), F.lit("unknown"))
     n = lambda c: number(f"m.value.{c}")
     out = rows.where(valid).select(
-        "file", F.col("turn").alias("line"), "ms", "session_id", "project", model.alias("raw_model"), F.concat(F.lit("grok:turn:"), _encoded(F.col("session_id")), F.lit(":"), F.col("turn").cast("string"), F.lit(":"), _encoded(model)).alias("id"),
+        "file", F.col("turn").alias("line"), "ms", "session_id", "project", model.alias("raw_model"), F.concat(F.lit("grok:turn:"), encoded(F.col("session_id")), F.lit(":"), F.col("turn").cast("string"), F.lit(":"), encoded(model)).alias("id"),
         *_split_cache(n("inputTokens"), n("cachedReadTokens"), n("cacheCreationTokens"), n("outputTokens"), n("reasoningTokens")),
         F.when(~partial & count("costUsdTicks") & (F.col("m.value.costUsdTicks") > 0), F.col("m.value.costUsdTicks") / 1e10).alias("reported_cost_usd"), F.col("m.value.modelCalls").cast("int").alias("requests"), F.lit("").alias("service_tier"),
     )

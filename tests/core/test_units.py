@@ -325,3 +325,21 @@ def test_metadata_of_threads_and_repositories(spark):
     repos = spark.createDataFrame([("/a", "local:a"), ("/y", "github.com/o/y"), ("/b", "github.com/o/b")], "project string, repository string")
     got = {(r["harness"], r["session_id"]): (r["session_title"], r["thread_id"], r["repository"]) for r in with_metadata(events, threads, repos).collect()}
     assert got == {("codex", "s"): ("T1", "id1", "github.com/o/y"), ("codex", "t"): (None, None, "github.com/o/b"), ("pi", "s"): (None, None, None)}
+
+
+def test_thread_links_and_deleted_threads(spark):
+    from metergrid.sources import threads
+
+    one = spark.range(1).select(
+        threads.thread_url("https://host/a//", "e/1", F.lit("t (1)~!")).alias("url"), threads.thread_url("https://u:p@host", "e", F.lit("t")).alias("user"),
+        threads.thread_url("ftp://host", "e", F.lit("t")).alias("ftp"), threads.thread_url("https://host", None, F.lit("t")).alias("none"),
+    ).first()
+    assert tuple(one) == ("https://host/a/e%2F1/t%20(1)~!", None, None, None)
+    payload = '{"nativeThreadRef": {"nativeId": "%s", "driver": "pi"}}'
+    bound = spark.createDataFrame([(0, "a", payload % "n", 1), (0, "b", payload % "n", 2), (1, "c", payload % "m", 1), (1, "a", payload % "x", 1), (0, "a", " " * 262_144 + payload % "long", 1)], "db long, thread_id string, payload_json string, updated_at long")
+    current = spark.createDataFrame([(0, "a", "p", "A", "{}", None), (0, "b", "p", "B", None, None), (1, "c", None, None, "{}", "gone"), (1, "a", "p", "A", "{}", "gone")], "db long, thread_id string, project_id string, title string, payload_json string, deleted_at string")
+    projects = spark.createDataFrame([(0, "p", "No project", " /w ")], "db long, project_id string, title string, workspace_root string")
+    bindings = threads.current_bindings(bound, current, projects)
+    got = {r["session_id"]: (r["thread_id"], r["session_title"], r["project_name"], r["thread_url"], r["repository_paths"]) for r in threads.thread_metadata(bindings, current, "http://h", "e").collect()}
+    assert got == {"n": ("b", "B", None, "http://h/e/b", ["/w"]), "m": ("c", None, None, "", []), "x": ("a", None, None, "", [])}
+    assert threads.thread_metadata(bindings.limit(0), current.limit(0), "http://h", "e").collect() == []

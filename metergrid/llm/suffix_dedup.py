@@ -9,8 +9,8 @@ buckets by content, and only those that can repeat are sorted:
    send the hashes of their anchors, each once, to buckets by hash; the buckets send back those of two documents.
 2. Suffix buckets. The strings with one repeated anchor form a stretch of text of at most 2 * length - K bytes. Each
    group sends every different stretch once, with the smallest document id that holds it in the group, to the bucket
-   of the anchor. A bucket sorts its suffixes by themselves, one anchor block after the other in one sort:
-   a suffix is ordered by its first V bytes, and where these tie, by the ranks of the suffixes at the positions of
+   of the anchor. A bucket sorts its suffixes by themselves, some whole anchor blocks at a
+   time: a suffix is ordered by its first V bytes, and where these tie, by the ranks of the suffixes at the positions of
    the difference cover D modulo V. For any two residues there is a shift that puts both into the cover, so
    precomputed ranks of the cover's suffixes (prefix doubling over V, 2V, 4V, ... bytes) decide a tie of any length
    without reading on. Neighbours that share `length` bytes are equal strings; the smallest id of each run of them

@@ -113,5 +113,46 @@ SELECT doc_id, source, n_tokens, epoch,
 FROM placed WHERE upto <= drawn"""
 
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+  list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS r FROM d),
+c AS (SELECT *, len(units) AS n, least(r[1] % (n + 1), r[2] % (n + 1)) AS low, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS high,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+    WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(units[1:low], ''), '') AS prefix, coalesce(array_to_string(units[low + 1:high], ''), '') AS middle,
+  coalesce(array_to_string(units[high + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p"""
+
+
+def _op13(buckets: int = 10_000, percent: int = 25, least: int = 20, seed: int = 7) -> str:
+    # crc32, byte by byte, from a table made by its rule; each distinct feature once
+    words = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    code = "CAST('0x' || hex(encode(f)) [2 * i - 1:2 * i] AS BIGINT)"
+    return f"""
+WITH step AS (SELECT list_transform(generate_series(0, 255), lambda b: list_reduce(generate_series(1, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(b AS BIGINT))) AS t),
+d AS (SELECT row_number() OVER () AS k, doc_id, coalesce({words.format("text")}, []) AS w FROM documents),
+b AS (SELECT coalesce({words.format("text")}, []) AS w FROM benchmark),
+df AS (SELECT k, unnest(w || list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+bf AS (SELECT unnest(w || list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+bucket AS (SELECT f, xor(list_reduce(list_transform(generate_series(1, strlen(f)), lambda i: {code}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % {buckets} AS bucket
+  FROM (SELECT f FROM df UNION SELECT f FROM bf), step),
+n AS (SELECT k, bucket, count(*) AS n FROM df JOIN bucket USING (f) GROUP BY ALL),
+s AS (SELECT bucket, sum(n) AS s FROM n GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN bucket USING (f) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + {buckets})::DOUBLE / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + {buckets})::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT k, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM n JOIN gain USING (bucket) GROUP BY k),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+  CAST(coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS BIGINT) AS weight,
+  CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise
+  FROM d LEFT JOIN w USING (k)),
+ranked AS (SELECT *, weight + noise AS score, CASE WHEN n_words >= {least} THEN row_number() OVER (PARTITION BY n_words >= {least} ORDER BY weight + noise DESC, doc_id NULLS LAST) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) * {percent} // 100 FROM scored WHERE n_words >= {least}) THEN place END AS rank FROM ranked"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4, "op7_mixing": _op7(), "op9_decontaminate": _op9(), "op10_secrets": _op10()}
+    return {"op4_chat": OP4, "op7_mixing": _op7(), "op9_decontaminate": _op9(), "op10_secrets": _op10(), "op12_fim": OP12, "op13_importance": _op13()}

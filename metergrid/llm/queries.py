@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metergrid.llm import chat, decontaminate, hamming, langid, mixing, neardup, pages, quality, secrets, suffix_dedup
+from metergrid.llm import chat, decontaminate, fim, hamming, importance, langid, mixing, neardup, pages, quality, secrets, suffix_dedup
 from metergrid.llm.common import held_out, read
 
 
@@ -86,5 +86,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.restored(fim.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"]))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output").alias("output_sha256"), sha("restored").alias("restored_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = importance.draw(docs, read(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neardup, op2_pages, op3_language, op4_chat, op5_neighbours, op6_quality, op7_mixing, op8_suffix, op9_decontaminate, op10_secrets)}
+    every = (
+        op1_neardup, op2_pages, op3_language, op4_chat, op5_neighbours, op6_quality, op7_mixing, op8_suffix, op9_decontaminate, op10_secrets,
+        op12_fim, op13_importance,
+    )
+    return {f.__name__: f for f in every}

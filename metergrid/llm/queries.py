@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metergrid.llm import chat, decontaminate, fim, hamming, importance, langid, mixing, neardup, pages, quality, secrets, suffix_dedup
+from metergrid.llm import chat, decontaminate, fim, hamming, importance, langid, lm, mixing, neardup, pages, quality, secrets, suffix_dedup
 from metergrid.llm.common import held_out, read
 
 
@@ -86,6 +86,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False)))
+    model = lm.fit(docs.where("NOT held_out"))
+    measured = lm.measure(docs, model, carry=["doc_id", "held_out"])
+    return lm.score(measured, model, lm.fit_masses(measured.where("NOT held_out"), model))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.restored(fim.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"]))
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
@@ -101,6 +109,6 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_neardup, op2_pages, op3_language, op4_chat, op5_neighbours, op6_quality, op7_mixing, op8_suffix, op9_decontaminate, op10_secrets,
-        op12_fim, op13_importance,
+        op11_lm, op12_fim, op13_importance,
     )
     return {f.__name__: f for f in every}

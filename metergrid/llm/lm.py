@@ -44,9 +44,9 @@ from metergrid.llm.shingles import mixed
 
 ORDER = 2
 BASE = 1.5
-BITS, PROBES = 12, 8
+BITS, PROBES = 12, 5
 ADD = 0.1
-HOT = 1 << 16
+HOT = 1 << 20
 LONG = 64
 #: Tokens of the corpus for each bucket, n-grams that a task holds before it sends them on, bytes of the filter in one broadcast.
 BUCKET_TOKENS, HELD_GRAMS, BLOCK_BYTES = 1 << 18, 1 << 22, 128 << 20
@@ -59,6 +59,7 @@ MASSES = [2.0**k for k in range(19)]
 LEAST = np.unique(np.ceil(BASE ** np.arange(106)).astype(np.int64))
 ESTIMATE = np.concatenate([[0.0], (LEAST[:-1] + LEAST[1:] - 1) / 2])
 U = np.uint64
+HALF = U(0xFFFFFFFF)
 START_HASH, END_HASH = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
 
 
@@ -105,15 +106,16 @@ def tokenise(texts: pa.Array) -> Tokens:
     return Tokens(np.asarray(coded.indices).astype(np.int64), owner[np.asarray(full)], spelled, len(texts))
 
 
-def sequences(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of start, words and end of all rows one after the other, and the rows + 1 offsets."""
+def sequences(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of start, words and end of all rows one after the other, and the rows + 1 offsets; the hash of each distinct
+    token, and its place among them for each position."""
     counts = np.bincount(tokens.owner, minlength=tokens.rows) + 2
     offsets = np.concatenate([[0], np.cumsum(counts)])
-    out = np.full(offsets[-1], END_HASH, U)
-    out[offsets[:-1]] = START_HASH
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in tokens.spelled], U)
-    out[np.arange(len(tokens.codes)) + 2 * tokens.owner + 1] = hashes[tokens.codes] if len(hashes) else 0
-    return out, offsets
+    hashes = np.array([*map(xxhash.xxh3_64_intdigest, tokens.spelled), START_HASH, END_HASH], U)
+    place = np.full(offsets[-1], len(hashes) - 1)
+    place[offsets[:-1]] = len(hashes) - 2
+    place[np.arange(len(tokens.codes)) + 2 * tokens.owner + 1] = tokens.codes
+    return hashes[place], offsets, hashes, place
 
 
 def grams(seq: np.ndarray, offsets: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -143,9 +145,14 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 
 def probes(keys: np.ndarray, buckets: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and step of the positions of (n-gram, level) before the modulus."""
+    """Start and step of the probes of (n-gram, level), 32 bits each."""
     h = mixed(keys * U(2 * level + 1) ^ mixed(buckets.astype(U) + U(level)))
-    return h >> U(32), (h & U(0xFFFFFFFF)) | U(1)
+    return h >> U(32), (h & HALF) | U(1)
+
+
+def bit_of(start: np.ndarray, step: np.ndarray, i: int, sizes) -> np.ndarray:
+    """The i-th bit in filters of `sizes` bits, which are less than 2**32."""
+    return (((start + U(i) * step) & HALF) * sizes >> U(32)).astype(np.int64)
 
 
 def segment(keys: np.ndarray, counts: np.ndarray, bucket: int) -> tuple[int, np.ndarray]:
@@ -157,27 +164,30 @@ def segment(keys: np.ndarray, counts: np.ndarray, bucket: int) -> tuple[int, np.
         some = keys[level >= j]
         start, step = probes(some, np.full(len(some), bucket), j)
         for i in range(PROBES):
-            bits[(start + U(i) * step) % U(size)] = True
+            bits[bit_of(start, step, i, U(size))] = True
     return size, np.packbits(bits, bitorder="little")
 
 
-def probe(hashes: np.ndarray, block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the n-grams lie in the block, and their levels."""
+def probe(hashes: np.ndarray, block: Block, buckets: int) -> np.ndarray:
+    """The levels of n-grams, 0 for those of other blocks."""
+    out = np.zeros(len(hashes), np.uint8)
     bucket = bucket_of(hashes, buckets)
-    inside = np.flatnonzero((bucket >= block.first) & (bucket < block.first + len(block.sizes)))
-    level, active, j = np.zeros(len(inside), np.uint8), np.arange(len(inside)), 0
-    while len(active) and j < len(LEAST):
-        j += 1
-        at = inside[active]
-        start, step = probes(key_of(hashes[at]), bucket[at], j)
-        size, begin = block.sizes[bucket[at] - block.first].astype(U), block.begins[bucket[at] - block.first]
-        alive = np.flatnonzero(size > 0)
+    at = np.flatnonzero((bucket >= block.first) & (bucket < block.first + len(block.sizes)))
+    bucket, keys = bucket[at], key_of(hashes[at])
+    size, begin = block.sizes[bucket - block.first].astype(U), block.begins[bucket - block.first]
+    full = size > 0
+    for j in range(1, len(LEAST)):
+        at, bucket, keys, size, begin = (x[full] for x in (at, bucket, keys, size, begin))
+        if not len(at):
+            break
+        start, step = probes(keys, bucket, j)
+        alive = np.arange(len(at))
         for i in range(PROBES):
-            bit = ((start[alive] + U(i) * step[alive]) % size[alive]).astype(np.int64)
+            bit = bit_of(start[alive], step[alive], i, size[alive])
             alive = alive[(block.bits[begin[alive] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 > 0]
-        active = active[alive]
-        level[active] = j
-    return inside, level
+        full = alive
+        out[at[alive]] = j
+    return out
 
 
 def count_words(texts: DataFrame, text_col: str) -> DataFrame:
@@ -216,7 +226,7 @@ def count_grams(texts: DataFrame, text_col: str, order: int, buckets: int) -> Da
         held, n = [], 0
         for batch in batches:
             for part in sliced(batch, text_col):
-                for hashes, _ in grams(*sequences(tokenise(part.column(text_col))), order):
+                for hashes, _ in grams(*sequences(tokenise(part.column(text_col)))[:2], order):
                     held.append(hashes)
                     n += len(hashes)
                 if n >= HELD_GRAMS:
@@ -273,20 +283,16 @@ def load_block(model: Model, k: int) -> Block:
     return Block(first, begins, sizes, np.concatenate([*held, np.zeros(1, np.uint8)]))
 
 
-def _fill(part: pa.RecordBatch, text_col: str, block: Block, model_order: int, buckets: int) -> tuple[Tokens, np.ndarray, np.ndarray]:
-    """Levels that the block knows: a row for each order, a column for each position of the sequences, which lie between the
-    offsets that come along."""
+def _fill(part: pa.RecordBatch, text_col: str, block: Block, order: int, buckets: int) -> tuple[Tokens, np.ndarray, np.ndarray]:
+    """Levels that the block knows: a row for each position of the sequences, which lie between the offsets that come
+    along, and a column for each order."""
     tokens = tokenise(part.column(text_col))
-    seq, offsets = sequences(tokens)
-    found = grams(seq, offsets, model_order)
-    hashes, place = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
-    level = np.zeros(len(hashes), np.uint8)
-    inside, got = probe(hashes, block, buckets)
-    level[inside] = got
-    out, begin = np.zeros((model_order, len(seq)), np.uint8), 0
-    for n, (h, at) in enumerate(found):
-        out[n, at] = level[place[begin : begin + len(h)]]
-        begin += len(h)
+    seq, offsets, distinct, place = sequences(tokens)
+    out = np.zeros((len(seq), order), np.uint8)
+    # words are looked up once a slice
+    out[:, 0] = probe(mixed(distinct + U(1)), block, buckets)[place]
+    for n, (hashes, at) in enumerate(grams(seq, offsets, order)[1:], 1):
+        out[at, n] = probe(hashes, block, buckets)
     return tokens, offsets, out
 
 
@@ -332,7 +338,7 @@ def measure(docs: DataFrame, model: Model, text_col: str = "text", carry: list[s
         def make(k=k, block=block):
             def step(part: pa.RecordBatch):
                 tokens, offsets, levels = _fill(part, text_col, block.value, order, buckets)
-                mine = [levels[:, a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                mine = [levels[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 if not k:
                     return *_exact(tokens, hot.value, total, cold_type), mine
                 # an n-gram is in one block alone
@@ -354,49 +360,56 @@ def measure(docs: DataFrame, model: Model, text_col: str = "text", carry: list[s
     return state
 
 
-def _counts(levels: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For the tokens of a row and each n of 2 to order: estimates of n-gram and history, 0 where the row has no history
-    of that length."""
-    count = ESTIMATE[levels]
-    size = count.shape[1]
-    out = []
+def _joined(part: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The levels of all rows one below the other, and where each begins."""
+    rows = part.column("lm_levels").to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, order), np.cumsum([0, *(len(r) // order for r in rows)])
+
+
+def _contexts(levels: np.ndarray, begins: np.ndarray, order: int) -> np.ndarray:
+    """For each token (every position but the first of a row) its level, then for n of 2 to `order` the least level of
+    n-gram, history and the n-gram's last n-1 tokens, and the level of the history, 0 where the row has no such history."""
+    inside = np.ones(len(levels), bool)
+    inside[begins[:-1]] = False
+    at = np.flatnonzero(inside)
+    depth = at - np.repeat(begins[:-1], np.maximum(np.diff(begins) - 1, 0))  # tokens before, with the start
+    out = np.zeros((len(at), 2 * order - 1), np.uint8)
+    out[:, 0] = levels[at, 0]
     for n in range(2, order + 1):
-        gram, history = np.zeros(size), np.zeros(size)
-        if size >= n:
-            h, suffix = count[n - 2, : size - n + 1], count[n - 2, 1 : size - n + 2]
-            history[n - 1 :] = h
-            gram[n - 1 :] = np.minimum(np.minimum(count[n - 1, : size - n + 1], h), suffix)
-        out.append((gram[1:], history[1:]))
+        some = np.flatnonzero(depth >= n - 1)
+        first = at[some] - n + 1
+        out[some, 2 * n - 2] = levels[first, n - 2]
+        out[some, 2 * n - 3] = np.minimum(np.minimum(levels[first, n - 1], levels[first, n - 2]), levels[first + 1, n - 2])
     return out
 
 
-def _probability(levels: np.ndarray, order: int, masses: list[float], n_tokens: int, n_types: int, left_out: int = 0) -> np.ndarray:
-    """Of each token of a row, up to the order that `masses` reach. With left_out 1 the token's own occurrence isn't counted."""
-    p = (np.maximum(ESTIMATE[levels[0, 1:]] - left_out, 0) + ADD) / (n_tokens - left_out + ADD * (n_types + 1))
-    for (gram, history), mass in zip(_counts(levels, order), masses, strict=False):
-        seen = history > 0
-        p = np.where(seen, (np.maximum(gram - left_out, 0) + mass * p) / (np.maximum(history - left_out, 0) + mass), p)
+def _probability(contexts: np.ndarray, masses: list[float], n_tokens: int, n_types: int, left_out: int = 0) -> np.ndarray:
+    """Of each token, up to the order that `masses` reach. With left_out 1 the token's own occurrence isn't counted."""
+    p = (np.maximum(ESTIMATE[contexts[:, 0]] - left_out, 0) + ADD) / (n_tokens - left_out + ADD * (n_types + 1))
+    for k, mass in enumerate(masses):
+        gram, history = ESTIMATE[contexts[:, 2 * k + 1]], ESTIMATE[contexts[:, 2 * k + 2]]
+        p = np.where(history > 0, (np.maximum(gram - left_out, 0) + mass * p) / (np.maximum(history - left_out, 0) + mass), p)
     return p
 
 
-def _rows(part: pa.RecordBatch, order: int) -> Iterator[np.ndarray]:
-    for raw in part.column("lm_levels").to_pylist():
-        yield np.frombuffer(raw, np.uint8).reshape(order, -1)
-
-
 def fit_masses(measured: DataFrame, model: Model) -> list[float]:
     """m_2 ... m_order, from measured training texts: for each order the mass of the grid under which all tokens, each left
-    out of the counts, are likeliest, given the masses of lower orders."""
+    out of the counts, are likeliest, given the masses of lower orders. Tokens with the same levels are weighed together."""
     masses: list[float] = []
     order, n_tokens, n_types = model.order, model.n_tokens, model.n_types
-    for _ in range(2, order + 1):
+    for n in range(2, order + 1):
         below = list(masses)
 
-        def run(batches: Iterator[pa.RecordBatch], below=below) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], n=n, below=below) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(MASSES))
             for batch in batches:
-                for levels in _rows(batch, order):
-                    total += [np.log(_probability(levels, order, [*below, m], n_tokens, n_types, 1)).sum() for m in MASSES]
+                for part in sliced(batch, "lm_levels", SLICE_BYTES):
+                    contexts = _contexts(*_joined(part, order), order)
+                    packed = np.zeros(len(contexts), U)
+                    for k in range(2 * n - 1):
+                        packed = packed << U(7) | contexts[:, k].astype(U)
+                    _, first, times = np.unique(packed, return_index=True, return_counts=True)
+                    total += [(np.log(_probability(contexts[first], [*below, m], n_tokens, n_types, 1)) * times).sum() for m in MASSES]
             yield pa.RecordBatch.from_pydict({"mass": MASSES, "fit": total})
 
         found = measured.select("lm_levels").mapInArrow(run, "mass double, fit double").groupBy("mass").agg(F.sum("fit").alias("fit")).collect()
@@ -413,7 +426,12 @@ def score(measured: DataFrame, model: Model, masses: list[float]) -> DataFrame:
     names = [c for c in measured.columns if c not in {*added, "score"}]
 
     def make():
-        return lambda part: [[float(np.log10(_probability(levels, order, masses, n_tokens, n_types)).sum()) for levels in _rows(part, order)]]
+        def step(part: pa.RecordBatch):
+            levels, begins = _joined(part, order)
+            logs = np.log10(_probability(_contexts(levels, begins, order), masses, n_tokens, n_types))
+            return ([float(logs[a:b].sum()) for a, b in zip(begins[:-1] - np.arange(part.num_rows), begins[1:] - np.arange(1, part.num_rows + 1), strict=True)],)
+
+        return step
 
     kept = measured.select(*[F.col(f"`{c}`") for c in names], *added[:4], "lm_levels")
     found = arrow_map(kept, "lm_levels", T.StructType().add("score", "double"), make, [*names, *added[:4]])

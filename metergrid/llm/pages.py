@@ -9,7 +9,7 @@
    page here, at the first of their paths, and have one partner.
 3. The lines of a page, body lines too, are aligned with those of its partner by a longest common subsequence. Open
    lines in it are the site's template and are deleted. Body lines in it are deleted if the site repeats them: if they
-   are aligned in REPEATED pages at least of the same host and folder, and in half of these pages.
+   are aligned in REPEATED pages at least of the same host, and in half of its pages.
 
 Differencing alone can't give the article of every page: a host may have one page, two pages of a host may hold the
 same article, and a line that two articles quote isn't the site's. So structure has a veto: a page that shares half of
@@ -59,6 +59,11 @@ LISTS = {"comment", "comments", "disqus", "replies", "reply", "respond", "relate
 #: A mark after one of these in the same name tells of the layout around it, as in with-sidebar.
 MODIFIERS = {"has", "with", "no", "without"}
 
+#: Nouns that a name may end with behind a mark, as in share-buttons: other ends, as in widget-design, are words of the text.
+HOLDERS = {"area", "bar", "block", "box", "buttons", "button", "container", "form", "icons", "inner", "item", "items", "label", "link", "links", "list", "outer", "panel", "section", "slot", "unit", "wrap", "wrapper"}
+#: Elements of running text: inside an article no sure mark closes them.
+TEXTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "tr", "blockquote", "pre", "figcaption", "caption", "span", "a", "b", "i", "em", "strong", "u", "small", "code"}
+
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 STOP = re.compile(r"[\"'>]")
 ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -81,6 +86,21 @@ def _marks(value: str) -> set[str]:
     return found
 
 
+def _inner_marks(tag: str, name: str, value: str) -> set[str]:
+    """The words that count inside an article: those of class names that end with a mark, or with a mark and a holder.
+    An id counts as a whole, on a part that lists something; headings have ids made of their texts."""
+    if name == "id":
+        return {value.strip().lower()} & LISTS if tag in ("div", "section", "ul", "ol") else set()
+    found = set()
+    for one in value.split():
+        words = [w.lower() for w in WORD.findall(CAMEL.sub(" ", one))]
+        while len(words) > 1 and words[-1] in HOLDERS:
+            words.pop()
+        if words and words[-1] in MARKS and not MODIFIERS & set(words):
+            found |= set(words)
+    return found - (MARKS - UNSURE) if tag in TEXTS else found
+
+
 def _zone(tag: str, attributes: str, inside: int) -> int:
     """The zone of an element's content."""
     if inside == OUT or tag in CHROME or tag in HIDDEN:
@@ -98,7 +118,7 @@ def _zone(tag: str, attributes: str, inside: int) -> int:
                 continue
             if tag in ("html", "body", "article", "main"):
                 continue  # page-wide or explicit: their names describe the layout, not the content
-            words = _marks(value)
+            words = _inner_marks(tag, name.lower(), value) if inside == BODY else _marks(value)
             closed = words & MARKS
             if not closed or tag == "header" and inside == BODY:
                 continue
@@ -248,8 +268,47 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     return lines
 
 
-#: Cells of one alignment table; larger alignments are halved (divide and conquer), so memory stays linear.
+#: Cells of one alignment table. Larger alignments are halved (divide and conquer) by lengths from bit vectors, 64 cells a step,
+#: so memory stays linear.
 CELLS = 1 << 20
+#: Places of a line from which on its bit vector is kept.
+FREQUENT = 256
+
+
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The lengths of the longest common subsequences of x with every head of y. A bit vector over y holds a 0 where the
+    length grows, and each line of x updates it by whole-number operations."""
+    order = np.argsort(y, kind="stable")
+    values, first = np.unique(y[order], return_index=True)
+    places = dict(zip(values.tolist(), np.split(order, first[1:]), strict=True))
+    kept: dict[int, int] = {}
+    full = (1 << len(y)) - 1
+
+    def mask(v: int) -> int:
+        at = places[v]
+        if len(at) < 8:
+            found = 0
+            for j in at.tolist():
+                found |= 1 << j
+            return found
+        flags = np.zeros(len(y), bool)
+        flags[at] = True
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+    row = full
+    for v in x.tolist():
+        if v not in places:
+            continue
+        if v in kept:
+            m = kept[v]
+        else:
+            m = mask(v)
+            if len(places[v]) >= FREQUENT:
+                kept[v] = m
+        up = row & m
+        row = ((row + up) | (row - up)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(y) // 8) or 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
 
 def _row(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -259,8 +318,6 @@ def _row(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         match = np.zeros(len(y) + 1, np.int32)
         match[:-1] = np.where(y == v, rows[-1][1:] + 1, 0)
         rows.append(np.maximum.accumulate(np.maximum(rows[-1], match)[::-1])[::-1])
-        if len(x) * len(y) > CELLS:
-            rows = rows[-1:]
     return rows[::-1]
 
 
@@ -272,7 +329,7 @@ def _aligned(x: np.ndarray, y: np.ndarray) -> list[int]:
         return [0] if (y == x[0]).any() else []
     if len(x) * len(y) > CELLS:
         half = len(x) // 2
-        ahead, behind = _row(x[:half][::-1], y[::-1])[0][::-1], _row(x[half:], y)[0]
+        ahead, behind = _lengths(x[:half], y), _lengths(x[half:][::-1], y[::-1])[::-1]
         cut = int((ahead + behind).argmax())
         return _aligned(x[:half], y[:cut]) + [half + k for k in _aligned(x[half:], y[cut:])]
     rows, out, j = _row(x, y), [], 0
@@ -304,7 +361,7 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
     return [True] * head + mid + [True] * tail
 
 
-#: Pages of a folder that repeat a body line at least before it is the site's.
+#: Pages of a host that repeat a body line at least before it is the site's.
 REPEATED = 3
 
 #: What is kept of a page's lines to align them: for each a hash, its length and whether it is body.
@@ -361,7 +418,7 @@ def partners(parsed: DataFrame, tmp: Scratch) -> DataFrame:
 
 
 def _marked(batches):
-    """(host, folder, same, marks) of pages with their partner's lines: the lines that may go, which are the aligned
+    """(host, same, marks) of pages with their partner's lines: the lines that may go, which are the aligned
     ones, without body lines of near copies; none if all lines are aligned."""
     for batch in batches:
         marks = []
@@ -371,7 +428,7 @@ def _marked(batches):
             near = 2 * shared >= sum(n for n, b in zip(size, body, strict=True) if b)
             marks.append([] if all(gone) else [{"at": k, "hash": h, "body": b} for k, (h, b, g) in enumerate(zip(own, body, gone, strict=True)) if g and not (near and b)])
         kind = pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64()), ("body", pa.bool_())]))
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("host", "folder", "same")] + [pa.array(marks, kind)], names=["host", "folder", "same", "marks"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("host", "same")] + [pa.array(marks, kind)], names=["host", "same", "marks"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -390,17 +447,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         )
         once = known.where("key IS NOT NULL AND host <> ''").groupBy("key").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("host", "path", "same")]).where("n = 1")
         first = once.groupBy("host", "same").agg(F.min(F.struct("path", "key")).alias("first")).select("host", "same", F.col("first.path").alias("path"), F.col("first.key").alias("key"))
-        first = tmp.written(first.withColumn("folder", F.regexp_replace("path", "[^/]*$", "")), "pages")
+        first = tmp.written(first, "pages")
         # lines travel as hashes of 8 bytes
         other = parsed.select(F.col("key").alias("partner"), F.col("hash").alias("other"))
         paired = first.join(partners(first.select("key", "host", "path"), tmp), "key").join(parsed.select("key", "hash", "size", "body"), "key")
-        pairs = paired.join(other, "partner").select("host", "folder", "same", "hash", "size", "body", "other")
+        pairs = paired.join(other, "partner").select("host", "same", "hash", "size", "body", "other")
         marks = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("body", T.BooleanType())]))
-        aligned = tmp.written(pairs.mapInArrow(_marked, T.StructType([pairs.schema[c] for c in ("host", "folder", "same")] + [T.StructField("marks", marks)])), "aligned")
-        mark = aligned.select("host", "folder", "same", F.explode("marks").alias("m")).select("host", "folder", "same", "m.*")
-        line = ["host", "folder", "hash"]
+        aligned = tmp.written(pairs.mapInArrow(_marked, T.StructType([pairs.schema[c] for c in ("host", "same")] + [T.StructField("marks", marks)])), "aligned")
+        mark = aligned.select("host", "same", F.explode("marks").alias("m")).select("host", "same", "m.*")
+        line = ["host", "hash"]
         counted = mark.where("body").select(*line, "same").distinct().groupBy(*line).agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED)
-        site = counted.join(first.groupBy("host", "folder").agg(F.count("*").alias("pages")), ["host", "folder"]).where("2 * n >= pages").select(*line)
+        site = counted.join(first.groupBy("host").agg(F.count("*").alias("pages")), "host").where("2 * n >= pages").select(*line)
         lost = mark.where("NOT body").select("host", "same", "at").unionByName(mark.where("body").join(site, line, "left_semi").select("host", "same", "at"))
         lost = lost.groupBy("host", "same").agg(F.collect_list("at").alias("lost"))
         of_page = written(once.join(lost, ["host", "same"]).select(F.col("key").alias("_key"), "lost"), "lost")

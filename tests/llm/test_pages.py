@@ -115,3 +115,86 @@ def test_words_of_class_and_id_do_not_lose_an_article():
     assert kept("<article><p>a</p><div class='ad'>x</div><div class='share'>x</div><div class='post-comments'>x</div></article>") == ["a"]
     assert kept("<div class='header'>x</div><div id='comments'><article>x</article></div><nav><article>x</article></nav><p>a</p>") == ["a"]
     assert page_lines("<article><div class='post-header'>t</div><p class='notice'>n</p></article>") == [("t", 1), ("n", 0)]
+
+
+def test_names_that_belong_to_the_text_keep_it():
+    kept = lambda page: [text for text, _ in page_lines(page)]
+    assert kept('<article><p>a</p><h2 id="related-work">Related work</h2><p id="share-of-votes">c</p><p class="ad-hoc">d</p></article>') == ["a", "Related work", "c", "d"]
+    assert kept('<main><h2 id="comments-on-the-law">h</h2><div class="widget-design">w</div><section id="search">s</section><h3 id="comments">k</h3><p class="ad">p</p></main>') == ["h", "w", "s", "k", "p"]
+    assert kept('<article><p>a</p><div class="ad-slot">x</div><div class="shareButtons">x</div><section id="comments">x</section><ul class="related-posts related">x</ul></article>') == ["a"]
+
+
+def test_long_pages_with_other_lines_take_seconds(monkeypatch):
+    import numpy as np
+
+    from metergrid.llm import pages
+
+    rng = np.random.default_rng(3)
+    for pool in (10**9, 300, 2):
+        a, b = (rng.integers(0, pool, 60_000).astype(np.int64) for _ in range(2))
+        if pool == 10**9:
+            b = rng.permutation(a)
+        start = time.process_time()
+        marks = common_lines([str(x) for x in a], [str(x) for x in b])
+        assert time.process_time() - start < 40 and sum(marks) == pages._lengths(a, b)[-1]
+
+
+def brute(rows):
+    """The rule of extract() by plain comparison; rows: (id, url, html), ids unique."""
+    import re
+
+    parts = {}
+    for i, url, page in rows:
+        m = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)[^/?#]*([^?#]*)", url or "")
+        parts[i] = (m[1].lower() if m else "", m[2] if m else "", page_lines(page or ""))
+    keys = {}
+    for i, (host, path, lines) in parts.items():
+        if host:
+            keys.setdefault((host, tuple(t for t, _ in lines)), []).append((path, i))
+    first = sorted((host, *min(at)) for (host, _), at in keys.items())
+    lcs = lambda a, b: common_lines(a, b)  # noqa: E731  checked against dynamic programming above
+    shared = lambda p, q: next((k for k, (x, y) in enumerate(zip(p.split("/"), q.split("/"))) if x != y), min(len(p.split("/")), len(q.split("/"))))
+    marks, count, pages_of = {}, {}, {}
+    for k, (host, path, i) in enumerate(first):
+        pages_of[host] = pages_of.get(host, 0) + 1
+        near = [first[j] for j in (k - 1, k + 1) if 0 <= j < len(first) and first[j][0] == host]
+        if not near:
+            continue
+        other = max(near, key=lambda n: shared(path, n[1]))
+        lines = parts[i][2]
+        gone = lcs([t for t, _ in lines], [t for t, _ in parts[other[2]][2]])
+        body = sum(len(t.encode()) for (t, z) in lines if z == 1)
+        copy = 2 * sum(len(t.encode()) for (t, z), g in zip(lines, gone) if g and z == 1) >= body
+        marks[i] = [] if all(gone) else [n for n, ((t, z), g) in enumerate(zip(lines, gone)) if g and not (copy and z == 1)]
+        for t in {lines[n][0] for n in marks[i] if lines[n][1] == 1}:
+            count[host, t] = count.get((host, t), 0) + 1
+    out = {}
+    for (host, texts), at in keys.items():
+        i = min(at)[1]
+        lines = parts[i][2]
+        lost = {n for n in marks.get(i, ()) if lines[n][1] != 1 or (count[host, lines[n][0]] >= 3 and 2 * count[host, lines[n][0]] >= pages_of[host])}
+        for _, j in at:
+            out[j] = "\n\n".join(t for n, t in enumerate(texts) if n not in lost)
+    return {i: out.get(i, "\n\n".join(t for t, _ in lines)) for i, (_, _, lines) in parts.items()}
+
+
+def test_query_against_plain_comparison(spark, sf_dir):
+    given = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    rng = random.Random(6)
+    for k in range(120):
+        chrome = [f"<div>{x}</div>" for x in ("Site name", f"menu {k % 5}", "rights") if rng.random() < 0.8]
+        body = "".join(f"<p>{rng.choice(['common line', f'own line {k} {n}', f'line {rng.randint(0, 6)}'])}</p>" for n in range(rng.randint(0, 6)))
+        given.append((10_000 + k, f"https://h{k % 7}.example/{rng.choice('abc')}/{rng.choice('xy')}/{k}", f"<body>{chrome[0] if chrome else ''}<article>{body}</article>{''.join(chrome[1:])}</body>"))
+    df = spark.createDataFrame(given, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract(df).collect()} == brute(given)
+
+
+def test_no_line_of_an_article_is_lost(spark, sf_dir):
+    import html as markup
+    import re
+
+    found = {r["page_id"]: r["text"] for r in op2_pages(spark, sf_dir).collect()}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        inner = "".join(re.findall(r"(?s)<article>(.*?)</article>", r["html"] or ""))
+        words = re.sub(r"\s+", " ", markup.unescape(re.sub(r"<[^>]*>", " ", inner))).split()
+        assert re.sub(r"\s+", " ", found[r["page_id"]]).split() == words

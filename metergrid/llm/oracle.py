@@ -41,20 +41,21 @@ FROM d LEFT JOIN word USING (k) LEFT JOIN item USING (k)"""
 
 
 def _op10() -> str:
+    # each rule's matches once, a row each; sums of what stands before them give the offsets
     parts = []
     for order, (kind, pattern, group, least) in enumerate(RULES):
         p = pattern.replace("'", "''")
-        tested = f"regexp_extract_all(text, '{p}', {group})"
-        parts.append(f"""list_filter(list_transform(generate_series(1, len(regexp_extract_all(text, '{p}'))), lambda i: {{
-  'first': list_sum(list_transform(regexp_split_to_array(text, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(text, '{p}')[1:i - 1], lambda x: length(x))), 0),
-  'place': {order}, 'size': length(regexp_extract_all(text, '{p}')[i]), 'tested': length({tested}[i]), 'kind': '{kind}'}}), lambda s: s.tested >= {least})""")
-    every = "list_sort(" + " || ".join(parts) + ")"
-    write = lambda s: f"array_to_string(list_transform({s}, lambda s: s.kind || ':' || CAST(s.first AS BIGINT) || ':' || CAST(s.first + s.size AS BIGINT)), ',')"
-    base = "list_filter(spans, lambda s: s.place < 3)"
-    counts = ", ".join(f"CAST(len(list_filter(spans, lambda s: s.kind = '{k}')) AS BIGINT) AS n_{k}" for k in ("assign", "access", "hex"))
+        every = f"regexp_extract_all(text, '{p}')"
+        parts.append(f"""SELECT k, {order} AS place, '{kind}' AS kind, {least} AS least, unnest({every}) AS m, unnest(regexp_extract_all(text, '{p}', {group})) AS v, unnest(regexp_split_to_array(text, '{p}')[1:len({every})]) AS gap,
+  unnest(generate_series(1, len({every}))) AS n FROM d WHERE regexp_matches(text, '{p}')""")
+    write = lambda kept: f"coalesce(string_agg(kind || ':' || (last - length(m)) || ':' || last, ',' ORDER BY last - length(m), place) {kept}, '')"
+    counts = ", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in ("assign", "access", "hex"))
     return f"""
-SELECT doc_id, {counts}, sha256({write(base)}) AS base_sha256, {write("spans")} AS spans
-FROM (SELECT doc_id, {every} AS spans FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+matched AS ({" UNION ALL ".join(parts)}),
+placed AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY k, place ORDER BY n) AS BIGINT) AS last FROM matched),
+told AS (SELECT k, {", ".join(f"count(*) FILTER (kind = '{x}') AS n_{x}" for x in ("assign", "access", "hex"))}, {write("FILTER (place < 3)")} AS base, {write("")} AS spans FROM placed WHERE length(v) >= least GROUP BY k)
+SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (k)"""
 
 
 #: Prefixes are compared as whole texts here.

@@ -160,23 +160,29 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col:
     )
 
 
-def _spans(rule: Rule, order: int, text: Column) -> Column:
-    """array<struct<first, place, last, kind>> of a rule's matches: the texts between matches give the offsets."""
+def _running(values: Column, join) -> Column:
+    """What join (a sum or a maximum) makes of each value with all before it: each pass joins in as many again, so an array
+    of n values takes log2(n) passes and nothing is copied for every value."""
+    passes = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    width = lambda k: F.pow(F.lit(2), k).cast("int")
+    return F.aggregate(passes, values, lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= width(k), join(x, F.get(acc, i - width(k)))).otherwise(x)))
+
+
+def _lengths(rule: Rule, text: Column) -> Column:
+    """Lengths of a rule's matches (m), of what it tests of them (v) and of the texts before them (gap, one more)."""
     # Java and Python agree on these expressions
-    matched = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matched
-    gaps = F.split(text, rule.pattern, -1)
-    found = F.arrays_zip(matched.alias("m"), tested.alias("v"), F.slice(gaps, 1, F.size(matched)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<first:int,place:int,last:int,kind:string>>)").alias("out"))
+    size = lambda texts: F.transform(texts, lambda x: F.char_length(x))
+    matched = size(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
+    tested = size(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))) if rule.group else F.lit(None).cast("array<int>")
+    return F.struct(matched.alias("m"), tested.alias("v"), size(F.split(text, rule.pattern, -1)).alias("gap"))
 
-    def step(acc, x):
-        first = acc["at"] + F.char_length(x["gap"])
-        last = first + F.char_length(x["m"])
-        one = F.array(F.struct(first.alias("first"), F.lit(order).alias("place"), last.alias("last"), F.lit(rule.kind).alias("kind")))
-        kept = F.when(F.char_length(x["v"]) >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"])
-        return F.struct(last.alias("at"), kept.alias("out"))
 
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+def _spans(rule: Rule, order: int, lengths: Column) -> Column:
+    """array<struct<first, place, last, kind>> of a rule's matches."""
+    m = lengths["m"]
+    last = _running(F.zip_with(F.slice(lengths["gap"], 1, F.size(m)), m, lambda a, b: a + b), lambda a, b: a + b)
+    kept = F.filter(F.arrays_zip(last.alias("last"), m.alias("m"), (lengths["v"] if rule.group else m).alias("v")), lambda x: x["v"] >= rule.least)
+    return F.transform(kept, lambda x: F.struct((x["last"] - x["m"]).alias("first"), F.lit(order).alias("place"), x["last"].alias("last"), F.lit(rule.kind).alias("kind")))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -192,11 +198,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = rows.join(found, rows[id_col].eqNullSafe(found["_candidate"]), "left")
     text = F.col(text_col)
     none = F.expr("cast(array() as array<struct<first:int,place:int,last:int,kind:string>>)")
-    spans = []
+    lengths, spans = [], []
     for order, rule in enumerate(rules):
         asked = F.array_contains("_kinds", rule.kind) & text.rlike(rule.pattern) if rule in indexed else text.rlike(rule.pattern)
-        spans.append(F.when(asked, _spans(rule, order, text)).otherwise(none))
-    return joined.select(*[rows[c] for c in rows.columns], F.array_sort(F.concat(*spans)).alias("secrets"))
+        # a column of its own, so that each expression runs once
+        lengths.append(F.when(asked, _lengths(rule, text)).alias(f"_l{order}"))
+        one = F.col(f"_l{order}")
+        spans.append(F.when(one.isNotNull(), _spans(rule, order, one)).otherwise(none))
+    measured = joined.select(*[rows[c] for c in rows.columns], *lengths)
+    return measured.select(*[F.col(f"`{c}`") for c in rows.columns], F.array_sort(F.concat(*spans)).alias("secrets"))
 
 
 def written_spans(secrets: Column) -> Column:
@@ -204,17 +214,28 @@ def written_spans(secrets: Column) -> Column:
     return F.array_join(F.transform(secrets, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["last"].cast("string"))), ",")
 
 
-def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of find_secrets() with each maximal stretch of secret characters replaced by [secret]."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+#: Code points of a piece of a text from which stretches are taken.
+PIECE = 1024
 
-    def step(acc, s):
-        more = s["first"] >= acc["at"]
-        out = F.when(more, F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["first"] - acc["at"]), F.lit("[secret]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["last"]).alias("at"), out.alias("out"))
 
-    def finish(acc):
-        return F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.char_length(F.col(text_col))))
+def _between(pieces: Column, first: Column, last: Column) -> Column:
+    """The code points from first to last of a text that is cut into pieces."""
+    whole = lambda n: F.floor(n / PIECE).cast("int")
+    a, b = whole(first), whole(last)
+    piece = lambda n: F.coalesce(F.get(pieces, n), F.lit(""))
+    same = F.substring(piece(a), (first % PIECE + 1).cast("int"), (last - first).cast("int"))
+    inner = F.array_join(F.slice(pieces, a + 2, F.greatest(F.lit(0), b - a - 1)), "")
+    return F.when(a == b, same).otherwise(F.concat(F.substring(piece(a), (first % PIECE + 1).cast("int"), F.lit(PIECE)), inner, F.substring(piece(b), F.lit(1), (last % PIECE).cast("int"))))
 
-    clean = F.when(F.size("secrets") > 0, F.aggregate("secrets", start, step, finish)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, clean)
+
+def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of find_secrets() with each maximal stretch of secret characters replaced by [secret]."""
+    text, secrets = F.col(text_col), F.col("secrets")
+    upto = _running(F.transform(secrets, lambda s: s["last"]), F.greatest)
+    # a span that begins at the end of all before it or later begins a stretch, and text stands before it
+    begins = F.filter(F.transform(secrets, lambda s, i: F.struct(F.when(i > 0, F.get(F.col("_upto"), i - 1)).otherwise(0).alias("at"), s["first"].alias("first"))), lambda x: x["first"] >= x["at"])
+    kept = F.transform(begins, lambda x: _between(F.col("_pieces"), x["at"], x["first"]))
+    rest = _between(F.col("_pieces"), F.element_at("_upto", -1), F.char_length(text))
+    clean = F.when(F.size(secrets) > 0, F.array_join(F.concat(kept, F.array(rest)), "[secret]")).otherwise(text)
+    some = F.when(F.size(secrets) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    return found.withColumns({"_upto": upto, "_pieces": some}).withColumn(text_col, clean).drop("_upto", "_pieces")

@@ -70,3 +70,30 @@ def test_no_byte_of_a_private_key_survives(spark):
         assert not [x for x in lines if x in clean[i]] and "Qx9" not in clean[i] and "PRIVATE KEY" not in clean[i] and clean[i].startswith("before")
         assert ("after" in text) == ("after" in clean[i])
     assert clean[0] == "before\n[secret]\nafter" and clean[8] == "before [secret] (the first line of a key) - after"
+
+
+def test_very_many_secrets_in_one_text(spark):
+    import time
+
+    text = " and ".join(f"token=abcdefg{i % 7}h{i}" for i in range(100_000)) + " ä😀 " + "deadbeef" * 4
+    df = spark.createDataFrame([(1, text), (2, "no é secret" * 200)], "doc_id long, text string")
+    began = time.time()
+    found = {r["doc_id"]: [tuple(s) for s in r["secrets"]] for r in find_secrets(df).collect()}
+    clean = {r["doc_id"]: r["text"] for r in redact(find_secrets(df)).collect()}
+    assert time.time() - began < 60
+    assert found[1] == brute(text) and found[2] == [] and clean[2] == "no é secret" * 200
+    assert clean[1] == " and ".join(["[secret]"] * 100_000) + " ä😀 [secret]"
+
+
+def test_stretches_over_pieces(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["é", "x" * rng.randint(1, 900), " ", "token=" + "a" * rng.randint(1, 3000), "secret=token=" + "f" * 40, "😀"]) for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    for text, out in ((r["text"], r["clean"]) for r in redact(find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "text AS raw"))).selectExpr("raw AS text", "text AS clean").collect()):
+        want, at = "", 0
+        for first, _, last, _ in brute(text):
+            if first >= at:
+                want += text[at:first] + "[secret]"
+            at = max(at, last)
+        assert out == want + text[at:]

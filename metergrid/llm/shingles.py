@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 
@@ -54,6 +55,19 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return range_hash(running_hash(data), starts, ends)
 
 
+#: Bytes of the longest word that is told by the running hash. Powers of one number modulo 2**64 tell short words apart, but
+#: not long ones made to agree (a Thue-Morse word and its complement, from 1,024 letters on).
+SHORT_WORD = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word; long words by BLAKE2b of their bytes."""
+    h = range_hashes(data, starts, ends)
+    for i in np.flatnonzero(ends - starts > SHORT_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=b"word").digest())
+    return h
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct `words`-word shingles of each text as sorted 64-bit hashes, one after the other, and the
     n + 1 offsets of the texts. Words are runs of bytes other than space and \\x09-\\x0D with A-Z in lower case."""
@@ -71,7 +85,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     joined = edge[inside[edge] & inside[edge + 1]]  # words of two texts that touch
     begins[joined] = stops[joined] = True
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
-    h = range_hashes(low, starts, ends)
+    h = word_hashes(low, starts, ends)
     owner = np.searchsorted(offsets, starts, side="right") - 1
     count = np.bincount(owner, minlength=n) if len(owner) else np.zeros(n, np.int64)
     first = np.concatenate([[0], np.cumsum(count)])

@@ -62,3 +62,13 @@ def test_large_group_of_different_near_copies_is_one_component(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_words_that_defeat_a_running_hash_are_told_apart(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, word), (2, other), (3, f"x y {word}"), (4, f"x y {other}"), (5, f"x y {word}"), (6, word[:1024]), (7, other[:1024])]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=85, shallow=4).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3, 6: 6, 7: 7}

@@ -34,17 +34,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metergrid.llm.common import SLICE_BYTES, Scratch, arrow_map, sliced, whole_groups, written
-from metergrid.llm.shingles import mixed
+from metergrid.llm.common import SLICE_BYTES, Scratch, arrow_map, flat_bytes, sliced, whole_groups, written
+from metergrid.llm.shingles import mixed, word_hashes
 
 ORDER = 2
 BASE = 1.5
 BITS, PROBES = 12, 5
+#: Bits of a line of the filter, which holds all places of a pair; n-grams that are looked up together.
+LINE, CHUNK = 512, 1 << 15
 ADD = 0.1
 HOT = 1 << 20
 LONG = 64
@@ -78,7 +79,7 @@ class Model:
 
 @dataclass
 class Block:
-    """The segments of consecutive buckets: where each begins in `bits`, and its number of bits."""
+    """The segments of consecutive buckets: where each begins in `bits`, and its number of lines."""
 
     first: int
     begins: np.ndarray
@@ -92,7 +93,7 @@ class Tokens:
 
     codes: np.ndarray
     owner: np.ndarray
-    spelled: list[str]
+    spelled: pa.Array
     rows: int
 
 
@@ -102,7 +103,10 @@ def tokenise(texts: pa.Array) -> Tokens:
     flat, owner = pc.list_flatten(lists), np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
     full = pc.greater(pc.binary_length(flat), 0)
     coded = flat.filter(full).dictionary_encode()
-    spelled = [w if len(w) * 4 <= LONG or len(w.encode()) <= LONG else " " + hashlib.sha256(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()]
+    spelled = coded.dictionary.cast(pa.string())
+    if (pc.max(pc.binary_length(spelled)).as_py() or 0) > LONG:
+        words = spelled.cast(pa.binary()).to_pylist()
+        spelled = pa.array([w if len(w) <= LONG else b" " + hashlib.sha256(w).hexdigest().encode() for w in words], pa.binary()).cast(pa.string())
     return Tokens(np.asarray(coded.indices).astype(np.int64), owner[np.asarray(full)], spelled, len(texts))
 
 
@@ -111,7 +115,8 @@ def sequences(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     token, and its place among them for each position."""
     counts = np.bincount(tokens.owner, minlength=tokens.rows) + 2
     offsets = np.concatenate([[0], np.cumsum(counts)])
-    hashes = np.array([*map(xxhash.xxh3_64_intdigest, tokens.spelled), START_HASH, END_HASH], U)
+    data, at = flat_bytes(tokens.spelled)
+    hashes = np.concatenate([word_hashes(data, at[:-1], at[1:]), [START_HASH, END_HASH]]).astype(U)
     place = np.full(offsets[-1], len(hashes) - 1)
     place[offsets[:-1]] = len(hashes) - 2
     place[np.arange(len(tokens.codes)) + 2 * tokens.owner + 1] = tokens.codes
@@ -145,48 +150,50 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 
 def probes(keys: np.ndarray, buckets: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and step of the probes of (n-gram, level), 32 bits each."""
+    """Where (n-gram, level) is: 32 bits that choose a line of LINE bits, and 64 bits from which the places in it come."""
     h = mixed(keys * U(2 * level + 1) ^ mixed(buckets.astype(U) + U(level)))
-    return h >> U(32), (h & HALF) | U(1)
+    return h & HALF, mixed(h)
 
 
-def bit_of(start: np.ndarray, step: np.ndarray, i: int, sizes) -> np.ndarray:
-    """The i-th bit in filters of `sizes` bits, which are less than 2**32."""
-    return (((start + U(i) * step) & HALF) * sizes >> U(32)).astype(np.int64)
+def place_of(within: np.ndarray, i: int) -> np.ndarray:
+    return (within >> U(9 * i)) & U(LINE - 1)
 
 
 def segment(keys: np.ndarray, counts: np.ndarray, bucket: int) -> tuple[int, np.ndarray]:
-    """Bits and bytes of the filter of a bucket."""
+    """Lines and bytes of the filter of a bucket."""
     level = levels_of(counts)
-    size = -(-max(64, BITS * int(level.sum())) // 8) * 8
-    bits = np.zeros(size, bool)
+    lines = max(1, -(-BITS * int(level.sum()) // LINE))
+    bits = np.zeros(lines * LINE, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
         some = keys[level >= j]
-        start, step = probes(some, np.full(len(some), bucket), j)
+        line, within = probes(some, np.full(len(some), bucket), j)
+        first = (line * U(lines) >> U(32)) * U(LINE)
         for i in range(PROBES):
-            bits[bit_of(start, step, i, U(size))] = True
-    return size, np.packbits(bits, bitorder="little")
+            bits[(first + place_of(within, i)).astype(np.int64)] = True
+    return lines, np.packbits(bits, bitorder="little")
 
 
 def probe(hashes: np.ndarray, block: Block, buckets: int) -> np.ndarray:
-    """The levels of n-grams, 0 for those of other blocks."""
+    """The levels of n-grams, 0 for those of other blocks. Few enough at a time that their lines stay in the cache."""
     out = np.zeros(len(hashes), np.uint8)
-    bucket = bucket_of(hashes, buckets)
-    at = np.flatnonzero((bucket >= block.first) & (bucket < block.first + len(block.sizes)))
-    bucket, keys = bucket[at], key_of(hashes[at])
-    size, begin = block.sizes[bucket - block.first].astype(U), block.begins[bucket - block.first]
-    full = size > 0
-    for j in range(1, len(LEAST)):
-        at, bucket, keys, size, begin = (x[full] for x in (at, bucket, keys, size, begin))
-        if not len(at):
-            break
-        start, step = probes(keys, bucket, j)
-        alive = np.arange(len(at))
-        for i in range(PROBES):
-            bit = bit_of(start[alive], step[alive], i, size[alive])
-            alive = alive[(block.bits[begin[alive] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 > 0]
-        full = alive
-        out[at[alive]] = j
+    for begin in range(0, len(hashes), CHUNK):
+        part = hashes[begin : begin + CHUNK]
+        bucket = bucket_of(part, buckets)
+        at = np.flatnonzero((bucket >= block.first) & (bucket < block.first + len(block.sizes)))
+        bucket, key = bucket[at], key_of(part[at])
+        lines, first = block.sizes[bucket - block.first].astype(U), block.begins[bucket - block.first]
+        ok = lines > 0
+        for j in range(1, len(LEAST)):
+            at, bucket, key, lines, first = (x[ok] for x in (at, bucket, key, lines, first))
+            if not len(at):
+                break
+            line, within = probes(key, bucket, j)
+            byte = first + ((line * lines >> U(32)) * U(LINE // 8)).astype(np.int64)
+            ok = np.ones(len(at), bool)
+            for i in range(PROBES):
+                place = place_of(within, i)
+                ok &= (block.bits[byte + (place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8)) & 1 > 0
+            out[begin + at[ok]] = j
     return out
 
 
@@ -198,7 +205,7 @@ def count_words(texts: DataFrame, text_col: str) -> DataFrame:
             for part in sliced(batch, text_col, 4 * SLICE_BYTES):
                 t = tokenise(part.column(text_col))
                 n = np.bincount(t.codes, minlength=len(t.spelled))
-                yield pa.RecordBatch.from_pydict({"word": pa.array([*t.spelled, END], pa.string()), "n": pa.array([*n.tolist(), t.rows], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"word": pa.concat_arrays([t.spelled, pa.array([END], pa.string())]), "n": pa.array([*n.tolist(), t.rows], pa.int64())})
 
     return texts.select(F.col(f"`{text_col}`")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("count"))
 
@@ -239,7 +246,7 @@ def count_grams(texts: DataFrame, text_col: str, order: int, buckets: int) -> Da
 
 
 def build_segments(counted: DataFrame) -> DataFrame:
-    """(bucket, size, bits) from the rows of count_grams()."""
+    """(bucket, size in lines, bits) from the rows of count_grams()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket"):
@@ -266,7 +273,7 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER, block_byte
     hot = {r["word"]: r["count"] for r in vocabulary.where((F.col("count") * HOT >= n) | (F.col("word") == END)).collect()}
     buckets = -(-max(n, 1) // BUCKET_TOKENS)
     segments = written(build_segments(count_grams(texts, text_col, order, buckets)), "filter")
-    largest = segments.agg(F.coalesce(F.max("size"), F.lit(8))).first()[0] // 8
+    largest = segments.agg(F.coalesce(F.max("size"), F.lit(1))).first()[0] * LINE // 8
     per_block = max(1, block_bytes // largest)
     return Model(order, n, v, vocabulary, hot, segments, buckets, per_block, -(-buckets // per_block))
 
@@ -279,7 +286,7 @@ def load_block(model: Model, k: int) -> Block:
     for r in model.segments.where(F.col("bucket").between(first, first + n - 1)).toLocalIterator():
         begins[r["bucket"] - first], sizes[r["bucket"] - first] = at, r["size"]
         held.append(np.frombuffer(r["bits"], np.uint8))
-        at += r["size"] // 8
+        at += r["size"] * LINE // 8
     return Block(first, begins, sizes, np.concatenate([*held, np.zeros(1, np.uint8)]))
 
 
@@ -296,17 +303,19 @@ def _fill(part: pa.RecordBatch, text_col: str, block: Block, order: int, buckets
     return tokens, offsets, out
 
 
-def _exact(tokens: Tokens, hot: dict[str, int], total: float, cold_type: pa.DataType) -> tuple:
+def _exact(tokens: Tokens, hot: tuple[pa.Array, np.ndarray], total: float, cold_type: pa.DataType) -> tuple:
     """Of each row: tokens, those known and the sum of logarithms over hot ones; the cold words with their number."""
-    count = np.array([hot.get(w, 0) for w in tokens.spelled] or [0], np.int64)
+    words, counts = hot
+    found = np.asarray(pc.fill_null(pc.index_in(tokens.spelled, value_set=words), -1)).astype(np.int64)
+    count = np.where(found >= 0, counts[found], 0) if len(found) else np.zeros(1, np.int64)
     codes, owner, rows = tokens.codes, tokens.owner, tokens.rows
     is_hot = count[codes] > 0
-    end = hot.get(END, 0)
+    end = int(counts[words.index(END).as_py()]) if words.index(END).as_py() >= 0 else 0
     n = np.bincount(owner, minlength=rows) + 1
     known = np.bincount(owner[is_hot], minlength=rows) + (end > 0)
     base = np.bincount(owner[is_hot], np.log10((count + ADD) / total)[codes[is_hot]], rows) + np.log10((end + ADD) / total)
     pair, times = np.unique(owner[~is_hot] * max(1, len(tokens.spelled)) + codes[~is_hot], return_counts=True)
-    words = pa.array(tokens.spelled, pa.string()).take(pa.array(pair % max(1, len(tokens.spelled))))
+    words = tokens.spelled.take(pa.array(pair % max(1, len(tokens.spelled))))
     begins = np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(tokens.spelled)), minlength=rows))])
     cold = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], ["word", "n"])).cast(cold_type)
     return n, known, base, cold
@@ -323,7 +332,8 @@ def measure(docs: DataFrame, model: Model, text_col: str = "text", carry: list[s
 
     names = [c for c in (docs.columns if carry is None else carry) if c != "lm_row"]
     spark, order, buckets = docs.sparkSession, model.order, model.buckets
-    hot, cold_type = spark.sparkContext.broadcast(model.hot), to_arrow_type(_COLD)
+    hot = spark.sparkContext.broadcast((pa.array(list(model.hot), pa.string()), np.array([*model.hot.values(), 0], np.int64)))
+    cold_type = to_arrow_type(_COLD)
     total = model.n_tokens + ADD * (model.n_types + 1)
     keys = dict.fromkeys([*names, text_col])
     state = docs.select(*[F.col(f"`{c}`") for c in keys], F.monotonically_increasing_id().alias("lm_row"))

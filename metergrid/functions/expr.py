@@ -64,10 +64,12 @@ def provider(column: str) -> Column:
 
 
 def round_cost(cost: Column) -> Column:
-    """Six decimals from 0.001 on, six significant digits below; 0 for what is not finite."""
+    """Six decimals from 0.001 on, six significant digits below; 0 for what is not finite. Rounded as floor(x + 1/2) of
+    the scaled double. Sums come rounded to nine places, so that the order of adding decides no half."""
     size = F.abs(cost)
     scale = F.pow(F.lit(10.0), F.lit(5) - F.floor(F.log10(size)))
-    return F.when(cost.isNull() | F.isnan(cost) | (size == float("inf")) | (cost == 0), F.lit(0.0)).when(size >= 0.001, F.round(cost, 6)).otherwise(F.round(cost * scale) / scale)
+    half_up = lambda x: F.floor(x + 0.5).cast("double")
+    return F.when(cost.isNull() | F.isnan(cost) | (size == float("inf")) | (cost == 0), F.lit(0.0)).when(size >= 0.001, half_up(cost * 1e6) / 1e6).otherwise(half_up(cost * scale) / scale)
 
 
 def project_parts(key: Column) -> Column:

@@ -86,6 +86,80 @@ WORKSPACES = """SELECT c_custkey AS c, CASE c_custkey % 3 WHEN 0 THEN 'alpha-hig
  CASE WHEN c_custkey % 4 = 0 AND c_custkey % 7 <> 0 THEN 'host.example/Team/Repo' END AS repository FROM customer"""
 
 
+# Written from the rules themselves: every generator against every step of its conversation.
+CALLS = """RECURSIVE ev AS (SELECT 'c ' || user_id % 40 AS c, user_id AS u, event_id AS e, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso,
+  row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) - 1 AS i FROM events),
+base AS (SELECT *, e % 13 <> 0 AS used, CASE WHEN e % 13 <> 0 AND e % 11 <> 0 THEN k ELSE 0 END AS n_in, CASE WHEN e % 11 = 0 THEN 0 WHEN e % 4 <> 0 AND e % 50 > 0 THEN e % 50 ELSE e % 9 + e % 6 END AS n_out,
+  CASE WHEN e % 11 = 0 THEN 0 ELSE e % 3 END AS n_read, CASE WHEN e % 11 = 0 THEN 0 ELSE e % 9 END AS thought, CASE WHEN e % 2 = 0 THEN '' ELSE 'tier' || e % 3 END AS tier, e % 5 AS enum, CASE WHEN e % 3 = 0 THEN 'x' || e % 6 ELSE '' END AS run, CASE WHEN e % 16 = 5 THEN 'r' ELSE 'm' END || (i // 5 + e % 3) AS mid FROM ev),
+unlike AS (SELECT c, i, e, used, n_in, n_out, n_read, least(n_out, thought) AS n_think, n_in + n_out + n_read AS total, tier, (enum + 1) % 7 AS enum, run, CASE WHEN e % 9 <> 0 THEN iso END AS stamp,
+  [CASE WHEN e % 5 < 2 THEN '' ELSE 'r' || (i // 3 + e % 2) END, CASE WHEN e % 4 = 0 THEN '' ELSE mid END, CASE WHEN e % 6 = 0 THEN 'p' || (i // 4) ELSE '' END] AS ids FROM base WHERE e % 3 <> 1),
+likely AS (SELECT c, i, e, used, n_in, n_out, n_read, least(n_out, thought) AS n_think, n_in + n_out + n_read AS total, tier, enum, run, CASE e % 5 WHEN 0 THEN [] WHEN 1 THEN [i] WHEN 2 THEN [i + 1, i] ELSE [i - 1, i + 2, i] END AS refs,
+  [CASE WHEN e % 3 = 0 THEN '' ELSE 'r' || (i // 3 + (e // 2) % 2) END, CASE WHEN e % 7 < 3 THEN '' ELSE mid END, CASE WHEN e % 5 = 4 THEN 'p' || (i // 4) ELSE '' END] AS ids, CASE WHEN e % 4 = 0 THEN 'a-high' WHEN e % 6 = 1 THEN 'gamma' END AS named FROM base WHERE e % 4 <> 3),
+s AS (SELECT *, ids[1] AS rid, list_filter(ids, lambda x, j: x <> '' AND list_position(ids, x) = j) AS al FROM unlike),
+g AS (SELECT *, ids[1] AS rid, list_filter(ids, lambda x, j: x <> '' AND list_position(ids, x) = j) AS al FROM likely),
+spare AS (SELECT c, CASE WHEN min(u) % 3 = 0 THEN min(iso) END AS spare FROM ev GROUP BY c),
+ran AS (SELECT c, 'x' || e % 6 AS run, arg_max('run' || e % 7, i) AS ran FROM ev WHERE e % 10 = 0 GROUP BY 1, 2),
+numbered AS (SELECT c, enum, arg_min(named, i) AS numbered FROM g WHERE named IS NOT NULL AND enum > 0 GROUP BY 1, 2),
+both_ AS (SELECT c, rid, al FROM s WHERE used UNION ALL SELECT c, rid, al FROM g WHERE used),
+named AS (SELECT c, a, count(DISTINCT rid) AS n, min(rid) AS one FROM (SELECT c, rid, unnest(al) AS a FROM both_ WHERE rid <> '') WHERE a <> rid GROUP BY 1, 2),
+stepped AS (SELECT c, list(DISTINCT rid) AS rids FROM s WHERE used AND rid <> '' GROUP BY c), held AS (SELECT c, list(DISTINCT a) AS held FROM (SELECT c, unnest(al) AS a FROM s WHERE used) GROUP BY c),
+known AS (SELECT c, map_from_entries(list((a, one)) FILTER (n = 1)) AS ones, list(a) FILTER (n > 1) AS vague FROM named GROUP BY c),
+pair AS (SELECT g.c, g.i, g.rid, g.al, s.i AS si, s.used, s.rid AS srid, s.al AS sal, s.stamp, list_position(g.refs, s.i) AS pos, CASE WHEN g.rid <> '' AND s.rid <> '' THEN g.rid = s.rid ELSE len(g.al) = 0 OR len(s.al) = 0 OR list_has_any(g.al, s.al) END AS fits FROM g JOIN s USING (c) WHERE g.used),
+hit AS (SELECT c, i, coalesce(min(si) FILTER (used AND rid <> '' AND srid = rid AND pos > 0), min(si) FILTER (used AND rid <> '' AND srid = rid),
+  min(si) FILTER (used AND fits AND list_contains(sal, al[1]) AND pos > 0), CASE WHEN count(*) FILTER (used AND fits AND list_contains(sal, al[1])) = 1 THEN min(si) FILTER (used AND fits AND list_contains(sal, al[1])) END,
+  min(si) FILTER (used AND fits AND list_contains(sal, al[2]) AND pos > 0), CASE WHEN count(*) FILTER (used AND fits AND list_contains(sal, al[2])) = 1 THEN min(si) FILTER (used AND fits AND list_contains(sal, al[2])) END,
+  min(si) FILTER (used AND fits AND list_contains(sal, al[3]) AND pos > 0), CASE WHEN count(*) FILTER (used AND fits AND list_contains(sal, al[3])) = 1 THEN min(si) FILTER (used AND fits AND list_contains(sal, al[3])) END,
+  arg_min(si, pos) FILTER (pos > 0 AND used AND fits), arg_min(si, pos) FILTER (pos > 0 AND NOT used)) AS hit, arg_min(si, pos) FILTER (pos > 0) AS near, arg_min(stamp, pos) FILTER (pos > 0 AND stamp IS NOT NULL) AS near_stamp FROM pair GROUP BY c, i),
+m AS (SELECT g.*, hit, near, coalesce(s.stamp, near_stamp, spare) AS stamp, s.i IS NOT NULL AND NOT s.used AS bare, coalesce(s.used AND CASE WHEN g.rid <> '' AND s.rid <> '' THEN g.rid = s.rid ELSE len(g.al) = 0 OR len(s.al) = 0 OR list_has_any(g.al, s.al) END, false) AS fit, s.ids AS sids, s.rid AS srid, s.al AS sal, s.enum AS senum, s.run AS srun, s.tier AS stier
+  FROM g LEFT JOIN hit USING (c, i) LEFT JOIN s ON s.c = g.c AND s.i = hit JOIN spare ON spare.c = g.c WHERE g.used),
+shared AS (SELECT c, hit, count(DISTINCT CASE WHEN rid <> '' THEN rid ELSE srid END) > 1 AS shared FROM m WHERE fit AND (rid <> '' OR srid <> '') GROUP BY 1, 2),
+w AS (SELECT m.*, (fit OR bare) AND NOT coalesce(shared, false) AS prices, CASE WHEN fit THEN al || list_filter(sal, lambda x: NOT list_contains(al, x)) ELSE al END AS every, CASE WHEN rid <> '' THEN rid WHEN fit THEN srid ELSE '' END AS own, CASE WHEN fit THEN sal[1] END AS first_ FROM m LEFT JOIN shared USING (c, hit) WHERE stamp IS NOT NULL AND total > 0),
+call_g AS (SELECT w.*, CASE WHEN own <> '' THEN own ELSE list_filter(list_transform(every, lambda a: ones[a]), lambda x: x IS NOT NULL)[1] END AS led, coalesce(rids, []) AS rids, coalesce(held, []) AS held, coalesce(vague, []) AS vague FROM w LEFT JOIN known USING (c) LEFT JOIN stepped USING (c) LEFT JOIN held USING (c)),
+id_g AS (SELECT *, CASE WHEN led IS NOT NULL AND list_contains(rids, led) THEN led WHEN first_ IS NOT NULL AND NOT (rid <> '' AND list_contains(vague, first_)) THEN first_
+  ELSE coalesce(list_filter(every, lambda a: a <> rid AND list_contains(held, a) AND NOT (rid <> '' AND list_contains(vague, a)))[1], led, al[1]) END AS call FROM call_g),
+row_g AS (SELECT c, i, i AS seq, call, every, fit, fit OR bare AS by_step, hit, CASE WHEN call IS NOT NULL THEN ':response:' || call WHEN coalesce(hit, near) IS NOT NULL THEN ':step:' || coalesce(hit, near) ELSE ':gen:' || i END AS id, refs, CASE WHEN rid = '' AND fit THEN srid ELSE rid END AS covers,
+  list_filter([CASE WHEN ids[1] = '' AND fit THEN sids[1] ELSE ids[1] END, CASE WHEN ids[2] = '' AND fit THEN sids[2] ELSE ids[2] END, CASE WHEN ids[3] = '' AND fit THEN sids[3] ELSE ids[3] END], lambda x: x <> '') AS covered, stamp, n_in, n_out, n_read, n_think, total,
+  coalesce(named, numbered, ran, 'unknown') AS model, CASE WHEN tier <> '' THEN tier WHEN prices AND fit THEN stier ELSE '' END AS tier FROM (SELECT * REPLACE (CASE WHEN enum > 0 THEN enum WHEN prices THEN senum ELSE 0 END AS enum, CASE WHEN run <> '' THEN run WHEN prices THEN srun ELSE '' END AS run) FROM id_g) LEFT JOIN numbered USING (c, enum) LEFT JOIN ran USING (c, run)),
+open_ AS (SELECT * REPLACE (coalesce(stamp, spare) AS stamp) FROM s JOIN spare USING (c) WHERE used AND coalesce(stamp, spare) IS NOT NULL AND total > 0
+  AND CASE WHEN len(al) > 0 THEN NOT EXISTS (FROM row_g r WHERE r.c = s.c AND list_has_any(r.covered, s.al) AND (r.covers = '' OR s.rid = '' OR r.covers = s.rid))
+    ELSE NOT EXISTS (FROM row_g r WHERE r.c = s.c AND (list_contains(r.refs, s.i) OR r.by_step AND r.hit = s.i)) END),
+line AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY i) AS n FROM open_ WHERE len(al) > 0),
+walk AS (SELECT c, n, true AS kept, list_transform(al, lambda a: {'a': a, 'rid': rid}) AS seen FROM line WHERE n = 1 UNION ALL
+  SELECT l.c, l.n, NOT hid, CASE WHEN hid THEN seen ELSE seen || list_transform(al, lambda a: {'a': a, 'rid': rid}) END FROM (SELECT line.*, w.seen, len(list_filter(w.seen, lambda x: list_contains(line.al, x.a) AND (x.rid = '' OR line.rid = '' OR x.rid = line.rid))) > 0 AS hid FROM walk w JOIN line ON line.c = w.c AND line.n = w.n + 1) l),
+fall AS (SELECT * EXCLUDE (n) FROM line JOIN walk USING (c, n) WHERE kept), rest AS (SELECT c, i, rid, al, stamp, n_in, n_out, n_read, n_think, total, tier, enum, run FROM fall UNION ALL SELECT c, i, rid, al, stamp, n_in, n_out, n_read, n_think, total, tier, enum, run FROM open_ WHERE len(al) = 0),
+led_s AS (SELECT rest.*, CASE WHEN rid <> '' THEN rid ELSE list_filter(list_transform(al, lambda a: ones[a]), lambda x: x IS NOT NULL)[1] END AS led, coalesce(rids, []) AS rids, coalesce(held, []) AS held, coalesce(vague, []) AS vague FROM rest LEFT JOIN known USING (c) LEFT JOIN stepped USING (c) LEFT JOIN held USING (c)),
+id_s AS (SELECT *, CASE WHEN led IS NOT NULL AND list_contains(rids, led) THEN led ELSE coalesce(list_filter(al, lambda a: a <> rid AND list_contains(held, a) AND NOT (rid <> '' AND list_contains(vague, a)))[1], led, al[1]) END AS call FROM led_s),
+row_s AS (SELECT c, i, i + 1099511627776 AS seq, call, al AS every, CASE WHEN call IS NOT NULL THEN ':response:' || call ELSE ':step:' || i END AS id, stamp, n_in, n_out, n_read, n_think, total, coalesce(numbered, ran, 'unknown') AS model, tier FROM id_s LEFT JOIN numbered USING (c, enum) LEFT JOIN ran USING (c, run)),
+r AS (SELECT *, row_number() OVER (PARTITION BY c, id ORDER BY seq) AS n FROM (SELECT c, id, seq, stamp, n_in, n_out, n_read, n_think, total, model, tier FROM row_g UNION ALL SELECT c, id, seq, stamp, n_in, n_out, n_read, n_think, total, model, tier FROM row_s)),
+f AS (SELECT c, id, n, stamp, n_in, n_out, n_read, n_think, total, model, tier FROM r WHERE n = 1 UNION ALL
+  SELECT r.c, r.id, r.n, CASE WHEN r.total > f.total THEN r.stamp ELSE f.stamp END, CASE WHEN r.total > f.total THEN r.n_in ELSE f.n_in END, CASE WHEN r.total > f.total THEN r.n_out ELSE f.n_out END, CASE WHEN r.total > f.total THEN r.n_read ELSE f.n_read END, CASE WHEN r.total > f.total THEN r.n_think ELSE f.n_think END, greatest(r.total, f.total),
+  CASE WHEN r.total > f.total THEN CASE WHEN r.model <> 'unknown' THEN r.model ELSE f.model END WHEN f.model <> 'unknown' THEN f.model ELSE r.model END, CASE WHEN r.total > f.total THEN CASE WHEN r.tier <> '' THEN r.tier ELSE f.tier END WHEN f.tier <> '' THEN f.tier ELSE r.tier END
+  FROM f JOIN r ON r.c = f.c AND r.id = f.id AND r.n = f.n + 1),
+calls AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY c, id ORDER BY n DESC) = 1)"""
+GROK_SESSIONS = """s AS (SELECT c_custkey AS c, CAST(c_custkey AS VARCHAR) AS session_id, CASE WHEN c_custkey % 11 = 0 THEN 'gone' || c_custkey WHEN c_custkey % 50 = 49 THEN CAST(c_custkey - 1 AS VARCHAR) WHEN c_custkey % 50 = 48 THEN CAST(c_custkey + 1 AS VARCHAR) WHEN c_custkey >= 7 THEN CAST(c_custkey // 7 AS VARCHAR) END AS parent_id,
+  c_custkey * 50 AS forked_ms FROM customer),
+sub AS (SELECT session_id, CASE WHEN c % 18 = 2 THEN CAST(c // 2 AS VARCHAR) WHEN c % 9 = 2 THEN CAST(c // 3 AS VARCHAR) ELSE parent_id END AS up FROM s WHERE c % 9 = 2 OR c % 4 = 1)"""
+GROK_FORKS = f"""WITH RECURSIVE {GROK_SESSIONS}, o AS (SELECT o_custkey AS p, o_orderkey AS o FROM orders),
+r AS (SELECT DISTINCT CAST(c AS VARCHAR) AS session_id, c, o % 9 AS turn, 'm ' || o % 2 AS raw_model, ms FROM (SELECT p AS c, o, o * 10 AS ms FROM o UNION ALL SELECT c, o, o * 10 + (o + c) % 6 - 2 FROM s JOIN o ON p = c // 7 WHERE o % 3 <> 0 AND parent_id IS NOT NULL
+  UNION ALL SELECT c, o, o * 10 FROM s JOIN o ON p = c // 49 WHERE o % 4 = 0) UNION SELECT session_id, c, 3, 'm 1', forked_ms FROM s WHERE c % 11 = 0),
+near AS (SELECT DISTINCT session_id AS parent_id, turn, raw_model, ms + unnest([-2, -1, 0, 1, 2]) AS ms, true AS near FROM r),
+w AS (SELECT session_id, turn, raw_model, ms, session_id AS owner, CAST([] AS VARCHAR[]) AS seen FROM r UNION ALL
+  SELECT w.session_id, w.turn, w.raw_model, w.ms, s.parent_id, list_append(seen, w.owner) FROM w JOIN s ON s.session_id = w.owner LEFT JOIN near ON near.parent_id = s.parent_id AND near.turn = w.turn AND near.raw_model = w.raw_model AND near.ms = w.ms LEFT JOIN s AS q ON q.session_id = s.parent_id
+  WHERE s.parent_id IS NOT NULL AND NOT list_contains(seen, w.owner) AND (near OR w.ms < s.forked_ms OR (q.session_id IS NULL AND w.ms = s.forked_ms))),
+f AS (SELECT session_id, turn, raw_model, ms, arg_max(owner, len(seen)) AS owner FROM w GROUP BY ALL)
+SELECT c AS copy, owner AS session_id, turn, raw_model, ms, 'grok:turn:' || owner || ':' || turn || ':' || replace(raw_model, ' ', '%20') AS id, owner <> session_id AS sidechain FROM r JOIN f USING (session_id, turn, raw_model, ms)"""
+GROK_ROOTS = f"""WITH RECURSIVE {GROK_SESSIONS},
+w AS (SELECT session_id, up, [session_id] AS seen FROM sub UNION ALL SELECT w.session_id, sub.up, list_append(seen, w.up) FROM w JOIN sub ON sub.session_id = w.up WHERE NOT list_contains(seen, w.up)),
+e AS (SELECT session_id, arg_max({{'up': up}}, len(seen)).up AS up FROM w GROUP BY 1), g AS (SELECT e.session_id, CASE WHEN s.session_id IS NOT NULL AND sub.session_id IS NULL THEN e.up END AS root, s.c % 6 <> 0 AS read FROM e LEFT JOIN s ON s.session_id = e.up LEFT JOIN sub ON sub.session_id = e.up)
+SELECT session_id, root, NOT coalesce(root IS NOT NULL AND read, false) AS orphan FROM g"""
+GROK_FALLBACK = f"""WITH {GROK_SESSIONS}, o AS (SELECT o_custkey AS c, o_orderkey AS o, (1704067200 + o_orderkey) * 1000 AS ms FROM orders JOIN customer ON o_custkey = c_custkey WHERE CAST(o_custkey AS VARCHAR) NOT IN (SELECT session_id FROM sub)),
+b AS (SELECT c, bool_or(c % 10 = 0 OR o % 89 = 0 OR o % 97 = 0) AND c % 3 <> 0 AS left_ FROM o GROUP BY 1),
+l AS (SELECT c, o AS turn, ms, o % 70 AS i, least(o % 70, o % 40) AS rd, o % 30 AS out FROM o JOIN b USING (c) WHERE NOT left_ AND c % 10 <> 0 AND o % 89 <> 0 AND o % 97 <> 0),
+u AS (SELECT c, dense_rank() OVER (PARTITION BY c ORDER BY o // 6) AS turn, ms, o % 60 AS i, 0 AS rd, o % 25 AS out, o FROM o JOIN b USING (c) WHERE left_ QUALIFY row_number() OVER (PARTITION BY c, o // 6 ORDER BY o DESC) = 1)
+SELECT 'grok:turn:' || c || ':' || turn || ':dm' AS id, ms, CAST(c AS VARCHAR) AS session_id, i - rd AS input_tokens, rd AS cache_read_tokens, out AS output_tokens FROM (SELECT * FROM l UNION ALL SELECT * EXCLUDE (o) FROM u) WHERE i + out > 0"""
+CALL_ID = "'antigravity:' || replace(c, ' ', '%20') || id"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "reader_claude": f"WITH {CLAUDE} SELECT {READ}, cache_write_1h_tokens, service_tier, sidechain, native_id, parent_id, legacy_id, line FROM found",
@@ -96,12 +170,20 @@ def oracle_sql() -> dict[str, str]:
 g AS (SELECT harness, path, count(*) AS files, CAST(sum(events) AS BIGINT) AS events, CAST(sum(malformed) AS BIGINT) AS malformed, CAST(count(*) FILTER (bad) AS BIGINT) AS unreadable FROM f GROUP BY 1, 2)
 SELECT *, CASE WHEN unreadable = files THEN 'error' WHEN unreadable + malformed > 0 THEN 'partial' WHEN events = 0 THEN 'empty' ELSE 'ready' END AS status FROM g""",
         "reader_codex": f"WITH {CODEX}",
+        "streamed_codex": f"WITH {CODEX}",
         "reader_pi": f"WITH {PI}",
         "reader_grok": f"WITH {GROK}",
         "reader_muse": f"WITH {MUSE}",
         "thread_metadata": f"WITH {THREADS}",
         "merged_generations": f"WITH {GENERATIONS}",
         "generation_workspaces": WORKSPACES,
+        "grok_forks": GROK_FORKS,
+        "grok_roots": GROK_ROOTS,
+        "grok_fallback": GROK_FALLBACK,
+        "reconciled_calls": f"WITH {CALLS} SELECT {CALL_ID} AS id, c AS conversation, stamp, model, tier, n_in AS input_tokens, n_out AS output_tokens, n_read AS cache_read_tokens, 0 AS cache_write_tokens, n_think AS reasoning_tokens FROM calls",
+        "reconciled_withdrawn": f"""WITH {CALLS}, gone AS (SELECT c, ':response:' || a AS id FROM (SELECT c, call, unnest(every) AS a FROM row_g UNION ALL SELECT c, call, unnest(every) FROM row_s) WHERE call IS NOT NULL AND a <> call
+ UNION SELECT c, ':step:' || hit FROM row_g WHERE call IS NOT NULL AND by_step UNION SELECT c, ':step:' || i FROM row_s WHERE call IS NOT NULL UNION SELECT c, ':gen:' || i FROM row_g WHERE call IS NOT NULL OR by_step)
+SELECT {CALL_ID} AS id FROM gone ANTI JOIN calls USING (c, id)""",
         "reader_billing": f"WITH {BILLING}",
         "parent_records": f"""WITH RECURSIVE {FILES}, o AS (SELECT CAST(o_custkey AS VARCHAR) AS session_id, CASE WHEN o_orderkey % 5 = 0 THEN 'codex:response:' ELSE 'codex:total:' END || o_orderkey AS id, o_orderkey % 400 AS ms, o_orderkey % 3 AS n FROM orders),
 w AS (SELECT o.*, f.parent_id IS NOT NULL AS forked FROM o LEFT JOIN f USING (session_id) WHERE f.parent_id IS NULL OR forked_ms % 30 <> 0 OR ms >= 50), k AS (SELECT DISTINCT session_id, ms, n FROM w),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metergrid import tables
 from metergrid.operators import collect, dedupe
 from metergrid.queries import QueryFn
-from metergrid.sources import billing, generations, logs, threads
+from metergrid.sources import billing, generations, grok_tree, logs, reconcile, threads
+from metergrid.streaming import counters
 
 COLUMNS = ("id", "ms", "raw_model", "project", "session_id", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens")
 
@@ -70,13 +72,32 @@ def reader_codex(spark, sf_dir):
     return logs.codex(codex_lines(spark, sf_dir))[0].select(*COLUMNS, "service_tier", "line")
 
 
-def reader_pi(spark, sf_dir):
+def streamed_codex(spark, sf_dir):
+    """The same logs as a stream: their lines come in four portions that are out of order and overlap, and the query is
+    stopped after the first and started again."""
+    folder = tables.lasting(spark).folder_of("stream")
+    lines = codex_lines(spark, sf_dir)
+    for k in range(4):
+        # every fourth line early, the others late
+        part = lines.where(f"pmod(xxhash64(line), 4) = {k} OR line % 50 = {k}")
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if k in (0, 3):
+            stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+            counters.counted(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").where("NOT needs_batch").select(*COLUMNS, "service_tier", "line")
+
+
+def pi_lines(spark, sf_dir):
     base = _base(spark, sf_dir).withColumn("f", F.col("u") % 20)
     value = """CASE WHEN e % 13 = 0 THEN to_json(named_struct('type', 'model_change', 'modelId', concat('p', e % 5))) ELSE to_json(named_struct('type', 'message', 'id', if(e % 17 <> 0, concat('m', e), NULL), 'timestamp', iso, 'message', named_struct('role', if(e % 10 = 0, 'user', 'assistant'),
       'model', if(e % 29 = 0, 'own', NULL), 'usage', named_struct('input', k, 'output', e % 40, 'cacheRead', k * 3, 'cacheWrite', e % 25, 'cacheWrite1h', e % 30, 'reasoning', e % 60)))) END"""
     lines = base.selectExpr("concat('/logs/p', f, '.jsonl') AS file", "e + 1 AS line", f"{value} AS value")
     heads = base.select("f").distinct().selectExpr("concat('/logs/p', f, '.jsonl') AS file", "0L AS line", "to_json(named_struct('type', 'session', 'id', concat('s', f), 'timestamp', '2024-01-01T00:00:00Z', 'cwd', if(f % 4 = 0, NULL, '/w'))) AS value")
-    return logs.pi(heads.union(lines)).select(*COLUMNS, "cache_write_1h_tokens")
+    return heads.union(lines)
+
+
+def reader_pi(spark, sf_dir):
+    return logs.pi(pi_lines(spark, sf_dir)).select(*COLUMNS, "cache_write_1h_tokens")
 
 
 def reader_grok(spark, sf_dir):
@@ -88,7 +109,7 @@ def reader_grok(spark, sf_dir):
     return logs.grok(ledgers).select(*COLUMNS, "reported_cost_usd", "requests")
 
 
-def reader_muse(spark, sf_dir):
+def muse_lines(spark, sf_dir):
     """Records in frames, two deep at every third."""
     base = _base(spark, sf_dir).withColumn("f", F.col("u") % 20)
     call = """to_json(named_struct('id', if(e % 6 <> 0, concat('r', e), NULL), 'recorded_at', unix_micros(CAST(iso AS TIMESTAMP)), 'sequence', if(e % 4 = 0, e, NULL), 'stream', if(e % 19 = 0, named_struct('kind', 'approval-review', 'id', 'x'), named_struct('kind', 'session', 'id', concat('st', f))),
@@ -96,7 +117,11 @@ def reader_muse(spark, sf_dir):
     told = "to_json(named_struct('payload_type', 'run.model.configured', 'stream', named_struct('kind', 'session', 'id', concat('st', f)), 'payload', named_struct('record', named_struct('model_id', concat('mm', e % 4), 'workspace_root', if(e % 26 = 0, '/ws', NULL)))))"
     rows = base.withColumn("one", F.expr(f"CASE WHEN e % 13 = 0 THEN {told} ELSE {call} END"))
     framed = rows.withColumn("two", F.expr("to_json(named_struct('children', array(named_struct('record_json', one, 'child_index', 3L))))")).withColumn("value", F.expr("CASE e % 3 WHEN 0 THEN to_json(named_struct('children', array(named_struct('record_json', two)))) WHEN 1 THEN two ELSE one END"))
-    return logs.muse(framed.selectExpr("concat('/d/', f, '/session.jsonl') AS file", "e AS line", "value")).select(*COLUMNS)
+    return framed.selectExpr("concat('/d/', f, '/session.jsonl') AS file", "e AS line", "value")
+
+
+def reader_muse(spark, sf_dir):
+    return logs.muse(muse_lines(spark, sf_dir)).select(*COLUMNS)
 
 
 def reader_billing(spark, sf_dir):
@@ -152,6 +177,69 @@ def generation_workspaces(spark, sf_dir):
     return rows.select("c", generations.first_model(F.col("response"), F.col("planner")).alias("model"), project.alias("project"), repository.alias("repository"))
 
 
+def _recorded_calls(spark, sf_dir):
+    """Generators, steps, executors and conversations made from events, with aliases that neighbours share."""
+    w = Window.partitionBy("c").orderBy("e")
+    base = _base(spark, sf_dir).withColumn("c", F.expr("concat('c ', u % 40)")).withColumn("i", F.row_number().over(w).cast("long") - 1)
+    usage = ("if(e % 13 = 0, NULL, if(e % 11 = 0, 0, k)) AS input_tokens", "if(e % 11 = 0 OR e % 4 = 0, 0L, e % 50) AS output_tokens", "if(e % 11 = 0, 0L, e % 3) AS cache_read_tokens", "0L AS cache_write_tokens", "if(e % 11 = 0, 0L, e % 9) AS thinking_tokens", "if(e % 11 = 0, 0L, e % 6) AS response_tokens")
+    shared = ("if(e % 2 = 0, '', concat(' Tier', e % 3)) AS tier", "e % 5 AS model_enum", "if(e % 3 = 0, concat('x', e % 6), NULL) AS execution_id")
+    steps = base.where("e % 3 <> 1").selectExpr("c AS conversation", "i AS idx", "if(e % 9 = 0, NULL, iso) AS stamp", "if(e % 5 < 2, '', concat('r', i div 3 + e % 2)) AS response_id", "if(e % 4 = 0, NULL, concat(if(e % 16 = 5, 'r', 'm'), i div 5 + e % 3)) AS message_id", "if(e % 6 = 0, concat('p', i div 4), '') AS provider_id", *shared, *usage)
+    steps = steps.withColumn("model_enum", F.expr("(model_enum + 1) % 7"))
+    generators = base.where("e % 4 <> 3").selectExpr("c AS conversation", "i AS idx", "CASE e % 5 WHEN 0 THEN array() WHEN 1 THEN array(i) WHEN 2 THEN array(i + 1, i) ELSE array(i - 1, i + 2, i) END AS step_indices", "if(e % 3 = 0, '', concat('r', i div 3 + (e div 2) % 2)) AS response_id",
+      "if(e % 7 < 3, '', concat(if(e % 16 = 5, 'r', 'm'), i div 5 + e % 3)) AS message_id", "if(e % 5 = 4, concat('p', i div 4), NULL) AS provider_id", "if(e % 4 = 0, ' models/a-high ', '') AS response_model", "if(e % 6 = 1, 'models/gamma-low', NULL) AS planner_model", *shared, *usage)
+    executors = base.where("e % 10 = 0").selectExpr("c AS conversation", "i AS idx", "concat('x', e % 6) AS execution_id", "concat('run', e % 7, '-low') AS model")
+    conversations = base.groupBy("c").agg(F.when(F.min("u") % 3 == 0, F.min("iso")).alias("fallback_stamp")).withColumnRenamed("c", "conversation")
+    return generators, steps, executors, conversations
+
+
+def reconciled_calls(spark, sf_dir):
+    return reconcile.reconcile(*_recorded_calls(spark, sf_dir), tables.lasting(spark))[0]
+
+
+def reconciled_withdrawn(spark, sf_dir):
+    return reconcile.reconcile(*_recorded_calls(spark, sf_dir), tables.lasting(spark))[1]
+
+
+def _grok_sessions(spark, sf_dir):
+    """Sessions in chains of forks, some from a session that is gone, some in circles; sub-agents by kind and by links."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS c")
+    sessions = c.selectExpr("CAST(c AS STRING) AS session_id", "CASE WHEN c % 11 = 0 THEN concat('gone', c) WHEN c % 50 = 49 THEN CAST(c - 1 AS STRING) WHEN c % 50 = 48 THEN CAST(c + 1 AS STRING) WHEN c >= 7 THEN CAST(c div 7 AS STRING) ELSE '' END AS parent_id", "c * 50 AS forked_ms", "if(c % 4 = 1, 'subagent/x', NULL) AS kind", "c")
+    links = c.where("c % 9 = 2").selectExpr("CAST(c AS STRING) AS child_id", "CAST(c div 3 AS STRING) AS parent_id", "c AS seq").union(c.where("c % 18 = 2").selectExpr("CAST(c AS STRING)", "CAST(c div 2 AS STRING)", "c + 1"))
+    return sessions, links
+
+
+def grok_forks(spark, sf_dir):
+    """Turns of customers, with copies in the sessions forked from theirs, a few milliseconds off."""
+    sessions, _ = _grok_sessions(spark, sf_dir)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS p", "o_orderkey AS o")
+    copies = sessions.where("parent_id <> ''").select("c", F.floor(F.col("c") / 7).alias("p")).join(o, "p").where("o % 3 <> 0").selectExpr("c", "o", "o * 10 + (o + c) % 6 - 2 AS ms")
+    deeper = sessions.select("c", F.floor(F.col("c") / 49).alias("p")).join(o, "p").where("o % 4 = 0").selectExpr("c", "o", "o * 10 AS ms")
+    rows = o.selectExpr("p AS c", "o", "o * 10 AS ms").union(copies).union(deeper).selectExpr("c", "o % 9 AS turn", "concat('m ', o % 2) AS raw_model", "ms")
+    rows = rows.union(sessions.where("c % 11 = 0").selectExpr("c", "3L", "'m 1'", "forked_ms")).distinct()
+    rows = rows.selectExpr("CAST(c AS STRING) AS session_id", "turn", "raw_model", "ms", "concat('grok:turn:', c, ':', turn, ':', replace(raw_model, ' ', '%20')) AS id", "false AS sidechain", "c AS copy")
+    return grok_tree.fork_owners(rows, sessions, tables.lasting(spark)).select("copy", "session_id", "turn", "raw_model", "ms", "id", "sidechain")
+
+
+def grok_roots(spark, sf_dir):
+    """Sub-agents with the session that accounts for them, and whether they are orphans."""
+    sessions, links = _grok_sessions(spark, sf_dir)
+    held, read = tables.lasting(spark), sessions.where("c % 6 <> 0").select("session_id")
+    lost = grok_tree.orphans(sessions, links, read, held).withColumn("orphan", F.lit(True))
+    return grok_tree.roots(sessions, links, held).join(lost, "session_id", "left").select("session_id", "root", F.coalesce("orphan", F.lit(False)).alias("orphan"))
+
+
+def grok_fallback(spark, sf_dir):
+    """Ledgers and update streams made from orders: sound ledgers, others with malformed parts, with and without updates."""
+    sessions, links = _grok_sessions(spark, sf_dir)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS c", "o_orderkey AS o", "date_format(timestamp_seconds(1704067200 + o_orderkey), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\") AS iso")
+    turn = "to_json(named_struct('turnNumber', if(o % 89 = 0, 0, o), 'endedAt', iso, 'inputTokens', o % 70, 'outputTokens', if(o % 97 = 0, -1, o % 30), 'cachedReadTokens', o % 40))"
+    ledgers = o.selectExpr("c", f"struct(o, {turn} AS t) AS t").groupBy("c").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    ledgers = ledgers.selectExpr("concat('l', c) AS file", "CAST(c AS STRING) AS session_id", "'/w' AS project", "'dm' AS model", "concat('{\"sessionId\":\"', if(c % 10 = 0, 'other', CAST(c AS STRING)), '\",\"turns\":[', array_join(transform(ts, x -> x.t), ','), ']}') AS value")
+    done = "to_json(named_struct('timestamp', iso, 'params', named_struct('_meta', named_struct('eventId', concat('e', o div 6)), 'update', named_struct('sessionUpdate', 'turn_completed', 'usage', named_struct('inputTokens', o % 60, 'outputTokens', o % 25)))))"
+    updates = o.where("c % 3 <> 0").selectExpr("concat('u', c) AS file", "CAST(c AS STRING) AS session_id", "'/w' AS project", "'dm' AS model", "o AS line", f"{done} AS value")
+    return grok_tree.session_rows(sessions, links, ledgers, updates)[0].select("id", "ms", "session_id", "input_tokens", "cache_read_tokens", "output_tokens")
+
+
 def queries() -> dict[str, QueryFn]:
-    found = (reader_claude, claude_empty_requests, collected_claude, collected_retractions, source_status, reader_codex, reader_pi, reader_grok, reader_muse, reader_billing, parent_records, thread_metadata, merged_generations, generation_workspaces)
+    found = (reader_claude, claude_empty_requests, collected_claude, collected_retractions, source_status, reader_codex, streamed_codex, reader_pi, reader_grok, reader_muse, reader_billing, parent_records, thread_metadata, merged_generations, generation_workspaces, reconciled_calls, reconciled_withdrawn, grok_forks, grok_roots, grok_fallback)
     return {f.__name__: f for f in found}

@@ -34,7 +34,7 @@ def aligned(cells: DataFrame, buckets: DataFrame, key: str) -> DataFrame:
 def with_tails(cells: DataFrame, key: str, top: int = TOP) -> DataFrame:
     """Cells with their rank in the bucket and what the ranks beyond `top` have together, by tokens and by cost."""
     by_tokens = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("tokens"), F.asc("name")))
-    by_cost = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("cost_usd"), F.asc("name")))
+    by_cost = F.row_number().over(Window.partitionBy(key).orderBy(round_cost(F.col("cost_usd")).desc(), F.asc("name")))
     ranks = cells.select("*", by_tokens.alias("rank"), by_cost.alias("cost_rank"))
     whole = Window.partitionBy(key)
     other = lambda c, r: F.coalesce(F.sum(F.when(F.col(r) > top, F.col(c))).over(whole), F.lit(0))

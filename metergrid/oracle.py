@@ -151,7 +151,7 @@ def _by(column: str) -> str:
     return f"{chosen()} SELECT *, CAST(row_number() OVER (ORDER BY tokens DESC, name) AS INTEGER) AS rank FROM (SELECT {column} AS name, {TOTALS} FROM s GROUP BY 1)"
 
 
-ROUND_COST = "CASE WHEN abs(cost_usd) >= 0.001 THEN round(cost_usd, 6) WHEN cost_usd = 0 THEN 0 ELSE round(cost_usd * pow(10, 5 - floor(log10(abs(cost_usd))))) / pow(10, 5 - floor(log10(abs(cost_usd)))) END"
+ROUND_COST = "CASE WHEN abs(cost_usd) >= 0.001 THEN floor(cost_usd * 1e6 + 0.5) / 1e6 WHEN cost_usd = 0 THEN 0 ELSE floor(cost_usd * pow(10, 5 - floor(log10(abs(cost_usd)))) + 0.5) / pow(10, 5 - floor(log10(abs(cost_usd)))) END"
 ORDER = "(ms, id, device)"
 
 
@@ -181,6 +181,10 @@ INCOMING = """inc AS (SELECT * REPLACE (input_tokens + CASE WHEN event_id % 18 =
   FROM ev WHERE event_id % 9 = 0 AND device_id <> 'dev-copy')"""
 EV = f"ev AS ({events_sql('duckdb')})"
 
+#: The stored rows after the upload and the withdrawal of every fortieth event.
+STORED = f"""{EV.replace("ev AS (", "ev0 AS (", 1)}, {INCOMING.replace("FROM ev WHERE", "FROM ev0 WHERE")},
+ev AS (SELECT * FROM (SELECT * FROM ev0 ANTI JOIN inc USING (device_id, id) UNION ALL BY NAME SELECT * FROM inc) ANTI JOIN (SELECT device_id, id FROM ev0 WHERE event_id % 40 = 0) USING (device_id, id))"""
+
 FILES = """f AS (SELECT CAST(c_custkey AS VARCHAR) AS session_id, CASE WHEN c_custkey >= 7 THEN CAST(c_custkey // 7 AS VARCHAR) END AS parent_id, CASE WHEN c_custkey % 5 = 0 THEN '/p/' || CAST(c_nationkey AS VARCHAR) END AS project, c_custkey * 10 AS forked_ms FROM customer),
 up AS (SELECT session_id, parent_id AS ancestor, 1 AS distance FROM f WHERE parent_id IS NOT NULL UNION ALL SELECT up.session_id, f.parent_id, distance + 1 FROM up JOIN f ON f.session_id = up.ancestor WHERE f.parent_id IS NOT NULL AND distance < 16)"""
 
@@ -228,7 +232,7 @@ SELECT * FROM (SELECT name, tokens, cost_usd, CAST(row_number() OVER (ORDER BY t
 grid AS (SELECT name, day, coalesce(cell.tokens, 0) AS t, coalesce(cell.cost_usd, 0) AS cost_usd, coalesce(cell.unpriced_tokens, 0) AS u FROM (SELECT DISTINCT name FROM cell) CROSS JOIN (SELECT day FROM days) LEFT JOIN cell USING (name, day))
 SELECT name, string_agg(CAST(t AS VARCHAR), ',' ORDER BY day) AS t, CAST(count(*) AS INTEGER) AS n_c, round(sum({ROUND_COST}), 4) AS c_sum, CASE WHEN max(u) > 0 THEN string_agg(CAST(u AS VARCHAR), ',' ORDER BY day) END AS u FROM grid GROUP BY name"""
     found["bucket_other"] = f"""{chosen()}, cell AS (SELECT {_day("UTC")} AS day, project_key AS name, {MEASURES} FROM s GROUP BY 1, 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY day ORDER BY tokens DESC, name) AS INTEGER) AS rank, row_number() OVER (PARTITION BY day ORDER BY cost_usd DESC, name) AS cr FROM cell),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY day ORDER BY tokens DESC, name) AS INTEGER) AS rank, row_number() OVER (PARTITION BY day ORDER BY {ROUND_COST} DESC, name) AS cr FROM cell),
 o AS (SELECT day, CAST(coalesce(sum(tokens) FILTER (rank > 4), 0) AS BIGINT) AS other_tokens, round(coalesce(sum(cost_usd) FILTER (cr > 4), 0), 9) AS other_cost FROM r GROUP BY day)
 SELECT r.* EXCLUDE (cr), other_tokens, other_cost FROM r JOIN o USING (day) WHERE rank <= 4 OR cr <= 4"""
     found["share_of_total"] = f"""{chosen()}, g AS (SELECT model AS name, CAST(sum(tokens) AS BIGINT) AS tokens FROM s GROUP BY 1), w AS (SELECT *, tokens / sum(tokens) OVER () AS x FROM g)
@@ -253,8 +257,11 @@ o AS (SELECT native FROM r WHERE NOT sidechain AND native IS NOT NULL GROUP BY n
 k AS (SELECT * REPLACE (coalesce(session_title, e_title) AS session_title) FROM j)
 SELECT device_id, id, CASE WHEN NOT there THEN 'insert' WHEN (input_tokens, session_title, service_tier, repository) IS NOT DISTINCT FROM (e_in, e_title, e_tier, e_repo) THEN 'skip' ELSE 'update' END AS action,
   old_ms, input_tokens, session_title, service_tier, repository, CAST(0 AS DOUBLE) AS cost_usd FROM k"""
+    found["stored_totals_after_merge"] = _by("harness").replace(EV, STORED)
+    found["stored_dimension_counts"] = found["dimension_counts"].replace(EV, STORED)
     found["changed_records"] = f"""WITH {EV}, {INCOMING}, j AS (SELECT i.*, e.event_id IS NOT NULL AS there, e.input_tokens AS a, e.session_title AS b, e.service_tier AS c, e.repository AS d FROM inc i LEFT JOIN (SELECT * FROM ev WHERE device_id <> 'dev-copy') e USING (id))
 SELECT id, device_id, input_tokens, session_title FROM j WHERE NOT there OR (input_tokens, session_title, service_tier, repository) IS DISTINCT FROM (a, b, c, d)"""
+    found["withdrawal_states"] = f"WITH {EV} SELECT device_id, id, CASE WHEN event_id % 40 = 0 THEN 'pending' WHEN event_id % 20 = 0 THEN 'restored' ELSE 'acknowledged' END AS state, event_id % 20 = 0 AS stored FROM ev WHERE event_id % 10 = 0 AND device_id <> 'dev-copy'"
     found["retractions"] = f"WITH {EV} SELECT DISTINCT id FROM ev WHERE event_id % 40 = 0 AND id NOT IN (SELECT id FROM ev WHERE device_id = 'dev-copy' AND event_id % 3 = 0)"
     found["import_missing"] = f"WITH {EV}, {INCOMING} SELECT device_id, id, input_tokens FROM inc ANTI JOIN ev USING (device_id, id)"
     over = "n >= 20 OR held + r.size + 1 > 5000"

@@ -7,16 +7,16 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from metergrid.functions import expr
-from metergrid.operators import aggregate, dedupe, hub, pricing, report, view
-from metergrid.plans.query import UsageQuery, within
+from metergrid.operators import aggregate, hub, pricing, report, store, view
+from metergrid.plans.query import UsageQuery
 from metergrid.queries import CLOCK, QueryFn, breakdown, catalog, frame_of, priced_events, prices, project_insights, project_labels, selected, sessions, weekly_90d
-from metergrid.workload import LOCAL_DEVICE, usage_events
+from metergrid.workload import LOCAL_DEVICE, usage_events, usage_store
 
 
 def window_owner(spark, sf_dir):
     """The calls of a week, with copies from outside it, which may own them."""
-    frame = frame_of(spark, sf_dir, UsageQuery(range="7d"))
-    kept = dedupe.window_owners(usage_events(spark, sf_dir), within(frame), LOCAL_DEVICE)
+    usage = usage_store(spark, sf_dir)
+    kept = store.window_owners(usage, frame_of(usage, UsageQuery(range="7d")), LOCAL_DEVICE)
     return kept.select("id", "harness", expr.device().alias("device"), "ms", expr.token_total().alias("tokens"))
 
 

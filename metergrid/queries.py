@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metergrid import tables
 from metergrid.functions import expr
-from metergrid.operators import aggregate, dedupe, merge, pricing, view
-from metergrid.plans.query import Timeframe, UsageQuery, before, device_filter, dimension_filter, project_filter, timeframe, within
-from metergrid.workload import CATALOG, LOCAL_DEVICE, NOW, RULES, usage_events
+from metergrid.operators import aggregate, dedupe, merge, pricing, store, view
+from metergrid.plans.query import Timeframe, UsageQuery, device_filter, dimension_filter, project_filter, timeframe
+from metergrid.streaming import outbox
+from metergrid.workload import CATALOG, LOCAL_DEVICE, NOW, RULES, usage_events, usage_store
 
 CLOCK = datetime.fromisoformat(NOW)
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,23 +29,31 @@ def prices(spark: SparkSession) -> pricing.Prices:
 
 
 def priced_events(spark: SparkSession, sf_dir: str, query: UsageQuery = UsageQuery()) -> DataFrame:
-    """Device filter, one row a call, price, keys: what every dashboard query starts from."""
-    events = usage_events(spark, sf_dir).where(device_filter(query))
+    """All history: device filter, one row a call, price, keys."""
+    events = usage_store(spark, sf_dir).rows().drop("utc_day").where(device_filter(query))
     return aggregate.with_keys(pricing.priced(dedupe.owner_dedup(events, LOCAL_DEVICE), prices(spark)))
 
 
-def frame_of(spark: SparkSession, sf_dir: str, query: UsageQuery) -> Timeframe:
-    earliest = None
-    if query.range == "all":
-        earliest = usage_events(spark, sf_dir).where(device_filter(query)).agg(F.min("ms")).first()[0]
+def priced_window(spark: SparkSession, usage: store.Store, query: UsageQuery, frame: Timeframe) -> DataFrame:
+    """What every dashboard query starts from: the calls of the window, by their owners, priced, with keys. Reads the
+    partitions of the window's days, and of other days those with copies of its calls."""
+    rows = store.window_owners(usage, frame, LOCAL_DEVICE, device_filter(query))
+    return aggregate.with_keys(pricing.priced(rows, prices(spark)))
+
+
+def frame_of(usage: store.Store, query: UsageQuery) -> Timeframe:
+    earliest = store.earliest(usage, device_filter(query)) if query.range == "all" else None
     return timeframe(query, CLOCK, earliest)
 
 
-def selected(spark: SparkSession, sf_dir: str, query: UsageQuery) -> tuple[DataFrame, Timeframe]:
+def selected_from(usage: store.Store, query: UsageQuery) -> tuple[DataFrame, Timeframe]:
     query, _ = query.normalized()
-    frame = frame_of(spark, sf_dir, query)
-    rows = priced_events(spark, sf_dir, query).where(dimension_filter(query) & project_filter(query))
-    return rows.where(within(frame)), frame
+    frame = frame_of(usage, query)
+    return priced_window(usage.spark, usage, query, frame).where(dimension_filter(query) & project_filter(query)), frame
+
+
+def selected(spark: SparkSession, sf_dir: str, query: UsageQuery) -> tuple[DataFrame, Timeframe]:
+    return selected_from(usage_store(spark, sf_dir), query)
 
 
 def totals(query: UsageQuery) -> QueryFn:
@@ -51,8 +62,12 @@ def totals(query: UsageQuery) -> QueryFn:
 
 def previous_totals(query: UsageQuery) -> QueryFn:
     def run(spark, sf_dir):
-        frame = frame_of(spark, sf_dir, query)
-        return priced_events(spark, sf_dir, query).where(dimension_filter(query) & project_filter(query) & before(frame)).agg(*aggregate.totals())
+        usage = usage_store(spark, sf_dir)
+        frame = frame_of(usage, query)
+        if frame.previous is None:
+            return priced_window(spark, usage, query, frame).limit(0).agg(*aggregate.totals())
+        earlier = replace(frame, start=frame.previous, end=frame.start)
+        return priced_window(spark, usage, query, earlier).where(dimension_filter(query) & project_filter(query)).agg(*aggregate.totals())
 
     return run
 
@@ -106,8 +121,7 @@ def sessions_page(key: str, number: int) -> QueryFn:
 
 
 def project_insights(spark, sf_dir):
-    frame = frame_of(spark, sf_dir, UsageQuery())
-    return aggregate.insights(priced_events(spark, sf_dir).where(within(frame)))
+    return aggregate.insights(selected(spark, sf_dir, UsageQuery())[0])
 
 
 def facets(devices: tuple[str, ...] | None) -> QueryFn:
@@ -164,8 +178,9 @@ def share_of_total(spark, sf_dir):
 def period_delta(spark, sf_dir):
     """Each model's tokens against the period before, from one pass over both periods."""
     query = UsageQuery(range="7d")
-    frame = frame_of(spark, sf_dir, query)
-    rows = priced_events(spark, sf_dir).where(within(frame) | before(frame))
+    usage = usage_store(spark, sf_dir)
+    frame = frame_of(usage, query)
+    rows = priced_window(spark, usage, query, replace(frame, start=frame.previous))
     both = rows.groupBy(F.col("model").alias("name")).agg(
         F.coalesce(F.sum(F.when(F.col("ms") >= frame.start, F.col("tokens"))), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.col("ms") < frame.start, F.col("tokens"))), F.lit(0)).alias("previous")
     )
@@ -245,6 +260,40 @@ def changed_records(spark, sf_dir):
     return merge.changed(incoming(events), checkpoint).select("id", "device_id", "input_tokens", "session_title")
 
 
+def _after_merge(spark: SparkSession, sf_dir: str) -> store.Store:
+    """A store of its own, after an upload that corrects, moves and adds rows and withdraws others."""
+    events = usage_events(spark, sf_dir)
+    usage = store.create(spark, tables.lasting(spark).folder_of("merged"), events, buckets=16)
+    gone = events.where("event_id % 40 = 0").select("device_id", "id")
+    store.merge(usage, incoming(events), "upload-1", gone)
+    return usage
+
+
+def stored_totals_after_merge(spark, sf_dir):
+    rows, _ = selected_from(_after_merge(spark, sf_dir), UsageQuery())
+    return aggregate.breakdown(rows, "harness")
+
+
+def stored_dimension_counts(spark, sf_dir):
+    """From the deltas of the merge, without a count of the rows."""
+    return store.dimension_counts(_after_merge(spark, sf_dir))
+
+
+def withdrawal_states(spark, sf_dir):
+    """Withdrawn ids after a flush, an upload that brings some back, and a second withdrawal of a part of those."""
+    events = usage_events(spark, sf_dir).where("device_id <> 'dev-copy'")
+    folder = tables.lasting(spark).folder_of("withdrawals")
+    hub, box = store.create(spark, f"{folder}/hub", events, buckets=16), outbox.Outbox(spark, f"{folder}/outbox")
+    of = lambda n: events.where(F.col("event_id") % n == 0)
+    outbox.withdraw(box, of(10))
+    outbox.flush(box, lambda ids, number: store.merge(hub, events.limit(0), number, ids))
+    store.merge(hub, of(20), "again")
+    outbox.restore(box, of(20))
+    outbox.withdraw(box, of(40))
+    there = hub.rows().select("device_id", "id", F.lit(True).alias("stored"))
+    return box.states().join(there, ["device_id", "id"], "left").select("device_id", "id", "state", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
 def retractions(spark, sf_dir):
     events = usage_events(spark, sf_dir)
     gone = events.where("event_id % 40 = 0").select("id")
@@ -316,7 +365,7 @@ def queries() -> dict[str, QueryFn]:
     found |= {"sessions_page2": sessions_page("active", 2), "sessions_by_cost": sessions_page("cost", 1), "facets": facets(None), "facets_of_device": facets(("dev-1",))}
     for f in (
         marginals, weekly_90d, cross_window_owner, sessions, project_insights, dimension_counts, model_resolution, reprice, cost_parts, unresolved_pricing, top10_union, series_arrays, bucket_other, share_of_total,
-        period_delta, counter_delta_reset, carry_forward_model, parent_project_inherit, fork_owner, claude_sidechain_filter, merge_preserve_metadata, changed_records, retractions, import_missing, batch_assign,
+        period_delta, counter_delta_reset, carry_forward_model, parent_project_inherit, fork_owner, claude_sidechain_filter, merge_preserve_metadata, changed_records, stored_totals_after_merge, stored_dimension_counts, withdrawal_states, retractions, import_missing, batch_assign,
         billing_residual, project_labels, canonical_repository, catalog_search, csv_export_escape,
     ):
         found[f.__name__] = f

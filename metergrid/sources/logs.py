@@ -2,7 +2,7 @@
 
 Each reader takes lines (file, line, value): one JSON record each, as read_lines() makes them, parses a record once, and
 returns candidates: the fact columns and file, line, sidechain, native_id, parent_id and legacy_id. files() has what is
-known of a file as a whole. State that runs through a log (context, counters) is a window over the file's lines."""
+known of a file as a whole. State that runs through a log (context, counters) is carried within and over its segments."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metergrid.functions.expr import log_millis, utc_iso
 from metergrid.tables import written
@@ -19,26 +20,77 @@ CANDIDATE = {
     "reasoning_tokens": "long", "cache_write_1h_tokens": "long", "service_tier": "string", "reported_cost_usd": "double", "requests": "int", "sidechain": "boolean", "native_id": "string", "parent_id": "string",
     "legacy_id": "string", "file": "string", "line": "long",
 }
-#: Characters of the longest record that is read.
-MOST_CHARS = 32 << 20
+#: Bytes of the longest record that is read, and lines of a log that one task takes together.
+MOST_BYTES = 32 << 20
+SEGMENT = 1 << 16
+#: Stands for a line that can't be read.
+MALFORMED = "!"
 UNKNOWN_PROJECT = "Unknown project"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of every *.jsonl below path. `line` orders a file's lines: files are read whole by one
-    task each, as a log's state runs through it from the first line."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    lines = rows.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"), F.size(F.split("value", "\n")).alias("n"))
-    # a last line without line feed may still be written: it counts if it is whole JSON, and isn't malformed otherwise
-    return lines.where("trim(value) <> '' AND (line < n - 1 OR try_parse_json(value) IS NOT NULL)").select("file", (F.col("line") + 1).cast("long").alias("line"), "value")
+def read_lines(spark: SparkSession, path: str, fields: str | None = None) -> DataFrame:
+    """(file, line, value) of every *.jsonl below path, with the line's number in its file.
+
+    Large files are read in splits by several tasks. A task numbers the lines of a split; the numbers of lines in the
+    splits before, and so a line's number in its file, follow from the count of each split. That needs a table of what was
+    read, since two scans may split files in different ways. With `fields`, the schema that a reader parses, the table and
+    the values hold these fields alone, and no message text is stored. A record of more than MOST_BYTES, or one that is no
+    JSON object, keeps its line and counts as malformed. A last line without line feed may still be written: it counts if
+    it is a whole object, and isn't malformed otherwise."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(path)
+    size = F.octet_length("value")
+    fits = size <= MOST_BYTES
+    whole = fits & F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
+    value = F.when(fits, F.col("value")).otherwise(MALFORMED) if fields is None else F.when(F.trim("value") == "", "").when(whole, _reduced(fields)).otherwise(MALFORMED)
+    m = "_metadata"
+    read = raw.select(
+        F.col(f"{m}.file_path").alias("file"), F.col(f"{m}.file_block_start").alias("block"), F.col(f"{m}.file_size").alias("length"), (size + 1).cast("long").alias("size"), F.monotonically_increasing_id().alias("at"), whole.alias("whole"), value.alias("value"),
+    )
+    read = written(read, "lines")
+    splits = read.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("length").alias("length"))
+    every, before = Window.partitionBy("file"), Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(every).alias("lines"), (F.sum("bytes").over(every) > F.col("length")).alias("open"))
+    found = read.select("file", "block", "at", "whole", "value").join(splits, ["file", "block"]).withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1)
+    unfinished = F.col("open") & (F.col("line") == F.col("lines")) & ~F.col("whole")
+    return found.where((F.trim("value") != "") & ~unfinished).select("file", "line", "value")
+
+
+def _reduced(fields: str) -> Column:
+    """The record with these fields alone, as JSON. An ordinal keeps its kind."""
+    schema = T.StructType.fromDDL(fields)
+    kept = [F.from_json("value", schema)[f.name].alias(f.name) for f in schema if f.name not in ("ordinal", "sequence")]
+    return F.to_json(F.struct(*kept, *[F.try_variant_get(F.try_parse_json("value"), f"$.{c}", "variant").alias(c) for c in ("ordinal", "sequence")]))
 
 
 def malformed(lines: DataFrame) -> DataFrame:
     """(file, lines, malformed): lines that are too long, no JSON or no object."""
-    bad = (F.char_length("value") > MOST_CHARS) | F.try_parse_json("value").isNull() | ~F.ltrim("value").startswith("{")
+    bad = (F.octet_length("value") > MOST_BYTES) | F.try_parse_json("value").isNull() | ~F.ltrim("value").startswith("{")
     return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(bad).alias("malformed"))
 
 
+def carried_over(rows: DataFrame, columns: dict[str, Column], keys: list[str], order: list[str], strictly: bool = False) -> DataFrame:
+    """rows with each of `columns` as the last value that isn't null up to the row (strictly: before it), in the order of
+    a log. order[0] is the line. A log is cut into segments of SEGMENT lines: values are carried within segments, the last
+    value of each segment over the segments, and what a segment starts with into its rows. So no task holds a whole log."""
+    cut = rows.withColumns({f"_v_{n}": c for n, c in columns.items()}).withColumn("_part", F.floor(F.col(order[0]) / SEGMENT))
+    within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strictly else Window.currentRow)
+    own = cut.withColumns({f"_o_{n}": F.last(f"_v_{n}", ignorenulls=True).over(within) for n in columns})
+    last = [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_v_{n}") for n in columns]
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*keys, "_part").agg(*last).select(*keys, "_part", *[F.last(f"_v_{n}", ignorenulls=True).over(earlier).alias(f"_s_{n}") for n in columns])
+    kept = [c for c in rows.columns if c not in columns]
+    return own.join(starts, [*keys, "_part"], "left").select(*kept, *[F.coalesce(f"_o_{n}", f"_s_{n}").alias(n) for n in columns])
+
+
+def numbered(rows: DataFrame, keys: list[str], line: str, out: str) -> DataFrame:
+    """rows with `out`, 1 for the first of each log by `line`, counted within segments and over them."""
+    cut = rows.withColumn("_part", F.floor(F.col(line) / SEGMENT))
+    own = cut.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(line)))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*keys, "_part").agg(F.count("*").alias("_c")).select(*keys, "_part", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    return own.join(starts, [*keys, "_part"]).withColumn(out, (F.col("_before") + F.col("_n")).cast("long")).drop("_part", "_n", "_before")
+
+
 def carried(column: str, keys: list[str], order: list[str]) -> Column:
     """The last value that isn't null up to each row."""
     return F.last(column, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -108,7 +160,7 @@ def ordinal_text(value: str, path: str = "$.ordinal") -> Column:
 
 def parsed(lines: DataFrame, schema: str) -> DataFrame:
     """(file, line, value, r): records as structs of the fields that are read; lines that are no objects are left out."""
-    short = lines.where((F.char_length("value") <= MOST_CHARS) & F.ltrim("value").startswith("{"))
+    short = lines.where((F.octet_length("value") <= MOST_BYTES) & F.ltrim("value").startswith("{"))
     return short.select("file", "line", "value", F.from_json("value", schema).alias("r")).where("r IS NOT NULL")
 
 
@@ -201,14 +253,15 @@ def _codex_rows(lines: DataFrame) -> DataFrame:
     rows = parsed(lines, CODEX).select("file", "line", ordinal_text("value").alias("ordinal"), "r", F.col("r.payload").alias("p"), log_millis(F.col("r.timestamp")).alias("ms"))
     kind = F.when(F.col("r.type") == "event_msg", F.col("p.type")).otherwise(F.col("r.type"))
     rows = rows.withColumns({"kind": F.coalesce(kind, F.lit("")), "meta": F.when(F.col("r.type") == "session_meta", F.col("line"))})
-    rows = rows.withColumn("head", (F.col("r.type") == "session_meta") & (F.col("line") == F.min("meta").over(Window.partitionBy("file"))))
+    heads = rows.groupBy("file").agg(F.min("meta").alias("head_line"))
+    rows = rows.join(heads, "file").withColumn("head", F.coalesce(F.col("line") == F.col("head_line"), F.lit(False))).drop("head_line")
     turn = F.col("r.type") == "turn_context"
     settings = (F.col("r.type") == "event_msg") & (F.col("kind") == "thread_settings_applied")
-    rows = rows.withColumns({
+    context = {
         "c_model": F.when(turn | F.col("head"), _codex_model("p")), "c_cwd": F.when(turn | F.col("head"), text("p.cwd")),
         "c_tier": F.when(turn, F.trim("p.service_tier")).when(settings, F.trim("p.thread_settings.service_tier")),
-    })
-    return rows.withColumns({c: carried(c, ["file"], ["line"]) for c in ("c_model", "c_cwd", "c_tier")})
+    }
+    return carried_over(rows, context, ["file"], ["line"])
 
 
 def codex_files(lines: DataFrame, rows: DataFrame | None = None) -> DataFrame:
@@ -247,9 +300,8 @@ def codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.where("kind IN ('token_count', 'token_usage_record', 'compacted', 'turn_context')").join(files, "file")
     dated = rows.where("ms IS NOT NULL")
     early = F.coalesce(F.col("r.ordinal") < F.col("history_start"), F.lit(False))
-    over = Window.partitionBy("file").orderBy("line")
     totals = dated.where(f"kind = 'token_count' AND r.type = 'event_msg' AND {info} IS NOT NULL").withColumns({"total": _counts(f"{info}.total_token_usage"), "last": _counts(f"{info}.last_token_usage")})
-    totals = totals.withColumn("before", F.last(F.col("total"), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    totals = carried_over(totals, {"before": F.col("total")}, ["file"], ["line"], strictly=True)
     fell = _fell(lambda c: F.col(f"total.{c}"), lambda c: F.col(f"before.{c}"), ["input_tokens", "output_tokens", "total_tokens"], "total_tokens")
     delta = F.when(fell, F.col("total")).otherwise(F.struct(*[F.greatest(F.lit(0).cast("long"), F.col(f"total.{c}") - F.col(f"before.{c}")).alias(c) for c in COUNTS]))
     added = F.when(F.col("total").isNull(), F.col("last")).when(~F.col("total").eqNullSafe(F.col("before")), F.coalesce("last", delta))
@@ -272,7 +324,7 @@ def codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     snapshots = written(snapshots.join(first, "file", "left").where("first_ms IS NULL OR ms < first_ms").drop("first_ms"), "codex-totals")
     # a snapshot belongs to the last single record before it
     both = snapshots.select("file", "line", F.lit(None).cast("long").alias("s")).union(single.select("file", "line", F.col("line").alias("s")))
-    owner = both.withColumn("after", F.last("s", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))).where("s IS NULL AND after IS NOT NULL").select("file", "line", "after")
+    owner = carried_over(both, {"after": F.col("s")}, ["file"], ["line"], strictly=True).where("s IS NULL AND after IS NOT NULL").select("file", "line", "after")
     held = snapshots.join(owner, ["file", "line"]).select("file", F.col("line").alias("at"), "after", F.col("tokens").alias("has"), F.col("total").alias("sum"))
     waiting = single.where("mark IS NOT NULL AND NOT (thread IS NULL AND boundary IS NOT NULL AND line < boundary)").select("file", F.col("line").alias("after"), F.col("id").alias("native"), "mark", "tokens", "thread_total")
     same = (F.col("has") == F.col("tokens")) | F.coalesce(F.col("sum") == F.col("thread_total"), F.lit(False))
@@ -296,12 +348,12 @@ def _pi_rows(lines: DataFrame) -> DataFrame:
     rows = parsed(lines, PI).withColumn("ms", log_millis(F.col("r.timestamp")))
     head = F.col("r.type") == "session"
     used = (F.col("r.type") == "message") & (F.col("r.message.role") == "assistant") & F.col("r.message.usage").isNotNull() & F.col("ms").isNotNull()
-    rows = rows.withColumns({
+    carried_on = {
         "session": F.when(head, text("r.id")), "directory": F.when(head, F.coalesce(text("r.cwd"), F.lit(""))),
         "parent": F.when(head, F.coalesce(F.element_at(F.split(F.regexp_replace(F.element_at(F.split(F.trim("r.parentSession"), r"[\\/]"), -1), r"(?i)\.jsonl$", ""), "_"), -1), F.lit(""))),
-        "forked": F.when(head, F.coalesce(F.when(text("r.parentSession").isNotNull(), F.col("ms")), F.lit(0))), "model": F.when(F.col("r.type") == "model_change", model_name(text("r.modelId"))).when(used, text("r.message.model")), "used": used,
-    })
-    return rows.withColumns({c: carried(c, ["file"], ["line"]) for c in ("session", "directory", "parent", "forked", "model")})
+        "forked": F.when(head, F.coalesce(F.when(text("r.parentSession").isNotNull(), F.col("ms")), F.lit(0))), "model": F.when(F.col("r.type") == "model_change", model_name(text("r.modelId"))).when(used, text("r.message.model")),
+    }
+    return carried_over(rows.withColumn("used", used), carried_on, ["file"], ["line"])
 
 
 def pi(lines: DataFrame) -> DataFrame:
@@ -372,10 +424,11 @@ def grok_updates(lines: DataFrame) -> DataFrame:
     schema = f"""timestamp STRING, params STRUCT<_meta: STRUCT<eventId: STRING, agentTimestampMs: STRING>,
     update: STRUCT<sessionUpdate: STRING, _meta: STRUCT<modelId: STRING>, usage: STRUCT<{_GROK_USAGE}>>>"""
     rows = lines.withColumn("r", F.from_json("value", schema)).where("r IS NOT NULL").withColumn("named", text("r.params.update._meta.modelId"))
-    rows = rows.withColumn("model", F.coalesce(carried("named", ["file"], ["line"]), "model")).where("r.params.update.sessionUpdate = 'turn_completed'")
+    rows = carried_over(rows, {"named": F.col("named")}, ["file"], ["line"]).withColumn("model", F.coalesce("named", "model")).where("r.params.update.sessionUpdate = 'turn_completed'")
     event = F.coalesce(text("r.params._meta.eventId"), F.concat(F.lit("\x00"), F.col("line").cast("string")))
-    rows = rows.withColumns({"event": event, "first": F.min("line").over(Window.partitionBy("file", event))})
-    rows = rows.withColumn("turn", F.dense_rank().over(Window.partitionBy("file").orderBy("first")).cast("long"))
+    rows = rows.withColumn("event", event)
+    turns = numbered(rows.groupBy("file", "event").agg(F.min("line").alias("first")), ["file"], "first", "turn")
+    rows = rows.join(turns, ["file", "event"])
     ms = F.coalesce(log_millis(F.col("r.params._meta.agentTimestampMs")), log_millis(F.col("r.timestamp")))
     rows = rows.select("file", "session_id", "project", "model", "turn", "line", ms.alias("ms"), F.col("r.params.update.usage").alias("u")).where("u IS NOT NULL AND ms IS NOT NULL")
     last = Window.partitionBy("file", "turn").orderBy(F.desc("line"))
@@ -424,7 +477,7 @@ def muse(lines: DataFrame) -> DataFrame:
     told = F.col("r.payload_type").isin("runtime.session.metadata", "session.workspace_branch.observed", "run.model.configured")
     rows = rows.withColumns({"told": F.coalesce(told, F.lit(False)), "stream": F.when(F.col("r.stream.kind") == "session", text("r.stream.id"))})
     rows = rows.withColumns({"directory": F.when(F.col("told"), text("r.payload.record.workspace_root")), "model": F.when(F.col("told"), text("r.payload.record.model_id"))})
-    rows = rows.withColumns({c: carried(c, ["file"], ["line", "place"]) for c in ("stream", "directory", "model")})
+    rows = carried_over(rows, {c: F.col(c) for c in ("stream", "directory", "model")}, ["file"], ["line", "place"])
     calls = rows.where("r.payload.event.kind = 'model_completed' AND r.payload.event.usage IS NOT NULL AND NOT told")
     at = F.col("r.recorded_at").try_cast("double")
     ms = F.when(at.isNull(), log_millis(F.col("r.recorded_at"))).when(at > 1e17, at / 1e6).when(at > 1e14, at / 1e3).when(at > 1e11, at).otherwise(at * 1000).cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -22,8 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
-    return _stored(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", partition_by)
+    """df as a Parquet table in the shared folder, for results that are read later: it stays until the process ends."""
+    return lasting(df.sparkSession).written(df, name, partition_by)
 
 
 def _stored(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
@@ -35,7 +37,8 @@ class Scratch:
     """Tables of one run in the shared folder. drop() deletes one after its last use, the end of the run all of them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.paths = spark, shared_dir(spark), {}
+        self.spark, self.folder = spark, shared_dir(spark)
+        self.paths: dict[DataFrame | str, str] = {}
 
     def written(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
@@ -43,7 +46,13 @@ class Scratch:
         self.paths[out] = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
+    def folder_of(self, name: str) -> str:
+        """A new path, whose folder is deleted with the tables."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        self.paths[path] = path
+        return path
+
+    def drop(self, *tables: DataFrame | str) -> None:
         for table in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(table))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -52,4 +61,21 @@ class Scratch:
         return self
 
     def __exit__(self, *error) -> None:
-        self.drop(*self.paths)
+        self.drop(*list(self.paths))
+
+
+_lasting: dict[str, Scratch] = {}
+
+
+def lasting(spark: SparkSession) -> Scratch:
+    """Tables that a lazy result still reads when its function returns. The end of the process deletes them, if it is a
+    regular one; else whoever owns the shared folder does."""
+    if spark.sparkContext.applicationId not in _lasting:
+        _lasting[spark.sparkContext.applicationId] = held = Scratch(spark)
+        atexit.register(_end, held)
+    return _lasting[spark.sparkContext.applicationId]
+
+
+def _end(held: Scratch) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        held.drop(*list(held.paths))

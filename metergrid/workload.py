@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from metergrid import tables
+from metergrid.operators import store
+
 #: The clock of all queries, and the device that wins ties between copies.
 NOW = "2024-01-25T15:30:00+00:00"
 LOCAL_DEVICE = "dev-0"
@@ -57,6 +60,17 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(events_sql("spark", "{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+_stores: dict[tuple[str, str], store.Store] = {}
+
+
+def usage_store(spark: SparkSession, sf_dir: str) -> store.Store:
+    """The usage events as a stored table, which the dashboard queries read: made once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        _stores[key] = store.create(spark, tables.lasting(spark).folder_of("usage"), usage_events(spark, sf_dir), buckets=8)
+    return _stores[key]
+
+
 #: (model, field, rate): per-token rates, with suffixes for context size and service tier.
 CATALOG = [
     ("gpt-6.1-sol", "input_cost_per_token", 2e-6), ("gpt-6.1-sol", "output_cost_per_token", 8e-6),

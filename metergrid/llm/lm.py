@@ -27,7 +27,6 @@ Every row gives one row. A null text is the empty text, whose one token is the e
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metergrid.llm.common import SLICE_BYTES, Scratch, arrow_map, flat_bytes, sliced, whole_groups, written
+from metergrid.llm.common import Scratch, arrow_map, flat_bytes, sliced, whole_groups, written
 from metergrid.llm.shingles import mixed, word_hashes
 
 ORDER = 2
@@ -50,7 +49,9 @@ ADD = 0.1
 HOT = 1 << 20
 LONG = 64
 #: Tokens of the corpus for each bucket, n-grams that a task holds before it sends them on, bytes of the filter in one broadcast.
-BUCKET_TOKENS, HELD_GRAMS, BLOCK_BYTES = 1 << 18, 1 << 22, 128 << 20
+BUCKET_TOKENS, HELD_GRAMS, BLOCK_BYTES = 1 << 18, 1 << 21, 128 << 20
+#: Bytes of text, and of levels, that one step takes: a byte of text costs some twenty in arrays, a level some eighty.
+TEXT_BYTES, LEVEL_BYTES = 2 << 20, 1 << 20
 #: Bytes of an n-gram's hash within its bucket.
 KEY = 5
 END = ""
@@ -202,7 +203,7 @@ def count_words(texts: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, text_col, 4 * SLICE_BYTES):
+            for part in sliced(batch, text_col, 4 * TEXT_BYTES):
                 t = tokenise(part.column(text_col))
                 n = np.bincount(t.codes, minlength=len(t.spelled))
                 yield pa.RecordBatch.from_pydict({"word": pa.concat_arrays([t.spelled, pa.array([END], pa.string())]), "n": pa.array([*n.tolist(), t.rows], pa.int64())})
@@ -232,7 +233,7 @@ def count_grams(texts: DataFrame, text_col: str, order: int, buckets: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for part in sliced(batch, text_col):
+            for part in sliced(batch, text_col, TEXT_BYTES):
                 for hashes, _ in grams(*sequences(tokenise(part.column(text_col)))[:2], order):
                     held.append(hashes)
                     n += len(hashes)
@@ -250,15 +251,17 @@ def build_segments(counted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket"):
-            buckets, sent, times = (table.column(c).to_pylist() for c in ("bucket", "keys", "counts"))
-            for bucket, group in itertools.groupby(range(len(buckets)), buckets.__getitem__):
-                mine = list(group)
-                raw = np.frombuffer(b"".join(sent[i] for i in mine), np.uint8).reshape(-1, KEY)
+            rows = table.column("bucket").to_numpy()
+            ends = [*(np.flatnonzero(rows[1:] != rows[:-1]) + 1).tolist(), len(rows)]
+            for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+                # a bucket at a time, whose n-grams are bounded
+                bucket, sent, times = int(rows[begin]), *(table.column(c).slice(begin, end - begin).to_pylist() for c in ("keys", "counts"))
+                raw = np.frombuffer(b"".join(sent), np.uint8).reshape(-1, KEY)
                 keys = np.zeros((len(raw), 8), np.uint8)
                 keys[:, :KEY] = raw
                 found, place = np.unique(keys.view(U).ravel(), return_inverse=True)
                 counts = np.zeros(len(found), np.int64)
-                np.add.at(counts, place, np.frombuffer(b"".join(times[i] for i in mine), np.int64))
+                np.add.at(counts, place, np.frombuffer(b"".join(times), np.int64))
                 size, bits = segment(found, counts, bucket)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "size": pa.array([size], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
@@ -357,7 +360,7 @@ def measure(docs: DataFrame, model: Model, text_col: str = "text", carry: list[s
             return step
 
         kept = (names if last else list(keys)) + ["lm_row"] + (exact if k else [])
-        found = arrow_map(state, text_col, later if k else first, make, kept, reads=("lm_levels",) if k else ())
+        found = arrow_map(state, text_col, later if k else first, make, kept, TEXT_BYTES, ("lm_levels",) if k else ())
         done = previous
         if last:
             state = written(found, "levels")
@@ -413,7 +416,7 @@ def fit_masses(measured: DataFrame, model: Model) -> list[float]:
         def run(batches: Iterator[pa.RecordBatch], n=n, below=below) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(MASSES))
             for batch in batches:
-                for part in sliced(batch, "lm_levels", SLICE_BYTES):
+                for part in sliced(batch, "lm_levels", LEVEL_BYTES):
                     contexts = _contexts(*_joined(part, order), order)
                     packed = np.zeros(len(contexts), U)
                     for k in range(2 * n - 1):
@@ -444,7 +447,7 @@ def score(measured: DataFrame, model: Model, masses: list[float]) -> DataFrame:
         return step
 
     kept = measured.select(*[F.col(f"`{c}`") for c in names], *added[:4], "lm_levels")
-    found = arrow_map(kept, "lm_levels", T.StructType().add("score", "double"), make, [*names, *added[:4]])
+    found = arrow_map(kept, "lm_levels", T.StructType().add("score", "double"), make, [*names, *added[:4]], LEVEL_BYTES)
     share = n_tokens + ADD * (n_types + 1)
     cold = measured.select("lm_row", F.explode("lm_cold").alias("c")).select("lm_row", "c.word", "c.n").join(model.vocabulary, "word", "left")
     cold = cold.withColumn("count", F.coalesce("count", F.lit(0)))

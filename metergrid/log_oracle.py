@@ -177,6 +177,14 @@ SELECT *, CASE WHEN unreadable = files THEN 'error' WHEN unreadable + malformed
         "thread_metadata": f"WITH {THREADS}",
         "merged_generations": f"WITH {GENERATIONS}",
         "generation_workspaces": WORKSPACES,
+        "snapshot_halves": """WITH b AS (SELECT event_id AS e, user_id % 10 AS agent, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), c AS (SELECT *, e % 4 = 0 AS one, agent < 5 AND (e % 8 = 0 OR e % 7 = 0) AS two, e % 4 = 0 AND agent >= 5 AS stays FROM b)
+SELECT 'b:' || e AS id, 'a' || agent AS session_id, CASE WHEN e % 9 = 0 THEN k + 2 ELSE k END AS input_tokens, 'active' AS half FROM b WHERE e % 6 = 0 OR e % 9 = 0
+UNION ALL SELECT 'c:' || e, 'a' || agent, CASE WHEN two THEN k + 1 ELSE k END, 'parked' FROM c WHERE two OR stays UNION ALL SELECT 'c:' || e, NULL, NULL, 'withdrawn' FROM c WHERE one OR two OR stays""",
+        "wire_generators": f"""WITH {CALLS.split("both_ AS")[0].rstrip().rstrip(",")}, w AS (SELECT g.*, b.k, i % 10 = 9 AS bad FROM g JOIN base b USING (c, i, e))
+SELECT c AS conversation, i AS idx, bad AS malformed, CASE WHEN NOT bad THEN array_to_string(list_filter(refs, lambda x: x >= 0), ',') END AS steps, CASE WHEN NOT bad THEN enum END AS model_enum, CASE WHEN used AND NOT bad THEN ids[1] END AS response_id, CASE WHEN used AND NOT bad THEN ids[2] END AS message_id, CASE WHEN used AND NOT bad THEN ids[3] END AS provider_id,
+  CASE WHEN used AND NOT bad THEN CASE WHEN e % 2 = 0 THEN '' ELSE 'Tier' || e % 3 END END AS tier, CASE WHEN NOT bad THEN CASE WHEN e % 4 = 0 THEN 'models/a-high' ELSE '' END END AS response_model, CASE WHEN NOT bad THEN CASE WHEN e % 6 = 1 THEN 'models/gamma-low' ELSE '' END END AS planner_model, CASE WHEN NOT bad THEN run END AS execution_id,
+  CASE WHEN used AND NOT bad THEN n_in END AS input_tokens, CASE WHEN used AND NOT bad THEN CASE WHEN e % 11 = 0 OR e % 4 = 0 THEN 0 ELSE e % 50 END END AS output_tokens, CASE WHEN used AND NOT bad THEN n_read END AS cache_read_tokens, CASE WHEN used AND NOT bad THEN 0 END AS cache_write_tokens,
+  CASE WHEN used AND NOT bad THEN CASE WHEN e % 11 = 0 THEN 0 ELSE e % 9 END END AS thinking_tokens, CASE WHEN used AND NOT bad THEN CASE WHEN e % 11 = 0 THEN 0 ELSE e % 6 END END AS response_tokens FROM w""",
         "grok_forks": GROK_FORKS,
         "grok_roots": GROK_ROOTS,
         "grok_fallback": GROK_FALLBACK,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from metergrid import tables
 from metergrid.operators import collect, dedupe
 from metergrid.queries import QueryFn
-from metergrid.sources import billing, generations, grok_tree, logs, reconcile, threads
+from metergrid.sources import billing, generations, grok_tree, logs, reconcile, snapshots, threads
 from metergrid.streaming import counters
 
 COLUMNS = ("id", "ms", "raw_model", "project", "session_id", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens")
@@ -240,6 +240,71 @@ def grok_fallback(spark, sf_dir):
     return grok_tree.session_rows(sessions, links, ledgers, updates)[0].select("id", "ms", "session_id", "input_tokens", "cache_read_tokens", "output_tokens")
 
 
+def snapshot_halves(spark, sf_dir):
+    """Cloud usage, a switch to billing, a refresh that switches back, and a second import: each stored and read again."""
+    base = _base(spark, sf_dir).selectExpr("e", "concat('a', u % 10) AS session_id", "u % 10 AS agent", "k AS input_tokens")
+    of = lambda kind, where, tokens="input_tokens": base.where(where).selectExpr(f"concat('{kind}:', e) AS id", "session_id", f"{tokens} AS input_tokens")
+    folder = tables.lasting(spark).folder_of("snapshot")
+    schema = of("c", "true").schema
+    agents = base.select("session_id", "agent").distinct()
+    for step in (
+        lambda s: snapshots.refreshed(s, of("c", "e % 4 = 0"), agents),
+        lambda s: snapshots.imported(s, of("b", "e % 6 = 0")),
+        lambda s: snapshots.refreshed(s, of("c", "agent < 5 AND (e % 8 = 0 OR e % 7 = 0)", "input_tokens + 1"), agents.where("agent < 5")),
+        lambda s: snapshots.imported(s, of("b", "e % 9 = 0", "input_tokens + 2")),
+    ):
+        snapshots.write(spark, folder, step(snapshots.read(spark, folder, schema)))
+    last = snapshots.read(spark, folder, schema)
+    half = lambda df, name: df.withColumn("half", F.lit(name))
+    return half(last.events, "active").unionByName(half(last.parked, "parked")).unionByName(half(last.withdrawn, "withdrawn"), allowMissingColumns=True)
+
+
+def _blobs(spark, sf_dir):
+    """Generators of _recorded_calls() as binary messages, with prompts that no reader may touch; some are cut off."""
+    from metergrid.sources import wire
+
+    rows = _recorded_calls(spark, sf_dir)[0]
+    schema = "conversation string, idx long, data binary"
+
+    def number(n):
+        out = bytearray()
+        while True:
+            out.append(n & 0x7F | (0x80 if n > 0x7F else 0))
+            n >>= 7
+            if not n:
+                return bytes(out)
+
+    def put(field, value):
+        if isinstance(value, int):
+            return number(field << 3) + number(value)
+        raw = value.encode() if isinstance(value, str) else value
+        return number(field << 3 | 2) + number(len(raw)) + raw
+
+    numbers = {f.name: n for n, f in wire.USAGE.items()}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                usage = b"".join(put(n, r[c]) for c, n in numbers.items() if c != "model_enum" and r.get(c))
+                chat = put(1, "a prompt") + put(3, r["model_enum"]) + (put(4, usage) if r["input_tokens"] is not None else b"") + put(19, r["response_model"])
+                data = put(1, chat) + put(2, b"".join(map(number, (x for x in r["step_indices"] if x >= 0)))) + put(3, put(28, r["planner_model"] or "") + put(5, b"\x08\xff")) + put(4, r["execution_id"] or "") + number(9 << 3 | 1) + b"8 bytes."
+                out.append(data[:-3] if r["idx"] % 10 == 9 else data)
+            yield pa.RecordBatch.from_pydict({"conversation": batch.column("conversation"), "idx": batch.column("idx"), "data": pa.array(out, pa.binary())})
+
+    return rows.mapInArrow(run, schema)
+
+
+def wire_generators(spark, sf_dir):
+    from metergrid.sources import wire
+
+    text = ("response_id", "message_id", "provider_id", "tier", "response_model", "planner_model", "execution_id")
+    rows = wire.generators(_blobs(spark, sf_dir))
+    return rows.select("conversation", "idx", "malformed", F.array_join(F.col("step_indices").cast("array<string>"), ",").alias("steps"), "model_enum", *text, *wire._COUNTS)
+
+
 def queries() -> dict[str, QueryFn]:
-    found = (reader_claude, claude_empty_requests, collected_claude, collected_retractions, source_status, reader_codex, streamed_codex, reader_pi, reader_grok, reader_muse, reader_billing, parent_records, thread_metadata, merged_generations, generation_workspaces, reconciled_calls, reconciled_withdrawn, grok_forks, grok_roots, grok_fallback)
+    found = (reader_claude, claude_empty_requests, collected_claude, collected_retractions, source_status, reader_codex, streamed_codex, reader_pi, reader_grok, reader_muse, reader_billing, parent_records, thread_metadata, merged_generations, generation_workspaces, reconciled_calls, reconciled_withdrawn, grok_forks, grok_roots, grok_fallback, snapshot_halves, wire_generators)
     return {f.__name__: f for f in found}

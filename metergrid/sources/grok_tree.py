@@ -21,7 +21,7 @@ def session_projects(sessions: DataFrame) -> DataFrame:
     """sessions with project: the directory that the summary names, else the path that the name of the folder above encodes,
     else what that folder's .cwd file holds, else unknown."""
     decoded = F.try_url_decode(F.try_element_at(F.split("folder", "/"), F.lit(-2)))
-    group = F.coalesce(F.when(decoded.startswith("/"), decoded), logs.text("cwd_file"))
+    group = F.coalesce(F.when(decoded.startswith("/"), decoded), F.nullif(F.regexp_replace("cwd_file", r"^\s+|\s+$", ""), F.lit("")))
     return sessions.withColumn("project", F.coalesce(logs.text("cwd"), group, F.lit(logs.UNKNOWN_PROJECT)))
 
 

@@ -8,6 +8,7 @@ import time
 from pyspark.sql import SparkSession
 
 from metergrid.queries import queries
+from metergrid.workload import usage_store
 
 HEADLINE = ("totals_30d", "by_model", "marginals", "daily_by_model", "hourly_today_kathmandu", "sessions", "project_insights", "facets", "reprice", "unresolved_pricing", "merge_preserve_metadata", "owner_dedup", "counter_delta_reset")
 
@@ -21,7 +22,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     found = queries()
     found["owner_dedup"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-    seconds = {}
+    start = time.perf_counter()
+    usage_store(spark, sf_dir)  # the stored table that the dashboard queries read
+    seconds = {"store_create": round(time.perf_counter() - start, 3)}
     for name in HEADLINE:
         start = time.perf_counter()
         found[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

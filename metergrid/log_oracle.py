@@ -193,8 +193,8 @@ SELECT c AS conversation, i AS idx, bad AS malformed, CASE WHEN NOT bad THEN arr
  UNION SELECT c, ':step:' || hit FROM row_g WHERE call IS NOT NULL AND by_step UNION SELECT c, ':step:' || i FROM row_s WHERE call IS NOT NULL UNION SELECT c, ':gen:' || i FROM row_g WHERE call IS NOT NULL OR by_step)
 SELECT {CALL_ID} AS id FROM gone ANTI JOIN calls USING (c, id)""",
         "reader_billing": f"WITH {BILLING}",
-        "parent_records": f"""WITH RECURSIVE {FILES}, o AS (SELECT CAST(o_custkey AS VARCHAR) AS session_id, CASE WHEN o_orderkey % 5 = 0 THEN 'codex:response:' ELSE 'codex:total:' END || o_orderkey AS id, o_orderkey % 400 AS ms, o_orderkey % 3 AS n FROM orders),
-w AS (SELECT o.*, f.parent_id IS NOT NULL AS forked FROM o LEFT JOIN f USING (session_id) WHERE f.parent_id IS NULL OR forked_ms % 30 <> 0 OR ms >= 50), k AS (SELECT DISTINCT session_id, ms, n FROM w),
+        "parent_records": f"""WITH RECURSIVE {FILES}, o AS (SELECT CAST(o_custkey AS VARCHAR) AS session_id, CASE WHEN o_orderkey % 5 = 0 THEN 'codex:response:' ELSE 'codex:total:' END || o_orderkey AS id, o_orderkey % 400 AS ms, o_orderkey % 3 AS n, o_orderkey AS e FROM orders),
+w AS (SELECT o.*, f.parent_id IS NOT NULL AS forked FROM o LEFT JOIN f USING (session_id) WHERE (f.parent_id IS NULL OR forked_ms % 30 <> 0 OR ms >= 50) AND (f.parent_id IS NULL OR e % 30 <> 0)), k AS (SELECT DISTINCT session_id, ms, n FROM w),
 d AS (SELECT up.session_id, k.ms, k.n, list_sort(list(DISTINCT distance)) AS d FROM up JOIN k ON k.session_id = up.ancestor GROUP BY 1, 2, 3), c AS (SELECT session_id, ms, n, len(list_filter(d, lambda x, i: x = i)) AS run FROM d)
 SELECT session_id, id, ms FROM w LEFT JOIN c USING (session_id, ms, n) WHERE NOT (forked AND starts_with(id, 'codex:total:') AND coalesce(run, 0) % 2 = 1)""",
     }

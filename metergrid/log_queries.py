@@ -137,7 +137,9 @@ def parent_records(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("CAST(o_custkey AS STRING) AS session_id", "o_orderkey % 400 AS ms", "o_orderkey % 3 AS input_tokens", "o_orderkey AS e")
     rows = o.selectExpr("session_id", "concat(if(e % 5 = 0, 'codex:response:', 'codex:total:'), e) AS id", "ms", "input_tokens", *[f"0L AS {c}" for c in ("output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens")])
     files = _files(spark, sf_dir).withColumn("forked_ms", F.when(F.col("forked_ms") % 30 == 0, 50).cast("long"))
-    return dedupe.without_parent_records(rows, files, 16).select("session_id", "id", "ms")
+    listed = o.where("e % 15 = 0").selectExpr("session_id", "CAST(e AS STRING) AS response")
+    above = listed.where("CAST(response AS LONG) % 30 = 0").join(files, "session_id").where("parent_id IS NOT NULL").select(F.col("parent_id").alias("session_id"), "response")
+    return dedupe.without_parent_records(rows, files, 16, listed.union(above)).select("session_id", "id", "ms")
 
 
 def thread_metadata(spark, sf_dir):

@@ -102,10 +102,16 @@ def fork_owner(rows: DataFrame, files: DataFrame, depth: int = 32) -> DataFrame:
     return joined.withColumn("owner", F.when(inherited, F.col("first")).otherwise(F.col("session_id"))).drop("first", "forked_ms")
 
 
-def without_parent_records(rows: DataFrame, files: DataFrame, depth: int = 32) -> DataFrame:
-    """Rows of forked sessions (files: session_id, parent_id, forked_ms) without copies: rows from before the fork, and
-    running totals whose time and counters the parent has too. Parents are filtered before their children, so where a
-    chain of sessions holds a row, every second one of them keeps it."""
+def without_parent_records(rows: DataFrame, files: DataFrame, depth: int = 32, compactions: DataFrame | None = None) -> DataFrame:
+    """Rows of forked sessions (files: session_id, parent_id, forked_ms) without copies: rows from before the fork, responses
+    that the session and its parent both list as compactions (session_id, response), and running totals whose time and
+    counters the parent has too. Parents are filtered before their children, so where a chain of sessions holds a row,
+    every second one of them keeps it."""
+    if compactions is not None:
+        up = files.where("parent_id <> session_id").select("session_id", "parent_id")
+        above = compactions.select(F.col("session_id").alias("parent_id"), "response").distinct()
+        both = compactions.join(up, "session_id").join(above, ["parent_id", "response"], "left_semi")
+        rows = rows.join(both.select("session_id", F.concat(F.lit("codex:response:"), "response").alias("id")).distinct(), ["session_id", "id"], "left_anti")
     forked = files.where("parent_id IS NOT NULL AND parent_id <> session_id").select("session_id", "forked_ms").withColumn("forked", F.lit(True))
     rows = rows.join(forked, "session_id", "left").where("forked_ms IS NULL OR ms >= forked_ms")
     key = ["ms", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens"]

@@ -1,7 +1,8 @@
 """The write path: an upload is merged into the stored rows by (device, id); retractions remove rows.
 
-Stored rows lie in Parquet under utc_day=..., and a merge rewrites the days that it touches: those of the new rows, and
-those from which corrected rows moved away. Days that nothing touches aren't read or written."""
+Stored rows lie in Parquet under utc_day=..., and write_days() rewrites the days that it touches: those of the new rows, and
+those from which corrected rows moved away. It joins the upload with the keys of all stored rows; operators/store.py keeps
+an index, by which a merge reads the days of its keys only."""
 
 from __future__ import annotations
 

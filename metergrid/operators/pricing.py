@@ -150,6 +150,13 @@ def resolve_models(models: DataFrame, catalog: DataFrame, rules: list[dict]) ->
     )
 
 
+def shown_models(spark: SparkSession, names: tuple[str, ...], catalog: DataFrame, rules: list[dict]) -> tuple[str, ...]:
+    """The names under which models are shown, each once: a filter may say them or the raw ones."""
+    asked = spark.createDataFrame([(n,) for n in names], "raw_model string")
+    found = {r["raw_model"]: r["model"] for r in resolve_models(asked, catalog, rules).collect()}
+    return tuple(sorted({found[n] for n in names}))
+
+
 #: Rates of a catalog that the driver resolves; a larger one is refused.
 MOST_RATES = 1_000_000
 

@@ -18,7 +18,7 @@ EXPORT = (
 
 def session_export(sessions: DataFrame, devices: DataFrame | None = None) -> DataFrame:
     """Sessions as quoted cells of a CSV file; devices (id, name) give names to ids."""
-    named = sessions if devices is None else sessions.join(F.broadcast(devices.select(F.col("id").alias("device"), F.col("name").alias("_name"))), "device", "left")
+    named = sessions if devices is None else sessions.join(devices.select(F.col("id").alias("device"), F.col("name").alias("_name")), "device", "left")
     cost = F.regexp_replace(F.round("cost_usd", 9).cast("decimal(30,9)").cast("string"), r"\.?0+$", "")
     device = F.col("device") if devices is None else F.coalesce("_name", "device")
     cells = [

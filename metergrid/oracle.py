@@ -205,6 +205,7 @@ FROM days GROUP BY date_trunc('week', day)"""
     keys = lambda *v: "(project_key IN ({0}) OR project IN ({0}))".format(", ".join(map(_text, v)))
     wheres = {
         "filter_include": keys("github.com/org/r1", "/work/p12"), "filter_empty_list": "false", "filter_provider": "provider IN ('openai', 'google')",
+        "filter_raw_models": "model IN (SELECT model FROM p WHERE raw_model IN ('xai/grok-4.6', 'house-custom', 'claude-fable-5-1-20260101', 'quasar-alpha'))",
         "filter_project_exclude_wins": f"{keys('github.com/org/r1', 'github.com/org/r2')} AND NOT {keys('github.com/org/r1')}",
     }
     found |= {n: f"{chosen(where=w)} SELECT {TOTALS} FROM s" for n, w in wheres.items()}

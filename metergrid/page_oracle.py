@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from metergrid.oracle import DEV, EV, MEASURES, NOW_MS, ROUND_COST, SESSIONS, TOTAL, TOTALS, _by, _hourly, _text, chosen, owned, priced, window
-from metergrid.workload import CATALOG
+from metergrid.oracle import DEV, EV, MEASURES, NOW_MS, ROUND_COST, SESSIONS, TOTAL, TOTALS, _by, _hourly, chosen, owned, priced, window
 
 DEVICES = """dev AS (SELECT s_suppkey AS k, 'dev-' || s_suppkey AS id, 'Host ' || s_suppkey % 4 AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'linux' ELSE 'darwin' END AS platform, CASE WHEN s_suppkey % 3 = 0 THEN '1.2.0' END AS collector_version,
   s_suppkey * 1000 AS last_seen_ms, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey END AS revoked_ms, CASE WHEN s_suppkey % 2 = 1 THEN '2024-01-' || lpad(CAST(s_suppkey % 28 + 1 AS VARCHAR), 2, '0') END AS pricing_updated_at FROM supplier)"""
@@ -86,8 +85,9 @@ def oracle_sql(core: dict[str, str]) -> dict[str, str]:
     found["axis_peaks"] = """WITH v AS (SELECT o_orderkey AS k, CAST(CAST(floor(o_totalprice) AS BIGINT) % 100000 AS DOUBLE) AS v FROM orders), u AS (SELECT *, CASE WHEN v > 0 THEN pow(10, floor(log10(v / 4))) END AS p FROM v)
 SELECT k, round(CASE WHEN v <= 0 THEN 1 ELSE 4 * p * list_min(list_filter([1, 1.25, 1.5, 2, 2.5, 3, 4, 5, 7.5, 10.0], lambda x: x >= v / (4 * p) OR x = 10)) END, 6) AS peak FROM u"""
     found["collector_versions"] = "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 AND regexp_full_match(n_name, '[0-9A-Za-z.-]+') THEN '0.4.1+' || n_name ELSE '0.4.1' END AS version FROM nation"
-    kept = ", ".join(f"({_text(m)}, {_text(f)}, CAST({r!r} AS DOUBLE))" for m, f, r in CATALOG if m != "grok-4.6")
-    found["catalog_merge"] = f"SELECT * FROM (VALUES {kept}, ('grok-4.6', 'input_cost_per_token', CAST(2e-6 AS DOUBLE)), ('new', 'input_cost_per_token', CAST(1e-6 AS DOUBLE))) AS c(model, field, rate)"
+    found["catalog_merge"] = """WITH p AS (SELECT p_brand || '/' || p_size AS model, ['input_cost_per_token', 'output_cost_per_token', 'cache_read_input_token_cost'][p_partkey % 3 + 1] AS field, p_retailprice AS rate, p_size % 4 = 0 AND p_partkey % 2 = 0 AS second, p_size % 8 = 0 AND p_partkey % 5 = 0 AS third FROM part),
+m AS (SELECT *, bool_or(second) OVER (PARTITION BY model) AS has_second, bool_or(third) OVER (PARTITION BY model) AS has_third FROM p)
+SELECT model, field, max(rate) AS rate FROM m WHERE CASE WHEN has_third THEN third WHEN has_second THEN second ELSE true END GROUP BY 1, 2"""
     found["changed_since"] = f"SELECT name, CASE WHEN rank = 2 THEN tokens + 1 ELSE tokens END AS tokens, rank FROM ({_by('model')}) WHERE rank IN (2, 3)"
     found["migration_pages"] = f"""WITH {EV}, r AS (SELECT CASE WHEN event_id % 3 = 0 THEN '2023-12' ELSE '' END AS pricing_snapshot, ms // 86400000 AS day, row_number() OVER (PARTITION BY event_id % 3 = 0, ms // 86400000 ORDER BY ms, device_id, id) - 1 AS i FROM ev)
 SELECT pricing_snapshot, day, i // 25 AS batch, count(*) AS n FROM r GROUP BY 1, 2, 3"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from metergrid.functions import expr
 from metergrid.operators import aggregate, hub, pricing, report, store, view
 from metergrid.plans.query import UsageQuery
-from metergrid.queries import CLOCK, QueryFn, breakdown, catalog, frame_of, priced_events, prices, project_insights, project_labels, selected, sessions, weekly_90d
+from metergrid.queries import CLOCK, QueryFn, breakdown, frame_of, priced_events, prices, project_insights, project_labels, selected, sessions, weekly_90d
 from metergrid.workload import LOCAL_DEVICE, usage_events, usage_store
 
 
@@ -151,9 +151,10 @@ def collector_versions(spark, sf_dir):
 
 
 def catalog_merge(spark, sf_dir):
-    old = catalog(spark)
-    new = old.where("model = 'grok-4.6' AND field LIKE 'input%'").withColumn("rate", F.col("rate") * 2).union(spark.createDataFrame([("new", "input_cost_per_token", 1e-6)], old.schema))
-    return pricing.merged_catalogs(old, new)
+    """Two catalogs of the parts' brands: what the second one has of a model stands alone."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("concat(p_brand, '/', p_size) AS model", "element_at(array('input_cost_per_token', 'output_cost_per_token', 'cache_read_input_token_cost'), CAST(p_partkey % 3 + 1 AS INT)) AS field", "p_retailprice", "p_partkey", "p_size")
+    of = lambda rows: rows.groupBy("model", "field").agg(F.max("p_retailprice").alias("rate"))
+    return pricing.merged_catalogs(of(parts), of(parts.where("p_size % 4 = 0 AND p_partkey % 2 = 0")), of(parts.where("p_size % 8 = 0 AND p_partkey % 5 = 0")))
 
 
 def changed_since(spark, sf_dir):

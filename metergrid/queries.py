@@ -48,6 +48,8 @@ def frame_of(usage: store.Store, query: UsageQuery) -> Timeframe:
 
 def selected_from(usage: store.Store, query: UsageQuery) -> tuple[DataFrame, Timeframe]:
     query, _ = query.normalized()
+    if query.models:
+        query = replace(query, models=pricing.shown_models(usage.spark, query.models, catalog(usage.spark), RULES))
     frame = frame_of(usage, query)
     return priced_window(usage.spark, usage, query, frame).where(dimension_filter(query) & project_filter(query)), frame
 
@@ -347,6 +349,7 @@ FILTERS = {
     "filter_project_exclude_wins": UsageQuery(projects=("github.com/org/r1", "github.com/org/r2"), excluded_projects=("github.com/org/r1",)),
     "filter_empty_list": UsageQuery(models=()),
     "filter_multi_dimension": UsageQuery(harnesses=("claude", "codex"), devices=("dev-1", "dev-copy")),
+    "filter_raw_models": UsageQuery(models=("xai/grok-4.6", "house-custom", "claude-fable-5-1-20260101", "quasar-alpha", "no such model")),
     "filter_provider": UsageQuery(providers=("openai", "google")),
 }
 

@@ -6,8 +6,6 @@ known of a file as a whole. State that runs through a log (context, counters) is
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

@@ -149,7 +149,7 @@ def merge(store: Store, batch: DataFrame, batch_id: str, deleted: DataFrame | No
         changed = [r[0] for r in live.select(store.bucket()).distinct().collect()]
         others = store.keys().where(F.col("bucket").isin(*changed)).join(live.select(*KEY), KEY, "left_anti")
         index = store.staged(others.unionByName(_index(kept, store)), batch_id, "index")
-        _replace(store, "keys", index, "bucket", changed)
+        _replace(store, "keys", index, "bucket", changed, max(1, -(-index.count() // FILE_ROWS)))
         _replace(store, "spread", store.staged(_spread(index), batch_id, "spread"), "bucket", changed)
         delta = _summed(kept.select(*columns), 1).unionByName(_summed(before, -1)).withColumn("batch", F.lit(batch_id))
         delta.repartition(1, "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store.path}/deltas")

@@ -288,7 +288,7 @@ def withdrawal_states(spark, sf_dir):
     hub, box = store.create(spark, f"{folder}/hub", events, buckets=16), outbox.Outbox(spark, f"{folder}/outbox")
     of = lambda n: events.where(F.col("event_id") % n == 0)
     outbox.withdraw(box, of(10))
-    outbox.flush(box, lambda ids, number: store.merge(hub, events.limit(0), number, ids))
+    outbox.flush(box, lambda ids, number: store.merge(hub, events.limit(0), number, ids), together=True)
     store.merge(hub, of(20), "again")
     outbox.restore(box, of(20))
     outbox.withdraw(box, of(40))

@@ -6,7 +6,7 @@ are withdrawn already aren't sent again; a restored one may be.
 
 The outbox is a log of steps, each a Parquet folder that counts once it is complete; the last step that names an id holds its
 state. A portion is written down before it is sent. If the run fails before the acknowledgement is, the next run sends the
-same ids under the same number, which a hub takes once. One writer at a time."""
+same ids under the same number, which a hub takes once; portions that go together once have to later. One writer at a time."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metergrid.tables import written
+
 PENDING, SENT, ACKNOWLEDGED, RESTORED = "pending", "sent", "acknowledged", "restored"
 SCHEMA = "device_id string, id string, state string, portion string"
 KEY = ["device_id", "id"]
@@ -80,9 +82,12 @@ def restore(outbox: Outbox, uploaded: DataFrame) -> None:
     outbox.append(back.withColumns({"state": F.lit(RESTORED), "portion": F.lit(None).cast("string")}))
 
 
-def flush(outbox: Outbox, send: Send, portion: int = PORTION) -> int:
+def flush(outbox: Outbox, send: Send, portion: int = PORTION, together: bool = False) -> int:
     """Sends what is pending, in portions, after those that went out without an acknowledgement. send(ids, number) merges
-    (device_id, id) into the hub and returns once that is done. Returns the number of portions."""
+    (device_id, id) into the hub and returns once that is done. Returns the number of portions.
+
+    A merge may rewrite every day that a hub stores, whatever the size of a portion. With `together` the portions numbered in
+    one step go to the hub with one call, under the number that they share, so that its merges don't grow with the portions."""
     waiting = outbox.states().where(F.col("state") == PENDING)
     n = waiting.count()
     if n:
@@ -91,10 +96,12 @@ def flush(outbox: Outbox, send: Send, portion: int = PORTION) -> int:
         first = (outbox.steps() or [0])[-1] + 1
         share = F.pmod(F.xxhash64(*KEY), F.lit(shares)).cast("string")
         outbox.append(waiting.withColumns({"state": F.lit(SENT), "portion": F.concat(F.lit(f"withdrawn-{first}-"), share)}))
-    out = outbox.states().where(F.col("state") == SENT)
-    numbers = sorted(r[0] for r in out.select("portion").distinct().collect())
-    for number in numbers:
-        ids = out.where(F.col("portion") == number).select(*KEY)
-        send(ids, number)
-        outbox.append(ids.withColumns({"state": F.lit(ACKNOWLEDGED), "portion": F.lit(number)}))
-    return len(numbers)
+    sent = outbox.states().where(F.col("state") == SENT).select(*KEY, "portion", (F.regexp_replace("portion", "-[0-9]+$", "") if together else F.col("portion")).alias("call"))
+    # a call reads its own ids, not the states of all others again
+    out = written(sent.repartition("call", F.pmod(F.xxhash64(*KEY), F.lit(8))) if together else sent.repartition("call"), "portions", "call")
+    portions = {r[0]: r[1] for r in out.groupBy("call").agg(F.count_distinct("portion")).collect()}
+    for number in sorted(portions):
+        ids = out.where(F.col("call") == number)
+        send(ids.select(*KEY), number)
+        outbox.append(ids.withColumn("state", F.lit(ACKNOWLEDGED)))
+    return sum(portions.values())

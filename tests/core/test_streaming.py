@@ -93,6 +93,24 @@ def test_withdrawals_survive_a_failure_before_the_acknowledgement(spark, sf_dir,
     assert len(box.steps()) == 1 and _states(box) == before
 
 
+def test_portions_that_go_together_are_one_merge(spark, tmp_path):
+    box, calls = outbox.Outbox(spark, f"{tmp_path}/outbox"), []
+    outbox.withdraw(box, spark.range(40).selectExpr("concat('d', id % 3) AS device_id", "concat('i', id) AS id"))
+
+    def send(ids, number):
+        calls.append((number, sorted(r["id"] for r in ids.collect())))
+        if len(calls) == 1:
+            raise OSError
+
+    with pytest.raises(OSError):
+        outbox.flush(box, send, portion=10, together=True)
+    assert set(_states(box).values()) == {"sent"}
+    outbox.withdraw(box, spark.createDataFrame([("d", "new")], "device_id string, id string"))
+    assert outbox.flush(box, send, portion=10, together=True) == 5
+    assert len(calls) == 3 and calls[0] == calls[1] and len(calls[0][1]) == 40, "the same ids went out again under the same number"
+    assert calls[2][1] == ["new"] and set(_states(box).values()) == {"acknowledged"}
+
+
 def test_an_incomplete_step_does_not_count(spark, tmp_path):
     box = outbox.Outbox(spark, f"{tmp_path}/outbox")
     assert box.steps() == [] and box.states().count() == 0

@@ -222,10 +222,10 @@ def claude(lines: DataFrame) -> DataFrame:
 
 def claude_empty(lines: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(native_id, session_id, id) of main requests of which no record of their file bills anything: they own their
-    replays, though they aren't billed."""
+    replays, though they aren't billed. One row, also where several files hold the request."""
     calls = (claude(lines) if rows is None else rows).select("file", F.coalesce("parent_id", "id").alias("record_id")).distinct()
     main = _claude_records(lines).where("native_id IS NOT NULL AND NOT sidechain").select("file", "native_id", "session_id", "record_id").distinct()
-    return main.join(calls, ["file", "record_id"], "left_anti").select("native_id", "session_id", F.col("record_id").alias("id"))
+    return main.join(calls, ["file", "record_id"], "left_anti").select("native_id", "session_id", F.col("record_id").alias("id")).distinct()
 
 
 _COUNTS = "input_tokens: DOUBLE, cached_input_tokens: DOUBLE, cache_write_input_tokens: DOUBLE, cache_creation_input_tokens: DOUBLE, output_tokens: DOUBLE, reasoning_output_tokens: DOUBLE, total_tokens: DOUBLE"

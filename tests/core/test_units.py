@@ -72,6 +72,15 @@ def test_claude_log(spark):
     assert SECRET not in str(rows)
 
 
+def _assistant(i: int, **usage) -> str:
+    return json.dumps({"type": "assistant", "timestamp": "2026-01-05T10:00:00Z", "sessionId": "s", "requestId": "r", "message": {"id": f"m{i}", "model": "x", "usage": usage}})
+
+
+def test_an_empty_request_in_two_files_is_one_row(spark):
+    lines = spark.createDataFrame([("/l/a.jsonl", 1, _assistant(1)), ("/l/b.jsonl", 1, _assistant(1)), ("/l/b.jsonl", 2, _assistant(2, input_tokens=5))], "file string, line long, value string")
+    assert [tuple(r) for r in logs.claude_empty(lines).collect()] == [("m1", "s", "claude:message:m1:r")]
+
+
 def test_replays_of_one_billed_original_go(spark):
     row = lambda i, native, side, n, parent=None: (i, native, "s", side, parent, n, 0, 0, 0)
     schema = "id string, native_id string, session_id string, sidechain boolean, parent_id string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long"

@@ -156,10 +156,17 @@ def ordinal_text(value: str, path: str = "$.ordinal") -> Column:
     return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.to_json(found)).when((kind == "STRING") & (F.to_json(found) != '""'), F.to_json(found))
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once a row. Spark copies what a projection computes into each filter and column
+    that uses it, so that a record would be parsed again for every condition; what explode() gives isn't copied."""
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def parsed(lines: DataFrame, schema: str) -> DataFrame:
     """(file, line, value, r): records as structs of the fields that are read; lines that are no objects are left out."""
+    lines = once(lines.select("file", "line", "value"), "value", F.col("value"))
     short = lines.where((F.octet_length("value") <= MOST_BYTES) & F.ltrim("value").startswith("{"))
-    return short.select("file", "line", "value", F.from_json("value", schema).alias("r")).where("r IS NOT NULL")
+    return once(short, "r", F.from_json("value", schema)).where("r IS NOT NULL")
 
 
 TOTAL = "input_tokens + output_tokens + cache_read_tokens + cache_write_tokens > 0"

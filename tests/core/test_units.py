@@ -81,6 +81,15 @@ def test_an_empty_request_in_two_files_is_one_row(spark):
     assert [tuple(r) for r in logs.claude_empty(lines).collect()] == [("m1", "s", "claude:message:m1:r")]
 
 
+def _parses(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
+
+
+def test_readers_parse_a_record_once(spark):
+    lines = spark.createDataFrame([("/l/a.jsonl", 1, _assistant(1, input_tokens=5))], "file string, line long, value string")
+    assert _parses(logs.claude(lines)) == 1
+
+
 def test_replays_of_one_billed_original_go(spark):
     row = lambda i, native, side, n, parent=None: (i, native, "s", side, parent, n, 0, 0, 0)
     schema = "id string, native_id string, session_id string, sidechain boolean, parent_id string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long"

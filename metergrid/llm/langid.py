@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metergrid.llm.common import arrow_map, bounded_sample, sliced
+from metergrid.llm.common import arrow_map, sliced
 
 DIMS = 512
 SEED = 20240817
-#: Rows that a model is learnt from at most.
-TRAIN_ROWS = 20_000
 #: Code points below this have letter vectors of their own; those above share LETTERS - OWN by remainder.
 OWN, LETTERS = 0x250, 1024
 UNKNOWN = "und"
@@ -115,10 +113,10 @@ def vectors_of(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
-    """The unit prototype of each language among the rows with text and language; at most about max_rows rows are
-    used, chosen by a hash of the id. Without such rows the model is empty and every text is `und`."""
-    rows = bounded_sample(rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, lang_col), id_col, max_rows)
+def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """The unit prototype of each language among all rows with text and language. A task adds its rows up, so
+    that only sums leave it. Without such rows the model is empty and every text is `und`."""
+    rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bundle", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -175,12 +173,12 @@ def length_class(text_col: str = "text"):
     return F.floor(F.log2(F.greatest(F.lit(1), F.coalesce(F.char_length(text_col), F.lit(0))))).cast("int")
 
 
-def score_floors(rows: DataFrame, model: dict[str, np.ndarray], share: float = 0.45, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = TRAIN_ROWS) -> dict[int, float]:
+def score_floors(rows: DataFrame, model: dict[str, np.ndarray], share: float = 0.45, text_col: str = "text", lang_col: str = "lang") -> dict[int, float]:
     """For each length class of texts the score below which a text is in none of the model's languages: `share` of the
-    median of labelled texts of this length, since short texts score less; below 256 characters, where scores scatter,
+    median of all labelled texts of this length, since short texts score less; below 256 characters, where scores scatter,
     a smaller share the shorter they are. Classes with fewer than FLOOR_ROWS take the median of the nearest class that
     has them, in proportion where that is longer; without any there are no floors."""
-    rows = bounded_sample(rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, lang_col), id_col, max_rows)
+    rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col)
     scored = predict_language(rows, model, text_col).where("score > 0").groupBy(length_class(text_col).alias("size"))
     found = scored.agg(F.count("*").alias("n"), F.percentile_approx("score", 0.5, 10_000).alias("middle")).where(F.col("n") >= FLOOR_ROWS)
     middle = {r["size"]: r["middle"] for r in found.collect()}  # a row for each doubling

@@ -32,6 +32,12 @@ def test_language_edges(spark):
     assert langid.predict_language(df.limit(0), model).collect() == []
 
 
+def test_a_model_learns_from_every_row(spark):
+    """Each of thirty languages has one text among 40,000."""
+    learn = spark.range(40_000).selectExpr("id AS doc_id", "'the house' AS text", "if(id % 1000 = 7 AND id < 30000, concat('l', id div 1000), 'en') AS lang")
+    assert len(langid.fit_languages(learn)) == 31
+
+
 def test_bundles_follow_the_definition():
     table = langid.letter_vectors()
     a, b, c = (table[ord(x)] for x in "abc")

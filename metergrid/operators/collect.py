@@ -30,8 +30,8 @@ def collected(candidates: DataFrame, withdrawn: DataFrame) -> Collection:
 def claude_collection(lines: DataFrame) -> Collection:
     """Sidechain rows that replay one billed original are dropped, and withdrawn unless they are that original. Advisors'
     former ids are withdrawn."""
-    rows = written(logs.claude(lines), "claude")
-    empty = written(logs.claude_empty(lines, rows), "claude-empty")
+    calls = written(logs.claude_calls(lines), "claude")
+    rows, empty = calls.where(logs.TOTAL), written(logs.claude_empty(lines, calls), "claude-empty")
     kept = dedupe.without_replays(rows, empty)
     gone = dedupe.replayed(rows, empty).union(kept.where("legacy_id IS NOT NULL").select("legacy_id"))
     return collected(kept, gone)

@@ -213,6 +213,11 @@ def _claude_records(lines: DataFrame) -> DataFrame:
 
 def claude(lines: DataFrame) -> DataFrame:
     """Assistant records with usage. Advisor calls inside a record are rows of their own, owned by the record."""
+    return claude_calls(lines).where(TOTAL)
+
+
+def claude_calls(lines: DataFrame) -> DataFrame:
+    """The rows of claude(), and those that bill nothing."""
     rows = _claude_records(lines).select("file", "line", "ms", "session_id", "native_id", "sidechain", "tier", "record_id", F.col("r.cwd").alias("cwd"), F.explode("calls").alias("c"))
     hour, advisor = number("c.cache_creation.ephemeral_1h_input_tokens"), F.col("c.advisor") >= 0
     write = F.greatest(number("c.cache_creation_input_tokens"), hour + number("c.cache_creation.ephemeral_5m_input_tokens"))
@@ -224,15 +229,18 @@ def claude(lines: DataFrame) -> DataFrame:
         F.least(write, hour).alias("cache_write_1h_tokens"), F.least(number("c.output_tokens"), F.greatest(number("c.output_tokens_details.thinking_tokens"), number("c.output_tokens_details.reasoning_tokens"))).alias("reasoning_tokens"),
         F.when(F.col("c.speed") == "fast", "priority").otherwise(F.coalesce(text("c.service_tier"), "tier")).alias("service_tier"),
     )
-    return _finish(out, "claude").where(TOTAL)
+    return _finish(out, "claude")
 
 
-def claude_empty(lines: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+def claude_empty(lines: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     """(native_id, session_id, id) of main requests of which no record of their file bills anything: they own their
-    replays, though they aren't billed. One row, also where several files hold the request."""
-    calls = (claude(lines) if rows is None else rows).select("file", F.coalesce("parent_id", "id").alias("record_id")).distinct()
-    main = _claude_records(lines).where("native_id IS NOT NULL AND NOT sidechain").select("file", "native_id", "session_id", "record_id").distinct()
-    return main.join(calls, ["file", "record_id"], "left_anti").select("native_id", "session_id", F.col("record_id").alias("id")).distinct()
+    replays, though they aren't billed. One row, also where several files hold the request. calls: claude_calls(lines), if
+    there is a table of them."""
+    rows = claude_calls(lines) if calls is None else calls
+    rows = rows.select("file", F.coalesce("parent_id", "id").alias("id"), "native_id", "session_id", F.expr("parent_id IS NULL AND native_id IS NOT NULL AND NOT sidechain").alias("main"), F.expr(TOTAL).alias("bills"))
+    each = rows.groupBy("file", "id", "native_id", "session_id", "main").agg(F.bool_or("bills").alias("bills"))
+    some = F.max("bills").over(Window.partitionBy("file", "id"))
+    return each.withColumn("some", some).where("main AND NOT some").select("native_id", "session_id", "id").distinct()
 
 
 _COUNTS = "input_tokens: DOUBLE, cached_input_tokens: DOUBLE, cache_write_input_tokens: DOUBLE, cache_creation_input_tokens: DOUBLE, output_tokens: DOUBLE, reasoning_output_tokens: DOUBLE, total_tokens: DOUBLE"

@@ -88,6 +88,7 @@ def _parses(df) -> int:
 def test_readers_parse_a_record_once(spark):
     lines = spark.createDataFrame([("/l/a.jsonl", 1, _assistant(1, input_tokens=5))], "file string, line long, value string")
     assert _parses(logs.claude(lines)) == 1
+    assert _parses(logs.claude_empty(lines)) == 1
 
 
 def test_replays_of_one_billed_original_go(spark):

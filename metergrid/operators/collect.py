@@ -22,9 +22,9 @@ class Collection:
 
 
 def collected(candidates: DataFrame, withdrawn: DataFrame) -> Collection:
-    """One row a call, and the withdrawn ids that no row has."""
-    events = dedupe.collector_dedup(candidates)
-    return Collection(events, dedupe.retracted(withdrawn, events))
+    """One row a call, and the withdrawn ids that no row has. The candidates have the ids of the rows, so that copies needn't
+    be removed for the second."""
+    return Collection(dedupe.collector_dedup(candidates), dedupe.retracted(withdrawn, candidates))
 
 
 def claude_collection(lines: DataFrame) -> Collection:

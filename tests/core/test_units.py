@@ -91,6 +91,13 @@ def test_readers_parse_a_record_once(spark):
     assert _parses(logs.claude_empty(lines)) == 1
 
 
+def test_withdrawn_ids_need_no_removal_of_copies(spark):
+    from metergrid.operators import collect
+
+    lines = spark.createDataFrame([("/l/a.jsonl", 1, _assistant(1, input_tokens=5))], "file string, line long, value string")
+    assert "row_number()" not in collect.claude_collection(lines).withdrawn._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_replays_of_one_billed_original_go(spark):
     row = lambda i, native, side, n, parent=None: (i, native, "s", side, parent, n, 0, 0, 0)
     schema = "id string, native_id string, session_id string, sidechain boolean, parent_id string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long"

@@ -461,12 +461,14 @@ event: STRUCT<kind: STRING, model: STRING, usage: STRUCT<input_tokens: DOUBLE, c
 def _muse_records(lines: DataFrame) -> DataFrame:
     """(file, line, value, place, ordinal): records that frames nest as JSON text, unfolded until a level is empty; place
     orders a line's records. Each level is a table, so that none is unfolded twice."""
-    level = lines.select("file", "line", "value", F.array().cast("array<int>").alias("place"), F.lit("").alias("ordinal"))
+    level = once(lines.select("file", "line", "value"), "value", F.col("value")).select("file", "line", "value", F.array().cast("array<int>").alias("place"), F.lit("").alias("ordinal"))
     every = None
     while True:
-        frame = F.coalesce(F.get_json_object("value", "$.children").startswith("["), F.lit(False))
-        every = level.where(~frame) if every is None else every.union(level.where(~frame))
-        children = F.from_json(F.get_json_object("value", "$.children"), "array<struct<record_json:string,child_index:long>>")
+        level = once(level, "children", F.get_json_object("value", "$.children"))
+        frame, single = F.coalesce(F.col("children").startswith("["), F.lit(False)), level.columns[:-1]
+        plain = level.where(~frame).select(*single)
+        every = plain if every is None else every.union(plain)
+        children = F.from_json("children", "array<struct<record_json:string,child_index:long>>")
         inner = level.where(frame).select("file", "line", "place", "ordinal", F.posexplode(children).alias("at", "c")).where("trim(c.record_json) <> ''")
         level = written(inner.select("file", "line", F.col("c.record_json").alias("value"), F.concat("place", F.array("at")).alias("place"), F.concat_ws(":", F.nullif("ordinal", F.lit("")), F.coalesce("c.child_index", "at").cast("string")).alias("ordinal")), "muse")
         if level.isEmpty():
@@ -507,7 +509,7 @@ def muse(lines: DataFrame) -> DataFrame:
 
 
 def parsed_records(rows: DataFrame, schema: str) -> DataFrame:
-    return rows.withColumn("r", F.from_json("value", schema)).where("r IS NOT NULL")
+    return once(rows, "r", F.from_json("value", schema)).where("r IS NOT NULL")
 
 
 def as_events(candidates: DataFrame, device_id: str) -> DataFrame:

@@ -15,6 +15,8 @@ from metergrid.tables import Scratch
 SUBAGENT = "subagent"
 #: Turns of a copy may differ from the original's time by this much.
 NEAR_MS = 2
+#: Width of the slots by which times are matched: so wide that few turns lie near an edge.
+SLOT_MS = 64
 
 
 def session_projects(sessions: DataFrame) -> DataFrame:
@@ -113,10 +115,13 @@ def fork_owners(rows: DataFrame, sessions: DataFrame, scratch: Scratch) -> DataF
     owner's own (sidechain).
 
     A round moves every turn that can move by one session, so there are as many rounds as the longest chain of forks that
-    a turn goes up; a turn that stops takes part in no further round. Times are matched by equal slots of NEAR_MS + 1 and
-    their neighbours, and then exactly."""
-    slot = lambda ms: F.floor(ms / (NEAR_MS + 1))
-    turns = rows.select(F.col("session_id").alias("parent_id"), "turn", "raw_model", F.col("ms").alias("at"), slot(F.col("ms")).alias("slot")).distinct()
+    a turn goes up; a turn that stops takes part in no further round. The rows and the turns to compare with are tables, which each
+    round reads. Times are matched by equal slots, of which a turn near an edge has both, and then exactly."""
+    slot = lambda ms: F.floor(ms / SLOT_MS)
+    rows = scratch.written(rows, "fork-rows")
+    edges = F.array_distinct(F.array(slot(F.col("ms") - NEAR_MS), slot(F.col("ms") + NEAR_MS)))
+    turns = rows.select(F.col("session_id").alias("parent_id"), "turn", "raw_model", F.col("ms").alias("at")).distinct().withColumn("ms", F.col("at")).withColumn("slot", F.explode(edges)).drop("ms")
+    turns = scratch.written(turns, "fork-turns")
     ups = sessions.select(F.col("session_id").alias("owner"), F.nullif("parent_id", F.lit("")).alias("parent_id"), "forked_ms")
     there = sessions.select(F.col("session_id").alias("parent_id"), F.lit(True).alias("there"))
     of = ups.join(there, "parent_id", "left").where("parent_id IS NOT NULL")
@@ -125,11 +130,11 @@ def fork_owners(rows: DataFrame, sessions: DataFrame, scratch: Scratch) -> DataF
     moved: list[DataFrame] = []
     while True:
         tried = walking.where(~F.array_contains("seen", F.col("owner"))).join(of, "owner")
-        each = tried.withColumn("slot", F.explode(F.sequence(slot(F.col("ms")) - 1, slot(F.col("ms")) + 1)))
-        near = each.join(turns, ["parent_id", "turn", "raw_model", "slot"]).where(F.abs(F.col("ms") - F.col("at")) <= NEAR_MS).select(*key).distinct().withColumn("near", F.lit(True))
-        older = F.col("ms") < F.col("forked_ms")
-        tie = F.col("there").isNull() & (F.col("ms") == F.col("forked_ms"))
-        step = tried.join(near, key, "left").where(F.coalesce("near", F.lit(False)) | F.coalesce(older, F.lit(False)) | F.coalesce(tie, F.lit(False)))
+        tried = tried.select(*key, "seen", "owner", "parent_id", F.expr("coalesce(ms < forked_ms, false) OR (there IS NULL AND coalesce(ms = forked_ms, false))").alias("moves"), slot(F.col("ms")).alias("slot"))
+        step = rows.sparkSession.sql(
+            """SELECT * FROM {tried} AS w WHERE w.moves OR EXISTS (SELECT 1 FROM {turns} AS t WHERE t.parent_id = w.parent_id AND t.turn = w.turn AND t.raw_model = w.raw_model AND t.slot = w.slot
+            AND abs(w.ms - t.at) <= {most})""", tried=tried, turns=turns, most=NEAR_MS,
+        )
         on = scratch.written(step.select(*key, F.col("parent_id").alias("owner"), F.array_append("seen", F.col("owner")).alias("seen")), "forks")
         if on.isEmpty():
             break

@@ -219,7 +219,8 @@ def reconcile(generators: DataFrame, steps: DataFrame, executors: DataFrame, con
     gone = other(g, "names").union(other(s, "aliases"))
     gone = gone.union(g.where("call IS NOT NULL AND fit_step").select(_id("step", F.col("matched")))).union(s.where("call IS NOT NULL").select(_id("step", F.col("idx"))))
     gone = gone.union(g.where(F.col("call").isNotNull() | F.col("fit_step")).select(_id("gen", F.col("idx"))))
-    return calls, gone.distinct().join(calls, "id", "left_anti")
+    # rows have the ids of the calls that they are merged into
+    return calls, gone.distinct().join(rows.select("id"), "id", "left_anti")
 
 
 def _with_model(rows: DataFrame, enums: DataFrame, executors: DataFrame) -> DataFrame:

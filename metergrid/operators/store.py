@@ -19,7 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,8 +94,10 @@ def _index(rows: DataFrame, store: Store) -> DataFrame:
 
 
 def _spread(index: DataFrame) -> DataFrame:
-    several = index.groupBy("harness", "id").agg(F.min("utc_day").alias("low"), F.max("utc_day").alias("high")).where("low < high")
-    return index.join(several.select("harness", "id"), ["harness", "id"], "left_semi").select(*INDEX.fieldNames())
+    # a window over the copies of a call: the index is shuffled once
+    call = Window.partitionBy("harness", "id")
+    days = index.withColumns({"low": F.min("utc_day").over(call), "high": F.max("utc_day").over(call)})
+    return days.where("low < high").select(*INDEX.fieldNames())
 
 
 def _summed(rows: DataFrame, sign: int) -> DataFrame:
@@ -110,7 +112,7 @@ def create(spark: SparkSession, path: str, events: DataFrame, buckets: int = 64)
     store = Store(spark, path, events.schema, buckets)
     rows = events.withColumn("utc_day", utc_day())
     rows.repartition("utc_day", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("utc_day").parquet(f"{path}/rows")
-    _index(store.rows(), store).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/keys")
+    _index(store.rows(), store).repartition("bucket", F.pmod(F.xxhash64("device_id", "id"), F.lit(8))).write.partitionBy("bucket").parquet(f"{path}/keys")
     _spread(store.keys()).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/spread")
     _summed(store.rows(), 1).withColumn("batch", F.lit("base")).write.partitionBy("batch").parquet(f"{path}/deltas")
     return store

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metergrid.llm.common import Scratch, arrow_map, flat_bytes, sliced, whole_groups, written
+from metergrid.llm.common import Scratch, arrow_map, flat_bytes, release, sliced, whole_groups, written
 from metergrid.llm.shingles import mixed, word_hashes
 
 ORDER = 2
@@ -51,7 +51,7 @@ LONG = 64
 #: Tokens of the corpus for each bucket, n-grams that a task holds before it sends them on, bytes of the filter in one broadcast.
 BUCKET_TOKENS, HELD_GRAMS, BLOCK_BYTES = 1 << 18, 1 << 21, 128 << 20
 #: Bytes of text, and of levels, that one step takes: a byte of text costs some twenty in arrays, a level some eighty.
-TEXT_BYTES, LEVEL_BYTES = 2 << 20, 1 << 20
+TEXT_BYTES, LEVEL_BYTES = 1 << 20, 1 << 20
 #: Bytes of an n-gram's hash within its bucket.
 KEY = 5
 END = ""
@@ -198,15 +198,22 @@ def probe(hashes: np.ndarray, block: Block, buckets: int) -> np.ndarray:
     return out
 
 
+def _words(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in sliced(batch, text_col, 4 * TEXT_BYTES):
+            t = tokenise(part.column(text_col))
+            n = np.append(np.bincount(t.codes, minlength=len(t.spelled)), t.rows)
+            yield pa.RecordBatch.from_pydict({"word": pa.concat_arrays([t.spelled, pa.array([END], pa.string())]), "n": pa.array(n, pa.int64())})
+            del t, n, part
+        del batch
+        release()
+
+
 def count_words(texts: DataFrame, text_col: str) -> DataFrame:
     """(word, count) of all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch, text_col, 4 * TEXT_BYTES):
-                t = tokenise(part.column(text_col))
-                n = np.bincount(t.codes, minlength=len(t.spelled))
-                yield pa.RecordBatch.from_pydict({"word": pa.concat_arrays([t.spelled, pa.array([END], pa.string())]), "n": pa.array([*n.tolist(), t.rows], pa.int64())})
+        return _words(batches, text_col)
 
     return texts.select(F.col(f"`{text_col}`")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("count"))
 
@@ -215,7 +222,12 @@ def count_grams(texts: DataFrame, text_col: str, order: int, buckets: int) -> Da
     """(bucket, keys, counts): n-grams that tasks have counted, sorted, a row for each bucket and HELD_GRAMS n-grams or task."""
 
     def sent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        found, counts = np.unique(np.concatenate(held), return_counts=True)
+        hashes = np.concatenate(held)
+        held.clear()
+        hashes.sort()
+        begins = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        found, counts = hashes[begins], np.diff(begins, append=len(hashes))
+        del hashes, begins
         bucket = bucket_of(found, buckets)
         ends = np.concatenate([np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
         keys = key_of(found).view(np.uint8).reshape(-1, 8)[:, :KEY]
@@ -242,6 +254,7 @@ def count_grams(texts: DataFrame, text_col: str, order: int, buckets: int) -> Da
                     held, n = [], 0
         if n:
             yield from sent(held)
+        release()
 
     return texts.select(F.col(f"`{text_col}`")).mapInArrow(run, "bucket long, keys binary, counts binary")
 
@@ -349,6 +362,8 @@ def measure(docs: DataFrame, model: Model, text_col: str = "text", carry: list[s
         last = k == model.blocks - 1
 
         def make(k=k, block=block):
+            release()
+
             def step(part: pa.RecordBatch):
                 tokens, offsets, levels = _fill(part, text_col, block.value, order, buckets)
                 mine = [levels[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

@@ -2,6 +2,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -141,3 +143,22 @@ def test_cold_and_long_words_repeated_rows_and_no_training_texts(spark, monkeypa
     for r in lm.score_texts(docs, empty, [1.0]).collect():
         assert r["train_tokens"] == r["n_known"] == 0 and r["base_score"] == r["score"] == 0
     assert lm.score_texts(docs.limit(0), model, [1.0]).count() == 0 and lm.fit_masses(lm.measure(docs.limit(0), empty), empty) == [lm.MASSES[-1]]
+
+
+def test_a_worker_gives_back_what_counting_took():
+    code = """
+import random, re
+import pyarrow as pa
+from metergrid.llm import lm
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+rng = random.Random(3)
+batch = lambda n: pa.RecordBatch.from_pydict({"text": [" ".join(map(str, rng.choices(range(10**6), k=250))) for _ in range(n)]})
+list(lm._words(iter([batch(10)]), "text"))
+before = held()
+for _ in lm._words((batch(6000) for _ in range(2)), "text"):
+    pass
+del _
+print(held() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 25, done.stdout

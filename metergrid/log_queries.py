@@ -75,14 +75,14 @@ def reader_codex(spark, sf_dir):
 def streamed_codex(spark, sf_dir):
     """The same logs as a stream: their lines come in four portions that are out of order and overlap, and the query is
     stopped after the first and started again."""
-    folder = tables.lasting(spark).folder_of("stream")
-    lines = codex_lines(spark, sf_dir)
+    held, files = tables.lasting(spark), 16
+    folder, lines = held.folder_of("stream"), held.written(codex_lines(spark, sf_dir), "lines")
     for k in range(4):
         # every fourth line early, the others late
         part = lines.where(f"pmod(xxhash64(line), 4) = {k} OR line % 50 = {k}")
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        part.repartition(files, "file", F.floor(F.col("line") / counters.PART)).write.mode("append").parquet(f"{folder}/in")
         if k in (0, 3):
-            stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+            stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
             counters.counted(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").where("NOT needs_batch").select(*COLUMNS, "service_tier", "line")
 

@@ -2,6 +2,8 @@
 
 import json
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,31 @@ def test_an_incomplete_step_does_not_count(spark, tmp_path):
     assert box.steps() == [1]
     outbox.restore(box, ids.limit(1))
     assert sorted(_states(box).values()) == ["pending", "restored"]
+
+
+def test_lines_wait_in_parts(spark, tmp_path):
+    """A log's waiting lines are read and written one part at a time."""
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Parts(dict):
+        getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.pop
+
+    counter = counters.Counter()
+    counter.carry, counter.waiting = Value(), Parts()
+    n = 5 * counters.PART + 3
+    row = lambda i: {"file": "/f", "line": i, "ms": float(i), "meta": None, "batch": False, "session": None, "model": None, "cwd": None, "tier": None, "named": None, "total": np.full(7, i), "last": None, "of_file": "s"}
+    run = lambda some: [r for out in counter.handleInputRows(("/f",), iter([pd.DataFrame([row(i) for i in part]) for part in some]), None) for r in out.itertuples()]
+    late = list(range(n, 1, -1))
+    assert run([late[: n // 2], late[n // 2 :]]) == []
+    assert len(counter.waiting) == 6 and all(len(json.loads(v[0])) <= counters.PART for v in counter.waiting.values())
+    found = run([[1, 1, 7]])
+    assert [r.line for r in found] == list(range(1, n + 1)) and {tuple(r.tokens) for r in found} == {(1,) * 7}
+    assert not counter.waiting and run([late]) == []

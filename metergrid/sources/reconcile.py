@@ -172,10 +172,12 @@ def reconcile(generators: DataFrame, steps: DataFrame, executors: DataFrame, con
     """(calls, withdrawn ids). Calls: id, conversation, stamp, model, tier and token counts, one row an id. A generator with
     usage is a call under its canonical id, or that of its step or its own number; a step with usage is one where no call
     covers it. Records without tokens or time are left out. Withdrawn are all other ids that a call could have had before.
-    `scratch` holds the matched generators and the steps that are left while the results are read."""
-    generators, steps = _records(generators), _records(steps)
+    `scratch` holds the tables that are read more than once: the records, the matched generators and the steps that are left while the results are read."""
+    # each is read for facts, matches, models and what is left
+    generators, steps = scratch.written(_records(generators), "generators"), scratch.written(_records(steps), "steps")
     facts = scratch.written(alias_facts(generators, steps), "aliases")
-    spare = conversations.select("conversation", "fallback_stamp")
+    spare = scratch.written(conversations.select("conversation", "fallback_stamp"), "conversations")
+    enums, runs = scratch.written(enum_models(generators), "enums"), scratch.written(run_models(executors), "runs")
     g = matched(generators, steps, facts).withColumn("names", F.when(F.col("fit"), F.array_union("aliases", "s_aliases")).otherwise(F.col("aliases")))
     g = _looked_up(g, "names", facts, "facts").join(spare, "conversation", "left")
     step_rid, step_alias = (F.when(F.col("fit"), c) for c in (F.col("s_rid"), F.get("s_aliases", F.lit(0))))
@@ -188,7 +190,7 @@ def reconcile(generators: DataFrame, steps: DataFrame, executors: DataFrame, con
     g = g.withColumn("tier", F.when(F.col("tier") != "", F.col("tier")).otherwise(F.coalesce(F.when(prices & F.col("fit"), F.col("s_tier")), F.lit(""))))
     place = F.coalesce("matched", "fallback")
     g = g.withColumn("id", F.when(F.col("call").isNotNull(), _id("response", F.col("call"))).when(place.isNotNull(), _id("step", place)).otherwise(_id("gen", F.col("idx"))))
-    g = scratch.written(_with_model(g, enum_models(generators), executors), "matched")
+    g = scratch.written(_with_model(g, enums, runs), "matched")
 
     covers = g.withColumn("rid", F.when(F.col("rid") == "", F.coalesce(step_rid, F.lit(""))).otherwise(F.col("rid")))
     merged = lambda a: F.when(_text(a) != "", _text(a)).otherwise(F.when(F.col("fit"), _text(f"s_{a}")).otherwise(""))
@@ -209,7 +211,7 @@ def reconcile(generators: DataFrame, steps: DataFrame, executors: DataFrame, con
     s = _looked_up(s, "aliases", facts, "facts")
     s = s.withColumn("call", canonical(F.col("rid"), F.col("aliases"), F.col("aliases"), F.lit(""), F.lit(None).cast("string"), F.col("facts")))
     s = s.withColumn("id", F.when(F.col("call").isNotNull(), _id("response", F.col("call"))).otherwise(_id("step", F.col("idx"))))
-    s = _with_model(s, enum_models(generators), executors)
+    s = _with_model(s, enums, runs)
 
     out = ("id", "conversation", "stamp", "model", "tier", *TOKENS, "reasoning_tokens")
     rows = g.select(*out, F.col("idx").alias("seq")).unionByName(s.select(*out, (F.col("idx") + STEP_ORDER).alias("seq")))
@@ -223,9 +225,13 @@ def reconcile(generators: DataFrame, steps: DataFrame, executors: DataFrame, con
     return calls, gone.distinct().join(rows.select("id"), "id", "left_anti")
 
 
-def _with_model(rows: DataFrame, enums: DataFrame, executors: DataFrame) -> DataFrame:
-    """The model named, else that of its number, else that of its execution, else unknown."""
+def run_models(executors: DataFrame) -> DataFrame:
+    """(conversation, execution_id, run_model): the last executor that names a model."""
     runs = executors.withColumn("model", fallback_model(F.col("model"))).where("execution_id <> '' AND model <> ''")
-    runs = runs.groupBy("conversation", "execution_id").agg(F.max_by("model", "idx").alias("run_model"))
+    return runs.groupBy("conversation", "execution_id").agg(F.max_by("model", "idx").alias("run_model"))
+
+
+def _with_model(rows: DataFrame, enums: DataFrame, runs: DataFrame) -> DataFrame:
+    """The model named, else that of its number, else that of its execution, else unknown."""
     found = rows.join(enums, ["conversation", "model_enum"], "left").join(runs, ["conversation", "execution_id"], "left")
     return found.withColumn("model", F.coalesce("named", "enum_model", "run_model", F.lit("unknown"))).drop("enum_model", "run_model")

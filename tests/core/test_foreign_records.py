@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from metergrid import log_queries
 from metergrid.sources import grok_tree, reconcile, snapshots, wire
 from metergrid.tables import Scratch
 
@@ -167,3 +168,23 @@ def test_snapshots_switch_and_survive(spark, tmp_path):
     # a source without any event is remembered
     snapshots.write(spark, path + "2", snapshots.imported(snapshots.empty(spark, schema), spark.createDataFrame([], schema)))
     assert snapshots.read(spark, path + "2", schema).source == "billing"
+
+
+def test_each_record_is_read_once(spark, sf_dir):
+    read = []
+
+    def counted(df):
+        n = spark.sparkContext.accumulator(0)
+        read.append((n, df.count()))
+
+        def run(batches):
+            for batch in batches:
+                n.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    with Scratch(spark) as tmp:
+        calls, gone = reconcile.reconcile(*map(counted, log_queries._recorded_calls(spark, sf_dir)), tmp)
+        assert calls.count() and gone.count()
+        assert [n.value for n, _ in read] == [rows for _, rows in read]

@@ -7,7 +7,7 @@ whose prototype has the largest cosine with the text's vector.
 
 Letters are lower-cased; every run of other characters is one word boundary, and trigrams across a boundary
 are not used. Numpy computes one slice of texts at a time: the counts of the slice's trigrams (texts x trigrams)
-times the vectors of those trigrams.
+times the vectors of those trigrams, ROWS x GRAMS counts at once.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metergrid.llm.common import arrow_map, sliced
+from metergrid.llm.common import arrow_map, release, sliced
 
 DIMS = 512
 SEED = 20240817
@@ -30,6 +30,8 @@ UNKNOWN = "und"
 #: Unit vectors are added as whole numbers of this size, so that sums don't depend on their order.
 UNIT = 1 << 20
 SLICE = 1 << 20
+#: Short texts are many and those of many letters have many trigrams: the counts of a whole slice could take gigabytes.
+ROWS, GRAMS = 512, 4096
 
 
 @functools.cache
@@ -43,8 +45,8 @@ def letter_of() -> np.ndarray:
     return np.array([0 if not chr(c).isalpha() else c if c < OWN else OWN + c % (LETTERS - OWN) for c in range(1 << 16)], np.int32)
 
 
-def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(texts x trigrams) counts and (trigrams x 3) letters."""
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text and the trigram of each place, by numbers, and (trigrams x 3) letters."""
     joined = " ".join(texts)
     points = np.frombuffer(f" {joined} ".lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t.lower()) for t in texts]) if len(points) != len(joined) + 2 else np.fromiter(map(len, texts), np.int64, len(texts))
@@ -69,21 +71,26 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         column = place[grams]
     else:
         there, column = np.unique(grams, return_inverse=True)
-    counts = np.bincount(row * len(there) + column, minlength=len(texts) * len(there))
-    return counts.reshape(len(texts), len(there)).astype(np.float32), used[np.stack([there // (k * k), there // k % k, there % k], 1)]
+    return row, column, used[np.stack([there // (k * k), there // k % k, there % k], 1)]
 
 
 def text_vectors(texts: list[str]) -> np.ndarray:
     """The bundle of each text, one row each; zeros where it has no letter."""
-    counts, grams = trigram_counts(texts)
-    if not counts.shape[1]:
-        return np.zeros((len(texts), DIMS), np.float32)
-    table = letter_vectors()
+    row, column, grams = trigrams(texts)
+    once, twice, table = np.roll(letter_vectors(), 1, axis=1), np.roll(letter_vectors(), 2, axis=1), letter_vectors()
     out = np.zeros((len(texts), DIMS), np.float32)
-    for at in range(0, len(grams), 8192):
-        a, b, c = grams[at : at + 8192].T
-        bound = np.roll(table, 2, axis=1)[a] * np.roll(table, 1, axis=1)[b] * table[c]
-        out += counts[:, at : at + 8192] @ bound
+    for at in range(0, len(grams), GRAMS):
+        a, b, c = grams[at : at + GRAMS].T
+        bound = twice[a]
+        bound *= once[b]
+        bound *= table[c]
+        here = (column >= at) & (column < at + GRAMS)
+        texts_here, place = row[here], column[here] - at
+        starts = np.searchsorted(texts_here, np.arange(0, len(texts) + ROWS, ROWS))
+        for k, (i, j) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            first, n = k * ROWS, min(ROWS, len(texts) - k * ROWS)
+            counts = np.bincount((texts_here[i:j] - first) * len(a) + place[i:j], minlength=n * len(a))
+            out[first : first + n] += counts.reshape(n, len(a)).astype(np.float32) @ bound
     return out
 
 
@@ -127,6 +134,9 @@ def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang
                 langs = np.array(part.column(lang_col).to_pylist(), object)
                 for lang in set(langs):
                     sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0)
+                del part, vectors, langs
+            del batch
+            release()
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "bundle"])
 

@@ -28,13 +28,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metergrid.llm.common import SLICE_BYTES, Scratch, arrow_map, flat_bytes, whole_groups, written
+from metergrid.llm.common import Scratch, arrow_map, flat_bytes, release, sliced, whole_groups, written
 from metergrid.llm.components import connected_components
 from metergrid.llm.shingles import set_digests, shingle_sets, signatures
 
 TREES, DEPTH = 16, 8
 #: Classes and shingles that a task compares at once; one text may have more shingles.
 RUN, RUN_SHINGLES = 512, 1 << 21
+#: Bytes of text whose shingles are hashed at once; the running sums and words of a slice take some 50 times as many.
+SLICE = (1 << 20) - 1
+
+
+def sets_of(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets() of a column, slice by slice."""
+    if texts.nbytes <= SLICE:
+        return shingle_sets(*flat_bytes(texts), words)
+    parts = [shingle_sets(*flat_bytes(x.column("text")), words) for x in sliced(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", SLICE)]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for _, x in parts]))])
 
 
 def text_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -50,7 +60,7 @@ def text_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 
         return step
 
-    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col)), text_col, outputs, make, ["id"])
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col)), text_col, outputs, make, ["id"], SLICE)
 
 
 def regions(classes: DataFrame, shallow: int) -> DataFrame:
@@ -112,6 +122,8 @@ def plausible(rows: DataFrame, classes: DataFrame, share: float) -> DataFrame:
                     a.append(c[start + x])
                     b.append(c[start + y])
             yield _pairs(np.concatenate(a), np.concatenate(b))
+            del table, sig
+        release()
 
     return ordered.mapInArrow(run, PAIRS).distinct()
 
@@ -158,16 +170,14 @@ def class_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
     def run(batches):
         for batch in batches:
-            start = 0
-            sizes = np.asarray([len(x or "") for x in batch.column("text").to_pylist()]) if batch.num_rows else np.zeros(0, int)
-            while start < batch.num_rows:
-                stop = max(start + 1, start + int(np.searchsorted(np.cumsum(sizes[start:]), SLICE_BYTES)))
-                part = batch.slice(start, stop - start)
-                start = stop
+            for part in sliced(batch, "text", SLICE):
                 digests = set_digests(*shingle_sets(*flat_bytes(part.column("text")), words))[:, 0]
                 kept = part.filter(pa.array(digests == part.column("c").to_numpy()))
                 if kept.num_rows:
                     yield kept.select(["c", "g", "large", "text"])
+                del part, kept
+            del batch
+            release()
 
     return rows.select("id", "c", "g", "large", "text").mapInArrow(run, "c long, g long, large boolean, text string")
 
@@ -198,7 +208,7 @@ def confirmed(texts: DataFrame, words: int, percent: int) -> DataFrame:
 
     def links(part: pa.Table) -> tuple[list, list, int]:
         c, at = np.unique(part.column("c").to_numpy(), return_index=True)
-        values, offsets = shingle_sets(*flat_bytes(part.column("text").combine_chunks()), words)
+        values, offsets = sets_of(part.column("text").combine_chunks(), words)
         if len(at) < part.num_rows:  # repeated rows
             values = np.concatenate([values[offsets[i] : offsets[i + 1]] for i in at])
             offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[at])])
@@ -225,6 +235,8 @@ def confirmed(texts: DataFrame, words: int, percent: int) -> DataFrame:
                     hubs.append((table.column("c")[start].as_py(), g[start]))
             rows = [(x, y, 0) for x, y in zip(a, b, strict=True)] + [(x, y, 1) for x, y in hubs]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))], names=["a", "b", "hub"])
+            del table, rows
+        release()
 
     return ordered.mapInArrow(run, "a long, b long, hub int")
 

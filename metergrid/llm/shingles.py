@@ -33,8 +33,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i modulo 2**64 for i < n. Tables of up to 2**21 entries are kept."""
-    size = 1 << max(10, (n - 1).bit_length())
+    """R**i and R**-i modulo 2**64 for i < n. Tables of 2**20 and 2**21 entries are kept."""
+    size = 1 << max(20, (n - 1).bit_length())
     up, down = _powers(size) if size <= 1 << 21 else _powers.__wrapped__(n)
     return up[:n], down[:n]
 

@@ -1,5 +1,8 @@
 """Language ID and quality: held-out accuracy, and defined results for odd rows."""
 
+import random
+import tracemalloc
+
 import numpy as np
 
 from metergrid.llm import langid, quality
@@ -85,3 +88,15 @@ def test_quality_learns_from_all_of_a_text(spark):
     got = quality.score_quality(spark.createDataFrame([(1, tails[0] * 9), (2, tails[1] * 9)], "doc_id long, text string"), model)
     score = {r["doc_id"]: r["score"] for r in got.collect()}
     assert score[1] > 0.9 and score[2] < 0.1
+
+
+def test_many_short_texts_of_many_letters_take_little_memory():
+    rng = random.Random(5)
+    long = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300)) for _ in range(100)]
+    texts = [*long, *["the house", "", "x", "\U0001f600"] * 400]
+    tracemalloc.start()
+    got = langid.vectors_of(texts)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 100
+    assert all((got[i] == langid.vectors_of([texts[i]])[0]).all() for i in [*range(100), *range(100, len(texts), 97)])

@@ -1,7 +1,13 @@
 import random
+import re
+import tracemalloc
 
+import pyarrow as pa
+from metergrid.llm import neardup
+from metergrid.llm.common import flat_bytes
 from metergrid.llm.neardup import near_duplicates
 from metergrid.llm.queries import op1_neardup
+from pyspark.sql import types as T
 from tests.llm.helpers import components, prose, shingle_set
 
 
@@ -72,3 +78,42 @@ def test_long_words_that_defeat_a_running_hash_are_told_apart(spark):
     docs = [(1, word), (2, other), (3, f"x y {word}"), (4, f"x y {other}"), (5, f"x y {word}"), (6, word[:1024]), (7, other[:1024])]
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=85, shallow=4).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3, 6: 6, 7: 7}
+
+
+class _Handed:
+    """Stands for a DataFrame; what is handed to mapInArrow() runs here."""
+
+    columns, schema = ["id", "text"], T.StructType().add("id", "long").add("text", "string")
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_worker_takes_little_and_gives_it_back(spark):
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+    rng = random.Random(4)
+    words = prose(rng, 4_000).split()
+    batch = lambda n: pa.RecordBatch.from_pydict({"id": list(range(n)), "text": [" ".join(rng.choices(words, k=300)) for _ in range(n)]})
+    run = neardup.text_sets(_Handed(), "id", "text", 5)
+    large = batch(6_000)
+    list(run(iter([batch(10)])))
+    before = held()
+    for _ in run(iter([large, large])):
+        pass
+    del _
+    assert held() - before < 25
+    peak = lambda: tracemalloc.get_traced_memory()[1] / 1e6
+    assert large.column("text").nbytes > 8e6
+    tracemalloc.start()
+    for _ in run(iter([large])):
+        pass
+    assert peak() < 70
+    tracemalloc.reset_peak()
+    got = neardup.sets_of(large.column("text"), 5)
+    assert peak() < 100
+    tracemalloc.stop()
+    want = neardup.shingle_sets(*flat_bytes(large.column("text")), 5)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))

@@ -97,3 +97,12 @@ def test_stretches_over_pieces(spark):
                 want += text[at:first] + "[secret]"
             at = max(at, last)
         assert out == want + text[at:]
+
+
+def test_demands_of_rules_need_no_python_workers(spark):
+    from metergrid.llm import secrets
+
+    docs = spark.createDataFrame([], "doc_id long, text string").limit(0)
+    plan = secrets.candidates(spark.range(1).selectExpr("id AS doc_id", "'token=' AS text"), secrets.RULES, "doc_id", "text")._jdf.queryExecution().toString()
+    assert "LocalTableScan" in plan and "RDD" not in plan
+    assert secrets.candidates(docs, (secrets.Rule("any", "[a-z]+"),), "doc_id", "text").count() == 0
